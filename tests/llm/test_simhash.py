@@ -1,0 +1,62 @@
+import numpy as np
+import pytest
+import xxhash
+
+from lumenrec.llm.simhash import fingerprint, link_fingerprints, near_dedup
+
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_against_brute_force(make_docs, texts, block):
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    got = near_dedup(make_docs(rows), block=block).collect()
+    assert len(got) == len(rows)
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    want = plain_components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    assert {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got} == {(i, fps[i], want[i]) for i in fps}
+    assert len(set(want.values())) < len(set(fps.values()))
+
+
+def test_dense_groups_with_small_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 12)
+    fps = {int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(60)}
+    fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
+    want = plain_components(fps, [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+    for block in (2048, 5):
+        edges = link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), block=block).collect()
+        assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 64 for r in edges)
+        assert plain_components(fps, [(r.a, r.b) for r in edges]) == want
+
+
+def test_fingerprint_edges():
+    for text in (None, "", " \n", "One", "one two three", "a b c d", "a b c d e f g a b c d", "x y z\x1cw q r"):
+        assert fingerprint(text) & (2**64 - 1) == plain_fingerprint(text)
+
+
+def test_empty_table_and_null_ids(make_docs):
+    assert near_dedup(make_docs([])).collect() == []
+    got = near_dedup(make_docs([(None, "a b c d e"), (9, "a b c d e"), (None, "completely other words here now")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 9), (9, 9)]
