@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op6_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .simhash import op1_simhash
 from .url_filter import OP8_SQL, op8_url_filters
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_exact_dedup": op7_exact_dedup, "op8_url_filters": op8_url_filters}
+QUERIES = {"op1_simhash": op1_simhash, "op6_byte_bpe": op6_byte_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_url_filters": op8_url_filters}
 SQL = {"op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL}
