@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .quality import op10_quality
 from .simhash import op1_simhash
+from .toxicity import op3_toxicity
 from .url_filter import OP8_SQL, op8_url_filters
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_byte_bpe": op6_byte_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_url_filters": op8_url_filters}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_toxicity": op3_toxicity,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_url_filters": op8_url_filters,
+    "op10_quality": op10_quality,
+}
 SQL = {"op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL}
