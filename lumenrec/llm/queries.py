@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
+from .embedding_dedup import op9_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .quality import op10_quality
 from .simhash import op1_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
 }
 SQL = {"op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL}
