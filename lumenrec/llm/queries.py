@@ -7,11 +7,13 @@ from .embedding_dedup import op9_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .quality import op10_quality
 from .simhash import op1_simhash
+from .substring_dedup import op2_substring_dedup
 from .toxicity import op3_toxicity
 from .url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
