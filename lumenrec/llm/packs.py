@@ -30,17 +30,15 @@ def _pack_bytes(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack(data: bytes) -> tuple[pa.Array, list[bytes]]:
-    """Ids and UTF-8 texts of a pack; a null text is empty."""
+def unpack(data: bytes) -> tuple[list[bytes], pa.Table]:
+    """UTF-8 texts of a pack, empty for a null text, and all its rows."""
     rows = pa.ipc.open_stream(data).read_all().combine_chunks()
-    texts = [t or b"" for t in rows.column(1).cast(pa.large_binary()).to_pylist()]
-    ids = rows.column(0)
-    return (ids.chunk(0) if ids.num_chunks else pa.array([], ids.type)), texts
+    return [t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()], rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = PACK) -> tuple[DataFrame, int]:
-    """(pack, chars, data) of all rows of docs, stored; and how many shards the corpus needs."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+def pack(docs: DataFrame, size: int = PACK) -> tuple[DataFrame, int]:
+    """(pack, chars, data) of all rows and columns of docs, stored; and how many shards the corpus needs. docs has a column text."""
+    at_text = docs.columns.index("text")
 
     def run(batches):
         held, room = [], size
@@ -51,7 +49,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size - room], pa.int64()), pa.array([_pack_bytes(rows)], pa.binary())], ["pack", "chars", "data"])
 
         for b in batches:
-            sizes = np.fromiter((len(t or "") for t in b.column(1).to_pylist()), np.int64, b.num_rows)
+            sizes = np.fromiter((len(t or "") for t in b.column(at_text).to_pylist()), np.int64, b.num_rows)
             at = 0
             while at < b.num_rows:
                 n = int(np.searchsorted(np.cumsum(sizes[at:]), room, "left")) + 1

@@ -16,9 +16,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import store, table
-from .packs import ASKED, ask, batch, by_shard, in_order, pack, told, unpack
+from .packs import ASKED, PACK, ask, batch, by_shard, in_order, pack, told, unpack
 
 WINDOW, PHRASE = 35, 8  # words
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -29,7 +30,7 @@ class Words:
     """The words of a pack's documents: ids within the pack, hashes, and where documents end."""
 
     def __init__(self, data: bytes):
-        self.doc_ids, self.texts = unpack(data)
+        self.texts, self.rows = unpack(data)
         ids: dict[bytes, int] = {}
         fresh = ids.setdefault
         numbers, sizes = [], []
@@ -204,21 +205,15 @@ def _removal(window: int, phrase: int, shards: int, layout: bool):
                 each = np.split(gone, words.ends[:-1]) if len(words.ends) else []
                 kept = [_kept(t, g, layout) for t, g in zip(words.texts, each)]
                 removed = [int(g.sum()) for g in each]
-                yield pa.RecordBatch.from_arrays([words.doc_ids, pa.array(words.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                own = words.rows.drop_columns("text").append_column("n_words", pa.array(words.sizes, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
+                yield from own.append_column("kept", pa.array(kept, pa.string())).combine_chunks().to_batches()
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, layout: bool = False, size: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text) of every row of docs.
-
-    A word is removed if it is in a window of consecutive words that starts anywhere else too, in its own document or
-    another. All windows are judged on the input. Null, empty and blank texts have no words; texts shorter than a window
-    keep all. Repeated rows are copies of each other, so a repeated text of a window or more loses all its words. A null
-    doc_id is carried through; an empty table gives no rows; other columns of docs are left aside.
-    """
-    packs, shards = pack(docs, id_col, text, *([size] if size else []))
-    kind = dict(docs.dtypes)[id_col]
+def _removed(docs: DataFrame, window: int, phrase: int, layout: bool, size: int) -> DataFrame:
+    """docs with n_words, n_removed and kept in place of text."""
+    packs, shards = pack(docs, size)
     phrase = min(phrase, window)
     asked = packs.select("pack", "data").mapInArrow(_phrases(window, phrase, shards), ASKED)
     recurring, _ = store(ask(asked, _recurring_phrases), "recurring-phrases")
@@ -226,7 +221,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     near = asked.where("shard < 0").select("pack", "shard", "data")
     recurring, _ = store(ask(asked.where("shard >= 0"), _recurring_windows), "recurring-windows")
     joined = told(packs, recurring.unionByName(near)).select("pack", "data", "answers")
-    return joined.mapInArrow(_removal(window, phrase, shards, layout), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+    return joined.mapInArrow(_removal(window, phrase, shards, layout), StructType(fields + added))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, layout: bool = False, size: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (text) of every row of docs.
+
+    A word is removed if it is in a window of consecutive words that starts anywhere else too, in its own document or
+    another. All windows are judged on the input. Null, empty and blank texts have no words; texts shorter than a window
+    keep all. Repeated rows are copies of each other, so a repeated text of a window or more loses all its words. A null
+    doc_id is carried through; an empty table gives no rows; other columns of docs are left aside. With layout, a text
+    that loses nothing stays as it is and blanks within what stays are kept; else what stays is joined by single spaces.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    return _removed(docs, window, phrase, layout, size or PACK)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """The rows of docs, with all their columns, without the words that remove_repeats() removes.
+
+    Layout is kept and n_chars, if there is one, follows the text. A row that loses all its words goes; one that had none stays.
+    """
+    done = docs.select([F.col(c).alias(f"c{k}" if c != "text" else "text") for k, c in enumerate(docs.columns)])  # whatever docs' columns are called
+    done = _removed(done, window, phrase, True, PACK).where("n_removed < n_words OR n_words = 0")
+    given = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept"))}
+    columns = []
+    for k, c in enumerate(docs.columns):
+        kind = dict(docs.dtypes)[c]
+        own = F.col("kept") if c == "text" else F.coalesce(given[c], F.col(f"c{k}")) if c in given else F.col(f"c{k}")
+        columns.append(own.cast(kind).alias(c))
+    return done.select(columns)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
