@@ -50,6 +50,7 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{next(_step)}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # the finished plan is garbage now, and its shuffle files go with it
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -36,36 +36,54 @@ def unpack(data: bytes) -> tuple[list[bytes], pa.Table]:
     return [t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()], rows
 
 
-def pack(docs: DataFrame, size: int = PACK) -> tuple[DataFrame, int]:
-    """(pack, chars, data) of all rows and columns of docs, stored; and how many shards the corpus needs. docs has a column text."""
+def _cut(docs: DataFrame, size: int, row, schema: str) -> DataFrame:
+    """row(table, chars) of each size characters of docs, whole rows of all its columns; docs has a column text."""
     at_text = docs.columns.index("text")
 
     def run(batches):
         held, room = [], size
-
-        def out():
-            rows = pa.concat_tables(held).combine_chunks()
-            number = uuid.uuid4().int >> 65  # the stored row keeps it
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size - room], pa.int64()), pa.array([_pack_bytes(rows)], pa.binary())], ["pack", "chars", "data"])
-
         for b in batches:
             sizes = np.fromiter((len(t or "") for t in b.column(at_text).to_pylist()), np.int64, b.num_rows)
             at = 0
             while at < b.num_rows:
-                n = int(np.searchsorted(np.cumsum(sizes[at:]), room, "left")) + 1
-                n = min(n, b.num_rows - at)
+                n = min(int(np.searchsorted(np.cumsum(sizes[at:]), room, "left")) + 1, b.num_rows - at)
                 held.append(pa.Table.from_batches([b.slice(at, n)]))
                 room -= int(sizes[at : at + n].sum())
                 at += n
                 if room <= 0:
-                    yield out()
+                    yield row(pa.concat_tables(held).combine_chunks(), size - room)
                     held, room = [], size
         if held:
-            yield out()
+            yield row(pa.concat_tables(held).combine_chunks(), size - room)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _number() -> int:
+    """Of a pack; the stored row keeps it."""
+    return uuid.uuid4().int >> 65
+
+
+def pack(docs: DataFrame, size: int = PACK) -> tuple[DataFrame, int]:
+    """(pack, chars, data) of all rows and columns of docs, stored; and how many shards the corpus needs. docs has a column text."""
+    names = ["pack", "chars", "data"]
+    row = lambda rows, chars: pa.RecordBatch.from_arrays([pa.array([_number()], pa.int64()), pa.array([chars], pa.int64()), pa.array([_pack_bytes(rows)], pa.binary())], names)
+    packs, _ = store(_cut(docs, size, row, "pack bigint, chars bigint, data binary"), "packs")
+    return packs, shards_for(packs)
+
+
+def pack_rows(docs: DataFrame, body, keep: list[str], size: int = PACK) -> DataFrame:
+    """(pack, chars, rows, body) of all rows of docs, stored: the columns in keep, and what body(table) makes of a pack."""
+    names = ["pack", "chars", "rows", "body"]
+
+    def row(rows: pa.Table, chars: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_number()], pa.int64()), pa.array([chars], pa.int64()), pa.array([_pack_bytes(rows.select(keep))], pa.binary()), pa.array([body(rows)], pa.binary())], names)
 
-    packs, _ = store(docs.mapInArrow(run, "pack bigint, chars bigint, data binary"), "packs")
-    chars = packs.agg(F.sum("chars")).first()[0] or 0
-    return packs, max(1, -(-chars // SHARD))
+    return store(_cut(docs, size, row, "pack bigint, chars bigint, rows binary, body binary"), "token-packs")[0]
+
+
+def shards_for(packs: DataFrame) -> int:
+    return max(1, -(-(packs.agg(F.sum("chars")).first()[0] or 0) // SHARD))
 
 
 def by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -82,19 +100,29 @@ def batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def ask(asked: DataFrame, handle) -> DataFrame:
-    """handle(shard, list of data) -> list of answers, for each shard; gives (pack, shard, data)."""
+    """handle(shard, list of data) for each shard; gives (pack, shard, data).
+
+    handle returns the answers in the order of data, or a pair of these and of facts about the shard, which become a row of pack -1.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         answers = handle(shard, rows.column("data").to_pylist())
-        return pa.table({"pack": rows.column("pack"), "shard": pa.array([shard] * rows.num_rows, pa.int32()), "data": pa.array(answers, pa.binary())})
+        packs = rows.column("pack").to_pylist()
+        if isinstance(answers, tuple):
+            answers, facts = answers
+            packs, answers = [*packs, -1], [*answers, facts]
+        return pa.table({"pack": pa.array(packs, pa.int64()), "shard": pa.array([shard] * len(packs), pa.int32()), "data": pa.array(answers, pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
 def told(packs: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
-    """packs with the answers to each as an array of (shard, data)."""
-    return packs.join(answers.groupBy("pack").agg(F.collect_list(F.struct("shard", "data")).alias(name)), "pack", "left")
+    """packs with the answers to each as an array of (shard, data).
+
+    Always by a merge join: answers grow with the corpus, so they are not for broadcasting at any size.
+    """
+    return packs.join(answers.groupBy("pack").agg(F.collect_list(F.struct("shard", "data")).alias(name)).hint("merge"), "pack", "left")
 
 
 def in_order(answers: list | None) -> dict[int, bytes]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op6_byte_bpe
 from .embedding_dedup import op9_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_model import op5_language_model
 from .packing import op4_best_fit_packing
 from .quality import op10_quality
 from .simhash import op1_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language_model": op5_language_model,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filters": op8_url_filters,
