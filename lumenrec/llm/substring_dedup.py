@@ -9,6 +9,8 @@ phrase that it picks does, so only windows around located phrases are then count
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -31,16 +33,16 @@ class Words:
 
     def __init__(self, data: bytes):
         self.texts, self.rows = unpack(data)
-        ids: dict[bytes, int] = {}
-        fresh = ids.setdefault
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__  # a new word gets the next number
         numbers, sizes = [], []
         for text in self.texts:
             own = text.split()  # bytes split at the six ASCII blanks
-            numbers.append(np.fromiter((fresh(w, len(ids)) for w in own), np.int64, len(own)))
+            numbers.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
             sizes.append(len(own))
         self.sizes = np.array(sizes, np.int64)
         self.ids = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
         self.hashes = hashes[self.ids]
         self.ends = np.cumsum(self.sizes)
 
@@ -144,7 +146,7 @@ def _window_keys(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndar
 
 
 def _windows(window: int, phrase: int, shards: int):
-    """Asks for the windows around located phrases. A row of shard -1 keeps which windows of the pack these are."""
+    """Asks for the windows around located phrases. What goes to a shard from shards on comes back as it is: which windows of the pack these are."""
 
     def run(batches):
         for b in batches:
@@ -156,13 +158,15 @@ def _windows(window: int, phrase: int, shards: int):
                 bounds = by_shard(keys[:, 0], shards)
                 full = np.flatnonzero(np.diff(bounds))
                 blobs = [keys[bounds[k] : bounds[k + 1]].tobytes() + np.packbits(counts[bounds[k] : bounds[k + 1]] > 1).tobytes() for k in full]
-                yield batch(ASKED, [-1, *full], [number] * (len(full) + 1), [np.packbits(near).tobytes(), *blobs])
+                yield batch(ASKED, [shards + number % shards, *full], [number] * (len(full) + 1), [np.packbits(near).tobytes(), *blobs])
 
     return run
 
 
-def _recurring_windows(shard: int, asked: list[bytes]) -> list[bytes]:
+def _recurring_windows(shards: int, shard: int, asked: list[bytes]) -> list[bytes]:
     """A bit for each window: whether it stands twice in the corpus. Each pack's part is 16 bytes a window, then a bit a window."""
+    if shard >= shards:
+        return asked
     sizes = [len(a) * 8 // 129 for a in asked]
     keys = np.frombuffer(b"".join(a[: 16 * n] for a, n in zip(asked, sizes)), np.uint64).reshape(-1, 2)
     twice = np.concatenate([np.unpackbits(np.frombuffer(a[16 * n :], np.uint8), count=n) for a, n in zip(asked, sizes)])
@@ -194,7 +198,7 @@ def _removal(window: int, phrase: int, shards: int, layout: bool):
             for number, data, answers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words, parts = Words(data), in_order(answers)
                 starts = words.starts(window)
-                near = np.unpackbits(np.frombuffer(parts.pop(-1, b""), np.uint8), count=len(starts)).astype(bool) if len(starts) else np.empty(0, bool)
+                near = np.unpackbits(np.frombuffer(parts.pop(shards + number % shards), np.uint8), count=len(starts)).astype(bool)
                 keys, _, which = _window_keys(words, starts[near], window)
                 again = _unpacked(parts, by_shard(keys[:, 0], shards))
                 hit = starts[near][again[which]]
@@ -217,10 +221,9 @@ def _removed(docs: DataFrame, window: int, phrase: int, layout: bool, size: int)
     phrase = min(phrase, window)
     asked = packs.select("pack", "data").mapInArrow(_phrases(window, phrase, shards), ASKED)
     recurring, _ = store(ask(asked, _recurring_phrases), "recurring-phrases")
-    asked, _ = store(told(packs, recurring).select("pack", "data", "answers").mapInArrow(_windows(window, phrase, shards), ASKED), "windows")
-    near = asked.where("shard < 0").select("pack", "shard", "data")
-    recurring, _ = store(ask(asked.where("shard >= 0"), _recurring_windows), "recurring-windows")
-    joined = told(packs, recurring.unionByName(near)).select("pack", "data", "answers")
+    asked = told(packs, recurring).select("pack", "data", "answers").mapInArrow(_windows(window, phrase, shards), ASKED)
+    recurring, _ = store(ask(asked, partial(_recurring_windows, shards)), "recurring-windows")
+    joined = told(packs, recurring).select("pack", "data", "answers")
     fields = [f for f in docs.schema.fields if f.name != "text"]
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
     return joined.mapInArrow(_removal(window, phrase, shards, layout), StructType(fields + added))
