@@ -8,6 +8,7 @@ costs one entry a pack and every shard gets its even part of the hashed keys, ho
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -17,12 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import store
 
-PACK = 4_000_000  # characters a pack, but for a document that is longer by itself
+PACK = 3_000_000  # characters a pack, but for a document that is longer by itself
 SHARD = 16_000_000  # characters of the corpus for each shard
 ASKED = "shard int, pack bigint, data binary"
 ANSWER = "pack bigint, shard int, data binary"
 
 
+def trim() -> None:
+    """Give freed memory back, as a worker lives on through stages that need less."""
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give_back(0)
+
+
 def _pack_bytes(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -53,6 +61,7 @@ def _cut(docs: DataFrame, size: int, row, schema: str) -> DataFrame:
                 if room <= 0:
                     yield row(pa.concat_tables(held).combine_chunks(), size - room)
                     held, room = [], size
+                    trim()
         if held:
             yield row(pa.concat_tables(held).combine_chunks(), size - room)
 
@@ -109,6 +118,7 @@ def ask(asked: DataFrame, handle) -> DataFrame:
         shard = key[0].as_py()
         answers = handle(shard, rows.column("data").to_pylist())
         packs = rows.column("pack").to_pylist()
+        trim()
         if isinstance(answers, tuple):
             answers, facts = answers
             packs, answers = [*packs, -1], [*answers, facts]

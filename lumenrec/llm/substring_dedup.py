@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import store, table
-from .packs import ASKED, PACK, ask, batch, by_shard, in_order, pack, told, unpack
+from .packs import ASKED, PACK, ask, batch, by_shard, in_order, pack, told, trim, unpack
 
 WINDOW, PHRASE = 35, 8  # words
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -93,6 +93,7 @@ def _phrases(window: int, phrase: int, shards: int):
                 bounds = by_shard(keys, shards)
                 full = np.flatnonzero(np.diff(bounds))
                 yield batch(ASKED, full, np.full(len(full), number), [keys[bounds[k] : bounds[k + 1]].tobytes() for k in full])
+                trim()
 
     return run
 
@@ -123,14 +124,25 @@ def _located(words: Words, at: np.ndarray, h: np.ndarray, parts: dict[int, bytes
     found = np.zeros(len(words.ids), bool)
     if not len(chosen):
         return found
+    spelt = words.ids[chosen[:, None] + np.arange(phrase)]
+    known = np.full(int(words.ids.max()) + 1, -1, np.int64)
+    vocabulary = np.unique(spelt)
+    known[vocabulary] = np.arange(len(vocabulary))
+    # A word is two symbols, from disjoint ranges, so that no node of the automaton has many edges to search through.
+    pair = lambda codes: np.stack([(codes >> 8) + 256, codes & 255], -1)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k in chosen.tolist():
-        automaton.add_word(tuple(words.ids[k : k + phrase].tolist()), 1)
+    for symbols in pair(known[spelt]).reshape(len(spelt), -1).tolist():
+        automaton.add_word(tuple(symbols), 1)
     automaton.make_automaton()
-    for lo, hi in zip([0, *words.ends.tolist()], words.ends.tolist()):
-        if hi - lo >= phrase:
-            ends = [end for end, _ in automaton.iter(tuple(words.ids[lo:hi].tolist()))]
-            found[np.array(ends, np.int64) + (lo - phrase + 1)] = True
+    # Words of no phrase end any match, so a document streams through as its stretches of words that phrases have.
+    codes = known[words.ids]
+    inside = np.r_[False, codes >= 0, False].astype(np.int8)
+    breaks = np.unique(np.r_[0, np.flatnonzero(np.diff(inside)), words.ends])
+    breaks = breaks[breaks < len(codes)]
+    for lo, hi in zip(breaks.tolist(), [*breaks[1:].tolist(), len(codes)]):
+        if hi - lo >= phrase and codes[lo] >= 0:
+            ends = [end for end, _ in automaton.iter(tuple(pair(codes[lo:hi]).ravel().tolist()))]
+            found[np.array(ends, np.int64) // 2 + (lo - phrase + 1)] = True
     return found
 
 
@@ -159,6 +171,7 @@ def _windows(window: int, phrase: int, shards: int):
                 full = np.flatnonzero(np.diff(bounds))
                 blobs = [keys[bounds[k] : bounds[k + 1]].tobytes() + np.packbits(counts[bounds[k] : bounds[k + 1]] > 1).tobytes() for k in full]
                 yield batch(ASKED, [shards + number % shards, *full], [number] * (len(full) + 1), [np.packbits(near).tobytes(), *blobs])
+                trim()
 
     return run
 
@@ -211,6 +224,7 @@ def _removal(window: int, phrase: int, shards: int, layout: bool):
                 removed = [int(g.sum()) for g in each]
                 own = words.rows.drop_columns("text").append_column("n_words", pa.array(words.sizes, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
                 yield from own.append_column("kept", pa.array(kept, pa.string())).combine_chunks().to_batches()
+                trim()
 
     return run
 
