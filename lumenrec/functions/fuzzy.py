@@ -26,14 +26,8 @@ def _common(places: dict[str, int], full: int, window: str) -> int:
     return (full & ~state).bit_count()
 
 
-def partial_ratio(a: str | None, b: str | None) -> int:
-    """Of all windows of the longer string up to the shorter one's length, the best similarity by insertions and deletions."""
-    short, long = sorted((processed(a), processed(b)), key=len)
+def _best_place(short: str, long: str) -> float:
     m, n = len(short), len(long)
-    if not m:
-        return 0
-    if short in long:
-        return 100
     places: dict[str, int] = {}
     for k, c in enumerate(short):
         places[c] = places.get(c, 0) | 1 << k
@@ -43,7 +37,21 @@ def partial_ratio(a: str | None, b: str | None) -> int:
         most = 200.0 * min(m, hi - lo) / (m + hi - lo)
         if most > best and (long[lo] in places or long[hi - 1] in places):
             best = max(best, 200.0 * _common(places, full, long[lo:hi]) / (m + hi - lo))
-    return int(round(best))
+    return best
+
+
+def partial_ratio(a: str | None, b: str | None) -> int:
+    """Of all windows of the longer string up to the shorter one's length, the best similarity by insertions and deletions.
+
+    Of two strings of one length each is tried in the other.
+    """
+    short, long = sorted((processed(a), processed(b)), key=len)
+    if not short:
+        return 0
+    if short in long:
+        return 100
+    best = _best_place(short, long)
+    return int(round(max(best, _best_place(long, short)) if len(short) == len(long) else best))
 
 
 def fuzzy_score(query: Column, title: Column) -> Column:

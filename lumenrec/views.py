@@ -61,7 +61,7 @@ RAW_SQL = f"""items AS (SELECT vec_id AS id,
     || CASE WHEN vec_id % 50 = 0 THEN [{{'id': 99::BIGINT, 'name': 'x99'}}] ELSE [] END
     || CASE WHEN vec_id % 20 = 0 THEN [{{'id': label::BIGINT, 'name': 'g' || label}}] ELSE [] END AS genres,
     [{{'id': vec_id % {STUDIO_SLOTS}, 'name': 's' || (vec_id % {STUDIO_SLOTS})}}, {{'id': vec_id % 5, 'name': 's' || (vec_id % 5)}}] AS studios FROM embeddings),
-raw AS (SELECT items.*, text AS synopsis, concat_ws(' ', 'Title', source, doc_id) AS title FROM items LEFT JOIN documents ON doc_id = id)"""
+raw AS (SELECT items.*, text AS synopsis, CASE WHEN doc_id IS NOT NULL THEN concat_ws(' ', 'Title', source, doc_id) END AS title FROM items LEFT JOIN documents ON doc_id = id)"""
 
 USER_ITEMS_SQL = """ui AS (SELECT user_id, event_id % n AS id, 'Item ' || (event_id % n) AS title, floor(value)::BIGINT % 11 AS score,
     CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'watching' WHEN 'view' THEN 'plan_to_watch' WHEN 'error' THEN 'dropped' WHEN 'signup' THEN 'on_hold' END AS status,
