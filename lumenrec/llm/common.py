@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 from itertools import count
 
@@ -46,12 +48,20 @@ def _clean() -> None:
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
+    """Write df as Parquet in the shared folder and read it back: its lineage ends here, and lost executors cost no recomputation.
+
+    Spark keeps the shuffle files of a plan until both Python and the JVM have dropped it, so a df that the caller does not
+    keep is dropped here and both are told to collect. Else the files of finished steps would fill the disks.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{next(_step)}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # the finished plan is garbage now, and its shuffle files go with it
-    return spark.read.schema(df.schema).parquet(path), path
+    del df
+    gc.collect()
+    for _ in range(2):  # the first leaves what was only just let go
+        spark._jvm.System.gc()
+        time.sleep(0.05)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def lower_ascii(c: Column) -> Column:
