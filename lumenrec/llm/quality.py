@@ -8,6 +8,7 @@ where the second term falls below zero the step climbs instead, so a flexible sc
 from __future__ import annotations
 
 import math
+import zlib
 from operator import eq
 
 import numpy as np
@@ -70,7 +71,7 @@ class Network:
         """By the non-negative risk under prior; without one, to tell positives from unlabelled rows at even weight."""
         p, u = self.scaled(positive), self.scaled(unlabelled)
         for epoch in range(epochs):
-            for k in range(max(1, math.ceil(len(u) / batch))):
+            for _ in range(max(20, math.ceil(len(u) / batch))):
                 zp, zu = p[self.rng.integers(0, len(p), batch)], u[self.rng.integers(0, len(u), batch)]
                 z = np.concatenate([zp, zu])
                 s = 1 / (1 + np.exp(-np.clip(self.raw(z), -30, 30)))
@@ -106,13 +107,20 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1
 
 
 class Model:
-    """Without positives every score is 0; without unlabelled rows, 1."""
+    """Without positives every score is 0; without unlabelled rows, 1.
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray):
+    The class prior is estimated twice, each time from the half of the documents that the scorer was not trained on. The
+    halves are of documents: one that is both a trusted positive and an unlabelled row is on the same side in both.
+    """
+
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, half_p: np.ndarray, half_u: np.ndarray):
         self.constant, self.network, self.prior = float(len(positive) > 0), None, None
-        if len(positive) >= 4 and len(unlabelled) >= 4:
-            first = Network(np.concatenate([positive, unlabelled])).train(positive[::2], unlabelled[::2], None, epochs=12)
-            self.prior = class_prior(first.score(positive[1::2]), first.score(unlabelled[1::2]))
+        if min((half_p == k).sum() for k in (0, 1)) >= 4 and min((half_u == k).sum() for k in (0, 1)) >= 4:
+            shares = []
+            for k in (0, 1):
+                first = Network(unlabelled).train(positive[half_p == k], unlabelled[half_u == k], None, epochs=12)
+                shares.append(class_prior(first.score(positive[half_p != k]), first.score(unlabelled[half_u != k])))
+            self.prior = float(np.mean(shares))
             self.network = Network(unlabelled).train(positive, unlabelled, self.prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -134,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: i
 
     got = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, p boolean, u boolean, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * (positives + unlabelled)).collect()
     take = lambda rows: np.array([r.x for r in rows]).reshape(-1, len(NAMES))
-    return Model(take([r for r in got if r.p]), take([r for r in got if r.u]))
+    half = lambda rows: np.array([zlib.crc32(str(r.doc_id).encode()) >> 8 & 1 for r in rows], np.int64)
+    p, u = [r for r in got if r.p], [r for r in got if r.u]
+    return Model(take(p), take(u), half(p), half(u))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", column: str = "quality", parts: int = 4, held_out: int = 2, threshold: float = 0.7, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
