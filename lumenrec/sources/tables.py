@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,7 +25,20 @@ def replace(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path that all executors share: under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
-    return f"{base.rstrip('/')}/records/{name}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/records-{spark.sparkContext.applicationId}"
+    _roots[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_roots: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    for root, spark in _roots.items():
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(root)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone, and its folder is left to whoever set it up
+            pass

@@ -1,6 +1,7 @@
 import json
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from lumenrec.errors import InvalidToken, ItemNotFound, RateLimitExceeded, UserN
 from lumenrec.operators import blocks, users
 from lumenrec.operators.features import build_features, complete_items
 from lumenrec.operators.fusion import FIELDS, hybrid_search
-from lumenrec.operators.knn import neighbours
+from lumenrec.operators.knn import _first, neighbours
 from lumenrec.plans import recommend
 from lumenrec.plans.engine import Engine
 from lumenrec.sources import paged, records, tables
@@ -69,6 +70,13 @@ def test_blocks_do_not_change_neighbours(cat):
     assert len(neighbours(queries, cat, list(FIELDS), 500).collect()) == 40 * 39 * 4
 
 
+def test_first_of_large_and_small_values():
+    value = np.array([[3.0, 1.0, 1.0, 2.0], [0.0, 0.0, 0.0, 0.0]])
+    itself = np.array([[False, False, True, False], [True, False, False, False]])
+    for scale in (1.0, 1e12):
+        assert _first(value * scale, itself, 3).tolist() == [[1, 3, 0], [1, 2, 3]]
+
+
 def test_published_scores(spark):
     rows = [item(1, genres=(1.0, 0.0), studios=(1.0, 0.0)), item(2, (0.0, 1.0), (0.0, 1.0), (1.0, 0.0), (1.0, 0.0))]
     rows += [item(k, (1.0, 1e-3 * k), (1.0, 1e-3 * k), (9.0, 9.0), (9.0, 9.0)) for k in range(10, 14)]
