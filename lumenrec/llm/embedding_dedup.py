@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import components, store, table
 
-SAMPLE, CELLS, PER_CELL = 16_384, 1_024, 256  # rows that the centres are fitted on and centres, at most; nodes a cell that are aimed at
+CELLS, PER_CELL = 8_192, 256  # cells at most; nodes a cell that are aimed at
+SAMPLE, PER_CENTRE = 16_384, 16  # nodes that the centres are fitted on: so many, or so many a centre if that is more (131,072 at most)
 VISITS, BLOCK = 4, 2_048  # cells that a node goes to, with its home; rows of a cell that are compared at once
 
 
@@ -113,9 +114,10 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim, total = sizes[0]
     own = nodes.where(F.size("v") == dim)
-    drawn = own.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toPandas()["v"]
+    cells = int(min(CELLS, max(1, total // per_cell)))
+    drawn = own.orderBy(F.xxhash64("node"), "node").limit(max(sample, PER_CENTRE * cells)).select("v").toPandas()["v"]
     seen = unit_rows(np.stack(drawn.to_numpy()))
-    centres = spherical_kmeans(seen, int(min(CELLS, max(1, total // per_cell), len(seen))))
+    centres = spherical_kmeans(seen, min(cells, len(seen)))
 
     placed = own.select("node", "n", "v").mapInArrow(_assign(centres, dim, visits), f"cell int, node bigint, n bigint, cells array<int>, v {kind}")
     placed, _ = store(placed, "cells")
