@@ -45,7 +45,7 @@ def to_ascii(texts: pd.Series) -> pd.Series:
 
 
 def strip_newlines(c: Column) -> Column:
-    return F.translate(c, "\n", " ")
+    return F.replace(c, F.lit("\n"), F.lit(" "))
 
 
 def replace_urls(c: Column, by: str = "<URL>") -> Column:

@@ -9,8 +9,8 @@ from .functions import text as tx
 from .functions.arrays import distinct_names, multi_hot, names
 from .functions.hashing import signed_hash
 from .functions.vectors import distance_score, similarity_score
-from .operators import blocks, features, users
-from .operators.fusion import FIELDS, hybrid_search
+from .operators import blocks, features, fusion, users
+from .operators.fusion import FIELDS
 from .operators.knn import neighbours
 from .plans import recommend
 from .sources import records
@@ -222,9 +222,9 @@ def score_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {CATALOGUE_SQL}, {_METRICS}, {_LISTS.format(k='query_id', t='p')} SELECT query_id, id, distance FROM f")
-def hybrid_search_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = catalogue(spark, sf_dir)
-    return hybrid_search(_asked(cat), cat, K)
+    return fusion.hybrid_search(_asked(cat), cat, K)
 
 
 _SEEN = "seen AS (SELECT DISTINCT q.id AS query_id, ui.id FROM cat q JOIN ui ON ui.user_id = q.id % 100)"
@@ -236,7 +236,7 @@ def hybrid_search_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = catalogue(spark, sf_dir)
     asked = _asked(cat)
     seen = asked.select("query_id", (F.col("query_id") % 100).alias("user_id")).join(user_items(spark, sf_dir).select("user_id", "id"), "user_id")
-    return hybrid_search(asked, cat, K, seen)
+    return fusion.hybrid_search(asked, cat, K, seen)
 
 
 @query(f"WITH {CATALOGUE_SQL}, {_METRICS}, {_LISTS.format(k='query_id', t='p')} SELECT query_id, id, distance, 'https://example.org/item/' || id AS link FROM f")
