@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import store, table
 
 WINDOW = 16  # bytes that decide whether a chunk ends
 LEAST, MOST = 256, 8192  # bytes of a chunk
@@ -125,7 +125,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", has
     An empty table gives no rows; other columns of docs are left aside.
     """
     each = recipes(docs, id_col, text, hash_bits)
-    groups = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups, _ = store(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
+    # Groups are read from a table, not joined as they come from their aggregation: so both sides of the join have
+    # shuffles of its own, and Spark can split the partition of a recipe that very many rows have.
     return each.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
