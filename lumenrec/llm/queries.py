@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
-from .embedding_dedup import op9_embedding_dedup
+from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op5_language_model
 from .packing import op4_best_fit_packing
 from .quality import op10_quality
 from .simhash import op1_simhash
-from .substring_dedup import op2_substring_dedup
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op3_toxicity
 from .url_filter import OP8_SQL, op8_url_filters
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
 }
-SQL = {"op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_embedding_dedup": OP9_SQL}

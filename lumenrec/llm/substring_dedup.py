@@ -275,3 +275,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT r, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35),
+windows AS (SELECT r, k, array_to_string(w[k : k + 34], ' ') AS t FROM starts JOIN d USING (r)),
+twice AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM windows SEMI JOIN twice USING (t)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
