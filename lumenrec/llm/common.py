@@ -47,20 +47,22 @@ def _clean() -> None:
             pass
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def store(df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: its lineage ends here, and lost executors cost no recomputation.
 
     Spark keeps the shuffle files of a plan until both Python and the JVM have dropped it, so a df that the caller does not
-    keep is dropped here and both are told to collect. Else the files of finished steps would fill the disks.
+    keep is dropped here and both are told to collect, unless free is off, for small steps in a row. Else the files of
+    finished steps would fill the disks.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{next(_step)}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    for _ in range(2):  # the first leaves what was only just let go
-        spark._jvm.System.gc()
-        time.sleep(0.05)
+    if free:
+        gc.collect()
+        for _ in range(2):  # the first leaves what was only just let go
+            spark._jvm.System.gc()
+            time.sleep(0.05)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -78,8 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: for every node of edges the smallest node that it reaches.
 
     Alternates large-star and small-star steps, which need a logarithmic number of rounds whatever the graph's
-    diameter. Each step is an aggregation and an equi-join on the node, so a hub is summed map-side and its join
-    partition can be split; each round's edges are a table of their own. Null ends and loops link nothing.
+    diameter. Each step is an aggregation and an equi-join on the node. A hub is summed map-side; minima and edges are
+    tables of their own, so the join shuffles both and Spark can split a hub's partition. Null ends and loops link nothing.
     """
     spark = edges.sparkSession
     x, y = F.col(a), F.col(b)
@@ -91,15 +93,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least, least_path = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", free=False)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        mid, mid_path = store(large, "large-star")
-        least = mid.groupBy("u").agg(F.min("v").alias("m"))
-        small = mid.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        mid, mid_path = store(large, "large-star", free=False)
+        low, low_path = store(mid.groupBy("u").agg(F.min("v").alias("m")), "least", free=False)
+        small = mid.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = store(small, "small-star")
         after = state(new)
-        drop(spark, mid_path)
-        drop(spark, path)
+        for old in (least_path, mid_path, low_path, path):
+            drop(spark, old)
         now, path = new, new_path
         if after == before:
             break

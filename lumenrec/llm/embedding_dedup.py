@@ -129,10 +129,12 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups, _ = store(components(found.select(F.col("node").alias("a"), F.col("joined").alias("b"))), "vector-components")
-    named = nodes.select("node", "rep").join(groups, "node")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    # Each step is a table, so that a join's two sides have shuffles of its own and Spark can split a hot key's partition.
+    named, _ = store(nodes.select("node", "rep").join(groups, "node"), "grouped-vectors")
+    least, _ = store(named.groupBy("component").agg(F.min("rep").alias("least")), "least-ids")
     named = named.join(least, "component").select("node", "least")
     facts = nodes.join(links, "node", "left").join(named, "node", "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    facts, _ = store(facts, "vector-facts")
     linked = rows.where("v IS NOT NULL").join(facts, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -140,3 +142,16 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+  FROM embeddings),
+links AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.r <> b.r AND a.fine AND b.fine AND len(a.v) = len(b.v) WHERE CASE WHEN a.fine AND b.fine THEN list_cosine_similarity(a.v, b.v) END >= 0.95),
+reach(a, b) AS (SELECT r, r FROM e UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN e ON e.r = reach.b GROUP BY a),
+counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN least USING (r) LEFT JOIN counted USING (r)
+"""
