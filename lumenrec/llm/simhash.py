@@ -110,6 +110,7 @@ def _search(bits: int, limit: int):
                 continue
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
+            rest = starts[-1]  # from here on rows are kept for the next batch
             whole = np.ones(len(keys), bool)
             whole[starts[-1] :] = False  # the last key may go on
             for s, m in zip(starts[sizes > limit].tolist(), sizes[sizes > limit].tolist()):
@@ -134,8 +135,7 @@ def _search(bits: int, limit: int):
             out = finish(keys[whole], fps[whole])
             if out.num_rows:
                 yield out
-            s = starts[-1] if not (given and keys[-1] == last and sizes[-1] > limit) else rest
-            keys, fps = keys[s:], fps[s:]
+            keys, fps = keys[rest:], fps[rest:]
         if len(keys):
             yield _row(keys, np.full(len(keys), given), fps, np.zeros(len(keys), np.int64)) if given else finish(keys, fps)
 
@@ -196,10 +196,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     each, _ = store(fingerprints(docs, id_col, text, shingle), "fingerprints")
     fps, _ = store(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     nodes, _ = store(components(link_fingerprints(fps.select("fp"), bits, block)), "fingerprint-components")
-    grouped = fps.join(nodes.withColumnRenamed("node", "fp"), "fp")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
+    # Each step is a table, so that a join's two sides have shuffles of its own and Spark can split a hot key's partition.
+    grouped, _ = store(fps.join(nodes.withColumnRenamed("node", "fp"), "fp"), "grouped-fingerprints")
+    least, _ = store(grouped.groupBy("component").agg(F.min("rep").alias("least")), "least-ids")
     moved = grouped.join(least, "component").select("fp", "least")
-    ids = fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    ids, _ = store(fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "component-ids")
     return each.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

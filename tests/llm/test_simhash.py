@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from lumenrec.llm.simhash import fingerprint, link_fingerprints, near_dedup
+from lumenrec.llm.simhash import _search, fingerprint, link_fingerprints, near_dedup
 
 
 def plain_fingerprint(text):
@@ -60,3 +61,31 @@ def test_empty_table_and_null_ids(make_docs):
     assert near_dedup(make_docs([])).collect() == []
     got = near_dedup(make_docs([(None, "a b c d e"), (9, "a b c d e"), (None, "completely other words here now")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 9), (9, 9)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 50, 10_000])
+def test_postings_across_batches(size):
+    rng = np.random.default_rng(size)
+    runs = [int(n) for n in rng.choice([1, 1, 1, 2, 3, 5, 6, 11, 40], 200)]
+    keys = np.repeat(np.arange(len(runs)), runs).astype(np.int64)
+    fps = rng.permutation(1 << 20)[: len(keys)].astype(np.int64) << 3  # near each other within runs by chance alone
+    for k in range(0, len(fps) - 1, 3):
+        fps[k + 1] = fps[k] ^ int(rng.integers(1, 8))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(fps[k : k + size])], ["key", "fp"]) for k in range(0, len(keys), size)]
+    edges, later = set(), {}
+    for out in _search(4, 5)(iter(batches)):
+        for key, block, a, b in zip(*(c.to_pylist() for c in out.columns)):
+            if block < 0:
+                edges.add((a, b))
+            else:
+                later.setdefault(key, {}).setdefault(block, []).append(a)
+    for key, n in enumerate(runs):
+        own = fps[keys == key].tolist()
+        if n > 5:
+            assert sorted(x for block in later[key].values() for x in block) == sorted(own)
+            assert all(len(block) <= 5 for block in later[key].values()) and sorted(later[key]) == list(range(len(later[key])))
+        else:
+            assert key not in later
+            linked = [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 4]
+            found = [(a, b) for a, b in edges if a in own and b in own]
+            assert plain_components(own, found) == plain_components(own, linked)
