@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, table
+from .common import components, lower_ascii, store, table
 
 #: Fixed values of the registered query: verdict, host, path.
 RULES = (
@@ -90,10 +90,11 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     if not edges:
         return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.lit("allow")).alias("verdict"))
     links = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
-    nodes = components(links.select(_key(F.col("src")).alias("a"), _key(F.col("dst")).alias("b")))
+    nodes, _ = store(components(links.select(_key(F.col("src")).alias("a"), _key(F.col("dst")).alias("b"))), "aliases")
     nodes = nodes.withColumn("host", host_of(F.col("node"))).withColumn("path", path_of(F.col("node"))).withColumn("_said", said)
     ruled = nodes.groupBy("component").agg(F.bool_or(F.coalesce(F.col("_said") == "block", F.lit(False))).alias("b"), F.bool_or(F.coalesce(F.col("_said") == "allow", F.lit(False))).alias("a"))
-    blocked = nodes.join(ruled.where("b AND NOT a").select("component"), "component", "left_semi").select(F.col("node").alias("_key"), F.lit("block").alias("_by_alias"))
+    ruled, _ = store(ruled.where("b AND NOT a").select("component"), "blocked-components")
+    blocked = nodes.join(ruled, "component", "left_semi").select(F.col("node").alias("_key"), F.lit("block").alias("_by_alias"))
     return out.join(blocked, "_key", "left").select("page_id", "host", "path", "rule", F.coalesce("_said", "_by_alias", F.lit("allow")).alias("verdict"))
 
 
