@@ -24,33 +24,49 @@ SHARD_ROWS, SHARD_CHARS = 4_096, 32_000_000  # documents and characters that are
 _SPANS = re.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> tuple[list[int], int]:
-    """The bin of each piece, all of 1 to capacity, and how many bins there are. Pieces are placed in the order given."""
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int = 1) -> tuple[list[int], int]:
+    """The bin of each piece, all of 1 to capacity, and how many bins there are. Pieces are placed in the order given.
+
+    The k-th source bitmap of a bin has the sources of which it holds k documents or more; a source is full in the last.
+    """
     source_bit: dict = {}
     many: dict = {}
     for c in clusters:
         many[c] = many.get(c, 0) + 1
     cluster_bit: dict = {}
     open_bins: list[tuple[int, int]] = []  # residual room, bin
-    source_map, cluster_map, out = [], [], []
+    maps: list[list[int]] = [[] for _ in range(per_source)]
+    full, cluster_map, out = maps[-1], [], []
     for size, source, cluster in zip(sizes, sources, clusters):
         s = 1 << source_bit.setdefault(source, len(source_bit))
         c = 1 << cluster_bit.setdefault(cluster, len(cluster_bit)) if many[cluster] > 1 else 0  # a cluster of one conflicts with nothing
         k = bisect_left(open_bins, (size, -1))
-        while k < len(open_bins) and (source_map[open_bins[k][1]] & s or cluster_map[open_bins[k][1]] & c):
+        while k < len(open_bins) and (full[open_bins[k][1]] & s or cluster_map[open_bins[k][1]] & c):
             k += 1
         if k < len(open_bins):
             room, b = open_bins.pop(k)
-            source_map[b] |= s
-            cluster_map[b] |= c
         else:
-            room, b = capacity, len(source_map)
-            source_map.append(s)
-            cluster_map.append(c)
+            room, b = capacity, len(cluster_map)
+            cluster_map.append(0)
+            for m in maps:
+                m.append(0)
+        cluster_map[b] |= c
+        next(m for m in maps if not m[b] & s)[b] |= s
         if room > size:
             insort(open_bins, (room - size, b))
         out.append(b)
-    return out, len(source_map)
+    return out, len(cluster_map)
+
+
+def needed_per_source(sizes: list[int], sources: list, capacity: int) -> int:
+    """The least number of documents of a source per bin that lets the largest source into as many bins as all pieces fill."""
+    if not sizes:
+        return 1
+    counts: dict = {}
+    for s in sources:
+        counts[s] = counts.get(s, 0) + 1
+    bins = -(-sum(sizes) // capacity)
+    return max(1, -(-max(counts.values()) // bins))
 
 
 def measured(docs: DataFrame, id_col: str, text: str, source: str, cluster: str | None, keep_text: bool) -> DataFrame:
@@ -68,12 +84,14 @@ def measured(docs: DataFrame, id_col: str, text: str, source: str, cluster: str
     return docs.mapInArrow(run, f"doc_id {kind}, source string, cluster string, n_words bigint" + ", text string" * keep_text)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, keep_text: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, keep_text: bool = False, shard_rows: int = SHARD_ROWS, per_source: int | None = None) -> DataFrame:
     """Pieces of all rows of docs: doc_id, part, start, n_words, bin_id, position, bin_words, and the piece's text if kept.
 
-    No bin holds more than capacity words, two documents of a source, or two of a duplicate cluster. cluster names a
-    column of cluster ids; without it, texts with the same words but for the case of A-Z are a cluster. A null source or
-    cluster conflicts with nothing. A document of more than capacity words is cut into whole bins and a last piece.
+    No bin holds more than capacity words, two documents of a duplicate cluster, or more than per_source of a source.
+    Without per_source that is one, or in a shard where one source has more pieces than there are bins to fill, the least
+    number that lets these in; else the hot source alone would decide how many half-empty bins there are. cluster names
+    a column of cluster ids; without it, texts with the same words but for the case of A-Z are a cluster. A null source
+    or cluster conflicts with nothing. A document of more than capacity words is cut into whole bins and a last piece.
     start and position count words from the document's and the bin's beginning. Rows without words (null, empty or blank
     texts) are one piece without a bin. Repeated rows are pieces of a cluster of their own; an empty table gives none;
     other columns of docs are left aside.
@@ -94,7 +112,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         tie = [xxhash.xxh3_64_intdigest(f"{ids[k]} {cluster_of[k]}") for k in last.tolist()]
         last = last[np.lexsort((tie, -rest[last]))].tolist()
         alone = lambda v, k: v if v is not None else ("", k)
-        bins, used = best_fit([int(rest[k]) for k in last], [alone(source_of[k], k) for k in last], [alone(cluster_of[k], k) for k in last], capacity)
+        sizes, owners = [int(rest[k]) for k in last], [alone(source_of[k], k) for k in last]
+        bins, used = best_fit(sizes, owners, [alone(cluster_of[k], k) for k in last], capacity, per_source or needed_per_source(sizes, owners, capacity))
         row, part, bin_id = [*last], [int(whole[k]) for k in last], [*bins]
         for k in np.flatnonzero(whole).tolist():
             for p in range(int(whole[k])):

@@ -1,21 +1,22 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumenrec.llm.packing import best_fit, pack_documents
+from lumenrec.llm.packing import best_fit, needed_per_source, pack_documents
 
 
-def plain_fit(sizes, sources, clusters, capacity):
+def plain_fit(sizes, sources, clusters, capacity, per_source):
     bins, out = [], []
     for size, s, c in zip(sizes, sources, clusters):
-        fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and s not in b["s"] and c not in b["c"]]
+        fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and b["s"].count(s) < per_source and c not in b["c"]]
         if fits:
             k = min(fits)[1]
         else:
             k = len(bins)
-            bins.append({"room": capacity, "s": set(), "c": set()})
+            bins.append({"room": capacity, "s": [], "c": set()})
         bins[k]["room"] -= size
-        bins[k]["s"].add(s)
+        bins[k]["s"].append(s)
         bins[k]["c"].add(c)
         out.append(k)
     return out, len(bins)
@@ -30,14 +31,29 @@ def test_best_fit_against_brute_force():
         sizes = sorted((rng.randint(1, 100) for _ in range(n)), reverse=True)
         sources = [rng.choice(["hot", "hot", *map(str, range(12))]) for _ in range(n)]
         clusters = [rng.randint(0, 60) for _ in range(n)]
-        assert best_fit(sizes, sources, clusters, 128) == plain_fit(sizes, sources, clusters, 128)
+        for per_source in (1, 2, 3):
+            assert best_fit(sizes, sources, clusters, 128, per_source) == plain_fit(sizes, sources, clusters, 128, per_source)
+
+
+def test_a_hot_source_does_not_leave_bins_half_empty(make_docs):
+    rows = [(k, " ".join(f"w{k}.{j}" for j in range(10 + k % 23))) for k in range(900)]
+    docs = make_docs(rows, extra=False).withColumn("source", F.expr("IF(doc_id % 2 = 0, 'hot', concat('s', doc_id % 40))"))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for per_source, most in ((None, 3), (1, 1)):
+        bins = defaultdict(list)
+        for r in pack_documents(docs, capacity=100, per_source=per_source).collect():
+            bins[r.bin_id].append(r)
+        held = [max(Counter(source[r.doc_id] for r in rs).values()) for rs in bins.values()]
+        fill = sum(r.n_words for rs in bins.values() for r in rs) / len(bins) / 100
+        assert max(held) <= most and (fill > 0.9 if per_source is None else fill < 0.7)
+    assert needed_per_source([], [], 10) == 1 and needed_per_source([5, 5], ["a", "b"], 10) == 1 and needed_per_source([2] * 5, ["a"] * 5, 10) == 5
 
 
 @pytest.mark.parametrize("shard_rows", [4096, 30])
 def test_constraints_and_whole_texts(make_docs, texts, shard_rows):
     rows = list(enumerate(texts)) + [(None, "no id"), (2, texts[2])]
     docs = make_docs(rows, extra=False).selectExpr("*", "'x' AS shard", "1 AS cluster", "2 AS bin_id")
-    got = pack_documents(docs, capacity=128, keep_text=True, shard_rows=shard_rows).collect()
+    got = pack_documents(docs, capacity=128, keep_text=True, shard_rows=shard_rows, per_source=1).collect()
     by_bin, by_doc = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
