@@ -15,6 +15,7 @@ from __future__ import annotations
 import pickle
 from collections import defaultdict
 from itertools import chain
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import fold, store, table
 from .packs import ASKED, ask, batch, by_shard, in_order, pack_rows, shards_for, told, trim
 
-SAMPLES, EXACT = 3, 32  # seatings that are averaged; customers of a dish up to which its tables are drawn exactly
+SAMPLES, EXACT = 3, 32  # seatings that are averaged; customers of a dish up to which ways are counted by recursion, then by integrals
+NODES, CACHED = 48, 1 << 22  # of an integral; numbers of ways that a worker keeps
 STRENGTH = 1.0  # of both levels; their discounts come from the counts of words and pairs seen once and twice
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b"\n"))  # no word is empty or blank
 PAIR_BITS = np.uint64(2**64 - 2**8)  # of a pair's hash; 56 bits travel as one byte less than 64
@@ -82,6 +84,58 @@ def stirling(d: float) -> np.ndarray:
     return _stirling[d]
 
 
+_ways: dict[tuple[float, int], np.ndarray] = {}
+
+
+def _integral(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S[c, t] less lgamma(c + 1), for c > EXACT and t < c - 1.
+
+    S[c, t] t! d^t / c! is the coefficient of x^c in (1 - (1 - x)^d)^t. Its Cauchy integral over x = e^-w is taken by
+    the trapezoid rule on a parabola around the cut of w < 0, through the saddle or, where that is flat, further out.
+    """
+    low, high = np.full(len(c), -60.0), np.full(len(c), 5.0)
+    for _ in range(18):
+        mid = (low + high) / 2
+        w = np.exp(mid)
+        z = -np.expm1(-w)
+        zd = z**d
+        short = t * d * zd / z * np.exp(-w) / (1 - zd) > c
+        low, high = np.where(short, mid, low), np.where(short, high, mid)
+    mu = np.maximum(np.exp((low + high) / 2), 3.0 / c)
+    step = np.minimum(0.5 / np.sqrt(np.maximum(4 * (1 - d) * c * mu, 1)), 0.2)
+    v = step[:, None] * np.arange(NODES)
+    w = mu[:, None] * (1 + 1j * v) ** 2
+    f = c[:, None] * w + t[:, None] * np.log(1 - (-np.expm1(-w)) ** d)
+    g = (np.exp(f - f[:, :1].real) * (1 + 1j * v) * (np.abs(w.imag) <= np.pi)).real
+    return f[:, 0].real + np.log((g[:, 0] + 2 * g[:, 1:].sum(1)) * step * mu / np.pi) - t * np.log(d)
+
+
+def log_ways(c: np.ndarray, size: int, d: float) -> np.ndarray:
+    """log S[c, t] for t from 1 to size, a row for each c > EXACT."""
+    if sum(map(len, _ways.values())) > CACHED:
+        _ways.clear()
+    log_fact = np.cumsum(np.log(np.arange(1, size + 1)))
+    have = [len(_ways.get((d, n), ())) for n in c.tolist()]
+    todo = [(n, k, min(size, n - 2)) for n, k in zip(c.tolist(), have) if k < size]
+    if todo:
+        at = np.concatenate([np.full(max(0, b - a), n) for n, a, b in todo]).astype(np.float64)
+        t = np.concatenate([np.arange(a + 1, b + 1) for _, a, b in todo]).astype(np.float64)
+        found = np.concatenate([np.empty(0), *(_integral(at[k : k + (1 << 14)], t[k : k + (1 << 14)], d) for k in range(0, len(t), 1 << 14))])
+        place = 0
+        for n, a, b in todo:
+            row = np.full(size, -np.inf)
+            row[:a] = _ways.get((d, n), row)[:a]
+            if b > a:
+                row[a:b] = found[place : place + b - a] + lgamma(n + 1) - log_fact[a:b]
+                place += b - a
+            if n - 1 <= size:
+                row[n - 2] = np.log((1 - d) * n * (n - 1) / 2)
+            if n <= size:
+                row[n - 1] = 0
+            _ways[d, n] = row
+    return np.array([_ways[d, n][:size] for n in c.tolist()])
+
+
 def poisson(rate: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Poisson numbers from uniform ones: by inversion below a rate of 30, by the normal distribution from there on."""
     out = np.maximum(0, np.rint(rate + np.sqrt(rate) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)))
@@ -100,32 +154,38 @@ def poisson(rate: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, strength: float, keys: np.ndarray, draws: list[int]) -> list[np.ndarray]:
     """For each draw, the tables of dishes of c customers, given the restaurant's others tables and the dish's parent probability.
 
-    Up to EXACT customers by the exact conditional. Of a dish with more, the first EXACT are seated so, and the rest by
-    the seating rule in blocks of a quarter more customers each, with a Poisson number of new tables in a block.
+    By the exact conditional. Its weights have one peak, so beyond EXACT customers tables are looked at up to a number
+    that is raised until weights have fallen to e^-40 of the largest.
     """
     out = [np.minimum(c, 1).astype(np.int64) for _ in draws]
-    at, log_s, log_parent = np.minimum(c, EXACT), stirling(d), np.log(parent)
+    log_s, log_parent = stirling(d), np.log(parent)
     coins = [uniform(keys, 100 * s) for s in draws]
-    for n in np.unique(at[at > 1]).tolist():
-        rows = np.flatnonzero(at == n)
+
+    def draw(own: np.ndarray, w: np.ndarray) -> None:
+        w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
+        for t, coin in zip(out, coins):
+            t[own] = 1 + (w < coin[own, None] * w[:, -1:]).sum(1)
+
+    def prior(own: np.ndarray, n: int) -> np.ndarray:
+        return np.cumsum(np.log(strength + d * (others[own, None] + np.arange(n))) + log_parent[own, None], 1)
+
+    for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
+        rows = np.flatnonzero(c == n)
         for k in range(0, len(rows), 1 << 15):
             own = rows[k : k + (1 << 15)]
-            steps = np.arange(n)
-            w = log_s[n, 1 : n + 1] + np.cumsum(np.log(strength + d * (others[own, None] + steps)) + log_parent[own, None], 1)
-            w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
-            for t, coin in zip(out, coins):
-                t[own] = 1 + (w < coin[own, None] * w[:, -1:]).sum(1)
-    for t, s in zip(out, draws):
-        big, seated, block = np.flatnonzero(c > EXACT), EXACT, 0
-        while len(big := big[c[big] > seated]):
-            block += 1
-            n = np.minimum(c[big], seated + seated // 4) - seated
-            new = (strength + d * (others[big] + t[big])) * parent[big]
-            rate = n * new / (seated - d * t[big] + new)
-            u, v = uniform(keys[big], 100 * s + block % 50 + 1), uniform(keys[big], 100 * s + block % 50 + 51)
-            t[big] += np.minimum(n, poisson(rate, u, v))
-            seated += seated // 4
-    return [np.minimum(t, c) for t in out]
+            draw(own, log_s[n, 1 : n + 1] + prior(own, n))
+    big, size = np.flatnonzero(c > EXACT), 32
+    while len(big):
+        big, more = big[np.argsort(c[big], kind="stable")], []
+        each = max(1, (1 << 20) // size)
+        for own in (big[k : k + each] for k in range(0, len(big), each)):
+            distinct, which = np.unique(c[own], return_inverse=True)
+            w = log_ways(distinct, size, d)[which] + prior(own, size)
+            done = (c[own] <= size) | (w[:, -1] < w.max(1) - 40)
+            draw(own[done], w[done])
+            more.append(own[~done])
+        big, size = np.concatenate(more), size * 4
+    return out
 
 
 class Tokens:

@@ -91,6 +91,22 @@ def test_tables_of_many_customers():
     assert tables(np.array([0, 1, 2]), np.zeros(3), np.full(3, 0.5), 0.5, 1.0, keys[:3], [0])[0][:2].tolist() == [0, 1]
 
 
+@pytest.mark.parametrize("d, c, others, parent", [(0.7, 33, 50, 0.9), (0.7, 60, 500, 5e-3), (0.7, 1000, 2000, 5e-3), (0.7, 2000, 5000, 1e-2), (0.05, 400, 900, 0.02), (0.95, 300, 40, 0.3)])
+def test_tables_of_over_exact_customers_have_the_exact_mean(d, c, others, parent):
+    log_s = np.array([0.0])  # log S[n, t] for t from 1 to n
+    for n in range(1, c):
+        stay = np.r_[np.log(n - d * np.arange(1, n + 1)) + log_s, -np.inf]
+        log_s = np.logaddexp(stay, np.r_[-np.inf, log_s])
+    t = np.arange(1, c + 1)
+    w = log_s + np.cumsum(np.log(1.0 + d * (others + t - 1)) + math.log(parent))
+    w = np.exp(w - w.max())
+    mean = (w * t).sum() / w.sum()
+    sd = math.sqrt((w * (t - mean) ** 2).sum() / w.sum())
+    keys = np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    (got,) = tables(np.full(len(keys), c), np.full(len(keys), others), np.full(len(keys), parent), d, 1.0, keys, [0])
+    assert abs(got.mean() - mean) < 0.03 * sd and abs(got.std() - sd) < 0.03 * sd
+
+
 def test_poisson():
     keys = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for rate in (0.01, 3.0, 25.0, 400.0):
