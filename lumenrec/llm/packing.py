@@ -24,10 +24,11 @@ SHARD_ROWS, SHARD_CHARS = 4_096, 32_000_000  # documents and characters that are
 _SPANS = re.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int = 1) -> tuple[list[int], int]:
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int | dict = 1) -> tuple[list[int], int]:
     """The bin of each piece, all of 1 to capacity, and how many bins there are. Pieces are placed in the order given.
 
-    The k-th source bitmap of a bin has the sources of which it holds k documents or more; a source is full in the last.
+    per_source is how many documents of a source a bin may hold, of any source or by source. The k-th source bitmap of a
+    bin has the sources of which it holds k documents or more; a source is full in the bitmap of its own number.
     """
     source_bit: dict = {}
     many: dict = {}
@@ -35,10 +36,11 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
         many[c] = many.get(c, 0) + 1
     cluster_bit: dict = {}
     open_bins: list[tuple[int, int]] = []  # residual room, bin
-    maps: list[list[int]] = [[] for _ in range(per_source)]
-    full, cluster_map, out = maps[-1], [], []
+    limits = per_source if isinstance(per_source, dict) else dict.fromkeys(sources, per_source)
+    maps: list[list[int]] = [[] for _ in range(max(limits.values(), default=1))]
+    cluster_map, out = [], []
     for size, source, cluster in zip(sizes, sources, clusters):
-        s = 1 << source_bit.setdefault(source, len(source_bit))
+        s, full = 1 << source_bit.setdefault(source, len(source_bit)), maps[limits[source] - 1]
         c = 1 << cluster_bit.setdefault(cluster, len(cluster_bit)) if many[cluster] > 1 else 0  # a cluster of one conflicts with nothing
         k = bisect_left(open_bins, (size, -1))
         while k < len(open_bins) and (full[open_bins[k][1]] & s or cluster_map[open_bins[k][1]] & c):
@@ -58,15 +60,18 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
     return out, len(cluster_map)
 
 
-def needed_per_source(sizes: list[int], sources: list, capacity: int) -> int:
-    """The least number of documents of a source per bin that lets the largest source into as many bins as all pieces fill."""
-    if not sizes:
-        return 1
+def needed_of_each(sizes: list[int], sources: list, capacity: int) -> dict:
+    """For each source the least number of its documents per bin that lets it into as many bins as all pieces fill."""
     counts: dict = {}
     for s in sources:
         counts[s] = counts.get(s, 0) + 1
-    bins = -(-sum(sizes) // capacity)
-    return max(1, -(-max(counts.values()) // bins))
+    bins = max(1, -(-sum(sizes) // capacity))
+    return {s: -(-n // bins) for s, n in counts.items()}
+
+
+def needed_per_source(sizes: list[int], sources: list, capacity: int) -> int:
+    """What the largest source needs, 1 without pieces."""
+    return max(needed_of_each(sizes, sources, capacity).values(), default=1)
 
 
 def measured(docs: DataFrame, id_col: str, text: str, source: str, cluster: str | None, keep_text: bool) -> DataFrame:
@@ -88,8 +93,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Pieces of all rows of docs: doc_id, part, start, n_words, bin_id, position, bin_words, and the piece's text if kept.
 
     No bin holds more than capacity words, two documents of a duplicate cluster, or more than per_source of a source.
-    Without per_source that is one, or in a shard where one source has more pieces than there are bins to fill, the least
-    number that lets these in; else the hot source alone would decide how many half-empty bins there are. cluster names
+    Without per_source that is one, or in a shard where a source has more pieces than there are bins to fill, for this
+    source the least number that lets these in; else it alone would decide how many half-empty bins there are. cluster names
     a column of cluster ids; without it, texts with the same words but for the case of A-Z are a cluster. A null source
     or cluster conflicts with nothing. A document of more than capacity words is cut into whole bins and a last piece.
     start and position count words from the document's and the bin's beginning. Rows without words (null, empty or blank
@@ -113,7 +118,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         last = last[np.lexsort((tie, -rest[last]))].tolist()
         alone = lambda v, k: v if v is not None else ("", k)
         sizes, owners = [int(rest[k]) for k in last], [alone(source_of[k], k) for k in last]
-        bins, used = best_fit(sizes, owners, [alone(cluster_of[k], k) for k in last], capacity, per_source or needed_per_source(sizes, owners, capacity))
+        bins, used = best_fit(sizes, owners, [alone(cluster_of[k], k) for k in last], capacity, per_source or needed_of_each(sizes, owners, capacity))
         row, part, bin_id = [*last], [int(whole[k]) for k in last], [*bins]
         for k in np.flatnonzero(whole).tolist():
             for p in range(int(whole[k])):

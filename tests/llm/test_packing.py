@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrec.llm.packing import best_fit, needed_per_source, pack_documents
+from lumenrec.llm.packing import best_fit, needed_of_each, needed_per_source, pack_documents
 
 
 def plain_fit(sizes, sources, clusters, capacity, per_source):
@@ -49,6 +49,16 @@ def test_a_hot_source_does_not_leave_bins_half_empty(make_docs):
     assert needed_per_source([], [], 10) == 1 and needed_per_source([5, 5], ["a", "b"], 10) == 1 and needed_per_source([2] * 5, ["a"] * 5, 10) == 5
 
 
+def test_only_the_hot_source_has_several_documents_in_a_bin(make_docs):
+    rows = [(k, " ".join(f"w{k}.{j}" for j in range(10 + k % 23))) for k in range(900)]
+    docs = make_docs(rows, extra=False).withColumn("source", F.expr("IF(doc_id % 3 = 0, 'hot', concat('s', doc_id % 20))"))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    held = Counter((r.bin_id, source[r.doc_id]) for r in pack_documents(docs, capacity=100).collect())
+    assert max(n for (_, s), n in held.items() if s == "hot") == 2
+    assert max(n for (_, s), n in held.items() if s != "hot") == 1
+    assert needed_of_each([2] * 6, ["a"] * 5 + ["b"], 10) == {"a": 3, "b": 1} and needed_of_each([], [], 10) == {}
+
+
 @pytest.mark.parametrize("shard_rows", [4096, 30])
 def test_constraints_and_whole_texts(make_docs, texts, shard_rows):
     rows = list(enumerate(texts)) + [(None, "no id"), (2, texts[2])]
