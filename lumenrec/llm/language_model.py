@@ -3,11 +3,13 @@
 Every word is a context restaurant whose customers are the words that follow it; all of them share one parent, the
 restaurant of single words, over a uniform base. Seatings are drawn by Gibbs: a sweep draws the tables of a dish anew
 given the seating of everything else as it stood before the sweep, from the exact conditional of the number of tables.
-Predictive probabilities are averaged over several seatings.
+Several seatings start from one table a dish and are swept on their own, each sweep from the tables of the one before.
+Predictive probabilities are averaged over the seatings after the last sweep.
 
 The model is as large as the corpus and never in one place. Packs of tokenised documents ask shards for the counts of
 their words and word pairs; of the packs that hold a pair one owns it and reports its tables to the shards of its two
-words. Draws depend on nothing but the pair and the shared state, so all packs seat a pair alike without being told.
+words. Draws depend on nothing but the pair, its tables and the shared state, so all packs seat a pair alike without
+being told. From sweep to sweep each pack carries the tables of its pairs along.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, store, table
+from .common import drop, fold, store, table
 from .packs import ASKED, ask, batch, by_shard, in_order, pack_rows, shards_for, told, trim
 
-SAMPLES, EXACT = 3, 32  # seatings that are averaged; customers of a dish up to which ways are counted by recursion, then by integrals
+SAMPLES, EXACT = 3, 32  # seatings that are averaged; customers of a dish up to which all numbers of tables are weighed
+ROWS, WIDE = 4096, 512  # customers and tables up to which ways come from the recursion; beyond, from integrals
 NODES, CACHED = 48, 1 << 22  # of an integral; numbers of ways that a worker keeps
+SWEEPS = 5  # of each seating; the tables beyond one a pair grow for about so many from the start
 STRENGTH = 1.0  # of both levels; their discounts come from the counts of words and pairs seen once and twice
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b"\n"))  # no word is empty or blank
 PAIR_BITS = np.uint64(2**64 - 2**8)  # of a pair's hash; 56 bits travel as one byte less than 64
@@ -72,14 +76,13 @@ _stirling: dict[float, np.ndarray] = {}
 
 
 def stirling(d: float) -> np.ndarray:
-    """log S[c, t]: ways to seat c customers at t tables under discount d, weighed by their sizes; c up to EXACT."""
+    """log S[c, t]: ways to seat c customers at t tables under discount d, weighed by their sizes; c up to ROWS, t up to WIDE."""
     if d not in _stirling:
-        s = np.full((EXACT + 1, EXACT + 2), -np.inf)
-        s[1, 1] = 0
-        for c in range(1, EXACT):
-            t = np.arange(1, c + 2)
-            with np.errstate(divide="ignore"):
-                s[c + 1, t] = np.logaddexp(s[c, t - 1], np.log(np.maximum(c - d * t, 0)) + s[c, t])
+        s = np.full((ROWS + 1, WIDE + 1), -np.inf)
+        s[1, 1], t = 0, np.arange(1, WIDE + 1)
+        with np.errstate(divide="ignore"):
+            for c in range(1, ROWS):
+                s[c + 1, 1:] = np.logaddexp(s[c, :-1], np.log(np.maximum(c - d * t, 0)) + s[c, 1:])
         _stirling[d] = s
     return _stirling[d]
 
@@ -111,7 +114,10 @@ def _integral(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
 
 
 def log_ways(c: np.ndarray, size: int, d: float) -> np.ndarray:
-    """log S[c, t] for t from 1 to size, a row for each c > EXACT."""
+    """log S[c, t] for t from 1 to size, a row for each c > EXACT, in order."""
+    if size <= WIDE and (near := int(np.searchsorted(c, ROWS, "right"))):
+        rows = stirling(d)[c[:near], 1 : size + 1]
+        return np.concatenate([rows, log_ways(c[near:], size, d)]) if near < len(c) else rows
     if sum(map(len, _ways.values())) > CACHED:
         _ways.clear()
     log_fact = np.cumsum(np.log(np.arange(1, size + 1)))
@@ -158,30 +164,40 @@ def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, stre
     that is raised until weights have fallen to e^-40 of the largest.
     """
     out = [np.minimum(c, 1).astype(np.int64) for _ in draws]
-    log_s, log_parent = stirling(d), np.log(parent)
+    log_s = stirling(d)
     coins = [uniform(keys, 100 * s) for s in draws]
 
+    def weights(own: np.ndarray, ways: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of 1 to so many tables, up to a factor a dish; by products, and by logarithms where these overflow."""
+        new = (strength + d * (others[own, None] + np.arange(ways.shape[1]))) * parent[own, None]
+        new[:, 0] = 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            more = np.exp(np.diff(ways, axis=1, prepend=ways[:, :1]))
+            more[np.isnan(more)] = 0  # more tables than customers
+            w = np.cumprod(new * more[which], axis=1)
+        if len(odd := np.flatnonzero(~(w.max(1) < 1e290))):
+            rows = ways[which[odd]] + np.cumsum(np.log(new[odd]), 1)
+            w[odd] = np.exp(rows - rows.max(1, keepdims=True))
+        return w
+
     def draw(own: np.ndarray, w: np.ndarray) -> None:
-        w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
+        w = np.cumsum(w, 1)
         for t, coin in zip(out, coins):
             t[own] = 1 + (w < coin[own, None] * w[:, -1:]).sum(1)
 
-    def prior(own: np.ndarray, n: int) -> np.ndarray:
-        return np.cumsum(np.log(strength + d * (others[own, None] + np.arange(n))) + log_parent[own, None], 1)
-
     for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
         rows = np.flatnonzero(c == n)
         for k in range(0, len(rows), 1 << 15):
             own = rows[k : k + (1 << 15)]
-            draw(own, log_s[n, 1 : n + 1] + prior(own, n))
+            draw(own, weights(own, log_s[n : n + 1, 1 : n + 1], np.zeros(len(own), np.int64)))
     big, size = np.flatnonzero(c > EXACT), 32
     while len(big):
         big, more = big[np.argsort(c[big], kind="stable")], []
-        each = max(1, (1 << 20) // size)
+        each = max(1, (1 << 18) // size)
         for own in (big[k : k + each] for k in range(0, len(big), each)):
             distinct, which = np.unique(c[own], return_inverse=True)
-            w = log_ways(distinct, size, d)[which] + prior(own, size)
-            done = (c[own] <= size) | (w[:, -1] < w.max(1) - 40)
+            w = weights(own, log_ways(distinct, size, d), which)
+            done = (c[own] <= size) | (w[:, -1] < w.max(1) * np.exp(-40))
             draw(own[done], w[done])
             more.append(own[~done])
         big, size = np.concatenate(more), size * 4
@@ -312,25 +328,34 @@ def _first_tables(shards: int):
     return _each(report)
 
 
-def _seated(model: dict):
+def _seated(shards: int, model: dict, totals: dict | None, sweep: int):
     """Adds up tables by context and by word, and seats the words in the parent; answers with sums and the parent's tables.
 
     The first two arrays are of one table a pair; for each seating two more add the tables beyond. Without seatings the
-    first two are answered with; else those beyond, since packs know the others from the round before.
+    first two are answered with; else those beyond, since packs know the others from the first round. After these come
+    the parent's tables of each word before the sweep. What is sent to shards of their own goes back as it came.
     """
 
     def handle(shard: int, asked: list[bytes]) -> tuple[list[bytes], bytes]:
+        if shard >= shards:
+            return asked, pickle.dumps({"customers": [], "tables": []})
         parts = [pickle.loads(a) for a in asked]
         ranks = [expand_sorted(r).astype(np.int64) for r, _ in parts]
         every = np.concatenate(ranks)
         size = int(every.max()) + 1
-        sums = [np.bincount(every, np.concatenate([expand(p[1][k]) for p in parts]), size).astype(np.int64) for k in range(len(parts[0][1]))]
+        sent = [np.concatenate([expand(p[1][k]) for p in parts]).astype(np.int64) for k in range(len(parts[0][1]))]
+        summed = 2 + 2 * SAMPLES if totals else 2
+        sums = [np.bincount(every, x, size).astype(np.int64) for x in sent[:summed]]
         keys = mixed(np.arange(size, dtype=np.uint64), np.uint64(shard + 7))
         facts, stats = [], {"customers": [], "tables": []}
         seatings = [(sums[k], sums[k + 1], sums[1] + sums[k + 1]) for k in range(2, len(sums), 2)] or [(sums[0], sums[1], sums[1])]
         for s, (by_context, by_word, n) in enumerate(seatings):
-            others, parent = np.full(size, max(0, model["distinct"] - 1)), np.full(size, 1 / (model["distinct"] + 1))
-            (k,) = tables(n, others, parent, model["d_word"], STRENGTH, keys, [10 + s])
+            own = np.ones(size, np.int64)
+            if totals:
+                own[every] = sent[summed + s % len(sent[summed:])]
+            seats = totals["tables"][s % len(totals["tables"])] if totals else model["distinct"]
+            parent = np.full(size, 1 / (model["distinct"] + 1))
+            (k,) = tables(n, np.maximum(0, seats - own), parent, model["d_word"], STRENGTH, keys, [10 + SAMPLES * (sweep + 1) + s])
             facts += [by_context, by_word, k]
             stats["customers"].append(int(n.sum()))
             stats["tables"].append(int(k.sum()))
@@ -347,37 +372,56 @@ def _parent(facts: list[np.ndarray], model: dict, totals: dict, s: int) -> np.nd
     return (n - d * k + (STRENGTH + d * seats) / (model["distinct"] + 1)) / (STRENGTH + customers)
 
 
-def _draws(tokens: Tokens, known: Known, before: list[np.ndarray], model: dict, totals: dict, rows: np.ndarray) -> list[np.ndarray]:
-    """Tables of the pairs in rows, for each seating."""
-    parent = _parent(before, model, totals, 0)
-    u, w = tokens.u[rows], tokens.w[rows]
-    others = np.maximum(before[0][u] - 1, 0)
-    return tables(known.c_pair[rows], others, parent[w], model["d_pair"], STRENGTH, tokens.pairs[rows], list(range(SAMPLES)))
+class State:
+    """What a pack knows of all seatings after a sweep: facts of its words, and the tables of its pairs that training has."""
+
+    def __init__(self, tokens: Tokens, known: Known, answers: dict, shards: int, swept: bool):
+        self.start = Known.facts(answers, 2 * shards, shards)
+        self.seen = np.flatnonzero(known.c_pair > 0)
+        self.words = self.start * SAMPLES
+        self.tables = [np.ones(len(self.seen), np.int64)] * SAMPLES
+        if swept:
+            self.words = [x if k % 3 == 2 else x + self.start[k % 3] for k, x in enumerate(Known.facts(answers, 3 * shards, shards))]  # what came is what is beyond one table a pair
+            (kept,) = [answers[k] for k in answers if k >= 4 * shards]
+            self.tables = [1 + expand(x).astype(np.int64) for x in kept]
 
 
-def _sweep(shards: int, model: dict, totals: dict):
+def _sweep(shards: int, model: dict, totals: dict, sweep: int):
+    """Draws the tables of all pairs; asks for sums over those that the pack owns, and sends itself those of all its pairs."""
+    totals = {k: x * (SAMPLES // len(x)) for k, x in totals.items()}
+
     def report(number, tokens, answers, row):
-        known, before = Known(tokens, answers, shards), Known.facts(answers, 2 * shards, shards)
-        own = np.flatnonzero(known.owned & (known.c_pair > 0))
-        sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (tokens.u, tokens.w)]
-        for t in _draws(tokens, known, before, model, totals, own):
-            sums += [np.bincount(x[own], t - 1, len(tokens.keys)).astype(np.int64) for x in (tokens.u, tokens.w)]
+        known = Known(tokens, answers, shards)
+        state = State(tokens, known, answers, shards, sweep > 0)
+        own, c = known.owned[state.seen], known.c_pair[state.seen]
+        u, w, keys = tokens.u[state.seen], tokens.w[state.seen], tokens.pairs[state.seen]
+        many = np.flatnonzero(c > 1)  # one customer has one table
+        sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (u, w)]
+        beyond = []
+        for s, t in enumerate(state.tables):
+            new, parent = np.zeros(len(c), np.int64), _parent(state.words, model, totals, s)
+            others = np.maximum(state.words[3 * s][u[many]] - t[many], 0)
+            (drawn,) = tables(c[many], others, parent[w[many]], model["d_pair"], STRENGTH, keys[many], [SAMPLES * sweep + s])
+            new[many] = drawn - 1
+            beyond.append(squeeze(new))
+            sums += [np.bincount(x[own], new[own], len(tokens.keys)).astype(np.int64) for x in (u, w)]
+        sums += [state.words[3 * s + 2] for s in range(SAMPLES if sweep else 1)]
         yield known.report(number, sums)
+        yield batch(ASKED, [shards + number % shards], [number], [pickle.dumps(beyond)])
 
     return _each(report)
 
 
-def _scores(shards: int, model: dict, first: dict, totals: dict):
+def _scores(shards: int, model: dict, totals: dict):
     def score(number, tokens, answers, row):
-        known, before, after = Known(tokens, answers, shards), Known.facts(answers, 2 * shards, shards), Known.facts(answers, 3 * shards, shards)
-        after = [x if k % 3 == 2 else x + before[k % 3] for k, x in enumerate(after)]  # what came is what is beyond one table a pair
-        seen = np.flatnonzero(known.c_pair > 0)
+        known = Known(tokens, answers, shards)
+        state = State(tokens, known, answers, shards, True)
         d, p = model["d_pair"], np.zeros(len(tokens.pairs))
-        for s, t in enumerate(_draws(tokens, known, before, model, first, seen)):
+        for s, t in enumerate(state.tables):
             mass = np.zeros(len(tokens.pairs))
-            mass[seen] = known.c_pair[seen] - d * t
-            parent = _parent(after, model, totals, s)
-            p += (mass + (STRENGTH + d * after[3 * s][tokens.u]) * parent[tokens.w]) / (STRENGTH + known.c_word[tokens.u])
+            mass[state.seen] = known.c_pair[state.seen] - d * t
+            parent = _parent(state.words, model, totals, s)
+            p += (mass + (STRENGTH + d * state.words[3 * s][tokens.u]) * parent[tokens.w]) / (STRENGTH + known.c_word[tokens.u])
         base = np.log10((known.c_word + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1)))
         add = lambda x: np.add.reduceat(x, tokens.firsts) if len(tokens.firsts) else np.empty(0)
         rows = pa.ipc.open_stream(row.column("rows")[0].as_py()).read_all()
@@ -400,14 +444,14 @@ def _totals(answers: DataFrame) -> list[dict]:
     return [pickle.loads(r.data) for r in answers.where("pack = -1").select("data").collect()]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 5, held_out: int = 1, size: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 5, held_out: int = 1, size: int | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs.
 
     Tokens are the words of the text, A-Z lower-cased, and one end. All rows outside the held-out fold train the model.
     base_score is the smoothed unigram log10 probability of the text, score that of the model, perplexity is a token's.
     Words that training lacks are one word of the base. Null, empty and blank texts are an end alone. A null doc_id is in
     the fold of the empty text; repeated rows count and score each; without training rows every probability is 1, so
-    scores are 0. An empty table gives no rows; other columns of docs are left aside.
+    scores are 0. sweeps, at least 1, is how often each seating is drawn anew. An empty table gives no rows; other columns of docs are left aside.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), (fold(F.col(id_col), parts) != held_out).alias("train"))
     packs = pack_rows(docs, _tokenised, ["doc_id"], size or PACK)
@@ -422,22 +466,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def merged(answers: DataFrame) -> dict:
         own = _totals(answers)
-        return {k: [sum(x) for x in zip(*(s[k] for s in own))] or [0] * SAMPLES for k in ("customers", "tables")}
+        return {k: [sum(x) for x in zip(*(s[k] for s in own if s[k]))] or [0] * SAMPLES for k in ("customers", "tables")}
 
     def later(answers: DataFrame, first: int) -> DataFrame:
         return answers.where("pack <> -1").withColumn("shard", (F.col("shard") + first).cast("int"))
 
     facts = counts.where("pack <> -1")
     asked = told(bodies, facts).mapInArrow(_first_tables(shards), ASKED)
-    start, _ = store(ask(asked, _seated(model)), "first-tables")
-    first = merged(start)
-    facts = facts.unionByName(later(start, 2 * shards))
-    asked = told(bodies, facts).mapInArrow(_sweep(shards, model, first), ASKED)
-    swept, _ = store(ask(asked, _seated(model)), "tables")
-    facts = facts.unionByName(later(swept, 3 * shards))
+    start, _ = store(ask(asked, _seated(shards, model, None, -1)), "first-tables")
+    totals, known, last = merged(start), facts.unionByName(later(start, 2 * shards)), None
+    facts = known
+    for sweep in range(sweeps):
+        asked = told(bodies, facts).mapInArrow(_sweep(shards, model, totals, sweep), ASKED)
+        swept, path = store(ask(asked, _seated(shards, model, totals, sweep)), "tables")
+        totals, facts = merged(swept), known.unionByName(later(swept, 3 * shards))
+        if last:
+            drop(docs.sparkSession, last)
+        last = path
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    out = told(packs.select("pack", "body", "rows"), facts).mapInArrow(_scores(shards, model, first, merged(swept)), schema)
+    out = told(packs.select("pack", "body", "rows"), facts).mapInArrow(_scores(shards, model, totals), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lumenrec.llm import language_model
 from lumenrec.llm.language_model import EXACT, expand, poisson, score_documents, squeeze, stirling, tables, uniform
 
 
@@ -62,6 +63,22 @@ def test_beats_the_base_on_held_out_texts(make_docs):
     assert all(abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in got)
 
 
+def test_sweeps_go_on_from_each_other_until_tables_settle(make_docs, monkeypatch):
+    rng = np.random.default_rng(4)
+    p = 1 / np.arange(1, 801)
+    rows = [(k, " ".join(f"w{j}" for j in rng.choice(800, 60, p=p / p.sum()))) for k in range(400)]
+    seen, plain = [], language_model._totals
+    monkeypatch.setattr(language_model, "_totals", lambda answers: seen.append(plain(answers)) or seen[-1])
+    language_model.score_documents(make_docs(rows)).count()
+    customers = [np.sum([s["customers"] for s in own if s["customers"]], 0).mean() for own in seen[1:]]  # of the parent: tables of all pairs
+    beyond = np.array(customers) - customers[0]
+    assert len(beyond) == 1 + language_model.SWEEPS
+    seen.clear()
+    language_model.score_documents(make_docs(rows), sweeps=10).count()
+    settled = np.mean([np.sum([s["customers"] for s in own if s["customers"]], 0).mean() - customers[0] for own in seen[-3:]])
+    assert beyond[1] < 0.95 * settled and abs(beyond[-1] - settled) < 0.05 * settled
+
+
 def test_edges(make_docs):
     assert score_documents(make_docs([])).collect() == []
     only = next(k for k in range(100) if rest(k) == 1)
