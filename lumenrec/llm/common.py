@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _step = count()
 _roots: dict[str, SparkSession] = {}
+_stored: list[str] = []  # tables that are not yet dropped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,21 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: under spark.checkpoint.dir, or under the warehouse where that is unset."""
+    """A folder that all executors share: under spark.checkpoint.dir, or where that is unset under the warehouse.
+
+    A warehouse on a machine's own disk will do for a local master only; a cluster without a shared folder is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
+        base, master = spark.conf.get("spark.sql.warehouse.dir") + "/_steps", spark.sparkContext.master
+        if base.startswith(("file:", "/")) and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = f"{base.rstrip('/')}/lumenrec-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots[root] = spark
     return root
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a table that store() wrote and that nothing reads any more."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that store() wrote and that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _stored:
+            _stored.remove(path)
+
+
+@contextmanager
+def dropped_after(spark: SparkSession, keep: list[str] | None = None) -> Iterator[None]:
+    """Drops at its end the tables that were stored within, but for those in keep."""
+    before = set(_stored)
+    yield
+    drop(spark, *[p for p in _stored if p not in before and p not in (keep or ())])
 
 
 @atexit.register
@@ -47,22 +64,23 @@ def _clean() -> None:
             pass
 
 
-def store(df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, str]:
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: its lineage ends here, and lost executors cost no recomputation.
 
-    Spark keeps the shuffle files of a plan until both Python and the JVM have dropped it, so a df that the caller does not
-    keep is dropped here and both are told to collect, unless free is off, for small steps in a row. Else the files of
-    finished steps would fill the disks.
+    The shuffle files of the write go when it is done, as nothing will read them again.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{next(_step)}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    if free:
-        gc.collect()
-        for _ in range(2):  # the first leaves what was only just let go
-            spark._jvm.System.gc()
-            time.sleep(0.05)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _stored.append(path)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -77,7 +95,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: for every node of edges the smallest node that it reaches.
+    """node, component: for every node of edges the smallest node that it reaches. The rows are read from a table of store()'s.
 
     Alternates large-star and small-star steps, which need a logarithmic number of rounds whatever the graph's
     diameter. Each step is an aggregation and an equi-join on the node. A hub is summed map-side; minima and edges are
@@ -93,15 +111,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, least_path = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", free=False)
+        least, least_path = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        mid, mid_path = store(large, "large-star", free=False)
-        low, low_path = store(mid.groupBy("u").agg(F.min("v").alias("m")), "least", free=False)
+        mid, mid_path = store(large, "large-star")
+        low, low_path = store(mid.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = mid.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = store(small, "small-star")
         after = state(new)
-        for old in (least_path, mid_path, low_path, path):
-            drop(spark, old)
+        drop(spark, least_path, mid_path, low_path, path)
         now, path = new, new_path
         if after == before:
             break

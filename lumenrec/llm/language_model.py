@@ -260,8 +260,8 @@ def _ask_counts(shards: int):
         pairs = np.bincount(tokens.which[tokens.in_train], minlength=len(tokens.pairs))
         out = []
         for first, keys, counts, low in ((0, tokens.keys, words, 0), (shards, tokens.pairs, pairs, 8)):
-            bounds = by_shard(keys, shards)
-            out += [(first + k, pickle.dumps((squeeze_sorted(keys[a:b] >> np.uint64(low)), squeeze(counts[a:b])))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+            full, bounds = by_shard(keys, shards)
+            out += [(first + k, pickle.dumps((squeeze_sorted(keys[a:b] >> np.uint64(low)), squeeze(counts[a:b])))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
         yield batch(ASKED, [k for k, _ in out], [number] * len(out), [d for _, d in out])
 
     return _each(ask_counts)
@@ -291,28 +291,27 @@ class Known:
     """What a pack has been told: counts of its words and pairs, the pairs it owns, and word facts of later rounds."""
 
     def __init__(self, tokens: Tokens, answers: dict, shards: int):
-        words = [answers[k] for k in range(shards) if k in answers]
-        self.present = [k for k in range(shards) if k in answers]
-        pairs = [answers[k] for k in range(shards, 2 * shards) if k in answers]
+        self.present = sorted(k for k in answers if k < shards)
+        words = [answers[k] for k in self.present]
+        pairs = [answers[k] for k in sorted(answers) if shards <= k < 2 * shards]
         join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
         self.ranks = [w[1] for w in words]
         self.c_word = join([expand(w[0]) for w in words])
         counts = [expand(p[0]) for p in pairs]
         self.c_pair = join(counts)
         self.owned = join([np.unpackbits(np.frombuffer(p[1], np.uint8), count=len(n)) for p, n in zip(pairs, counts)]).astype(bool)
-        self.bounds = by_shard(tokens.keys, shards)
+        self.bounds = by_shard(tokens.keys, shards)[1]
 
     @staticmethod
     def facts(answers: dict, first: int, shards: int) -> list[np.ndarray]:
         """Arrays over the pack's words, from the answers of one round."""
-        parts = [[expand(x) for x in answers[k]] for k in range(first, first + shards) if k in answers]
+        parts = [[expand(x) for x in answers[k]] for k in sorted(answers) if first <= k < first + shards]
         return [np.concatenate(x).astype(np.int64) for x in zip(*parts)]
 
     def report(self, number: int, per_word: list[np.ndarray]) -> pa.RecordBatch:
         """Asks the word shards to add up arrays over the pack's words."""
         rows = []
-        for k, ranks in zip(self.present, self.ranks):
-            a, b = self.bounds[k], self.bounds[k + 1]
+        for ranks, a, b in zip(self.ranks, self.bounds[:-1], self.bounds[1:]):
             rows.append(pickle.dumps((ranks, [squeeze(x[a:b]) for x in per_word])))
         return batch(ASKED, self.present, [number] * len(rows), rows)
 

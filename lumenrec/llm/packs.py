@@ -95,10 +95,11 @@ def shards_for(packs: DataFrame) -> int:
     return max(1, -(-(packs.agg(F.sum("chars")).first()[0] or 0) // SHARD))
 
 
-def by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Bounds of the shards in sorted unsigned 64-bit keys: shards + 1 places."""
-    edges = [np.uint64(min(k * ((1 << 64) // shards), (1 << 64) - 1)) for k in range(1, shards)]
-    return np.r_[0, np.searchsorted(keys, np.array(edges, np.uint64), "left"), len(keys)].astype(np.int64)
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted unsigned 64-bit keys: the shards that have any, and where each one's keys begin, with the end of all."""
+    own = np.minimum(keys // np.uint64(min((1 << 64) // shards, (1 << 64) - 1)), np.uint64(shards - 1)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    return own[starts], np.r_[starts, len(keys)].astype(np.int64)
 
 
 def batch(schema: str, *columns) -> pa.RecordBatch:

@@ -1,9 +1,13 @@
 """Substring dedup by repeated-phrase automata.
 
-Every window of the asked length holds a phrase that its own words pick: the one of least hash. Phrases that recur in the
-corpus are confirmed by counting, and each pack of documents compiles those that it holds into an Aho-Corasick automaton
-over its words, which streams every document of the pack and locates every occurrence. A window can recur only if the
-phrase that it picks does, so only windows around located phrases are then counted, by 128-bit hashes of all their words.
+Every window of the asked length holds a phrase that its own words pick: the one of least hash. Packs of documents send the
+words of these phrases to shards, which confirm word for word which of them recur in the corpus and send those back. Of what
+it got each pack compiles Aho-Corasick automata, bounded in size, and streams all of its documents through them: their hits
+are all that is known of where phrases stand. A window can recur only if the phrase that it picks does, so the windows
+around hits are then counted over the corpus, by 128-bit hashes of all their words.
+
+A recurring phrase that no window of a pack picks cannot make a window of that pack recur, so a pack needs the automata of
+its own phrases only; streaming every pack through the phrases of the whole corpus would cost its square.
 """
 
 from __future__ import annotations
@@ -16,16 +20,18 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import store, table
+from .common import drop, store, table
 from .packs import ASKED, PACK, ask, batch, by_shard, in_order, pack, told, trim, unpack
 
 WINDOW, PHRASE = 35, 8  # words
+AUTOMATON = 100_000  # phrases of one automaton
+_GAP = 0xE000  # symbol of words that no phrase of an automaton has
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_TOP = np.uint64(2**64 - 1)
 
 
 class Words:
@@ -41,6 +47,7 @@ class Words:
             numbers.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
             sizes.append(len(own))
         self.sizes = np.array(sizes, np.int64)
+        self.numbers = ids
         self.ids = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
         self.hashes = hashes[self.ids]
@@ -81,71 +88,109 @@ class Words:
         return starts, at[starts], h
 
 
+def _sent(texts: list[bytes], twice: np.ndarray) -> bytes:
+    """Phrases, with a bit each for whether the sender holds it twice. Words have no line breaks."""
+    return len(texts).to_bytes(4, "little") + np.packbits(twice).tobytes() + zstandard.compress(b"\n".join(texts), 1)
+
+
+def _received(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    bits = 4 + -(-n // 8)
+    return zstandard.decompress(data[bits:]).split(b"\n") if n else [], np.unpackbits(np.frombuffer(data[4:bits], np.uint8), count=n)
+
+
+def picked_phrases(words: Words, window: int, phrase: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The distinct phrases that windows pick, in the order of their hashes: hash, words, and whether it stands at two places."""
+    _, at, h = words.picks(window, phrase)
+    if not len(at):
+        return np.empty(0, np.uint64), [], np.empty(0, bool)
+    places = np.unique(at)
+    places = places[np.argsort(h[places], kind="stable")]
+    spelt, keys = words.ids[places[:, None] + np.arange(phrase)], h[places]
+    fresh = np.r_[True, (spelt[1:] != spelt[:-1]).any(1)]  # other words under one hash are another phrase, so nothing is taken for another's copy
+    starts = np.flatnonzero(fresh)
+    vocabulary = list(words.numbers)
+    texts = [b" ".join([vocabulary[k] for k in row]) for row in spelt[starts].tolist()]
+    return keys[starts], texts, np.diff(np.r_[starts, len(places)]) > 1
+
+
 def _phrases(window: int, phrase: int, shards: int):
-    """Asks for the phrases that the windows of a pack pick. The last bit of a key tells whether the pack holds it twice."""
+    """Asks for the phrases that the windows of a pack pick."""
 
     def run(batches):
         for b in batches:
             for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, at, h = Words(data).picks(window, phrase)
-                keys, counts = np.unique(h[np.unique(at)] | np.uint64(1), return_counts=True)
-                keys = keys - (counts < 2).astype(np.uint64)
-                bounds = by_shard(keys, shards)
-                full = np.flatnonzero(np.diff(bounds))
-                yield batch(ASKED, full, np.full(len(full), number), [keys[bounds[k] : bounds[k + 1]].tobytes() for k in full])
+                keys, texts, twice = picked_phrases(Words(data), window, phrase)
+                full, bounds = by_shard(keys, shards)
+                yield batch(ASKED, full, np.full(len(full), number), [_sent(texts[lo:hi], twice[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])])
                 trim()
 
     return run
 
 
 def _recurring_phrases(shard: int, asked: list[bytes]) -> list[bytes]:
-    """A bit for each key: whether it is held twice, by one pack or by two."""
-    sizes = [len(a) // 8 for a in asked]
-    keys = np.frombuffer(b"".join(asked), np.uint64)
-    twice = (keys & np.uint64(1)).astype(np.int64)
-    _, inverse = np.unique(keys | np.uint64(1), return_inverse=True)
-    again = np.bincount(inverse, 1 + twice)[inverse] >= 2
-    return [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(sizes)[:-1])]
-
-
-def _unpacked(parts: dict[int, bytes], bounds: np.ndarray) -> np.ndarray:
-    out = np.zeros(bounds[-1], bool)
-    for k, bits in parts.items():
-        a, b = bounds[k], bounds[k + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    """Of what each pack asks for, the phrases that stand at two places of the corpus, compared word for word."""
+    places: dict[bytes, int] = {}
+    get = places.get
+    for a in asked:
+        for text, twice in zip(*_received(a)):
+            places[text] = get(text, 0) + 1 + int(twice)
+    out = []
+    for a in asked:
+        again = [text for text in _received(a)[0] if places[text] > 1]
+        out.append(_sent(again, np.zeros(len(again), bool)))
     return out
 
 
-def _located(words: Words, at: np.ndarray, h: np.ndarray, parts: dict[int, bytes], shards: int, phrase: int) -> np.ndarray:
-    """Where the recurring phrases of a pack start, by an automaton that all its documents are streamed through."""
-    places = np.unique(at)
-    keys, first = np.unique(h[places] | np.uint64(1), return_index=True)
-    chosen = places[first[_unpacked(parts, by_shard(keys, shards))]]
-    found = np.zeros(len(words.ids), bool)
-    if not len(chosen):
-        return found
-    spelt = words.ids[chosen[:, None] + np.arange(phrase)]
-    known = np.full(int(words.ids.max()) + 1, -1, np.int64)
-    vocabulary = np.unique(spelt)
+def compiled(phrases: np.ndarray) -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """An automaton of the rows of phrases, and the code of each word number up to the largest, -1 for words of no phrase.
+
+    A word is two symbols, from disjoint ranges, so that no node of the automaton has many edges to search through.
+    """
+    known = np.full(int(phrases.max()) + 1, -1, np.int64)
+    vocabulary = np.unique(phrases)
     known[vocabulary] = np.arange(len(vocabulary))
-    # A word is two symbols, from disjoint ranges, so that no node of the automaton has many edges to search through.
-    pair = lambda codes: np.stack([(codes >> 8) + 256, codes & 255], -1)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for symbols in pair(known[spelt]).reshape(len(spelt), -1).tolist():
-        automaton.add_word(tuple(symbols), 1)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING)
+    symbols, size = _symbols(known[phrases].ravel()), 2 * phrases.shape[1]
+    for k in range(0, len(symbols), size):
+        automaton.add_word(symbols[k : k + size], 1)
     automaton.make_automaton()
-    # Words of no phrase end any match, so a document streams through as its stretches of words that phrases have.
-    codes = known[words.ids]
-    inside = np.r_[False, codes >= 0, False].astype(np.int8)
-    breaks = np.unique(np.r_[0, np.flatnonzero(np.diff(inside)), words.ends])
-    breaks = breaks[breaks < len(codes)]
-    for lo, hi in zip(breaks.tolist(), [*breaks[1:].tolist(), len(codes)]):
-        if hi - lo >= phrase and codes[lo] >= 0:
-            ends = [end for end, _ in automaton.iter(tuple(pair(codes[lo:hi]).ravel().tolist()))]
-            found[np.array(ends, np.int64) // 2 + (lo - phrase + 1)] = True
+    return automaton, known
+
+
+def _symbols(codes: np.ndarray) -> str:
+    pair = np.stack([(codes >> 8) + 256, codes & 255], -1)
+    pair[codes < 0] = _GAP
+    return pair.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def located(words: Words, texts: list[bytes], phrase: int, most: int = AUTOMATON) -> np.ndarray:
+    """Where any of the phrases starts in the documents of a pack, each document streamed through all automata."""
+    found = np.zeros(len(words.ids), bool)
+    spelt = np.array([[words.numbers[w] for w in text.split(b" ")] for text in texts], np.int64).reshape(-1, phrase)
+    starts = np.r_[0, words.ends[:-1]] if len(words.ends) else words.ends
+    for k in range(0, len(spelt), most):
+        automaton, known = compiled(spelt[k : k + most])
+        codes = np.full(len(words.ids), -1, np.int64)
+        inside = words.ids < len(known)
+        codes[inside] = known[words.ids[inside]]
+        for lo, hi in zip(starts.tolist(), words.ends.tolist()):
+            if hi - lo >= phrase:
+                ends = [end for end, _ in automaton.iter(_symbols(codes[lo:hi]))]
+                found[np.array(ends, np.int64) // 2 + (lo - phrase + 1)] = True
     return found
 
 
+def _unpacked(parts: dict[int, bytes], keys: np.ndarray, shards: int) -> np.ndarray:
+    """A bit for each of the sorted keys, from the answers of the shards."""
+    out = np.zeros(len(keys), bool)
+    full, bounds = by_shard(keys, shards)
+    for k, a, b in zip(full.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        if k in parts:
+            out[a:b] = np.unpackbits(np.frombuffer(parts[k], np.uint8), count=b - a).astype(bool)
+    return out
+
+
 def _window_keys(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, check) of the windows at starts, sorted, how often each stands there, and which of them each window is."""
     a, b = (words.rolled(window, base)[starts] if len(starts) else np.empty(0, np.uint64) for base in _BASES[:2])
@@ -164,12 +209,11 @@ def _windows(window: int, phrase: int, shards: int):
         for b in batches:
             for number, data, answers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = Words(data)
-                starts, at, h = words.picks(window, phrase)
-                near = _located(words, at, h, in_order(answers), shards, phrase)[at] if len(at) else np.empty(0, bool)
+                starts, at, _ = words.picks(window, phrase)
+                near = located(words, [t for a in in_order(answers).values() for t in _received(a)[0]], phrase)[at]
                 keys, counts, _ = _window_keys(words, starts[near], window)
-                bounds = by_shard(keys[:, 0], shards)
-                full = np.flatnonzero(np.diff(bounds))
-                blobs = [keys[bounds[k] : bounds[k + 1]].tobytes() + np.packbits(counts[bounds[k] : bounds[k + 1]] > 1).tobytes() for k in full]
+                full, bounds = by_shard(keys[:, 0], shards)
+                blobs = [keys[lo:hi].tobytes() + np.packbits(counts[lo:hi] > 1).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
                 yield batch(ASKED, [shards + number % shards, *full], [number] * (len(full) + 1), [np.packbits(near).tobytes(), *blobs])
                 trim()
 
@@ -213,7 +257,7 @@ def _removal(window: int, phrase: int, shards: int, layout: bool):
                 starts = words.starts(window)
                 near = np.unpackbits(np.frombuffer(parts.pop(shards + number % shards), np.uint8), count=len(starts)).astype(bool)
                 keys, _, which = _window_keys(words, starts[near], window)
-                again = _unpacked(parts, by_shard(keys[:, 0], shards))
+                again = _unpacked(parts, keys[:, 0], shards)
                 hit = starts[near][again[which]]
                 cover = np.zeros(len(words.ids) + 1, np.int64)
                 np.add.at(cover, hit, 1)
@@ -234,9 +278,10 @@ def _removed(docs: DataFrame, window: int, phrase: int, layout: bool, size: int)
     packs, shards = pack(docs, size)
     phrase = min(phrase, window)
     asked = packs.select("pack", "data").mapInArrow(_phrases(window, phrase, shards), ASKED)
-    recurring, _ = store(ask(asked, _recurring_phrases), "recurring-phrases")
+    recurring, path = store(ask(asked, _recurring_phrases), "recurring-phrases")
     asked = told(packs, recurring).select("pack", "data", "answers").mapInArrow(_windows(window, phrase, shards), ASKED)
     recurring, _ = store(ask(asked, partial(_recurring_windows, shards)), "recurring-windows")
+    drop(docs.sparkSession, path)
     joined = told(packs, recurring).select("pack", "data", "answers")
     fields = [f for f in docs.schema.fields if f.name != "text"]
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
