@@ -1,9 +1,11 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-Fingerprints of 8 bytes that differ in at most 4 bits agree in at least 4 of their bytes. Postings are kept for every
-choice of that many positions, under the bytes that stand there, so that each such pair meets in a posting whatever its
-differing bits. Postings of single positions, 2,048 in all, would grow with the square of the corpus. In a posting the
-shared positional bytes of a pair are tallied; pairs that reach the guaranteed minimum are verified bit by bit.
+Fingerprints of 8 bytes that differ in at most 4 bits agree in at least 4 of their bytes. Postings are kept under the bytes
+at three positions, for so many choices of three that any four positions hold one of them: 20, where choices of four would
+take 70 and single positions, 2,048 postings in all, would grow with the square of the corpus. In a posting the shared
+positional bytes of each pair are tallied: pairs below the guaranteed minimum are let go, of the others each is looked at in
+the first posting that it shares, and is verified bit by bit. A posting of very many fingerprints is dealt out once more by
+a fourth position, as its pairs have to share one, and what is still too many is compared in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, store, table
+from .common import components, dropped_after, store, table
 
 BYTES, BLOCK = 8, 2048  # bytes of a fingerprint; fingerprints of a posting that are compared at once
 
@@ -52,38 +54,116 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
 
 
-def _linked(fp: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
-    """Which of the pairs (i, j) share enough positional bytes and, of these, differ in no more than bits."""
+def choices(bits: int) -> list[tuple[int, ...]]:
+    """Positions of the postings: any 8 - bits positions hold one of these choices.
+
+    Of four positions dealt to three groups in a ring, three are in one group, or two in one and another in the next, or
+    else two groups hold two each and the one before gives a choice with either. Of three dealt to two groups, two meet.
+    """
+    same = BYTES - bits
+    if same < 1:
+        raise ValueError("fingerprints that differ in 8 bits or more need not share a byte")
+    if same <= 2:
+        return [(p,) for p in range(BYTES)]
+    if same == 3:
+        return [c for c in combinations(range(BYTES), 2) if c[0] % 2 == c[1] % 2]
+    ring = {tuple(sorted(x)) for g in range(3) for x in ((g, g, g), (g, g, (g + 1) % 3))}
+    return [c for c in combinations(range(BYTES), 3) if tuple(sorted(p % 3 for p in c)) in ring]
+
+
+def finer(chosen: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Each choice with one position more, which stands last."""
+    return [(*c, p) for c in chosen for p in range(BYTES) if p not in c]
+
+
+def _mask(positions) -> int:
+    return sum(1 << p for p in positions)
+
+
+def handled(chosen: list[tuple[int, ...]], more: bool = False) -> np.ndarray:
+    """For each posting and each set of equal bytes (as bits) whether a pair is looked at there: in the first choice that the set holds.
+
+    With more, for finer(chosen): there with the first position besides.
+    """
+    sets = np.arange(1 << BYTES)
+    first = np.full(len(sets), -1)
+    for n, c in reversed(list(enumerate(chosen))):
+        first[sets & _mask(c) == _mask(c)] = n
+    if not more:
+        return first == np.arange(len(chosen))[:, None]
+    out = []
+    for n, c in enumerate(chosen):
+        rest = sets & ~_mask(c)
+        out += [(first == n) & (rest & -rest == 1 << p) for p in range(BYTES) if p not in c]
+    return np.array(out)
+
+
+def _linked(fp: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int, here: np.ndarray, posting: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) share enough positional bytes, are looked at here, and differ in no more than bits.
+
+    here: by posting, the sets of equal bytes that are looked at; posting: that of each pair.
+    """
     x = fp[i] ^ fp[j]
-    tally = (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    keep = tally >= BYTES - bits
-    keep[keep] = np.bitwise_count(x[keep]) <= bits
+    equal = x.view(np.uint8).reshape(-1, BYTES) == 0
+    keep = equal.sum(axis=1) >= BYTES - bits
+    left = np.flatnonzero(keep)
+    sets = np.packbits(equal[left], axis=1, bitorder="little")[:, 0]
+    keep[left] = here[posting[left], sets]
+    left = left[keep[left]]
+    keep[left] = np.bitwise_count(x[left]) <= bits
     return keep
 
 
-def _forest(fp: np.ndarray, run: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join, within each run of equal keys (sorted), all that its linked pairs join."""
-    n = len(fp)
-    label, left, right = np.arange(n), [], []
+class _Forest:
+    """Edges that join all that the added pairs join; no more than a few for each row are held."""
+
+    def __init__(self, n: int):
+        self.label, self.left, self.right, self.held = np.arange(n), [], [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.left.append(i)
+        self.right.append(j)
+        self.held += len(i)
+        if self.held > 1 << 20:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        i, j = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (self.left, self.right))
+        label = self.label
+        i, j = np.r_[i, np.arange(len(label))], np.r_[j, label]
+        while True:
+            low, was = np.minimum(label[i], label[j]), label.copy()
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+            label = label[label]
+            if (was == label).all():
+                break
+        self.label, self.left, self.right, self.held = label, [], [], 0
+        return np.flatnonzero(label != np.arange(len(label)))
+
+
+def _forest(fp: np.ndarray, run: np.ndarray, bits: int, here: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join, within each run of equal keys (sorted), all that its linked pairs join. Above shift bits keys have the posting's number."""
+    n, found, posting = len(fp), _Forest(len(fp)), run >> shift
     at, step = np.arange(n), 1
     while len(at := at[at + step < n]) and len(at := at[run[at] == run[at + step]]):
-        ok = _linked(fp, at, at + step, bits)
-        left.append(at[ok])
-        right.append(at[ok] + step)
+        ok = at[_linked(fp, at, at + step, bits, here, posting[at])]
+        found.add(ok, ok + step)
         step += 1
-    if not left:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    while True:
-        low = np.minimum(label[i], label[j])
-        was = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (was == label).all():
-            break
-    moved = np.flatnonzero(label != np.arange(n))
-    return fp[moved], fp[label[moved]]
+    moved = found.settle()
+    return fp[moved], fp[found.label[moved]]
+
+
+def _across(fp: np.ndarray, n: int, bits: int, here: np.ndarray, posting: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the pairs of one of the first n rows and one of the rest."""
+    found, rest = _Forest(len(fp)), np.arange(n, len(fp))
+    for k in range(0, n, 64):
+        own = np.arange(k, min(n, k + 64))
+        i, j = np.repeat(own, len(rest)), np.tile(rest, len(own))
+        ok = _linked(fp, i, j, bits, here, np.broadcast_to(posting, len(i)))
+        found.add(i[ok], j[ok])
+    moved = found.settle()
+    return fp[moved], fp[found.label[moved]]
 
 
 OUT = "key bigint, block bigint, a bigint, b bigint"
@@ -93,14 +173,17 @@ def _row(key, block, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, block, a, b)], ["key", "block", "a", "b"])
 
 
-def _search(bits: int, limit: int):
-    """Over rows (key, fp) sorted by key: edges (block -1), and in blocks the postings of over limit rows, which are left for later."""
+def _search(bits: int, limit: int, here: np.ndarray, shift: int):
+    """Over rows (key, fp) sorted by key: edges (block -1), and in blocks the postings of over limit rows, which are left for later.
+
+    here: by posting, the number above shift bits of the key, the sets of equal bytes that are looked at in it.
+    """
 
     def run(batches):
         keys, fps, given, last = np.empty(0, np.int64), np.empty(0, np.int64), 0, None  # the rows of the last key so far; its blocks given away
 
         def finish(keys, fps):
-            a, b = _forest(fps.view(np.uint64), keys, bits)
+            a, b = _forest(fps.view(np.uint64), keys, bits, here, shift)
             return _row(np.full(len(a), -1), np.full(len(a), -1), a.view(np.int64), b.view(np.int64))
 
         for batch in batches:
@@ -142,47 +225,69 @@ def _search(bits: int, limit: int):
     return run
 
 
-def _search_blocks(bits: int):
-    """Over rows (unit, fp) sorted by unit: edges between the rows of each unit, which holds one block or two."""
+def _search_blocks(bits: int, here: np.ndarray, shift: int):
+    """Over rows (unit, side, key, fp) sorted by unit and side: edges within the one block of a unit, or across its two."""
+
+    def compare(side, keys, fps):
+        n, fp = int((side == 0).sum()), fps.view(np.uint64)
+        a, b = _forest(fp, keys, bits, here, shift) if n == len(fp) else _across(fp, n, bits, here, int(keys[0]) >> shift)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     def run(batches):
-        units, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64) for _ in range(4)]
         for batch in batches:
-            units, fps = np.concatenate([units, batch.column(0).to_numpy()]), np.concatenate([fps, batch.column(1).to_numpy()])
-            if not len(units):
-                continue
-            s = np.flatnonzero(units != units[-1])
-            s = s[-1] + 1 if len(s) else 0
-            for u in np.unique(units[:s]):
-                own = fps[:s][units[:s] == u]
-                a, b = _forest(own.view(np.uint64), np.zeros(len(own), np.int64), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-            units, fps = units[s:], fps[s:]
-        if len(fps):
-            a, b = _forest(fps.view(np.uint64), np.zeros(len(fps), np.int64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            cuts = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                yield compare(*(x[lo:hi] for x in held[1:]))
+            if len(cuts):
+                held = [x[cuts[-1] :] for x in held]
+        if len(held[0]):
+            yield compare(*held[1:])
 
     return run
 
 
-def link_fingerprints(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """a, b: edges between distinct fingerprints (column fp) that join all that pairs within bits differing bits join."""
+def _index(fps: DataFrame, postings: DataFrame | None, chosen: list[tuple[int, ...]]) -> DataFrame:
+    """(key, fp) of the postings of each choice, sorted by key; of rows of postings, only those choices that refine theirs."""
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
-    same = BYTES - bits
     keys = []
-    for n, chosen in enumerate(combinations(range(BYTES), same)):
-        key = F.lit(n)
-        for p in chosen[: 7 if same > 6 else same]:
-            key = F.shiftleft(key.cast("bigint"), 8).bitwiseOR(byte[p])
+    for n, c in enumerate(chosen):
+        key = F.lit(n).cast("bigint")
+        for p in c:
+            key = F.shiftleft(key, 8).bitwiseOR(byte[p])
         keys.append(key)
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    found, _ = store(index.mapInArrow(_search(bits, block), OUT), "postings")
-    later = found.where("block >= 0").select("key", "block", F.col("a").alias("fp"))
-    blocks = later.groupBy("key").agg((F.max("block") + 1).alias("n"))
-    units = later.join(blocks, "key").select("key", "n", "block", "fp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other"))
-    units = units.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "fp")
-    more = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_search_blocks(bits), "a bigint, b bigint")
-    return found.where("block < 0").select("a", "b").unionByName(more).distinct()
+    if postings is None:
+        rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    else:
+        each = len(chosen[0])
+        own = BYTES - each + 1  # refinements of a choice
+        of = F.slice(F.array(*keys), (F.shiftright("posting", 8 * (each - 1)) * own + 1).cast("int"), own)
+        rows = postings.select("fp", F.explode(of).alias("key"))
+    return rows.select("key", "fp").repartition("key").sortWithinPartitions("key")
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
+    """a, b: edges between distinct fingerprints (column fp) that join all that pairs within bits differing bits join.
+
+    bits is at most 7, so that fingerprints within them share a byte.
+    """
+    chosen = choices(bits)
+    here, size = handled(chosen), len(chosen[0])
+    found, _ = store(_index(fps, None, chosen).mapInArrow(_search(bits, block, here, 8 * size), OUT), "postings")
+    edges, later = found.where("block < 0").select("a", "b"), found.where("block >= 0")
+    if size < BYTES - bits:  # pairs share one byte more
+        fine = finer(chosen)
+        here, size = handled(chosen, True), size + 1
+        index = _index(fps, later.select(F.col("key").alias("posting"), F.col("a").alias("fp")), fine)
+        found, _ = store(index.mapInArrow(_search(bits, block, here, 8 * size), OUT), "finer-postings")
+        edges, later = edges.unionByName(found.where("block < 0").select("a", "b")), found.where("block >= 0")
+    later = later.select("key", "block", F.col("a").alias("fp"))
+    blocks, _ = store(later.groupBy("key").agg((F.max("block") + 1).alias("n")), "hot-postings")
+    units = later.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    units = units.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "key", "fp")
+    more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_search_blocks(bits, here, 8 * size), "a bigint, b bigint")
+    return edges.unionByName(more).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, block: int = BLOCK) -> DataFrame:
@@ -193,14 +298,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     Equal fingerprints are one node, so copies cost one row each. A null doc_id gets the smallest id of its component,
     null if there is none. Repeated rows each get their own; an empty table gives none; other columns are left aside.
     """
-    each, _ = store(fingerprints(docs, id_col, text, shingle), "fingerprints")
-    fps, _ = store(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    nodes, _ = store(components(link_fingerprints(fps.select("fp"), bits, block)), "fingerprint-components")
-    # Each step is a table, so that a join's two sides have shuffles of its own and Spark can split a hot key's partition.
-    grouped, _ = store(fps.join(nodes.withColumnRenamed("node", "fp"), "fp"), "grouped-fingerprints")
-    least, _ = store(grouped.groupBy("component").agg(F.min("rep").alias("least")), "least-ids")
-    moved = grouped.join(least, "component").select("fp", "least")
-    ids, _ = store(fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "component-ids")
+    spark = docs.sparkSession
+    each, each_path = store(fingerprints(docs, id_col, text, shingle), "fingerprints")
+    with dropped_after(spark, keep := [each_path]):
+        fps, _ = store(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+        nodes, _ = store(components(link_fingerprints(fps.select("fp"), bits, block)), "fingerprint-components")
+        # Each step is a table, so that a join's two sides have shuffles of its own and Spark can split a hot key's partition.
+        grouped, _ = store(fps.join(nodes.withColumnRenamed("node", "fp"), "fp"), "grouped-fingerprints")
+        least, _ = store(grouped.groupBy("component").agg(F.min("rep").alias("least")), "least-ids")
+        moved = grouped.join(least, "component").select("fp", "least")
+        ids, path = store(fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "component-ids")
+        keep.append(path)
     return each.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

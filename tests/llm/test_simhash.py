@@ -1,9 +1,12 @@
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
-from lumenrec.llm.simhash import _search, fingerprint, link_fingerprints, near_dedup
+from lumenrec.llm import simhash
+from lumenrec.llm.simhash import _linked, _search, choices, finer, fingerprint, handled, link_fingerprints, near_dedup
 
 
 def plain_fingerprint(text):
@@ -73,7 +76,7 @@ def test_postings_across_batches(size):
         fps[k + 1] = fps[k] ^ int(rng.integers(1, 8))
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(fps[k : k + size])], ["key", "fp"]) for k in range(0, len(keys), size)]
     edges, later = set(), {}
-    for out in _search(4, 5)(iter(batches)):
+    for out in _search(4, 5, np.ones((1, 256), bool), 62)(iter(batches)):
         for key, block, a, b in zip(*(c.to_pylist() for c in out.columns)):
             if block < 0:
                 edges.add((a, b))
@@ -89,3 +92,53 @@ def test_postings_across_batches(size):
             linked = [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 4]
             found = [(a, b) for a, b in edges if a in own and b in own]
             assert plain_components(own, found) == plain_components(own, linked)
+
+
+@pytest.mark.parametrize("bits", range(8))
+def test_every_pair_is_looked_at_in_one_posting(bits):
+    chosen = choices(bits)
+    here = handled(chosen)
+    assert len(chosen) <= 20
+    for k in range(8 - bits, 9):
+        for equal in combinations(range(8), k):
+            mask = sum(1 << p for p in equal)
+            assert here[:, mask].sum() == 1 and set(chosen[here[:, mask].argmax()]) <= set(equal)
+            if len(chosen[0]) < 8 - bits:
+                fine, there = finer(chosen), handled(chosen, True)
+                assert there[:, mask].sum() == 1 and set(fine[there[:, mask].argmax()]) <= set(equal)
+    with pytest.raises(ValueError):
+        choices(8)
+
+
+def test_the_tally_rejects_pairs_that_meet_in_a_posting():
+    """Three equal bytes bring a pair together; with no fourth it is let go, though only the tally can tell."""
+    here = np.ones((1, 256), bool)
+    a = np.uint64(0x1122334455667788)
+    fp = np.array([a, a ^ np.uint64(0x0101010101000000), a ^ np.uint64(0x0101010100000000)], np.uint64)
+    i, j = np.array([0, 0]), np.array([1, 2])
+    assert _linked(fp, i, j, 5, here, i * 0).tolist() == [True, True]
+    assert _linked(fp, i, j, 4, here, i * 0).tolist() == [False, True]
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**63, 3000).astype(np.uint64) & np.uint64(0x0303030303FFFFFF) | np.uint64(0x112233)  # all meet in a posting of three bytes
+    i, j = np.triu_indices(3000, 1)
+    x = fp[i] ^ fp[j]
+    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    assert 0 < (tally >= 4).sum() < 0.9 * len(tally) and tally.min() < 4
+    assert (_linked(fp, i, j, 4, here, i * 0) == (np.bitwise_count(x) <= 4)).all()
+
+
+@pytest.mark.parametrize("bits", [2, 5, 6, 7])
+def test_other_limits_against_brute_force(spark, bits):
+    rng = np.random.default_rng(bits)
+    base = rng.integers(0, 2**62, 8)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 6), replace=False)) for b in base for _ in range(25)})
+    want = plain_components(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits])
+    for block in (2048, 4):
+        edges = link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), bits, block).collect()
+        assert plain_components(fps, [(r.a, r.b) for r in edges]) == want
+
+
+def test_tables_in_between_are_dropped(make_docs, texts):
+    before = set(simhash.store.__globals__["_stored"])
+    near_dedup(make_docs(list(enumerate(texts[:20])))).count()
+    assert len(set(simhash.store.__globals__["_stored"]) - before) == 2
