@@ -84,6 +84,16 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def unnamed(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ..., so that columns which are added clash with none of docs'."""
+    return docs.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+
+
+def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of rows under the names that they have in docs."""
+    return rows.select([F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only. For short values; translate() looks every character up."""
     return F.translate(c, UPPER, LOWER)

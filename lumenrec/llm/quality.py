@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, table
+from .common import fold, renamed, table, unnamed
 from .training import labelled
 
 POSITIVES, UNLABELLED = 10_000, 20_000  # rows that are learned from: at most, and about
@@ -160,8 +160,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column score at the end, which takes the place of one of that name."""
-    docs = docs.drop("score")
+    """docs, which has no column score, with one at the end."""
     at = docs.columns.index(text)
 
     def run(batches):
@@ -174,10 +173,10 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that score threshold or more."""
+    """The rows of docs, with all their columns whatever their names, that score threshold or more."""
     plain = docs.select("doc_id", "text")
     model = fit(plain, labels, "quality", 4, 2, POSITIVES, UNLABELLED)
-    return with_scores(docs, model).where(F.col("score") >= threshold).drop("score")
+    return renamed(with_scores(unnamed(docs), model, f"c{docs.columns.index('text')}").where(F.col("score") >= threshold), docs)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

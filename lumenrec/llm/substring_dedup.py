@@ -306,7 +306,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     Layout is kept and n_chars, if there is one, follows the text. A row that loses all its words goes; one that had none stays.
     """
-    done = docs.select([F.col(c).alias(f"c{k}" if c != "text" else "text") for k, c in enumerate(docs.columns)])  # whatever docs' columns are called
+    done = docs.select([F.col(f"`{c}`").alias(f"c{k}" if c != "text" else "text") for k, c in enumerate(docs.columns)])  # whatever docs' columns are called
     done = _removed(done, window, phrase, True, PACK).where("n_removed < n_words OR n_words = 0")
     given = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept"))}
     columns = []

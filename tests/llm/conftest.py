@@ -13,7 +13,7 @@ def make_docs(spark):
         full = [(i, t, "en", f"src{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows]
         df = spark.createDataFrame(full, DOCS)
         if extra:
-            for name in ("key", "fp", "h", "recipe", "score", "kept", "component_id", "node", "a", "b", "block", "path"):
+            for name in ("key", "fp", "h", "recipe", "score", "kept", "component_id", "node", "a", "b", "block", "path", "_digest", "hash", "_id", "_hash", "pack", "rows", "shard", "train", "body", "data", "answers", "posting", "rep", "cluster", "fps", "text_hash", "c0", "bin_id", "n_words"):
                 df = df.selectExpr("*", f"'x' AS {name}")
         return df
 

@@ -1,9 +1,10 @@
 from collections import Counter
 
 import corpus_pipeline
-from lumenrec.llm import stages
+from lumenrec.llm import common, stages
 from lumenrec.llm.common import table
-from tests_support import components_of, fingerprint_of, lower
+from lumenrec.llm.quality import score_quality
+from tests_support import alike, components_of, lower, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,15 +15,19 @@ def test_pipeline_against_brute_force(spark):
     good = stages.quality_classifier(spark, docs, SF)
     assert good.columns == docs.columns
     rows = {r.doc_id: r.text for r in good.collect()}
-    assert 0.6 * docs.count() < len(rows) < docs.count()
+    scored = score_quality(docs, table(spark, SF, "labels")).collect()
+    assert set(rows) == {r.doc_id for r in scored if r.predicted} and 0.6 * len(scored) < len(rows) < len(scored)
+    quality = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    assert sum(quality[i] for i in rows if i in quality) > 0.95 * sum(quality[r.doc_id] for r in scored if r.doc_id in quality)
 
     best = {}
     for i, t in rows.items():
         best[lower(t)] = max(best.get(lower(t), -1), i)
     rows = {i: rows[i] for i in best.values()}
 
-    fps = {i: fingerprint_of(t) for i, t in rows.items()}
-    root = components_of(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    sets = {i: shingles(t) for i, t in rows.items()}
+    root = components_of(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8])
+    assert any(root[i] != i for i in rows)
     rows = {i: t for i, t in rows.items() if root[i] == i}
 
     split = {i: t.encode().split() for i, t in rows.items()}
@@ -51,9 +56,15 @@ def test_pipeline_against_brute_force(spark):
         assert sum(r.n_words for r in rs) == rs[0].bin_words <= 2048 and len({source[r.doc_id] for r in rs}) == len(rs)
 
 
+STAGES = [f for _, f in corpus_pipeline.STAGES]
+
+
 def test_stages_handle_odd_rows(spark, make_docs, texts):
+    """Nulls, repeated rows, and columns whose names are those that the stages use themselves."""
     rows = list(enumerate(texts)) + [(None, "no id at all"), (2, texts[2]), (2, texts[2])]
     docs = make_docs(rows)
+    good = stages.quality_classifier(spark, docs, SF)
+    assert good.columns == docs.columns and 0 < good.count() <= len(rows)
     kept = stages.exact_duplicates(spark, docs, SF)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
@@ -62,5 +73,24 @@ def test_stages_handle_odd_rows(spark, make_docs, texts):
     assert near.columns == docs.columns and near.count() <= kept.count()
     cut = stages.repeated_passages(spark, near, SF)
     assert cut.columns == docs.columns and all(r.n_chars == len(r.text) for r in cut.collect() if r.text)
-    for stage in (stages.exact_duplicates, stages.near_duplicates, stages.repeated_passages):
-        assert stage(spark, make_docs([]), SF).collect() == []
+    packed = stages.packed_sequences(spark, cut, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in cut.collect()}
+
+
+def test_near_duplicates_tell_rows_apart_by_text(spark, make_docs):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = make_docs([(1, a), (3, a.upper()), (3, b), (4, a + " end"), (4, b + " end"), (5, "of its own"), (5, "of its own"), (None, b + " more")])
+    assert sorted((r.doc_id, r.text) for r in stages.near_duplicates(spark, docs, SF).collect()) == [(1, a), (3, b), (5, "of its own")]
+
+
+def test_stages_of_an_empty_table(spark, make_docs):
+    for stage in STAGES:
+        empty = make_docs([])
+        out = stage(spark, empty, SF)
+        assert out.collect() == [] and (stage is STAGES[-1] or out.columns == empty.columns)
+
+
+def test_tables_in_between_are_dropped(spark):
+    before = set(common._stored)
+    corpus_pipeline.run(spark, SF)
+    assert len(set(common._stored) - before) == 1

@@ -6,7 +6,8 @@ import pytest
 import xxhash
 
 from lumenrec.llm import simhash
-from lumenrec.llm.simhash import _linked, _search, choices, finer, fingerprint, handled, link_fingerprints, near_dedup
+from lumenrec.llm.simhash import Rule, _search, across, choices, finer, fingerprint, handled, link_fingerprints, near_dedup, near_documents, within
+from tests_support import alike, components_of, shingles
 
 
 def plain_fingerprint(text):
@@ -18,27 +19,13 @@ def plain_fingerprint(text):
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(nodes, linked):
-    root = {n: n for n in nodes}
-
-    def find(n):
-        while root[n] != n:
-            n = root[n]
-        return n
-
-    for a, b in linked:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
 @pytest.mark.parametrize("block", [2048, 3])
 def test_against_brute_force(make_docs, texts, block):
     rows = list(enumerate(texts)) + [(3, texts[3])]
     got = near_dedup(make_docs(rows), block=block).collect()
     assert len(got) == len(rows)
     fps = {i: plain_fingerprint(t) for i, t in rows}
-    want = plain_components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    want = components_of(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
     assert {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got} == {(i, fps[i], want[i]) for i in fps}
     assert len(set(want.values())) < len(set(fps.values()))
 
@@ -48,11 +35,11 @@ def test_dense_groups_with_small_blocks(spark):
     base = rng.integers(0, 2**62, 12)
     fps = {int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(60)}
     fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
-    want = plain_components(fps, [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+    want = components_of(fps, [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
     for block in (2048, 5):
         edges = link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), block=block).collect()
         assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 64 for r in edges)
-        assert plain_components(fps, [(r.a, r.b) for r in edges]) == want
+        assert components_of(fps, [(r.a, r.b) for r in edges]) == want
 
 
 def test_fingerprint_edges():
@@ -74,9 +61,9 @@ def test_postings_across_batches(size):
     fps = rng.permutation(1 << 20)[: len(keys)].astype(np.int64) << 3  # near each other within runs by chance alone
     for k in range(0, len(fps) - 1, 3):
         fps[k + 1] = fps[k] ^ int(rng.integers(1, 8))
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(fps[k : k + size])], ["key", "fp"]) for k in range(0, len(keys), size)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(fps[k : k + size]), pa.array(fps[k : k + size])], ["key", "fp", "node"]) for k in range(0, len(keys), size)]
     edges, later = set(), {}
-    for out in _search(4, 5, np.ones((1, 256), bool), 62)(iter(batches)):
+    for out in _search(Rule(4, 4, 4, np.ones((1, 256), bool), 62), 5)(iter(batches)):
         for key, block, a, b in zip(*(c.to_pylist() for c in out.columns)):
             if block < 0:
                 edges.add((a, b))
@@ -91,40 +78,87 @@ def test_postings_across_batches(size):
             assert key not in later
             linked = [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 4]
             found = [(a, b) for a, b in edges if a in own and b in own]
-            assert plain_components(own, found) == plain_components(own, linked)
+            assert components_of(own, found) == components_of(own, linked)
 
 
-@pytest.mark.parametrize("bits", range(8))
-def test_every_pair_is_looked_at_in_one_posting(bits):
-    chosen = choices(bits)
+@pytest.mark.parametrize("same", range(1, 9))
+def test_every_pair_is_looked_at_in_one_posting(same):
+    chosen = choices(same)
     here = handled(chosen)
     assert len(chosen) <= 20
-    for k in range(8 - bits, 9):
+    for k in range(same, 9):
         for equal in combinations(range(8), k):
             mask = sum(1 << p for p in equal)
             assert here[:, mask].sum() == 1 and set(chosen[here[:, mask].argmax()]) <= set(equal)
-            if len(chosen[0]) < 8 - bits:
+            if len(chosen[0]) < same:
                 fine, there = finer(chosen), handled(chosen, True)
                 assert there[:, mask].sum() == 1 and set(fine[there[:, mask].argmax()]) <= set(equal)
     with pytest.raises(ValueError):
-        choices(8)
+        choices(0)
 
 
 def test_the_tally_rejects_pairs_that_meet_in_a_posting():
-    """Three equal bytes bring a pair together; with no fourth it is let go, though only the tally can tell."""
-    here = np.ones((1, 256), bool)
+    """Three equal bytes bring a pair together; with no fourth it is let go, though its bits are near enough."""
+    every = np.ones((1, 256), bool)
     a = np.uint64(0x1122334455667788)
     fp = np.array([a, a ^ np.uint64(0x0101010101000000), a ^ np.uint64(0x0101010100000000)], np.uint64)
     i, j = np.array([0, 0]), np.array([1, 2])
-    assert _linked(fp, i, j, 5, here, i * 0).tolist() == [True, True]
-    assert _linked(fp, i, j, 4, here, i * 0).tolist() == [False, True]
+    assert Rule(3, 5, 5, every, 0).linked(fp, i, j, i * 0)[0].tolist() == [0, 1]
+    assert Rule(4, 5, 5, every, 0).linked(fp, i, j, i * 0)[0].tolist() == [1]
     rng = np.random.default_rng(5)
-    fp = rng.integers(0, 2**63, 3000).astype(np.uint64) & np.uint64(0x0303030303FFFFFF) | np.uint64(0x112233)  # all meet in a posting of three bytes
-    i, j = np.triu_indices(3000, 1)
+    fp = rng.integers(0, 2**63, 2000).astype(np.uint64) & np.uint64(0x0303030303000000) | np.uint64(0x112233)  # all meet in a posting of three bytes
+    i, j = np.triu_indices(2000, 1)
     x = fp[i] ^ fp[j]
     tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    assert 0 < (tally >= 4).sum() < 0.9 * len(tally) and tally.min() < 4
-    assert (_linked(fp, i, j, 4, here, i * 0) == (np.bitwise_count(x) <= 4)).all()
+    assert 0 < (tally >= 4).sum() < 0.9 * len(tally) and tally.min() == 3
+    ok, apart = Rule(4, 9, 9, every, 0).linked(fp, i, j, i * 0)
+    assert (ok == np.flatnonzero((tally >= 4) & (np.bitwise_count(x) <= 9))).all() and (apart == np.bitwise_count(x[ok])).all()
+
+
+@pytest.mark.parametrize("sure", [0, 4])
+def test_links_join_what_all_links_join(sure):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 3)
+    fp = np.array(sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 4), replace=False)) for b in base for _ in range(90)}), np.uint64)
+    rng.shuffle(fp)
+    rule = Rule(4, 4, sure, np.ones((1, 256), bool), 0)
+    near = lambda pairs: [(a, b) for a, b in pairs if (int(fp[a]) ^ int(fp[b])).bit_count() <= 4]
+    i, j = within(fp, np.zeros(len(fp), np.int64), rule)
+    assert near(zip(i, j)) == list(zip(i, j)) and len(i) < len(fp)
+    assert components_of(range(len(fp)), zip(i, j)) == components_of(range(len(fp)), near(combinations(range(len(fp)), 2)))
+    for n in (1, 100, len(fp) - 1):
+        i, j = across(fp, n, np.zeros(len(fp), np.int64), rule)
+        assert near(zip(i, j)) == list(zip(i, j)) and (i < n).all() and (j >= n).all()
+        assert components_of(range(len(fp)), zip(i, j)) == components_of(range(len(fp)), near((a, b) for a in range(n) for b in range(n, len(fp))))
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_documents_against_brute_force(make_docs, texts, block):
+    rng = np.random.default_rng(6)
+    words = [f"v{k}" for k in range(500)]
+    rows = list(enumerate(texts))
+    for k in range(60):  # groups of copies with ever more words changed
+        own = list(rng.choice(words, 150))
+        rows.append((1000 + 10 * k, " ".join(own)))
+        for m in range(1, 5):
+            other = list(own)
+            for at in rng.choice(150, int(rng.integers(1, 5)), replace=False):
+                other[at] = str(rng.choice(words))
+            rows.append((1000 + 10 * k + m, " ".join(other)))
+    rows += [(None, rows[200][1]), (1000, "another text of the same id and nothing else that it shares"), (5000, None)]
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(a, b) for a, b in combinations(range(len(rows)), 2) if alike(sets[a], sets[b]) >= 0.8]
+    got = near_documents(make_docs(rows), block=block).collect()
+    assert len(got) == len(rows)
+    group = {(r.doc_id, r.text_hash): r.component_id for r in got}
+    hashes = [r.h for r in make_docs(rows).sparkSession.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(coalesce(text, '')) AS h").collect()]
+    of = [group[i, h] for (i, _), h in zip(rows, hashes)]
+    root = components_of(range(len(rows)), pairs)
+    assert sum(of[a] == of[b] for a, b in pairs) > 0.95 * len(pairs)
+    assert all(root[a] == root[of_a] for a, of_a in ((k, next(n for n, (i, _) in enumerate(rows) if i == of[k] and root[n] == root[k])) for k in range(len(rows)) if of[k] is not None))
+    kept = [r for r in got if r.kept]
+    assert len({(r.doc_id, r.text_hash) for r in kept}) == len({(r.component_id, r.text_hash if r.component_id == 1000 else 0) for r in kept})
+    assert near_documents(make_docs([])).collect() == []
 
 
 @pytest.mark.parametrize("bits", [2, 5, 6, 7])
@@ -132,10 +166,10 @@ def test_other_limits_against_brute_force(spark, bits):
     rng = np.random.default_rng(bits)
     base = rng.integers(0, 2**62, 8)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 6), replace=False)) for b in base for _ in range(25)})
-    want = plain_components(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits])
+    want = components_of(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits])
     for block in (2048, 4):
         edges = link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), bits, block).collect()
-        assert plain_components(fps, [(r.a, r.b) for r in edges]) == want
+        assert components_of(fps, [(r.a, r.b) for r in edges]) == want
 
 
 def test_tables_in_between_are_dropped(make_docs, texts):

@@ -1,18 +1,17 @@
 """Plain versions that several tests compare with."""
 
-import xxhash
-
 
 def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def fingerprint_of(text):
+def shingles(text, size=5):
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    hashes = [xxhash.xxh64(b" ".join(words[k : k + 4]), seed=42).intdigest() for k in range(max(1, len(words) - 3))]
-    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def alike(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def components_of(nodes, linked):
