@@ -2,8 +2,9 @@
 
 Pieces go, longest first, into the tightest bin that has room and no conflict. Bins are ordered by residual room and
 carry a bitmap of their sources and one of their duplicate clusters; the search for a bin starts at the first with
-enough room and goes on to its successors until the bitmaps allow one. Documents are dealt to shards by hash, so that a
-source with a third of all rows has a third of each shard, and shards are packed apart.
+enough room and goes on to its successors until the bitmaps allow one. Clusters are documents that links of SimHash
+fingerprints join. Documents are dealt to shards by hash, so that a source with a third of all rows has a third of each
+shard, and shards are packed apart.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import components, dropped_after, store, table
+from .simhash import fingerprint, link_fingerprints
 
 CAPACITY = 2_048  # words of a bin
+SHINGLE, BITS = 5, 4  # of the fingerprints that make clusters
 SHARD_ROWS, SHARD_CHARS = 4_096, 32_000_000  # documents and characters that are packed together, about
 _SPANS = re.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int | dict = 1) -> tuple[list[int], int]:
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int = 1) -> tuple[list[int], int]:
     """The bin of each piece, all of 1 to capacity, and how many bins there are. Pieces are placed in the order given.
 
-    per_source is how many documents of a source a bin may hold, of any source or by source. The k-th source bitmap of a
-    bin has the sources of which it holds k documents or more; a source is full in the bitmap of its own number.
+    A bin holds one document of a cluster, and per_source of a source at most: its k-th source bitmap has the sources of
+    which it holds k or more, so a source is full in the last.
     """
     source_bit: dict = {}
     many: dict = {}
@@ -36,11 +39,10 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
         many[c] = many.get(c, 0) + 1
     cluster_bit: dict = {}
     open_bins: list[tuple[int, int]] = []  # residual room, bin
-    limits = per_source if isinstance(per_source, dict) else dict.fromkeys(sources, per_source)
-    maps: list[list[int]] = [[] for _ in range(max(limits.values(), default=1))]
-    cluster_map, out = [], []
+    maps: list[list[int]] = [[] for _ in range(per_source)]
+    full, cluster_map, out = maps[-1], [], []
     for size, source, cluster in zip(sizes, sources, clusters):
-        s, full = 1 << source_bit.setdefault(source, len(source_bit)), maps[limits[source] - 1]
+        s = 1 << source_bit.setdefault(source, len(source_bit))
         c = 1 << cluster_bit.setdefault(cluster, len(cluster_bit)) if many[cluster] > 1 else 0  # a cluster of one conflicts with nothing
         k = bisect_left(open_bins, (size, -1))
         while k < len(open_bins) and (full[open_bins[k][1]] & s or cluster_map[open_bins[k][1]] & c):
@@ -60,51 +62,46 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
     return out, len(cluster_map)
 
 
-def needed_of_each(sizes: list[int], sources: list, capacity: int) -> dict:
-    """For each source the least number of its documents per bin that lets it into as many bins as all pieces fill."""
-    counts: dict = {}
-    for s in sources:
-        counts[s] = counts.get(s, 0) + 1
-    bins = max(1, -(-sum(sizes) // capacity))
-    return {s: -(-n // bins) for s, n in counts.items()}
-
-
-def needed_per_source(sizes: list[int], sources: list, capacity: int) -> int:
-    """What the largest source needs, 1 without pieces."""
-    return max(needed_of_each(sizes, sources, capacity).values(), default=1)
-
-
 def measured(docs: DataFrame, id_col: str, text: str, source: str, cluster: str | None, keep_text: bool) -> DataFrame:
-    """doc_id, source, cluster, n_words of every row, and its text if it is kept."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), (F.col(cluster).cast("string") if cluster else F.lit(None).cast("string")).alias("cluster"), F.col(text).alias("text"))
+    """doc_id, source, cluster, n_words of every row, and its text if it is kept. Without a column cluster it is the component of the row's fingerprint."""
+    columns = [F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster") if cluster else F.lit(None).cast("string").alias("cluster"), F.col(text).alias("text")]
+    docs = docs.select(columns)
+    names = ["doc_id", "source", "cluster", "n_words", "fp", "text"]
 
     def run(batches):
         for b in batches:
-            words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in b.column(3).to_pylist()]
-            own = b.column(2) if cluster else pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words], pa.string())
-            columns = [b.column(0), b.column(1), own, pa.array([len(w) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, b.column(3)] if keep_text else columns, ["doc_id", "source", "cluster", "n_words", "text"][: 4 + keep_text])
+            texts = b.column(3).to_pylist()
+            words = pa.array([len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts], pa.int64())
+            fps = pa.array([None if cluster else fingerprint(t, SHINGLE) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], words, fps, *[b.column(3)] * keep_text], names[: 5 + keep_text])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, source string, cluster string, n_words bigint" + ", text string" * keep_text)
-
-
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, keep_text: bool = False, shard_rows: int = SHARD_ROWS, per_source: int | None = None) -> DataFrame:
+    out = docs.mapInArrow(run, f"doc_id {kind}, source string, cluster string, n_words bigint, fp bigint" + ", text string" * keep_text)
+    if cluster:
+        return out.drop("fp")
+    out, path = store(out, "measured")
+    with dropped_after(docs.sparkSession, keep := [path]):
+        fps, _ = store(out.select("fp").distinct(), "distinct-fingerprints")
+        nodes, path = store(components(link_fingerprints(fps, BITS)), "fingerprint-components")
+        keep.append(path)
+    out = out.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("cluster", F.coalesce("component", "fp").cast("string"))
+    return out.select([n for n in names if n != "fp"][: 4 + keep_text])
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, keep_text: bool = False, shard_rows: int = SHARD_ROWS, per_source: int = 1) -> DataFrame:
     """Pieces of all rows of docs: doc_id, part, start, n_words, bin_id, position, bin_words, and the piece's text if kept.
 
     No bin holds more than capacity words, two documents of a duplicate cluster, or more than per_source of a source.
-    Without per_source that is one, or in a shard where a source has more pieces than there are bins to fill, for this
-    source the least number that lets these in; else it alone would decide how many half-empty bins there are. cluster names
-    a column of cluster ids; without it, texts with the same words but for the case of A-Z are a cluster. A null source
-    or cluster conflicts with nothing. A document of more than capacity words is cut into whole bins and a last piece.
-    start and position count words from the document's and the bin's beginning. Rows without words (null, empty or blank
-    texts) are one piece without a bin. Repeated rows are pieces of a cluster of their own; an empty table gives none;
-    other columns of docs are left aside.
+    cluster names a column of cluster ids; without it, documents are a cluster whose fingerprints, of shingles of five words,
+    links of at most four differing bits join, copies with them. A null source or cluster conflicts with nothing. A
+    document of more than capacity words is cut into whole bins and a last piece. start and position count words from the
+    document's and the bin's beginning. Rows without words (null, empty or blank texts) are one piece without a bin.
+    Repeated rows are pieces of a cluster of their own; an empty table gives none; other columns of docs are left aside.
     """
     rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(F.col(text))), F.lit(0))).first()
     shards = max(1, -(-rows // shard_rows), -(-chars // SHARD_CHARS))
     each = measured(docs, id_col, text, source, cluster, keep_text)
-    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words", "cluster"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -117,8 +114,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         tie = [xxhash.xxh3_64_intdigest(f"{ids[k]} {cluster_of[k]}") for k in last.tolist()]
         last = last[np.lexsort((tie, -rest[last]))].tolist()
         alone = lambda v, k: v if v is not None else ("", k)
-        sizes, owners = [int(rest[k]) for k in last], [alone(source_of[k], k) for k in last]
-        bins, used = best_fit(sizes, owners, [alone(cluster_of[k], k) for k in last], capacity, per_source or needed_of_each(sizes, owners, capacity))
+        bins, used = best_fit([int(rest[k]) for k in last], [alone(source_of[k], k) for k in last], [alone(cluster_of[k], k) for k in last], capacity, per_source)
         row, part, bin_id = [*last], [int(whole[k]) for k in last], [*bins]
         for k in np.flatnonzero(whole).tolist():
             for p in range(int(whole[k])):

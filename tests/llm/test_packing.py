@@ -3,7 +3,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrec.llm.packing import best_fit, needed_of_each, needed_per_source, pack_documents
+from lumenrec.llm.packing import best_fit, pack_documents
+from lumenrec.llm.simhash import fingerprint
+from tests_support import components_of
 
 
 def plain_fit(sizes, sources, clusters, capacity, per_source):
@@ -35,28 +37,35 @@ def test_best_fit_against_brute_force():
             assert best_fit(sizes, sources, clusters, 128, per_source) == plain_fit(sizes, sources, clusters, 128, per_source)
 
 
-def test_a_hot_source_does_not_leave_bins_half_empty(make_docs):
+def test_a_hot_source_keeps_to_its_limit(make_docs):
+    """One document of a source in a bin however many rows it has; more only if the caller says so."""
     rows = [(k, " ".join(f"w{k}.{j}" for j in range(10 + k % 23))) for k in range(900)]
     docs = make_docs(rows, extra=False).withColumn("source", F.expr("IF(doc_id % 2 = 0, 'hot', concat('s', doc_id % 40))"))
     source = {r.doc_id: r.source for r in docs.collect()}
-    for per_source, most in ((None, 3), (1, 1)):
-        bins = defaultdict(list)
-        for r in pack_documents(docs, capacity=100, per_source=per_source).collect():
-            bins[r.bin_id].append(r)
-        held = [max(Counter(source[r.doc_id] for r in rs).values()) for rs in bins.values()]
-        fill = sum(r.n_words for rs in bins.values() for r in rs) / len(bins) / 100
-        assert max(held) <= most and (fill > 0.9 if per_source is None else fill < 0.7)
-    assert needed_per_source([], [], 10) == 1 and needed_per_source([5, 5], ["a", "b"], 10) == 1 and needed_per_source([2] * 5, ["a"] * 5, 10) == 5
+    fills = {}
+    for per_source in (1, 3):
+        got = pack_documents(docs, capacity=100, per_source=per_source).collect()
+        held = Counter((r.bin_id, source[r.doc_id]) for r in got)
+        assert max(held.values()) == per_source
+        fills[per_source] = sum(r.n_words for r in got) / len({r.bin_id for r in got}) / 100
+    assert fills[1] < 0.7 < 0.9 < fills[3]
 
 
-def test_only_the_hot_source_has_several_documents_in_a_bin(make_docs):
-    rows = [(k, " ".join(f"w{k}.{j}" for j in range(10 + k % 23))) for k in range(900)]
-    docs = make_docs(rows, extra=False).withColumn("source", F.expr("IF(doc_id % 3 = 0, 'hot', concat('s', doc_id % 20))"))
-    source = {r.doc_id: r.source for r in docs.collect()}
-    held = Counter((r.bin_id, source[r.doc_id]) for r in pack_documents(docs, capacity=100).collect())
-    assert max(n for (_, s), n in held.items() if s == "hot") == 2
-    assert max(n for (_, s), n in held.items() if s != "hot") == 1
-    assert needed_of_each([2] * 6, ["a"] * 5 + ["b"], 10) == {"a": 3, "b": 1} and needed_of_each([], [], 10) == {}
+@pytest.mark.parametrize("column", [None, "group"])
+def test_near_copies_are_in_different_bins(make_docs, column):
+    rows = []
+    for k in range(40):
+        own = [f"w{k}.{j}" for j in range(120)]
+        rows += [(10 * k + m, " ".join(own[:m] + ["other"] * (m > 0) + own[m + 1 :])) for m in range(4)]
+    docs = make_docs(rows, extra=False).selectExpr("doc_id", "text", "concat('s', doc_id) AS source", "doc_id DIV 10 AS group", "'x' AS fp", "'x' AS node")
+    fps = {i: fingerprint(t, 5) for i, t in rows}
+    root = components_of(fps, [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 4])
+    cluster = root if column is None else {i: i // 10 for i, _ in rows}
+    assert 40 <= len(set(cluster.values())) < 100
+    bins = defaultdict(list)
+    for r in pack_documents(docs, capacity=600, cluster=column).collect():
+        bins[r.bin_id].append(cluster[r.doc_id])
+    assert all(len(set(x)) == len(x) for x in bins.values()) and max(map(len, bins.values())) == 5
 
 
 @pytest.mark.parametrize("shard_rows", [4096, 30])
