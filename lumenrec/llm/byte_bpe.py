@@ -2,14 +2,15 @@
 
 The distinct pieces of a batch are laid into matrices by length, one piece a row. Each round every row merges its
 leftmost pair of least rank; the ranks of pairs are looked up in an open-addressing hash table of numpy arrays, the row
-is closed up, only the two pairs beside the merge are looked up again, and finished rows leave the matrix.
+is closed up, only the two pairs beside the merge are looked up again, and finished rows leave the matrix. A row of more
+than WIDEST bytes is a matrix of its own, and merges its pairs of least rank in one round, from the left up to the first that
+makes a pair which would be next: these are the merges that it would make in as many rounds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import unicodedata
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that never merges
-WIDEST = 256  # bytes of a matrix row; longer pieces are merged through a heap
+WIDEST = 256  # bytes of a row that shares a matrix
 KEPT = 120_000  # pieces that a worker remembers before it starts anew
 
 #: Letters and numbers that Unicode 16 added to those of 15.1. The tiktoken library knows those of 16.
@@ -91,7 +92,6 @@ class Encoder:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs))
         self.pairs = PairTable(left, right, merged.astype(np.int32))
-        self.merge = {(a, b): r for a, b, r in pairs}
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -138,28 +138,30 @@ class Encoder:
                 ranks[x, y] = self.pairs.find(ids[x, y], ids[x, y + 1])
         return out
 
-    def _heap(self, piece: bytes) -> bytes:
-        """The same merges for one long piece, through a heap of (rank, place)."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.merge.get
-        heap = [(m, k) for k in range(n - 1) if (m := get((ids[k], ids[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, k = heapq.heappop(heap)
-            j = nxt[k]
-            if ids[k] < 0 or j >= n or get((ids[k], ids[j])) != rank:
-                continue
-            ids[k], ids[j] = rank, -1
-            nxt[k] = nxt[j]
-            if nxt[k] < n:
-                prev[nxt[k]] = k
-                if (m := get((rank, ids[nxt[k]]))) is not None:
-                    heapq.heappush(heap, (m, k))
-            if (p := prev[k]) >= 0 and (m := get((ids[p], rank))) is not None:
-                heapq.heappush(heap, (m, p))
-        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+    def _wide(self, piece: bytes) -> bytes:
+        """The same merges for one long piece: in each round all its pairs of least rank, of overlapping ones from the left every other."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            n = np.arange(len(at))
+            at = at[(n - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, n, 0))) % 2 == 0]
+            # What stands beside a merge when it is made: on the left what earlier merges left there, on the right what no merge has touched.
+            made = np.full(len(at), best)
+            before = np.where(np.diff(at, prepend=-3) == 2, best, ids[at - 1])
+            sooner = (at > 0) & (self.pairs.find(before, made) <= best)
+            more = np.flatnonzero(at + 2 < len(ids))
+            sooner[more] |= self.pairs.find(made[more], ids[at[more] + 2]) <= best
+            if sooner.any():
+                at = at[: sooner.argmax() + 1]
+            ids[at] = best
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, ranks = ids[stay], ranks[stay[1:]]  # a place after a merged one goes, and with it the rank of the pair that ended there
+            at -= np.arange(len(at))
+            for k in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                ranks[k] = self.pairs.find(ids[k], ids[k + 1])
+        return ids.astype("<u4").tobytes()
 
     def learn(self, pieces) -> None:
         """Encode pieces that are not yet known."""
@@ -169,7 +171,7 @@ class Encoder:
             if (whole := self.ranks.get(data)) is not None:
                 self.known[p] = whole.to_bytes(4, "little")
             elif len(data) > WIDEST:
-                self.known[p] = self._heap(data)
+                self.known[p] = self._wide(data)
             else:
                 groups.setdefault(max(4, 1 << (len(data) - 1).bit_length()), []).append((p, data))
         for width, group in groups.items():
