@@ -40,6 +40,14 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def slopes(sp: np.ndarray, su: np.ndarray, prior: float) -> np.ndarray:
+    """Slope of the risk at the outputs for positives and unlabelled rows whose scores are sp and su; of the rest's negative where that is below zero."""
+    rest = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+    if rest >= 0:
+        return np.concatenate([(prior * (sp - 1) - prior * sp) / len(sp), su / len(su)])
+    return np.concatenate([prior * sp / len(sp), -su / len(su)])
+
+
 class Network:
     """One hidden layer over standardised features, trained by Adam."""
 
@@ -76,14 +84,7 @@ class Network:
                 z = np.concatenate([zp, zu])
                 s = 1 / (1 + np.exp(-np.clip(self.raw(z), -30, 30)))
                 sp, su = s[:batch], s[batch:]
-                if prior is None:
-                    slope = np.concatenate([sp - 1, su]) / (2 * batch)
-                else:
-                    rest = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-                    if rest >= 0:
-                        slope = np.concatenate([prior * (sp - 1) - prior * sp, su]) / batch
-                    else:
-                        slope = np.concatenate([prior * sp, -su]) / batch
+                slope = np.concatenate([sp - 1, su]) / (2 * batch) if prior is None else slopes(sp, su, prior)
                 self.step(z, slope, rate * (0.5 if epoch > epochs * 0.6 else 1) * (0.2 if epoch > epochs * 0.85 else 1), decay)
         return self
 
@@ -128,7 +129,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: int, positives: int, unlabelled: int) -> Model:
-    """docs: doc_id, text."""
+    """docs: doc_id, text. Learns from at most so many ids with label 1 and about so many ids of all; of several rows of an id, from the text of least hash."""
     good = labelled(labels, column, parts, held_out, positives, only=1)
     share = min(1.0, unlabelled / max(1, docs.count()))
     drawn = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -138,9 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: i
     def run(batches):
         for b in batches:
             x = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "p", "u", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "p", "u", "h", "x"])
 
-    got = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, p boolean, u boolean, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * (positives + unlabelled)).collect()
+    made = rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, p boolean, u boolean, h bigint, x array<double>")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("h", "x", "p", "u")).alias("r")).select("doc_id", "r.*").collect()
+    got.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
     take = lambda rows: np.array([r.x for r in rows]).reshape(-1, len(NAMES))
     half = lambda rows: np.array([zlib.crc32(str(r.doc_id).encode()) >> 8 & 1 for r in rows], np.int64)
     p, u = [r for r in got if r.p], [r for r in got if r.u]

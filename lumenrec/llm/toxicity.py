@@ -2,7 +2,9 @@
 
 The features are densities of a fixed and of a learned lexicon, lexicon words near a second person, capitals,
 punctuation, and obfuscated or stretched spellings. The learned lexicon holds words and word beginnings that labelled
-toxic rows use far more than others. Lexicon, trees and calibration come from a bounded sample of labelled rows.
+toxic rows use far more than others. Lexicon, trees and calibration come from a bounded sample of labelled rows, dealt to
+parts: the features that trees learn from, and the scores that calibration learns from, are each those of a row whose own
+part taught nothing.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import drop, fold, store, table
 from .training import labelled
 
 SAMPLE = 20_000  # labelled rows that are learned from, at most
 TERMS = 4_000  # entries of the learned lexicon, at most
 NEAR = 4  # words between a lexicon word and a second person
+PARTS = 3  # of the sample
 
 #: Common insults of four languages, and words for the second person.
 INSULTS = frozenset(
@@ -41,7 +44,7 @@ NAMES = ("fixed", "learned", "weight", "strongest", "hits", "near", "second", "m
 
 def terms_of(text: str | None) -> set[str]:
     """Words of a text and, marked by a final -, their beginnings of 4 to 6 letters."""
-    words = {w for w in _WORDS((text or "").lower()) if len(w) < 40}
+    words = set(_WORDS((text or "").lower()))
     return words | {w[:k] + "-" for w in words for k in (4, 5, 6) if len(w) >= k}
 
 
@@ -153,15 +156,17 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration. Without both classes in the sample it gives the share of label 1, 0 if none."""
+    """Lexicon, trees and calibration. Without both classes in the sample it gives the share of label 1, 0 if none.
 
-    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray):
+    x: features of the sample's rows, each by the lexicon of the other parts; part: which part a row is of.
+    """
+
+    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, part: np.ndarray):
         self.lexicon, self.base, self.trees = lexicon, float(y.mean()) if len(y) else 0.0, None
-        if 0 < self.base < 1 and min(y.sum(), len(y) - y.sum()) >= 3:
-            parts = np.arange(len(y)) % 3  # rows come in hash order
+        if 0 < self.base < 1 and min(y.sum(), len(y) - y.sum()) >= PARTS:
             raw = np.zeros(len(y))
-            for k in range(3):
-                raw[parts == k] = Boosted().fit(x[parts != k], y[parts != k]).raw(x[parts == k])
+            for k in np.unique(part).tolist():
+                raw[part == k] = Boosted().fit(x[part != k], y[part != k]).raw(x[part == k])
             self.knots = isotonic(raw, y)
             self.trees = Boosted().fit(x, y)
 
@@ -173,42 +178,60 @@ class Model:
         return np.clip(0.999 * np.interp(raw, *self.knots) + 0.001 * spread, 0, 1)
 
 
-def learn_lexicon(rows: DataFrame, limit: int = TERMS) -> dict[str, float]:
-    """Log odds of the terms that say most about rows (text, _label): by a likelihood ratio that chance alone would not reach among so many terms."""
+def learn_lexicons(rows: DataFrame, limit: int = TERMS) -> list[dict[str, float]]:
+    """Log odds of the terms that say most about rows (text, _label, _part): for each part by the other parts, and last by all.
+
+    A term is in if its likelihood ratio is one that chance alone would not reach among so many terms.
+    """
 
     def run(batches):
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+        found = [(Counter(), Counter()) for _ in range(PARTS)]
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[label == 1].update(terms_of(text))
-        names = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[1][t] for t in names], pa.int64()), pa.array([found[0][t] for t in names], pa.int64())], ["term", "bad", "good"])
-
-    ones, n = rows.agg(F.sum("_label"), F.count("*")).first()
-    if not n or not ones or ones == n:
-        return {}
-    base = ones / n
-    terms = rows.select("text", "_label").mapInArrow(run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    terms = terms.where("bad >= 3").withColumn("p", (F.col("bad") + 0.5 * base) / (F.col("bad") + F.col("good") + 0.5))
-    rest = F.greatest(1 - F.col("p"), F.lit(1e-9))
-    ratio = F.col("bad") * F.log(F.col("p") / base) + F.when(F.col("good") > 0, F.col("good") * F.log(rest / (1 - base))).otherwise(0.0)
-    top = terms.withColumn("r", ratio).where((F.col("p") > 2 * base) & (F.col("r") > math.log(50 * n))).orderBy(F.desc("r"), "term").limit(limit)
-    return {t: math.log((bad + 0.5) / (good + 0.5) * (1 - base) / base) for t, bad, good in top.select("term", "bad", "good").collect()}
+            for text, label, part in zip(*(b.column(k).to_pylist() for k in range(3))):
+                found[part][label == 1].update(terms_of(text))
+        for part, (good, bad) in enumerate(found):
+            names = list(good.keys() | bad.keys())
+            columns = [pa.array(names, pa.string()), *([pa.array([own[t] if k == part else 0 for t in names], pa.int64()) for k in range(PARTS) for own in (bad, good)])]
+            yield pa.RecordBatch.from_arrays(columns, ["term", *each])
+
+    each = [f"{c}{k}" for k in range(PARTS) for c in ("bad", "good")]
+    sums = rows.agg(F.count("*"), *[F.count_if((F.col("_part") == k) & (F.col("_label") == label)) for k in range(PARTS) for label in (1, 0)]).first()[1:]
+    counted = rows.select("text", "_label", "_part").mapInArrow(run, "term string, " + ", ".join(f"{c} bigint" for c in each)).groupBy("term").agg(*[F.sum(c).alias(c) for c in each])
+    counted, path = store(counted.where(" + ".join(each[::2]) + " >= 3"), "terms")
+    out = []
+    for left_out in [*range(PARTS), None]:
+        parts = [k for k in range(PARTS) if k != left_out]
+        ones, n = sum(sums[2 * k] for k in parts), sum(sums[2 * k] + sums[2 * k + 1] for k in parts)
+        if not ones or ones == n:
+            out.append({})
+            continue
+        base = ones / n
+        terms = counted.select("term", *[sum((F.col(f"{c}{k}") for k in parts), F.lit(0)).alias(c) for c in ("bad", "good")])
+        terms = terms.where("bad >= 3").withColumn("p", (F.col("bad") + 0.5 * base) / (F.col("bad") + F.col("good") + 0.5))
+        rest = F.greatest(1 - F.col("p"), F.lit(1e-9))
+        ratio = F.col("bad") * F.log(F.col("p") / base) + F.when(F.col("good") > 0, F.col("good") * F.log(rest / (1 - base))).otherwise(0.0)
+        top = terms.withColumn("r", ratio).where((F.col("p") > 2 * base) & (F.col("r") > math.log(50 * n))).orderBy(F.desc("r"), "term").limit(limit)
+        out.append({t: math.log((bad + 0.5) / (good + 0.5) * (1 - base) / base) for t, bad, good in top.select("term", "bad", "good").collect()})
+    drop(rows.sparkSession, path)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: int, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text. Learns from at most sample labelled rows outside the held-out fold."""
+    """docs: doc_id, text. Learns from at most sample labelled ids outside the held-out fold; of several rows of an id, from the text of least hash."""
     chosen = labelled(labels, column, parts, held_out, sample)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("doc_id", "text", "_label")
-    lexicon = learn_lexicon(rows)
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "_label")).alias("r"))
+    rows, path = store(rows.select("doc_id", "r.text", "r._label", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("_part")), "labelled")
+    *others, lexicon = learn_lexicons(rows)
 
     def run(batches):
         for b in batches:
-            x = [features(t, lexicon) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "_label", "x"])
+            x = [features(t, others[p]) for t, p in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "_label", "_part", "x"])
 
-    got = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, _label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
-    return Model(lexicon, np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r._label for r in got], float))
+    got = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, _label int, _part int, x array<double>").collect()
+    drop(docs.sparkSession, path)
+    got.sort(key=lambda r: str(r.doc_id))
+    return Model(lexicon, np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r._label for r in got], float), np.array([r._part for r in got], int))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", column: str = "toxic", parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> DataFrame:
