@@ -1,7 +1,11 @@
 import re
+from urllib.parse import urljoin
+
+import duckdb
+from pyspark.sql import functions as F
 
 from lumenrec.llm.common import components
-from lumenrec.llm.url_filter import RULES, alias_edges, filter_urls
+from lumenrec.llm.url_filter import OP8_SQL, RULES, _key, _resolved, alias_edges, filter_urls
 
 PAGES = "page_id long, url string, html string, host string, path string, rule string, component string"
 
@@ -69,3 +73,55 @@ def test_components(spark):
     want = {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1200)} | {2000: 2000, 2001: 2000}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+#: The examples of RFC 3986, section 5.4, from http://a/b/c/d;p?q, but for those whose scheme has no authority.
+RFC = {
+    "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q", "g#s": "/b/c/g", "g?y#s": "/b/c/g?y", ";x": "/b/c/;x", "g;x": "/b/c/g;x", "g;x?y#s": "/b/c/g;x?y",
+    ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../": "/", "../../g": "/g", "../../../g": "/g", "../../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", ".g": "/b/c/.g", "g..": "/b/c/g..",
+    "..g": "/b/c/..g", "./../g": "/b/g", "./g/.": "/b/c/g/", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "g;x=1/./y": "/b/c/g;x=1/y", "g;x=1/../y": "/b/c/y", "g?y/./x": "/b/c/g?y/./x", "g?y/../x": "/b/c/g?y/../x", "g#s/../x": "/b/c/g",
+}
+
+
+def test_links_are_resolved_as_the_standard_has_it(spark):
+    base = "http://a/b/c/d;p?q"
+    rows = spark.createDataFrame([(base, k) for k in [*RFC, "//g", "//G:80/x", "http://H:443", "https://h:443/./", ""]], "base string, link string")
+    got = {r.link: r.k for r in rows.select("link", _key(_resolved(F.col("base"), F.col("link"))).alias("k")).collect()}
+    assert got == {k: "http://a" + v for k, v in RFC.items()} | {"//g": "http://g/", "//G:80/x": "http://g/x", "http://H:443": "http://h:443/", "https://h:443/./": "https://h/", "": None}
+    assert all(urljoin(base, k).split("#")[0] == "http://a" + v for k, v in RFC.items())
+
+
+LINKED = [
+    ("http://one.example.edu/a/b", '<base href="/x/"><link rel="canonical" href="../y">', "http://one.example.edu/y"),
+    ("http://two.example.edu/a/b", "<LINK REL=canonical HREF=?x=1>", "http://two.example.edu/a/b?x=1"),
+    ("http://three.example.edu/a/b?q", '<link rel="canonical" href="#f">', "http://three.example.edu/a/b?q"),
+    ("http://four.example.edu/a", '<link rel="next canonical" href="http&#58;//spam.net&#x2F;q?a=1&amp;b=2">', "http://spam.net/q?a=1&b=2"),
+    ("http://five.example.edu/", "<meta http-equiv=refresh content='3; URL=\"  c/../d\"'>", "http://five.example.edu/d"),
+    ("http://six.example.edu", '<base target=x><base href="//other.net"><link href=" z " rel=canonical>', "http://other.net/z"),
+    ("http://seven.example.edu/q", '<link rel="stylesheet" href="/s"><link rel="canonicals" href="/t"><meta http-equiv="refresh" content="5">', None),
+    ("http://eight.example.edu/q", '<link rel="canonical" href="mailto:x@y.net">', None),
+    ("http://nine.example.edu/q", None, None),
+]
+
+
+def test_links_of_pages(spark):
+    rows = spark.createDataFrame([(k, u, h, "x", "x", "x", "x") for k, (u, h, _) in enumerate(LINKED)], PAGES)
+    got = {r.src: r.k for r in alias_edges(rows).select("src", _key(F.col("dst")).alias("k")).collect()}
+    assert {u: got.get(u) for u, _, _ in LINKED} == {u: k for u, _, k in LINKED}
+
+
+def test_sql_on_pages_with_links(spark, tmp_path):
+    """The SQL resolves links in its own way; both agree on pages that have them."""
+    pages = [(u, h) for u, h, _ in LINKED] + [(k, None) for _, _, k in LINKED if k]
+    pages += [(f"http://r{n}.example.edu/b/c/d;p?q", canonical(link.replace("/g", "/de/g"))) for n, link in enumerate(RFC)]
+    pages += [(f"http://r{n}.example.edu/b/g", canonical(f"//hub{n % 5}.example.edu/./")) for n in range(len(RFC))]
+    pages += [(f"http://hub{n}.example.edu", canonical(["http://x.net/", "http://example.com/de/", "http://fr.org/fr/a", "", "http://EXAMPLE.COM:80/a/../de/x"][n])) for n in range(5)]
+    pages += [(u, canonical("http://hub0.example.edu/")) for u in URLS]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted(tuple(r[c] for c in columns) for r in filter_urls(df).collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({OP8_SQL})").fetchall())
+    assert sum(r[3] is None and r[4] == "block" for r in got) > 8
