@@ -2,14 +2,15 @@
 
 Every word is a context restaurant whose customers are the words that follow it; all of them share one parent, the
 restaurant of single words, over a uniform base. Seatings are drawn by Gibbs: a sweep draws the tables of a dish anew
-given the seating of everything else as it stood before the sweep, from the exact conditional of the number of tables.
-Several seatings start from one table a dish and are swept on their own, each sweep from the tables of the one before.
-Predictive probabilities are averaged over the seatings after the last sweep.
+given the seating of everything else as it stood before the sweep, from the exact conditional of the number of tables, and
+then the discount and the strength of each level given the seating. The chain starts from one table a dish; after the
+first sweeps, which are let go, predictive probabilities are averaged over the states of the later ones.
 
 The model is as large as the corpus and never in one place. Packs of tokenised documents ask shards for the counts of
-their words and word pairs; of the packs that hold a pair one owns it and reports its tables to the shards of its two
-words. Draws depend on nothing but the pair, its tables and the shared state, so all packs seat a pair alike without
-being told. From sweep to sweep each pack carries the tables of its pairs along.
+their words and word pairs. Of the packs that hold a pair one owns it and seats it; only pairs that occur twice can have
+more than one table, so sweeps pass over these alone. Owners report tables to the shards of the two words of a pair, which
+seat the parent and answer with what the next sweep has to know. After the last sweep owners tell the shards of pairs,
+and these all packs, what the scores need. Draws depend on nothing but the pair or word and the state before the sweep.
 """
 
 from __future__ import annotations
@@ -26,17 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, fold, store, table
-from .packs import ASKED, ask, batch, by_shard, in_order, pack_rows, shards_for, told, trim
+from .common import drop, dropped_after, fold, store, table
+from .packs import ASKED, ask_rows, batch, by_shard, in_order, pack_rows, shards_for, told, trim
 
-SAMPLES, EXACT = 3, 32  # seatings that are averaged; customers of a dish up to which all numbers of tables are weighed
-ROWS, WIDE = 4096, 512  # customers and tables up to which ways come from the recursion; beyond, from integrals
+EXACT = 32  # customers of a dish up to which all numbers of tables are weighed
+ROWS, WIDE = 1024, 256  # customers and tables up to which ways come from the recursion; beyond, from integrals
 NODES, CACHED = 48, 1 << 22  # of an integral; numbers of ways that a worker keeps
-SWEEPS = 5  # of each seating; the tables beyond one a pair grow for about so many from the start
-STRENGTH = 1.0  # of both levels; their discounts come from the counts of words and pairs seen once and twice
+BURN_IN, KEPT = 4, 3  # sweeps whose states are let go, and those whose states are averaged
+FINE = 1.02  # ratio of the steps in which numbers over EXACT enter the draws of discounts and strengths
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b"\n"))  # no word is empty or blank
-PAIR_BITS = np.uint64(2**64 - 2**8)  # of a pair's hash; 56 bits travel as one byte less than 64
 PACK = 4_000_000  # characters of a pack
+FACTS, STATE = -1, -2  # in place of a pack's number: what a shard says of itself, and what it tells itself for the next sweep
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,15 +76,22 @@ def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
 _stirling: dict[float, np.ndarray] = {}
 
 
+def recursion(d: float, rows: int, wide: int) -> np.ndarray:
+    """log S[c, t]: ways to seat c customers at t tables under discount d, weighed by their sizes; c up to rows, t up to wide."""
+    s = np.full((rows + 1, wide + 1), -np.inf)
+    s[1, 1], t = 0, np.arange(1, wide + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, rows):
+            s[c + 1, 1:] = np.logaddexp(s[c, :-1], np.log(np.maximum(c - d * t, 0)) + s[c, 1:])
+    return s
+
+
 def stirling(d: float) -> np.ndarray:
-    """log S[c, t]: ways to seat c customers at t tables under discount d, weighed by their sizes; c up to ROWS, t up to WIDE."""
+    """recursion() up to ROWS and WIDE, kept for the last few discounts."""
     if d not in _stirling:
-        s = np.full((ROWS + 1, WIDE + 1), -np.inf)
-        s[1, 1], t = 0, np.arange(1, WIDE + 1)
-        with np.errstate(divide="ignore"):
-            for c in range(1, ROWS):
-                s[c + 1, 1:] = np.logaddexp(s[c, :-1], np.log(np.maximum(c - d * t, 0)) + s[c, 1:])
-        _stirling[d] = s
+        if len(_stirling) > 3:
+            _stirling.clear()
+        _stirling[d] = recursion(d, ROWS, WIDE)
     return _stirling[d]
 
 
@@ -142,21 +150,6 @@ def log_ways(c: np.ndarray, size: int, d: float) -> np.ndarray:
     return np.array([_ways[d, n][:size] for n in c.tolist()])
 
 
-def poisson(rate: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Poisson numbers from uniform ones: by inversion below a rate of 30, by the normal distribution from there on."""
-    out = np.maximum(0, np.rint(rate + np.sqrt(rate) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)))
-    few = np.flatnonzero(rate < 30)
-    r, u, k = rate[few], u[few], 0
-    p = np.exp(-r)
-    total, out[few] = p.copy(), 0
-    while len(few := few[more := u > total]) and k < 200:
-        r, u, k = r[more], u[more], k + 1
-        p = p[more] * r / k
-        total = total[more] + p
-        out[few] = k
-    return out.astype(np.int64)
-
-
 def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, strength: float, keys: np.ndarray, draws: list[int]) -> list[np.ndarray]:
     """For each draw, the tables of dishes of c customers, given the restaurant's others tables and the dish's parent probability.
 
@@ -204,8 +197,94 @@ def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, stre
     return out
 
 
+def bucket(x: np.ndarray) -> np.ndarray:
+    """Numbers up to EXACT as they are, larger ones by steps of FINE."""
+    x = np.asarray(x)
+    return np.where(x <= EXACT, x, EXACT + np.rint(np.log(np.maximum(x, 1) / EXACT) / np.log(FINE))).astype(np.int64)
+
+
+def unbucket(b: np.ndarray) -> np.ndarray:
+    return np.where(b <= EXACT, b, np.rint(EXACT * FINE ** (b - EXACT).astype(np.float64))).astype(np.int64)
+
+
+def tallied(*values: np.ndarray) -> dict[tuple, int]:
+    """How often each combination of buckets occurs."""
+    if not len(values[0]):
+        return {}
+    rows, n = np.unique(np.stack([bucket(v) for v in values], 1), axis=0, return_counts=True)
+    return dict(zip(map(tuple, rows.tolist()), n.tolist()))
+
+
+def added(parts) -> dict:
+    """The sum of numbers, or of tallies, under each name of the dictionaries parts."""
+    out: dict = {}
+    for part in parts:
+        for name, x in part.items():
+            if isinstance(x, dict):
+                own = out.setdefault(name, {})
+                for k, n in x.items():
+                    own[k] = own.get(k, 0) + n
+            else:
+                out[name] = out.get(name, 0) + x
+    return out
+
+
+def log_seating(dishes: dict[tuple, int], seats: dict[tuple, int], customers: dict[tuple, int]):
+    """The log probability of a level's seating as a function of discount and strength.
+
+    dishes: tally of (customers, tables) of a dish; seats and customers: of the tables and the customers of a restaurant.
+    """
+
+    def arrays(tally: dict[tuple, int], width: int) -> list[np.ndarray]:
+        rows = np.array([(*k, n) for k, n in tally.items() if k[0] > 0], np.int64).reshape(-1, width + 1)
+        return [*unbucket(rows[:, :-1]).T, rows[:, -1].astype(np.float64)]
+
+    (c, t, dish_n), (seat, seat_n), (guest, guest_n) = arrays(dishes, 2), arrays(seats, 1), arrays(customers, 1)
+    t = np.minimum(t, c)
+    gamma = np.vectorize(lgamma, otypes=[float])
+
+    def ways(d: float) -> float:
+        out, small = np.zeros(len(c)), c <= EXACT
+        out[small] = recursion(d, EXACT, EXACT)[c[small], t[small]]
+        one_less = ~small & (t == c - 1)
+        out[one_less] = np.log((1 - d) * c[one_less] * (c[one_less] - 1.0) / 2)
+        rest = np.flatnonzero(~small & (t < c - 1))
+        for k in range(0, len(rest), 1 << 14):
+            x, y = (v[rest[k : k + (1 << 14)]].astype(np.float64) for v in (c, t))
+            out[rest[k : k + (1 << 14)]] = _integral(x, y, d) + gamma(x + 1) - gamma(y + 1)
+        return float(dish_n @ out)
+
+    def opened(d: float, strength: float) -> float:
+        tables = seat_n @ ((seat - 1) * np.log(d) + gamma(strength / d + seat) - lgamma(strength / d + 1)) if len(seat) else 0.0
+        return float(tables - (guest_n @ (gamma(strength + guest) - lgamma(strength + 1)) if len(guest) else 0.0))
+
+    return ways, opened
+
+
+def drawn_from(log_p, low: float, high: float, coin: float, steps: int = 17, rounds: int = 3) -> float:
+    """A number drawn from a density with one peak, over a grid that closes in on the peak."""
+    for k in range(rounds):
+        x = np.linspace(low, high, steps)
+        p = np.array([log_p(v) for v in x])
+        if k < rounds - 1:
+            best = int(p.argmax())
+            low, high = x[max(0, best - 1)], x[min(steps - 1, best + 1)]
+    p = np.cumsum(np.exp(p - p.max()))
+    return float(x[int(np.searchsorted(p, coin * p[-1]))])
+
+
+def hyperparameters(d: float, strength: float, dishes: dict, seats: dict, customers: dict, draw: int) -> tuple[float, float]:
+    """Discount and strength of a level, each drawn given the other and the seating; as they were where there is no customer."""
+    if not any(k[0] for k in customers):
+        return d, strength
+    ways, opened = log_seating(dishes, seats, customers)
+    coins = uniform(np.arange(2, dtype=np.uint64), 1000 + draw)
+    d = drawn_from(lambda x: ways(x) + opened(x, strength), 0.02, 0.98, coins[0])
+    return d, float(np.exp(drawn_from(lambda x: opened(d, np.exp(x)), np.log(0.01), np.log(1e5), coins[1])))
+
+
 class Tokens:
-    """The documents of a pack as numbers: distinct keys in order, which of them each token and its context are."""
+    """The documents of a pack as numbers: distinct keys in order, and the distinct pairs of a context and a token, in the order of their words."""
 
     def __init__(self, body: bytes):
         keys, ids, sizes, train = pickle.loads(body)
@@ -215,14 +294,11 @@ class Tokens:
         self.firsts = np.cumsum(self.sizes) - self.sizes
         before = np.r_[0, self.ids[:-1]][: len(self.ids)]
         before[self.firsts] = np.searchsorted(self.keys, START)
-        code, which = np.unique(before * len(self.keys) + self.ids, return_inverse=True)
-        u, w = np.divmod(code, len(self.keys))
-        pairs = mixed(self.keys[u], self.keys[w]) & PAIR_BITS
-        order = np.argsort(pairs, kind="stable")
-        self.pairs, self.u, self.w = pairs[order], u[order], w[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.which = place[which]
+        code, self.which = np.unique(before * len(self.keys) + self.ids, return_inverse=True)
+        self.u, self.w = np.divmod(code, len(self.keys))
+        hashes = mixed(self.keys[self.u], self.keys[self.w])
+        self.order = np.argsort(hashes, kind="stable")  # of the pairs, by hash
+        self.hashes = hashes[self.order]
 
     @staticmethod
     def body(texts: list[bytes], train: list[bool]) -> bytes:
@@ -241,250 +317,332 @@ def _tokenised(rows: pa.Table) -> bytes:
 
 
 def _each(function):
-    """Batches of (pack, body, ..., answers) as calls of function(number, tokens, answers by shard)."""
+    """Each row as a call of function(number, row as a dictionary, answers by shard)."""
 
     def run(batches):
         for b in batches:
-            answers = b.column("answers").to_pylist() if "answers" in b.schema.names else [None] * b.num_rows
-            for k, (number, body) in enumerate(zip(b.column("pack").to_pylist(), b.column("body").to_pylist())):
-                yield from function(number, Tokens(body), {s: pickle.loads(a) for s, a in in_order(answers[k]).items()}, b.slice(k, 1))
+            for k in range(b.num_rows):
+                (row,) = b.slice(k, 1).to_pylist()
+                yield from function(row["pack"], row, {s: pickle.loads(a) for s, a in in_order(row.get("answers")).items()})
                 trim()
 
     return run
 
 
 def _ask_counts(shards: int):
-    def ask_counts(number, tokens, answers, row):
+    def ask_counts(number, row, answers):
+        tokens = Tokens(row["body"])
         words = np.bincount(tokens.ids[tokens.in_train], minlength=len(tokens.keys))
         words[np.searchsorted(tokens.keys, START)] = int(tokens.train.sum())
-        pairs = np.bincount(tokens.which[tokens.in_train], minlength=len(tokens.pairs))
+        pairs = np.bincount(tokens.which[tokens.in_train], minlength=len(tokens.u))[tokens.order]
         out = []
-        for first, keys, counts, low in ((0, tokens.keys, words, 0), (shards, tokens.pairs, pairs, 8)):
+        for first, keys, counts in ((0, tokens.keys, words), (shards, tokens.hashes, pairs)):
             full, bounds = by_shard(keys, shards)
-            out += [(first + k, pickle.dumps((squeeze_sorted(keys[a:b] >> np.uint64(low)), squeeze(counts[a:b])))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
+            out += [(first + k, pickle.dumps((squeeze_sorted(keys[a:b]), squeeze(counts[a:b])))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
         yield batch(ASKED, [k for k, _ in out], [number] * len(out), [d for _, d in out])
 
     return _each(ask_counts)
 
 
 def _counts(shards: int):
-    """Of words: counts and ranks in the shard. Of pairs: counts, and a bit for the pack that owns the pair."""
+    """Of words: counts and ranks in the shard, and all counts for later. Of pairs: counts, and a bit for the pack that owns the pair."""
 
-    def handle(shard: int, asked: list[bytes]) -> tuple[list[bytes], bytes]:
+    def handle(shard: int, packs: list[int], asked: list[bytes]) -> list[tuple[int, bytes]]:
         parts = [pickle.loads(a) for a in asked]
         keys = [expand_sorted(k) for k, _ in parts]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         c = np.bincount(which, np.concatenate([expand(n) for _, n in parts]), len(every)).astype(np.int64)
         words = c[every != START] if shard < shards else c
-        stats = {"pairs": shard >= shards, "total": int(words.sum()), "distinct": int((words > 0).sum()), "once": int((words == 1).sum()), "twice": int((words == 2).sum())}
+        kind = "word" if shard < shards else "pair"
+        facts = {f"{kind}_total": int(words.sum()), f"{kind}_distinct": int((words > 0).sum()), f"{kind}_once": int((words == 1).sum()), f"{kind}_twice": int((words == 2).sum())}
         if shard < shards:
-            return [pickle.dumps((squeeze(c[w]), squeeze_sorted(w))) for w in np.split(which, cuts)], pickle.dumps(stats)
+            out = [pickle.dumps((squeeze(c[w]), squeeze_sorted(w))) for w in np.split(which, cuts)]
+            return [*zip(packs, out), (FACTS, pickle.dumps(facts | {"guests": tallied(c[(c > 0) & (every != END)])})), (STATE, pickle.dumps([squeeze(c)]))]
         owned = np.zeros(len(which), bool)
         owned[first] = True
-        return [pickle.dumps((squeeze(c[w]), np.packbits(o).tobytes())) for w, o in zip(np.split(which, cuts), np.split(owned, cuts))], pickle.dumps(stats)
+        out = [pickle.dumps((squeeze(c[w]), np.packbits(o).tobytes())) for w, o in zip(np.split(which, cuts), np.split(owned, cuts))]
+        return [*zip(packs, out), (FACTS, pickle.dumps(facts))]
 
     return handle
 
 
-class Known:
-    """What a pack has been told: counts of its words and pairs, the pairs it owns, and word facts of later rounds."""
+LEARNT = "pack bigint, rows binary, known binary, part binary, base binary"
 
-    def __init__(self, tokens: Tokens, answers: dict, shards: int):
-        self.present = sorted(k for k in answers if k < shards)
-        words = [answers[k] for k in self.present]
-        pairs = [answers[k] for k in sorted(answers) if shards <= k < 2 * shards]
-        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-        self.ranks = [w[1] for w in words]
-        self.c_word = join([expand(w[0]) for w in words])
-        counts = [expand(p[0]) for p in pairs]
-        self.c_pair = join(counts)
-        self.owned = join([np.unpackbits(np.frombuffer(p[1], np.uint8), count=len(n)) for p, n in zip(pairs, counts)]).astype(bool)
-        self.bounds = by_shard(tokens.keys, shards)[1]
 
-    @staticmethod
-    def facts(answers: dict, first: int, shards: int) -> list[np.ndarray]:
-        """Arrays over the pack's words, from the answers of one round."""
-        parts = [[expand(x) for x in answers[k]] for k in sorted(answers) if first <= k < first + shards]
-        return [np.concatenate(x).astype(np.int64) for x in zip(*parts)]
+def _learn(shards: int, model: dict):
+    """From the counts: rows, all of a document but its score; known, what scores need; part, the pairs to seat; base, for the shards of words.
 
-    def report(self, number: int, per_word: list[np.ndarray]) -> pa.RecordBatch:
-        """Asks the word shards to add up arrays over the pack's words."""
-        rows = []
-        for ranks, a, b in zip(self.ranks, self.bounds[:-1], self.bounds[1:]):
-            rows.append(pickle.dumps((ranks, [squeeze(x[a:b]) for x in per_word])))
-        return batch(ASKED, self.present, [number] * len(rows), rows)
+    base has, by shard, tables of the pairs that the pack owns when each has one, by context and by word, and the words in part.
+    """
 
+    def learn(number, row, answers):
+        tokens = Tokens(row["body"])
+        present = sorted(k for k in answers if k < shards)
+        c_word = np.concatenate([expand(answers[k][0]) for k in present]).astype(np.int64)
+        ranks = [expand_sorted(answers[k][1]) for k in present]
+        pairs = [answers[k] for k in sorted(answers) if k >= shards]
+        counts = [expand(c) for c, _ in pairs]
+        c_pair, owned = np.empty(len(tokens.u), np.int64), np.empty(len(tokens.u), bool)
+        c_pair[tokens.order] = np.concatenate(counts).astype(np.int64)
+        owned[tokens.order] = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)) for (_, o), c in zip(pairs, counts)]).astype(bool)
+
+        base = np.log10((c_word + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1)))
+        add = lambda x: np.add.reduceat(x, tokens.firsts) if len(tokens.firsts) else np.empty(0)
+        docs = pa.ipc.open_stream(row["rows"]).read_all()
+        docs = pa.table({
+            "doc_id": docs.column("doc_id"), "held_out": pa.array(~tokens.train), "n_tokens": pa.array(tokens.sizes), "n_known": pa.array(add((c_word > 0)[tokens.ids].astype(np.int64)).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(tokens.sizes), model["total"], np.int64)), "base_score": pa.array(add(base[tokens.ids]).astype(np.float64)),
+        })
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        known = pickle.dumps((squeeze(tokens.sizes), squeeze(tokens.which), squeeze_sorted(tokens.u), squeeze(tokens.w), squeeze(c_pair), squeeze(c_word), squeeze_sorted(tokens.keys), [(k, answers[k][1]) for k in present]))
+
+        many = np.flatnonzero(owned & (c_pair > 1))  # one customer has one table
+        words, place = np.unique(np.r_[tokens.u[many], tokens.w[many]], return_inverse=True)
+        bounds = np.cumsum([0, *map(len, ranks)])
+        cuts = np.searchsorted(words, bounds)
+        every = np.concatenate(ranks)
+        mine = {k: squeeze_sorted(every[words[a:b]]) for k, a, b in zip(present, cuts[:-1], cuts[1:]) if b > a}
+        part = pickle.dumps((squeeze(place[: len(many)]), squeeze(place[len(many) :]), squeeze(c_pair[many]), squeeze_sorted(tokens.keys[words]), mine))
+        own = owned & (c_pair > 0)
+        sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (tokens.u, tokens.w)]
+        first = [(k, pickle.dumps((squeeze_sorted(r), [squeeze(x[a:b]) for x in sums], mine.get(k)))) for k, r, a, b in zip(present, ranks, bounds[:-1], bounds[1:])]
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, sink.getvalue().to_pybytes(), known, part, pickle.dumps(first)), kinds)], ["pack", "rows", "known", "part", "base"])
 
-def _first_tables(shards: int):
-    """One table for each pair that training has: the state before the sweep."""
+    return _each(learn)
 
-    def report(number, tokens, answers, row):
-        known = Known(tokens, answers, shards)
-        own = known.owned & (known.c_pair > 0)
-        yield known.report(number, [np.bincount(x[own], minlength=len(tokens.keys)) for x in (tokens.u, tokens.w)])
 
-    return _each(report)
+def _base(number, row, answers):
+    own = pickle.loads(row["base"])
+    yield batch(ASKED, [k for k, _ in own], [number] * len(own), [d for _, d in own])
 
 
-def _seated(shards: int, model: dict, totals: dict | None, sweep: int):
-    """Adds up tables by context and by word, and seats the words in the parent; answers with sums and the parent's tables.
+class Part:
+    """The pairs that a pack owns and that occur twice: words as numbers of the part's words, customers, keys of the draws."""
 
-    The first two arrays are of one table a pair; for each seating two more add the tables beyond. Without seatings the
-    first two are answered with; else those beyond, since packs know the others from the first round. After these come
-    the parent's tables of each word before the sweep. What is sent to shards of their own goes back as it came.
-    """
+    def __init__(self, data: bytes):
+        u, w, c, keys, self.ranks = pickle.loads(data)
+        self.u, self.w, self.c = (expand(x).astype(np.int64) for x in (u, w, c))
+        self.keys = expand_sorted(keys)
+        self.hashes = mixed(self.keys[self.u], self.keys[self.w])
 
-    def handle(shard: int, asked: list[bytes]) -> tuple[list[bytes], bytes]:
-        if shard >= shards:
-            return asked, pickle.dumps({"customers": [], "tables": []})
-        parts = [pickle.loads(a) for a in asked]
-        ranks = [expand_sorted(r).astype(np.int64) for r, _ in parts]
-        every = np.concatenate(ranks)
-        size = int(every.max()) + 1
-        sent = [np.concatenate([expand(p[1][k]) for p in parts]).astype(np.int64) for k in range(len(parts[0][1]))]
-        summed = 2 + 2 * SAMPLES if totals else 2
-        sums = [np.bincount(every, x, size).astype(np.int64) for x in sent[:summed]]
-        keys = mixed(np.arange(size, dtype=np.uint64), np.uint64(shard + 7))
-        facts, stats = [], {"customers": [], "tables": []}
-        seatings = [(sums[k], sums[k + 1], sums[1] + sums[k + 1]) for k in range(2, len(sums), 2)] or [(sums[0], sums[1], sums[1])]
-        for s, (by_context, by_word, n) in enumerate(seatings):
-            own = np.ones(size, np.int64)
-            if totals:
-                own[every] = sent[summed + s % len(sent[summed:])]
-            seats = totals["tables"][s % len(totals["tables"])] if totals else model["distinct"]
-            parent = np.full(size, 1 / (model["distinct"] + 1))
-            (k,) = tables(n, np.maximum(0, seats - own), parent, model["d_word"], STRENGTH, keys, [10 + SAMPLES * (sweep + 1) + s])
-            facts += [by_context, by_word, k]
-            stats["customers"].append(int(n.sum()))
-            stats["tables"].append(int(k.sum()))
-        return [pickle.dumps([squeeze(x[r]) for x in facts]) for r in ranks], pickle.dumps(stats)
+    def facts(self, answers: dict) -> list[np.ndarray]:
+        """Tables of each of the part's words as a context, and its customers and tables in the parent."""
+        own = [[expand(x) for x in answers[k]] for k in sorted(self.ranks)]
+        return [np.concatenate(x).astype(np.int64) for x in zip(*own)] if own else [np.empty(0, np.int64)] * 3
 
-    return handle
 
+def _seated(shards: int, model: dict, totals: dict, sweep: int):
+    """Adds up tables by context and by word, and seats the words in the parent; answers with these for the next sweep.
 
-def _parent(facts: list[np.ndarray], model: dict, totals: dict, s: int) -> np.ndarray:
-    """Probability of each of the pack's words in the parent restaurant of seating s."""
-    _, n, k = facts[3 * s : 3 * s + 3]
-    customers, seats = totals["customers"][s], totals["tables"][s]
-    d = model["d_word"]
-    return (n - d * k + (STRENGTH + d * seats) / (model["distinct"] + 1)) / (STRENGTH + customers)
+    Before the first sweep (-1) the tables are those of one table a pair and a word. Later ones come as what is beyond. The
+    state of the shard is its words' customers as contexts, the first sums, and tables in the parent. What packs send to
+    themselves goes back as it came, with what it tells of them added up.
+    """
 
+    def handle(shard: int, packs: list[int], asked: list[bytes]) -> list[tuple[int, bytes]]:
+        if shard >= 2 * shards:
+            parts = [pickle.loads(a) for a in asked]
+            return [*zip(packs, [pickle.dumps(t) for t, _ in parts]), (FACTS, pickle.dumps(added({"pair_dishes": x} for _, x in parts)))]
+        state = [expand(x).astype(np.int64) for x in pickle.loads(asked[packs.index(STATE)])]
+        parts = [(n, pickle.loads(a)) for n, a in zip(packs, asked) if n != STATE]
+        size = len(state[0])
+        sums = [np.zeros(size, np.int64) for _ in range(2)]
+        for _, (ranks, values, _) in parts:
+            r = expand_sorted(ranks).astype(np.int64)
+            for total, x in zip(sums, values):
+                total[r] += expand(x).astype(np.int64)
+        if sweep < 0:
+            customers, first, k = state[0], sums, np.minimum(sums[1], 1)
+            seats, n = sums
+        else:
+            customers, first, k = state[0], state[1:3], state[3]
+            seats, n = first[0] + sums[0], first[1] + sums[1]
+            keys = mixed(np.arange(size, dtype=np.uint64), np.uint64(shard + 7))
+            (k,) = tables(n, np.maximum(0, totals["tables"] - k), np.full(size, 1 / (model["distinct"] + 1)), model["d_word"], model["s_word"], keys, [2 * sweep + 1])
+        new = [customers, *first, k, seats, n]
+        many = n > 1
+        facts = {"customers": int(n.sum()), "tables": int(k.sum()), "seats": tallied(seats[seats > 0]), "word_dishes": tallied(n[many], k[many])}
+        out = []
+        for number, (ranks, _, mine) in parts:
+            if (r := ranks if sweep >= 0 else mine) is not None:
+                r = expand_sorted(r).astype(np.int64)
+                out.append((number, pickle.dumps([squeeze(x[r]) for x in (seats, n, k)])))
+        return [*out, (FACTS, pickle.dumps(facts)), (STATE, pickle.dumps([squeeze(x) for x in new]))]
 
-class State:
-    """What a pack knows of all seatings after a sweep: facts of its words, and the tables of its pairs that training has."""
+    return handle
 
-    def __init__(self, tokens: Tokens, known: Known, answers: dict, shards: int, swept: bool):
-        self.start = Known.facts(answers, 2 * shards, shards)
-        self.seen = np.flatnonzero(known.c_pair > 0)
-        self.words = self.start * SAMPLES
-        self.tables = [np.ones(len(self.seen), np.int64)] * SAMPLES
-        if swept:
-            self.words = [x if k % 3 == 2 else x + self.start[k % 3] for k, x in enumerate(Known.facts(answers, 3 * shards, shards))]  # what came is what is beyond one table a pair
-            (kept,) = [answers[k] for k in answers if k >= 4 * shards]
-            self.tables = [1 + expand(x).astype(np.int64) for x in kept]
+
+def _parent(n: np.ndarray, k: np.ndarray, model: dict, totals: dict) -> np.ndarray:
+    """Probability in the parent restaurant of words with n customers and k tables."""
+    d, strength = model["d_word"], model["s_word"]
+    return (n - d * k + (strength + d * totals["tables"]) / (model["distinct"] + 1)) / (strength + totals["customers"])
 
 
 def _sweep(shards: int, model: dict, totals: dict, sweep: int):
-    """Draws the tables of all pairs; asks for sums over those that the pack owns, and sends itself those of all its pairs."""
-    totals = {k: x * (SAMPLES // len(x)) for k, x in totals.items()}
-
-    def report(number, tokens, answers, row):
-        known = Known(tokens, answers, shards)
-        state = State(tokens, known, answers, shards, sweep > 0)
-        own, c = known.owned[state.seen], known.c_pair[state.seen]
-        u, w, keys = tokens.u[state.seen], tokens.w[state.seen], tokens.pairs[state.seen]
-        many = np.flatnonzero(c > 1)  # one customer has one table
-        sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (u, w)]
-        beyond = []
-        for s, t in enumerate(state.tables):
-            new, parent = np.zeros(len(c), np.int64), _parent(state.words, model, totals, s)
-            others = np.maximum(state.words[3 * s][u[many]] - t[many], 0)
-            (drawn,) = tables(c[many], others, parent[w[many]], model["d_pair"], STRENGTH, keys[many], [SAMPLES * sweep + s])
-            new[many] = drawn - 1
-            beyond.append(squeeze(new))
-            sums += [np.bincount(x[own], new[own], len(tokens.keys)).astype(np.int64) for x in (u, w)]
-        sums += [state.words[3 * s + 2] for s in range(SAMPLES if sweep else 1)]
-        yield known.report(number, sums)
-        yield batch(ASKED, [shards + number % shards], [number], [pickle.dumps(beyond)])
+    """Draws the tables of the pairs of a part; asks for sums of those beyond one, and sends them to itself."""
+
+    def report(number, row, answers):
+        part = Part(row["part"])
+        seats, n, k = part.facts(answers)
+        t = 1 + expand(answers[2 * shards + number % shards]).astype(np.int64) if sweep else np.ones(len(part.c), np.int64)
+        others = np.maximum(seats[part.u] - t, 0)
+        (t,) = tables(part.c, others, _parent(n, k, model, totals)[part.w], model["d_pair"], model["s_pair"], part.hashes, [2 * sweep])
+        sums = [np.bincount(x, t - 1, len(part.keys)).astype(np.int64) for x in (part.u, part.w)]
+        own = sorted(part.ranks)
+        bounds = np.cumsum([0, *[len(expand(part.ranks[s])) for s in own]])
+        asked = [pickle.dumps((part.ranks[s], [squeeze(x[a:b]) for x in sums], None)) for s, a, b in zip(own, bounds[:-1], bounds[1:])]
+        yield batch(ASKED, [*own, 2 * shards + number % shards], [number] * (len(own) + 1), [*asked, pickle.dumps((squeeze(t - 1), tallied(part.c, t)))])
 
     return _each(report)
 
 
-def _scores(shards: int, model: dict, totals: dict):
-    def score(number, tokens, answers, row):
-        known = Known(tokens, answers, shards)
-        state = State(tokens, known, answers, shards, True)
-        d, p = model["d_pair"], np.zeros(len(tokens.pairs))
-        for s, t in enumerate(state.tables):
-            mass = np.zeros(len(tokens.pairs))
-            mass[state.seen] = known.c_pair[state.seen] - d * t
-            parent = _parent(state.words, model, totals, s)
-            p += (mass + (STRENGTH + d * state.words[3 * s][tokens.u]) * parent[tokens.w]) / (STRENGTH + known.c_word[tokens.u])
-        base = np.log10((known.c_word + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1)))
-        add = lambda x: np.add.reduceat(x, tokens.firsts) if len(tokens.firsts) else np.empty(0)
-        rows = pa.ipc.open_stream(row.column("rows")[0].as_py()).read_all()
-        out = {
-            "doc_id": rows.column("doc_id"),
-            "held_out": pa.array(~tokens.train),
-            "n_tokens": pa.array(tokens.sizes),
-            "n_known": pa.array(add((known.c_word > 0)[tokens.ids].astype(np.int64)).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(tokens.sizes), model["total"], np.int64)),
-            "base_score": pa.array(add(base[tokens.ids]).astype(np.float64)),
-            "score": pa.array(add(np.log10(p / SAMPLES)[tokens.which]).astype(np.float64)),
-        }
-        yield from pa.table(out).combine_chunks().to_batches()
+def _ask_all(shards: int):
+    """Asks for all words of a pack, and for its pairs that training has twice."""
+
+    def ask_all(number, row, answers):
+        _, _, u, w, c, _, keys, ranks = pickle.loads(row["known"])
+        keys, many = expand_sorted(keys), expand(c) > 1
+        hashes = np.sort(mixed(keys[expand_sorted(u).astype(np.int64)[many]], keys[expand(w).astype(np.int64)[many]]))
+        full, bounds = by_shard(hashes, shards)
+        out = [(k, pickle.dumps(r)) for k, r in ranks]
+        out += [(shards + k, pickle.dumps((squeeze_sorted(hashes[a:b]), None))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
+        yield batch(ASKED, [k for k, _ in out], [number] * len(out), [d for _, d in out])
+
+    return _each(ask_all)
+
+
+def _tell(shards: int):
+    """An owner's tables beyond one, of the kept states, for those of its pairs that have any."""
+
+    def tell(number, row, answers):
+        part = Part(row["part"])
+        beyond = np.stack([expand(pickle.loads(a)).astype(np.int64) for a in row["states"]])
+        some = np.flatnonzero(beyond.any(0))
+        some = some[np.argsort(part.hashes[some], kind="stable")]
+        hashes = part.hashes[some]
+        full, bounds = by_shard(hashes, shards)
+        out = [(shards + k, pickle.dumps((squeeze_sorted(hashes[a:b]), [squeeze(x[some[a:b]]) for x in beyond]))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
+        yield batch(ASKED, [k for k, _ in out], [FACTS] * len(out), [d for _, d in out])
+
+    return _each(tell)
+
+
+def _final(shards: int, kept: int):
+    """Of words: the facts of each kept state. Of pairs: the tables beyond one in each."""
+
+    def handle(shard: int, packs: list[int], asked: list[bytes]) -> list[tuple[int, bytes]]:
+        if shard < shards:
+            states = [[expand(x).astype(np.int64) for x in pickle.loads(a)] for n, a in sorted(zip(packs, asked)) if n <= STATE]
+            wanted = [(n, expand_sorted(pickle.loads(a)).astype(np.int64)) for n, a in zip(packs, asked) if n > STATE]
+            return [(n, pickle.dumps([[squeeze(x[r]) for x in (s[4], s[5], s[3])] for s in states[::-1]])) for n, r in wanted]
+        told_of = [pickle.loads(a) for n, a in zip(packs, asked) if n == FACTS]
+        hashes = np.concatenate([np.empty(0, np.uint64), *[expand_sorted(h) for h, _ in told_of]])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        values = [np.concatenate([np.empty(0, np.int64), *[expand(v[s]).astype(np.int64) for _, v in told_of]])[order] for s in range(kept)]
+        out = []
+        for n, a in zip(packs, asked):
+            if n != FACTS:
+                own = expand_sorted(pickle.loads(a)[0])
+                at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+                hit = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
+                out.append((n, pickle.dumps([squeeze(np.where(hit, v[at], 0) if len(hashes) else np.zeros(len(own), np.int64)) for v in values])))
+        return out
+
+    return handle
+
+
+def _scores(shards: int, states: list[tuple[dict, dict]]):
+    def score(number, row, answers):
+        sizes, which, u, w, c, c_word, keys, _ = pickle.loads(row["known"])
+        sizes, which, u, w, c, c_word, keys = (f(x) for f, x in zip((expand, expand, expand_sorted, expand, expand, expand, expand_sorted), (sizes, which, u, w, c, c_word, keys)))
+        sizes, which, u, w, c, c_word = (x.astype(np.int64) for x in (sizes, which, u, w, c, c_word))
+        words = [answers[k] for k in sorted(answers) if k < shards]
+        pairs = [answers[k] for k in sorted(answers) if k >= shards]
+        many = np.flatnonzero(c > 1)
+        many = many[np.argsort(mixed(keys[u[many]], keys[w[many]]), kind="stable")]
+        p = np.zeros(len(c))
+        for s, (model, totals) in enumerate(states):
+            seats, n, k = (np.concatenate([expand(x[s][j]) for x in words]).astype(np.int64) for j in range(3))
+            t = np.minimum(c, 1)
+            if len(many):
+                t[many] += np.concatenate([expand(x[s]) for x in pairs]).astype(np.int64)
+            d, strength = model["d_pair"], model["s_pair"]
+            p += (c - d * t + (strength + d * seats[u]) * _parent(n, k, model, totals)[w]) / (strength + c_word[u])
+        firsts = np.cumsum(sizes) - sizes
+        docs = pa.ipc.open_stream(row["rows"]).read_all()
+        own = np.add.reduceat(np.log10(p / len(states))[which], firsts) if len(firsts) else np.empty(0)
+        yield from docs.append_column("score", pa.array(own.astype(np.float64))).combine_chunks().to_batches()
 
     return _each(score)
 
 
-def _totals(answers: DataFrame) -> list[dict]:
-    """What each shard said of itself: a few numbers a shard."""
-    return [pickle.loads(r.data) for r in answers.where("pack = -1").select("data").collect()]
+def _totals(answers: DataFrame) -> dict:
+    """What the shards said of themselves, added up by the tasks that read it."""
+
+    def run(batches):
+        own = added(pickle.loads(d) for b in batches for d in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["data"])
+
+    return added(pickle.loads(r.data) for r in answers.where(F.col("pack") == FACTS).select("data").mapInArrow(run, "data binary").collect())
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 5, held_out: int = 1, size: int | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 5, held_out: int = 1, size: int | None = None, burn_in: int = BURN_IN, kept: int = KEPT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs.
 
     Tokens are the words of the text, A-Z lower-cased, and one end. All rows outside the held-out fold train the model.
     base_score is the smoothed unigram log10 probability of the text, score that of the model, perplexity is a token's.
+    The model's probabilities are averaged over the states of the last kept of burn_in + kept sweeps; kept is at least 1.
     Words that training lacks are one word of the base. Null, empty and blank texts are an end alone. A null doc_id is in
     the fold of the empty text; repeated rows count and score each; without training rows every probability is 1, so
-    scores are 0. sweeps, at least 1, is how often each seating is drawn anew. An empty table gives no rows; other columns of docs are left aside.
+    scores are 0. An empty table gives no rows; other columns of docs are left aside. Words and pairs are told apart by
+    64-bit hashes.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), (fold(F.col(id_col), parts) != held_out).alias("train"))
-    packs = pack_rows(docs, _tokenised, ["doc_id"], size or PACK)
-    shards = shards_for(packs)
-    bodies = packs.select("pack", "body")
-    asked = bodies.mapInArrow(_ask_counts(shards), ASKED)
-    counts, _ = store(ask(asked, _counts(shards)), "counts")
-    stats = _totals(counts)
-    add = lambda name, pairs: sum(s[name] for s in stats if s["pairs"] == pairs)
-    discount = lambda pairs: min(0.95, max(0.05, add("once", pairs) / max(1, add("once", pairs) + 2 * add("twice", pairs))))
-    model = {"total": add("total", False), "distinct": add("distinct", False), "d_word": discount(False), "d_pair": discount(True)}
-
-    def merged(answers: DataFrame) -> dict:
-        own = _totals(answers)
-        return {k: [sum(x) for x in zip(*(s[k] for s in own if s[k]))] or [0] * SAMPLES for k in ("customers", "tables")}
-
-    def later(answers: DataFrame, first: int) -> DataFrame:
-        return answers.where("pack <> -1").withColumn("shard", (F.col("shard") + first).cast("int"))
-
-    facts = counts.where("pack <> -1")
-    asked = told(bodies, facts).mapInArrow(_first_tables(shards), ASKED)
-    start, _ = store(ask(asked, _seated(shards, model, None, -1)), "first-tables")
-    totals, known, last = merged(start), facts.unionByName(later(start, 2 * shards)), None
-    facts = known
-    for sweep in range(sweeps):
-        asked = told(bodies, facts).mapInArrow(_sweep(shards, model, totals, sweep), ASKED)
-        swept, path = store(ask(asked, _seated(shards, model, totals, sweep)), "tables")
-        totals, facts = merged(swept), known.unionByName(later(swept, 3 * shards))
-        if last:
-            drop(docs.sparkSession, last)
-        last = path
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    out = told(packs.select("pack", "body", "rows"), facts).mapInArrow(_scores(shards, model, totals), schema)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    to_packs = lambda answers: answers.where("pack >= 0")
+    own_state = lambda answers, n=STATE: answers.where(F.col("pack") == STATE).select("shard", F.lit(n).cast("bigint").alias("pack"), "data")
+    with dropped_after(spark, keep := []):
+        packs, tokens = pack_rows(docs, _tokenised, ["doc_id"], size or PACK)
+        shards = shards_for(packs)
+        counts, counted = store(ask_rows(packs.select("pack", "body").mapInArrow(_ask_counts(shards), ASKED), _counts(shards)), "counts")
+        stats = _totals(counts)
+        get = lambda name: stats.get(name, 0)
+        discount = lambda kind: min(0.95, max(0.05, get(f"{kind}_once") / max(1, get(f"{kind}_once") + 2 * get(f"{kind}_twice"))))
+        model = {"total": get("word_total"), "distinct": get("word_distinct"), "d_word": discount("word"), "d_pair": discount("pair"), "s_word": 1.0, "s_pair": 1.0}
+        learnt, path = store(told(packs.select("pack", "body", "rows"), to_packs(counts)).mapInArrow(_learn(shards, model), LEARNT), "learnt")
+        keep.append(path)
+        asked = learnt.select("pack", "base").mapInArrow(_each(_base), ASKED).unionByName(own_state(counts))
+        seated, last = store(ask_rows(asked, _seated(shards, model, {}, -1)), "first-tables")
+        drop(spark, tokens, counted)
+        totals, states = _totals(seated), []
+        part = learnt.select("pack", "part")
+        for sweep in range(burn_in + kept):
+            asked = told(part, to_packs(seated)).mapInArrow(_sweep(shards, model, totals, sweep), ASKED).unionByName(own_state(seated))
+            seated, path = store(ask_rows(asked, _seated(shards, model, totals, sweep)), "tables")
+            if sweep <= burn_in:
+                drop(spark, last)
+            last, totals = path, {"customers": 0, "tables": 0, **_totals(seated)}
+            model = dict(model)
+            for level, dishes, seats, guests in (("pair", "pair_dishes", totals.get("seats", {}), stats.get("guests", {})), ("word", "word_dishes", {(int(bucket(totals["tables"])),): 1}, {(int(bucket(totals["customers"])),): 1})):
+                model[f"d_{level}"], model[f"s_{level}"] = hyperparameters(model[f"d_{level}"], model[f"s_{level}"], totals.get(dishes, {}), seats, guests, 2 * sweep + (level == "word"))
+            if sweep >= burn_in:
+                states.append((model, totals, seated))
+        asked = learnt.select("pack", "known").mapInArrow(_ask_all(shards), ASKED)
+        beyond = part
+        for s, (_, _, answers) in enumerate(states):
+            asked = asked.unionByName(own_state(answers, STATE - s))
+            beyond = beyond.join(answers.where(F.col("pack") >= 0).where(F.col("shard") >= 2 * shards).select("pack", F.col("data").alias(f"s{s}")).hint("merge"), "pack")
+        beyond = beyond.select("pack", "part", F.array(*[f"s{s}" for s in range(kept)]).alias("states"))
+        asked = asked.unionByName(beyond.mapInArrow(_tell(shards), ASKED))
+        final, path = store(ask_rows(asked, _final(shards, kept)), "final-facts")
+        keep.append(path)
+    out = told(learnt.select("pack", "known", "rows"), final).mapInArrow(_scores(shards, [s[:2] for s in states]), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -81,14 +81,14 @@ def pack(docs: DataFrame, size: int = PACK) -> tuple[DataFrame, int]:
     return packs, shards_for(packs)
 
 
-def pack_rows(docs: DataFrame, body, keep: list[str], size: int = PACK) -> DataFrame:
-    """(pack, chars, rows, body) of all rows of docs, stored: the columns in keep, and what body(table) makes of a pack."""
+def pack_rows(docs: DataFrame, body, keep: list[str], size: int = PACK) -> tuple[DataFrame, str]:
+    """(pack, chars, rows, body) of all rows of docs, stored, and where: the columns in keep, and what body(table) makes of a pack."""
     names = ["pack", "chars", "rows", "body"]
 
     def row(rows: pa.Table, chars: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([_number()], pa.int64()), pa.array([chars], pa.int64()), pa.array([_pack_bytes(rows.select(keep))], pa.binary()), pa.array([body(rows)], pa.binary())], names)
 
-    return store(_cut(docs, size, row, "pack bigint, chars bigint, rows binary, body binary"), "token-packs")[0]
+    return store(_cut(docs, size, row, "pack bigint, chars bigint, rows binary, body binary"), "token-packs")
 
 
 def shards_for(packs: DataFrame) -> int:
@@ -109,25 +109,23 @@ def batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for (_, k), c in zip(fields, columns)], [n for n, _ in fields])
 
 
-def ask(asked: DataFrame, handle) -> DataFrame:
-    """handle(shard, list of data) for each shard; gives (pack, shard, data).
-
-    handle returns the answers in the order of data, or a pair of these and of facts about the shard, which become a row of pack -1.
-    """
+def ask_rows(asked: DataFrame, handle) -> DataFrame:
+    """handle(shard, packs, list of data) for each shard, which gives (pack, data) of any number; gives (pack, shard, data)."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        answers = handle(shard, rows.column("data").to_pylist())
-        packs = rows.column("pack").to_pylist()
+        out = handle(shard, rows.column("pack").to_pylist(), rows.column("data").to_pylist())
         trim()
-        if isinstance(answers, tuple):
-            answers, facts = answers
-            packs, answers = [*packs, -1], [*answers, facts]
-        return pa.table({"pack": pa.array(packs, pa.int64()), "shard": pa.array([shard] * len(packs), pa.int32()), "data": pa.array(answers, pa.binary())})
+        return pa.table({"pack": pa.array([p for p, _ in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
+def ask(asked: DataFrame, handle) -> DataFrame:
+    """handle(shard, list of data) for each shard, which gives the answers in the order of data; gives (pack, shard, data)."""
+    return ask_rows(asked, lambda shard, packs, data: [*zip(packs, handle(shard, data))])
+
+
 def told(packs: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """packs with the answers to each as an array of (shard, data).
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumenrec.llm import language_model
-from lumenrec.llm.language_model import EXACT, expand, poisson, score_documents, squeeze, stirling, tables, uniform
+from lumenrec.llm.language_model import END, EXACT, FINE, START, bucket, drawn_from, expand, hyperparameters, log_seating, mixed, recursion, score_documents, squeeze, stirling, tables, tallied, unbucket, uniform
 
 
 def rest(i, parts=5):
@@ -69,14 +69,117 @@ def test_sweeps_go_on_from_each_other_until_tables_settle(make_docs, monkeypatch
     rows = [(k, " ".join(f"w{j}" for j in rng.choice(800, 60, p=p / p.sum()))) for k in range(400)]
     seen, plain = [], language_model._totals
     monkeypatch.setattr(language_model, "_totals", lambda answers: seen.append(plain(answers)) or seen[-1])
-    language_model.score_documents(make_docs(rows)).count()
-    customers = [np.sum([s["customers"] for s in own if s["customers"]], 0).mean() for own in seen[1:]]  # of the parent: tables of all pairs
-    beyond = np.array(customers) - customers[0]
-    assert len(beyond) == 1 + language_model.SWEEPS
-    seen.clear()
-    language_model.score_documents(make_docs(rows), sweeps=10).count()
-    settled = np.mean([np.sum([s["customers"] for s in own if s["customers"]], 0).mean() - customers[0] for own in seen[-3:]])
-    assert beyond[1] < 0.95 * settled and abs(beyond[-1] - settled) < 0.05 * settled
+    monkeypatch.setattr(language_model, "hyperparameters", lambda d, strength, *rest: (d, strength))
+    score_documents(make_docs(rows), burn_in=9, kept=3).count()
+    customers = np.array([s["customers"] for s in seen[1:]])  # of the parent: tables of all pairs
+    beyond = customers - customers[0]
+    settled = beyond[-3:].mean()
+    assert len(beyond) == 13 and beyond[1] < 0.95 * settled and abs(beyond[language_model.BURN_IN] - settled) < 0.1 * settled
+
+
+def plain_scores(rows, burn_in, kept):
+    """The same chain with plain dictionaries: the exact conditionals by recursion, the same draws."""
+    import xxhash
+
+    key = lambda w: END if w is None else START if w == "" else np.uint64(xxhash.xxh3_64_intdigest(w.encode()))
+    chains = {i: ["", *words(x), None] for i, x in rows}
+    words_of = sorted({t for c in chains.values() for t in c}, key=key)
+    rank = {t: n for n, t in enumerate(words_of)}
+    pairs, guests = Counter(), Counter()
+    for i, c in chains.items():
+        if rest(i) != 1:
+            pairs.update(zip(c, c[1:]))
+            guests.update(c[:-1])
+    distinct = len({w for _, w in pairs})
+    coin = lambda key, draw: uniform(np.array([key], np.uint64), 100 * draw)[0]
+    discount = lambda c: min(0.95, max(0.05, sum(n == 1 for n in c.values()) / max(1, sum(n == 1 for n in c.values()) + 2 * sum(n == 2 for n in c.values()))))
+    counts = Counter(w for c in [chains[i] for i, _ in rows if rest(i) != 1] for w in c[1:])
+    d, strength = {"pair": discount(pairs), "word": discount(counts)}, {"pair": 1.0, "word": 1.0}
+    t = dict.fromkeys(pairs, 1)
+    total = lambda at: Counter() if not t else sum((Counter({p[at]: n}) for p, n in t.items()), Counter())
+    seats, n = total(0), total(1)
+    k = dict.fromkeys(n, 1)
+    states = []
+
+    def draw(c, others, parent, level, key, number):
+        ways = recursion(d[level], c + 1, c + 1)[c, 1 : c + 1]
+        m = np.arange(c)
+        w = ways + np.cumsum(np.log((strength[level] + d[level] * (others + m)) * parent)) - np.log((strength[level] + d[level] * others) * parent)
+        w = np.cumsum(np.exp(w - w.max()))
+        return 1 + int((w < coin(key, number) * w[-1]).sum())
+
+    for sweep in range(burn_in + kept):
+        customers, tables_of = sum(n.values()), sum(k.values())
+        parent = lambda w: (n[w] - d["word"] * k.get(w, 0) + (strength["word"] + d["word"] * tables_of) / (distinct + 1)) / (strength["word"] + customers)
+        t = {(u, w): draw(c, seats[u] - t[u, w], parent(w), "pair", mixed(np.array([key(u)]), np.array([key(w)]))[0], 2 * sweep) if c > 1 else 1 for (u, w), c in pairs.items()}
+        seats, n = total(0), total(1)
+        k = {w: draw(c, tables_of - k[w], 1 / (distinct + 1), "word", mixed(np.array([rank[w]], np.uint64), np.uint64(7))[0], 2 * sweep + 1) if c > 1 else 1 for w, c in n.items()}
+        level = lambda name, c, m: tallied(np.array([x for w, x in c.items() if x > 1]), np.array([m[w] for w, x in c.items() if x > 1]))
+        for name, dishes, seated, guest, number in (("pair", level("pair", pairs, t), tallied(np.array(list(seats.values()))), tallied(np.array(list(guests.values()))), 0), ("word", level("word", n, k), {(int(bucket(sum(k.values()))),): 1}, {(int(bucket(sum(n.values()))),): 1}, 1)):
+            d[name], strength[name] = hyperparameters(d[name], strength[name], dishes, seated, guest, 2 * sweep + number)
+        if sweep >= burn_in:
+            states.append((dict(d), dict(strength), dict(t), Counter(seats), Counter(n), dict(k)))
+    out = {}
+    for i, c in chains.items():
+        total_log = 0.0
+        for u, w in zip(c, c[1:]):
+            p = 0.0
+            for dd, ss, tt, seated, nn, kk in states:
+                parent = (nn[w] - dd["word"] * kk.get(w, 0) + (ss["word"] + dd["word"] * sum(kk.values())) / (distinct + 1)) / (ss["word"] + sum(nn.values()))
+                p += (pairs[u, w] - dd["pair"] * tt.get((u, w), 0) + (ss["pair"] + dd["pair"] * seated[u]) * parent) / (ss["pair"] + guests[u])
+            total_log += math.log10(p / len(states))
+        out[i] = total_log
+    return out
+
+
+@pytest.mark.parametrize("burn_in, kept, size", [(0, 1, None), (2, 3, None), (2, 2, 900)])
+def test_scores_against_a_plain_sampler(make_docs, burn_in, kept, size):
+    rng = np.random.default_rng(11)
+    p = 1 / np.arange(1, 61)
+    rows = [(k, " ".join(f"w{j}" for j in rng.choice(60, int(rng.integers(0, 30)), p=p / p.sum()))) for k in range(150)] + [(400, None), (401, "unheard of")]
+    want = plain_scores(rows, burn_in, kept)
+    got = {r.doc_id: r.score for r in score_documents(make_docs(rows), size=size, burn_in=burn_in, kept=kept).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-7 * max(1, abs(want[i])) for i in want)
+
+
+def test_hyperparameters_against_the_definition():
+    """The probability of a seating by its factors, customer by customer, up to what does not depend on the two numbers."""
+    dishes, d, strength = [(5, 2), (3, 3), (40, 6), (2, 1), (33, 32), (7, 7)], 0.4, 2.5
+    restaurants = [(45, 9), (30, 12), (15, 15)]  # customers and tables
+    ways, opened = log_seating(tallied(*np.array(dishes).T), tallied(np.array([t for _, t in restaurants])), tallied(np.array([c for c, _ in restaurants])))
+    want = sum(math.log(strength + d * i) for _, t in restaurants for i in range(1, t)) - sum(math.log(strength + i) for c, _ in restaurants for i in range(1, c))
+    assert abs(opened(d, strength) - want) < 1e-8
+    assert abs(ways(d) - sum(recursion(d, 41, 41)[int(unbucket(bucket(c))), int(unbucket(bucket(t)))] for c, t in dishes)) < 1e-6
+    rng = np.random.default_rng(1)
+    x = rng.random(20_000)
+    normal = [drawn_from(lambda v: -((v - 0.3) ** 2) / 2 / 0.05**2, -1, 1, c, 65, 1) for c in x[:4000]]
+    assert abs(np.mean(normal) - 0.3) < 0.01 and abs(np.std(normal) - 0.05) < 0.01
+
+
+def test_hyperparameters_find_those_of_a_seating():
+    rng = np.random.default_rng(2)
+    d, strength, restaurants = 0.6, 5.0, []
+    for _ in range(200):
+        tables_of: list[int] = []
+        for c in range(150):
+            p = np.array([*[m - d for m in tables_of], strength + d * len(tables_of)])
+            at = rng.choice(len(p), p=p / p.sum())
+            if at == len(tables_of):
+                tables_of.append(0)
+            tables_of[at] += 1
+        restaurants.append(tables_of)
+    dishes = tallied(np.array([sum(r) for r in restaurants]), np.array([len(r) for r in restaurants]))
+    seats, guests = tallied(np.array([len(r) for r in restaurants])), tallied(np.array([sum(r) for r in restaurants]))
+    got = (0.3, 1.0)
+    for k in range(10):
+        got = hyperparameters(*got, dishes, seats, guests, k)
+    assert abs(got[0] - d) < 0.1 and 2 < got[1] < 10
+    assert hyperparameters(0.3, 1.0, {}, {}, {}, 0) == (0.3, 1.0)
+
+
+def test_buckets():
+    x = np.arange(1, 100_000)
+    assert (unbucket(bucket(x[:EXACT])) == x[:EXACT]).all() and (np.abs(np.log(unbucket(bucket(x)) / x)) <= np.log(FINE) / 2 + 0.02).all()
 
 
 def test_edges(make_docs):
@@ -124,13 +227,6 @@ def test_tables_of_over_exact_customers_have_the_exact_mean(d, c, others, parent
     assert abs(got.mean() - mean) < 0.03 * sd and abs(got.std() - sd) < 0.03 * sd
 
 
-def test_poisson():
-    keys = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for rate in (0.01, 3.0, 25.0, 400.0):
-        x = poisson(np.full(len(keys), rate), uniform(keys, 3), uniform(keys, 4))
-        assert abs(x.mean() - rate) < 0.05 * rate and abs(x.var() - rate) < 0.06 * rate
-
-
 def test_squeeze():
     for a in ([], [0], [255, 1], [256], [1 << 33, 5]):
         assert expand(squeeze(np.array(a, np.uint64))).tolist() == a
