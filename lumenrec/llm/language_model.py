@@ -32,9 +32,9 @@ from .packs import ASKED, ask_rows, batch, by_shard, in_order, pack_rows, shards
 
 EXACT = 32  # customers of a dish up to which all numbers of tables are weighed
 ROWS, WIDE = 1024, 256  # customers and tables up to which ways come from the recursion; beyond, from integrals
-NODES, CACHED = 48, 1 << 22  # of an integral; numbers of ways that a worker keeps
+NODES, CACHED = 36, 1 << 22  # of an integral; numbers of ways that a worker keeps
 BURN_IN, KEPT = 4, 3  # sweeps whose states are let go, and those whose states are averaged
-FINE = 1.02  # ratio of the steps in which numbers over EXACT enter the draws of discounts and strengths
+FINE = 1.05  # ratio of the steps in which numbers over EXACT enter the draws of discounts and strengths
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b"\n"))  # no word is empty or blank
 PACK = 4_000_000  # characters of a pack
 FACTS, STATE = -1, -2  # in place of a pack's number: what a shard says of itself, and what it tells itself for the next sweep
@@ -105,7 +105,7 @@ def _integral(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     the trapezoid rule on a parabola around the cut of w < 0, through the saddle or, where that is flat, further out.
     """
     low, high = np.full(len(c), -60.0), np.full(len(c), 5.0)
-    for _ in range(18):
+    for _ in range(12):
         mid = (low + high) / 2
         w = np.exp(mid)
         z = -np.expm1(-w)
@@ -113,7 +113,7 @@ def _integral(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         short = t * d * zd / z * np.exp(-w) / (1 - zd) > c
         low, high = np.where(short, mid, low), np.where(short, high, mid)
     mu = np.maximum(np.exp((low + high) / 2), 3.0 / c)
-    step = np.minimum(0.5 / np.sqrt(np.maximum(4 * (1 - d) * c * mu, 1)), 0.2)
+    step = np.minimum(0.65 / np.sqrt(np.maximum(4 * (1 - d) * c * mu, 1)), 0.26)
     v = step[:, None] * np.arange(NODES)
     w = mu[:, None] * (1 + 1j * v) ** 2
     f = c[:, None] * w + t[:, None] * np.log(1 - (-np.expm1(-w)) ** d)
@@ -121,32 +121,54 @@ def _integral(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return f[:, 0].real + np.log((g[:, 0] + 2 * g[:, 1:].sum(1)) * step * mu / np.pi) - t * np.log(d)
 
 
+_between: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def knots(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables from 1 to size at which ways are computed, and the weights by which these give all: cubics in the logarithm."""
+    if size not in _between:
+        t = np.unique(np.r_[np.arange(1, min(size, 32) + 1), np.rint(32 * 2 ** (np.arange(0, 8 * max(0, np.log2(size / 32)) + 1) / 8)).astype(np.int64), size])
+        t = t[t <= size]
+        x, y = np.log(t), np.log(np.arange(1, size + 1))
+        weights = np.zeros((size, len(t)))
+        start = np.clip(np.searchsorted(t, np.arange(1, size + 1)) - 2, 0, max(0, len(t) - 4))
+        near = start[:, None] + np.arange(min(4, len(t)))
+        for k in range(near.shape[1]):
+            w = np.ones(size)
+            for j in range(near.shape[1]):
+                if j != k:
+                    w *= (y - x[near[:, j]]) / (x[near[:, k]] - x[near[:, j]])
+            weights[np.arange(size), near[:, k]] = w
+        _between[size] = t, weights
+    return _between[size]
+
+
 def log_ways(c: np.ndarray, size: int, d: float) -> np.ndarray:
-    """log S[c, t] for t from 1 to size, a row for each c > EXACT, in order."""
+    """log S[c, t] for t from 1 to size, a row for each c > EXACT, in order. Beyond ROWS or WIDE by integrals, where c is far above t at knots only."""
     if size <= WIDE and (near := int(np.searchsorted(c, ROWS, "right"))):
         rows = stirling(d)[c[:near], 1 : size + 1]
         return np.concatenate([rows, log_ways(c[near:], size, d)]) if near < len(c) else rows
     if sum(map(len, _ways.values())) > CACHED:
         _ways.clear()
+    for n in (todo := [n for n in c.tolist() if len(_ways.get((d, n), ())) < size]):
+        _ways[d, n] = np.full(size, -np.inf)
     log_fact = np.cumsum(np.log(np.arange(1, size + 1)))
-    have = [len(_ways.get((d, n), ())) for n in c.tolist()]
-    todo = [(n, k, min(size, n - 2)) for n, k in zip(c.tolist(), have) if k < size]
-    if todo:
-        at = np.concatenate([np.full(max(0, b - a), n) for n, a, b in todo]).astype(np.float64)
-        t = np.concatenate([np.arange(a + 1, b + 1) for _, a, b in todo]).astype(np.float64)
-        found = np.concatenate([np.empty(0), *(_integral(at[k : k + (1 << 14)], t[k : k + (1 << 14)], d) for k in range(0, len(t), 1 << 14))])
-        place = 0
-        for n, a, b in todo:
-            row = np.full(size, -np.inf)
-            row[:a] = _ways.get((d, n), row)[:a]
-            if b > a:
-                row[a:b] = found[place : place + b - a] + lgamma(n + 1) - log_fact[a:b]
-                place += b - a
-            if n - 1 <= size:
-                row[n - 2] = np.log((1 - d) * n * (n - 1) / 2)
-            if n <= size:
-                row[n - 1] = 0
-            _ways[d, n] = row
+    at, weights = knots(size)
+    far = [n for n in todo if n > 4 * size]
+    each = [np.arange(1, min(size, n - 2) + 1) for n in todo if n <= 4 * size]
+    x = np.concatenate([np.repeat(far, len(at)), *[np.full(len(t), n) for n, t in zip([n for n in todo if n <= 4 * size], each)], np.empty(0)]).astype(np.float64)
+    y = np.concatenate([np.tile(at, len(far)), *each, np.empty(0)]).astype(np.float64)
+    found = np.concatenate([np.empty(0), *(_integral(x[k : k + (1 << 14)], y[k : k + (1 << 14)], d) for k in range(0, len(y), 1 << 14))])
+    split = len(far) * len(at)
+    for n, row in zip(far, found[:split].reshape(len(far), len(at)) @ weights.T):
+        _ways[d, n] = row + lgamma(n + 1) - log_fact
+    for n, t, row in zip([n for n in todo if n <= 4 * size], each, np.split(found[split:], np.cumsum([len(t) for t in each]))):
+        own = _ways[d, n]
+        own[: len(t)] = row + lgamma(n + 1) - log_fact[: len(t)]
+        if n - 1 <= size:
+            own[n - 2] = np.log((1 - d) * n * (n - 1) / 2)
+        if n <= size:
+            own[n - 1] = 0
     return np.array([_ways[d, n][:size] for n in c.tolist()])
 
 
@@ -199,8 +221,10 @@ def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, stre
 
 def bucket(x: np.ndarray) -> np.ndarray:
     """Numbers up to EXACT as they are, larger ones by steps of FINE."""
-    x = np.asarray(x)
-    return np.where(x <= EXACT, x, EXACT + np.rint(np.log(np.maximum(x, 1) / EXACT) / np.log(FINE))).astype(np.int64)
+    out = np.array(x, np.int64, ndmin=1)
+    large = out > EXACT
+    out[large] = EXACT + np.rint(np.log(out[large] / EXACT) / np.log(FINE)).astype(np.int64)
+    return out.reshape(np.shape(x))
 
 
 def unbucket(b: np.ndarray) -> np.ndarray:
@@ -209,10 +233,11 @@ def unbucket(b: np.ndarray) -> np.ndarray:
 
 def tallied(*values: np.ndarray) -> dict[tuple, int]:
     """How often each combination of buckets occurs."""
-    if not len(values[0]):
-        return {}
-    rows, n = np.unique(np.stack([bucket(v) for v in values], 1), axis=0, return_counts=True)
-    return dict(zip(map(tuple, rows.tolist()), n.tolist()))
+    code = np.zeros(len(values[0]), np.int64)
+    for v in values:
+        code = code << 12 | bucket(v)
+    codes, n = np.unique(code, return_counts=True)
+    return {tuple(c >> 12 * k & 4095 for k in reversed(range(len(values)))): m for c, m in zip(codes.tolist(), n.tolist())}
 
 
 def added(parts) -> dict:
@@ -242,6 +267,7 @@ def log_seating(dishes: dict[tuple, int], seats: dict[tuple, int], customers: di
     (c, t, dish_n), (seat, seat_n), (guest, guest_n) = arrays(dishes, 2), arrays(seats, 1), arrays(customers, 1)
     t = np.minimum(t, c)
     gamma = np.vectorize(lgamma, otypes=[float])
+    fixed = gamma(c + 1.0) - gamma(t + 1.0)
 
     def ways(d: float) -> float:
         out, small = np.zeros(len(c)), c <= EXACT
@@ -251,7 +277,7 @@ def log_seating(dishes: dict[tuple, int], seats: dict[tuple, int], customers: di
         rest = np.flatnonzero(~small & (t < c - 1))
         for k in range(0, len(rest), 1 << 14):
             x, y = (v[rest[k : k + (1 << 14)]].astype(np.float64) for v in (c, t))
-            out[rest[k : k + (1 << 14)]] = _integral(x, y, d) + gamma(x + 1) - gamma(y + 1)
+            out[rest[k : k + (1 << 14)]] = _integral(x, y, d) + fixed[rest[k : k + (1 << 14)]]
         return float(dish_n @ out)
 
     def opened(d: float, strength: float) -> float:
@@ -261,7 +287,7 @@ def log_seating(dishes: dict[tuple, int], seats: dict[tuple, int], customers: di
     return ways, opened
 
 
-def drawn_from(log_p, low: float, high: float, coin: float, steps: int = 17, rounds: int = 3) -> float:
+def drawn_from(log_p, low: float, high: float, coin: float, steps: int = 9, rounds: int = 4) -> float:
     """A number drawn from a density with one peak, over a grid that closes in on the peak."""
     for k in range(rounds):
         x = np.linspace(low, high, steps)
@@ -351,7 +377,12 @@ def _counts(shards: int):
         parts = [pickle.loads(a) for a in asked]
         keys = [expand_sorted(k) for k, _ in parts]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        held = np.concatenate(keys)
+        order = np.argsort(held, kind="stable")
+        fresh = np.flatnonzero(np.r_[True, np.diff(held[order]) > 0])
+        every, holders = held[order][fresh], np.diff(np.r_[fresh, len(held)])
+        which = np.empty(len(held), np.int64)
+        which[order] = np.repeat(np.arange(len(every)), holders)
         c = np.bincount(which, np.concatenate([expand(n) for _, n in parts]), len(every)).astype(np.int64)
         words = c[every != START] if shard < shards else c
         kind = "word" if shard < shards else "pair"
@@ -360,20 +391,20 @@ def _counts(shards: int):
             out = [pickle.dumps((squeeze(c[w]), squeeze_sorted(w))) for w in np.split(which, cuts)]
             return [*zip(packs, out), (FACTS, pickle.dumps(facts | {"guests": tallied(c[(c > 0) & (every != END)])})), (STATE, pickle.dumps([squeeze(c)]))]
         owned = np.zeros(len(which), bool)
-        owned[first] = True
+        owned[order[fresh + (mixed(every, np.uint64(5)) >> np.uint64(32)).astype(np.int64) % holders]] = True  # any of those that hold it
         out = [pickle.dumps((squeeze(c[w]), np.packbits(o).tobytes())) for w, o in zip(np.split(which, cuts), np.split(owned, cuts))]
         return [*zip(packs, out), (FACTS, pickle.dumps(facts))]
 
     return handle
 
 
-LEARNT = "pack bigint, rows binary, known binary, part binary, base binary"
+LEARNT = "pack bigint, rows binary, known binary, part binary, base binary, asks binary"
 
 
 def _learn(shards: int, model: dict):
-    """From the counts: rows, all of a document but its score; known, what scores need; part, the pairs to seat; base, for the shards of words.
+    """From the counts: rows, all of a document but its score; known, what scores need; part, the pairs to seat; base and asks, for shards.
 
-    base has, by shard, tables of the pairs that the pack owns when each has one, by context and by word, and the words in part.
+    asks has, by shard, all words of the pack and those of its pairs that training has twice; base has tables of the pairs that the pack owns when each has one, by context and by word, and the words in part.
     """
 
     def learn(number, row, answers):
@@ -397,7 +428,11 @@ def _learn(shards: int, model: dict):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(docs)
-        known = pickle.dumps((squeeze(tokens.sizes), squeeze(tokens.which), squeeze_sorted(tokens.u), squeeze(tokens.w), squeeze(c_pair), squeeze(c_word), squeeze_sorted(tokens.keys), [(k, answers[k][1]) for k in present]))
+        known = pickle.dumps((row["body"], squeeze(c_pair), squeeze(c_word)))
+        hashes = tokens.hashes[c_pair[tokens.order] > 1]
+        asks = [(k, pickle.dumps(answers[k][1])) for k in present]
+        full, at = by_shard(hashes, shards)
+        asks += [(shards + k, pickle.dumps((squeeze_sorted(hashes[a:b]), None))) for k, a, b in zip(full.tolist(), at[:-1], at[1:])]
 
         many = np.flatnonzero(owned & (c_pair > 1))  # one customer has one table
         words, place = np.unique(np.r_[tokens.u[many], tokens.w[many]], return_inverse=True)
@@ -409,14 +444,15 @@ def _learn(shards: int, model: dict):
         own = owned & (c_pair > 0)
         sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (tokens.u, tokens.w)]
         first = [(k, pickle.dumps((squeeze_sorted(r), [squeeze(x[a:b]) for x in sums], mine.get(k)))) for k, r, a, b in zip(present, ranks, bounds[:-1], bounds[1:])]
-        kinds = [pa.int64(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, sink.getvalue().to_pybytes(), known, part, pickle.dumps(first)), kinds)], ["pack", "rows", "known", "part", "base"])
+        kinds = [pa.int64(), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, sink.getvalue().to_pybytes(), known, part, pickle.dumps(first), pickle.dumps(asks)), kinds)], ["pack", "rows", "known", "part", "base", "asks"])
 
     return _each(learn)
 
 
-def _base(number, row, answers):
-    own = pickle.loads(row["base"])
+def _stored(number, row, answers):
+    """Asks what learning stored."""
+    own = pickle.loads(row["asked"])
     yield batch(ASKED, [k for k, _ in own], [number] * len(own), [d for _, d in own])
 
 
@@ -500,21 +536,6 @@ def _sweep(shards: int, model: dict, totals: dict, sweep: int):
     return _each(report)
 
 
-def _ask_all(shards: int):
-    """Asks for all words of a pack, and for its pairs that training has twice."""
-
-    def ask_all(number, row, answers):
-        _, _, u, w, c, _, keys, ranks = pickle.loads(row["known"])
-        keys, many = expand_sorted(keys), expand(c) > 1
-        hashes = np.sort(mixed(keys[expand_sorted(u).astype(np.int64)[many]], keys[expand(w).astype(np.int64)[many]]))
-        full, bounds = by_shard(hashes, shards)
-        out = [(k, pickle.dumps(r)) for k, r in ranks]
-        out += [(shards + k, pickle.dumps((squeeze_sorted(hashes[a:b]), None))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
-        yield batch(ASKED, [k for k, _ in out], [number] * len(out), [d for _, d in out])
-
-    return _each(ask_all)
-
-
 def _tell(shards: int):
     """An owner's tables beyond one, of the kept states, for those of its pairs that have any."""
 
@@ -558,13 +579,12 @@ def _final(shards: int, kept: int):
 
 def _scores(shards: int, states: list[tuple[dict, dict]]):
     def score(number, row, answers):
-        sizes, which, u, w, c, c_word, keys, _ = pickle.loads(row["known"])
-        sizes, which, u, w, c, c_word, keys = (f(x) for f, x in zip((expand, expand, expand_sorted, expand, expand, expand, expand_sorted), (sizes, which, u, w, c, c_word, keys)))
-        sizes, which, u, w, c, c_word = (x.astype(np.int64) for x in (sizes, which, u, w, c, c_word))
+        body, c, c_word = pickle.loads(row["known"])
+        tokens, c, c_word = Tokens(body), expand(c).astype(np.int64), expand(c_word).astype(np.int64)
+        u, w = tokens.u, tokens.w
         words = [answers[k] for k in sorted(answers) if k < shards]
         pairs = [answers[k] for k in sorted(answers) if k >= shards]
-        many = np.flatnonzero(c > 1)
-        many = many[np.argsort(mixed(keys[u[many]], keys[w[many]]), kind="stable")]
+        many = tokens.order[c[tokens.order] > 1]
         p = np.zeros(len(c))
         for s, (model, totals) in enumerate(states):
             seats, n, k = (np.concatenate([expand(x[s][j]) for x in words]).astype(np.int64) for j in range(3))
@@ -573,9 +593,8 @@ def _scores(shards: int, states: list[tuple[dict, dict]]):
                 t[many] += np.concatenate([expand(x[s]) for x in pairs]).astype(np.int64)
             d, strength = model["d_pair"], model["s_pair"]
             p += (c - d * t + (strength + d * seats[u]) * _parent(n, k, model, totals)[w]) / (strength + c_word[u])
-        firsts = np.cumsum(sizes) - sizes
         docs = pa.ipc.open_stream(row["rows"]).read_all()
-        own = np.add.reduceat(np.log10(p / len(states))[which], firsts) if len(firsts) else np.empty(0)
+        own = np.add.reduceat(np.log10(p / len(states))[tokens.which], tokens.firsts) if len(tokens.firsts) else np.empty(0)
         yield from docs.append_column("score", pa.array(own.astype(np.float64))).combine_chunks().to_batches()
 
     return _each(score)
@@ -617,7 +636,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         model = {"total": get("word_total"), "distinct": get("word_distinct"), "d_word": discount("word"), "d_pair": discount("pair"), "s_word": 1.0, "s_pair": 1.0}
         learnt, path = store(told(packs.select("pack", "body", "rows"), to_packs(counts)).mapInArrow(_learn(shards, model), LEARNT), "learnt")
         keep.append(path)
-        asked = learnt.select("pack", "base").mapInArrow(_each(_base), ASKED).unionByName(own_state(counts))
+        asked = learnt.select("pack", F.col("base").alias("asked")).mapInArrow(_each(_stored), ASKED).unionByName(own_state(counts))
         seated, last = store(ask_rows(asked, _seated(shards, model, {}, -1)), "first-tables")
         drop(spark, tokens, counted)
         totals, states = _totals(seated), []
@@ -633,7 +652,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 model[f"d_{level}"], model[f"s_{level}"] = hyperparameters(model[f"d_{level}"], model[f"s_{level}"], totals.get(dishes, {}), seats, guests, 2 * sweep + (level == "word"))
             if sweep >= burn_in:
                 states.append((model, totals, seated))
-        asked = learnt.select("pack", "known").mapInArrow(_ask_all(shards), ASKED)
+        asked = learnt.select("pack", F.col("asks").alias("asked")).mapInArrow(_each(_stored), ASKED)
         beyond = part
         for s, (_, _, answers) in enumerate(states):
             asked = asked.unionByName(own_state(answers, STATE - s))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumenrec.llm import language_model
-from lumenrec.llm.language_model import END, EXACT, FINE, START, bucket, drawn_from, expand, hyperparameters, log_seating, mixed, recursion, score_documents, squeeze, stirling, tables, tallied, unbucket, uniform
+from lumenrec.llm.language_model import END, EXACT, FINE, START, bucket, drawn_from, expand, hyperparameters, log_seating, log_ways, mixed, recursion, score_documents, squeeze, stirling, tables, tallied, unbucket, uniform
 
 
 def rest(i, parts=5):
@@ -227,6 +227,16 @@ def test_tables_of_over_exact_customers_have_the_exact_mean(d, c, others, parent
     assert abs(got.mean() - mean) < 0.03 * sd and abs(got.std() - sd) < 0.03 * sd
 
 
+@pytest.mark.parametrize("d", [0.05, 0.4, 0.8, 0.95])
+def test_ways_beyond_the_recursion(d):
+    """By integrals, and between knots, against the recursion."""
+    exact = recursion(d, 2400, 600)
+    for c, size in ((40, 600), (1100, 128), (2400, 512), (2400, 600), (1500, 600)):
+        got, want = log_ways(np.array([c]), size, d)[0], exact[c, 1 : size + 1]
+        there = np.isfinite(want)
+        assert (np.isfinite(got) == there).all() and np.abs(got[there] - want[there]).max() < 0.01
+
+
 def test_squeeze():
     for a in ([], [0], [255, 1], [256], [1 << 33, 5]):
         assert expand(squeeze(np.array(a, np.uint64))).tolist() == a
