@@ -371,7 +371,7 @@ def _ask_counts(shards: int):
 
 
 def _counts(shards: int):
-    """Of words: counts and ranks in the shard, and all counts for later. Of pairs: counts, and a bit for the pack that owns the pair."""
+    """Of words: counts and ranks in the shard, and all counts for later. Of pairs: counts, a bit for the pack that owns the pair, and ranks of those that occur twice among these."""
 
     def handle(shard: int, packs: list[int], asked: list[bytes]) -> list[tuple[int, bytes]]:
         parts = [pickle.loads(a) for a in asked]
@@ -392,7 +392,8 @@ def _counts(shards: int):
             return [*zip(packs, out), (FACTS, pickle.dumps(facts | {"guests": tallied(c[(c > 0) & (every != END)])})), (STATE, pickle.dumps([squeeze(c)]))]
         owned = np.zeros(len(which), bool)
         owned[order[fresh + (mixed(every, np.uint64(5)) >> np.uint64(32)).astype(np.int64) % holders]] = True  # any of those that hold it
-        out = [pickle.dumps((squeeze(c[w]), np.packbits(o).tobytes())) for w, o in zip(np.split(which, cuts), np.split(owned, cuts))]
+        many = np.cumsum(c > 1) - 1
+        out = [pickle.dumps((squeeze(c[w]), np.packbits(o).tobytes(), squeeze_sorted(many[w[c[w] > 1]]))) for w, o in zip(np.split(which, cuts), np.split(owned, cuts))]
         return [*zip(packs, out), (FACTS, pickle.dumps(facts))]
 
     return handle
@@ -412,11 +413,10 @@ def _learn(shards: int, model: dict):
         present = sorted(k for k in answers if k < shards)
         c_word = np.concatenate([expand(answers[k][0]) for k in present]).astype(np.int64)
         ranks = [expand_sorted(answers[k][1]) for k in present]
-        pairs = [answers[k] for k in sorted(answers) if k >= shards]
-        counts = [expand(c) for c, _ in pairs]
-        c_pair, owned = np.empty(len(tokens.u), np.int64), np.empty(len(tokens.u), bool)
-        c_pair[tokens.order] = np.concatenate(counts).astype(np.int64)
-        owned[tokens.order] = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)) for (_, o), c in zip(pairs, counts)]).astype(bool)
+        pairs = [(k, [expand(answers[k][0]).astype(np.int64), answers[k][1], answers[k][2]]) for k in sorted(answers) if k >= shards]
+        c_pair = np.concatenate([c for _, (c, _, _) in pairs])  # by hash, as are all of the pairs' numbers here
+        owned = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)) for _, (c, o, _) in pairs]).astype(bool)
+        u, w = tokens.u[tokens.order], tokens.w[tokens.order]
 
         base = np.log10((c_word + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1)))
         add = lambda x: np.add.reduceat(x, tokens.firsts) if len(tokens.firsts) else np.empty(0)
@@ -428,21 +428,20 @@ def _learn(shards: int, model: dict):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(docs)
-        known = pickle.dumps((row["body"], squeeze(c_pair), squeeze(c_word)))
-        hashes = tokens.hashes[c_pair[tokens.order] > 1]
-        asks = [(k, pickle.dumps(answers[k][1])) for k in present]
-        full, at = by_shard(hashes, shards)
-        asks += [(shards + k, pickle.dumps((squeeze_sorted(hashes[a:b]), None))) for k, a, b in zip(full.tolist(), at[:-1], at[1:])]
+        known = pickle.dumps((squeeze(c_pair), squeeze(c_word)))
+        asks = [*((k, pickle.dumps(answers[k][1])) for k in present), *((k, pickle.dumps(r)) for k, (_, _, r) in pairs)]
 
         many = np.flatnonzero(owned & (c_pair > 1))  # one customer has one table
-        words, place = np.unique(np.r_[tokens.u[many], tokens.w[many]], return_inverse=True)
+        seated = np.split(owned[c_pair > 1], np.cumsum([(c > 1).sum() for _, (c, _, _) in pairs])[:-1])
+        mine_of = [(k, squeeze_sorted(expand_sorted(r)[o])) for (k, (_, _, r)), o in zip(pairs, seated)]
+        words, place = np.unique(np.r_[u[many], w[many]], return_inverse=True)
         bounds = np.cumsum([0, *map(len, ranks)])
         cuts = np.searchsorted(words, bounds)
         every = np.concatenate(ranks)
         mine = {k: squeeze_sorted(every[words[a:b]]) for k, a, b in zip(present, cuts[:-1], cuts[1:]) if b > a}
-        part = pickle.dumps((squeeze(place[: len(many)]), squeeze(place[len(many) :]), squeeze(c_pair[many]), squeeze_sorted(tokens.keys[words]), mine))
+        part = pickle.dumps((squeeze(place[: len(many)]), squeeze(place[len(many) :]), squeeze(c_pair[many]), squeeze_sorted(tokens.keys[words]), mine, mine_of))
         own = owned & (c_pair > 0)
-        sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (tokens.u, tokens.w)]
+        sums = [np.bincount(x[own], minlength=len(tokens.keys)) for x in (u, w)]
         first = [(k, pickle.dumps((squeeze_sorted(r), [squeeze(x[a:b]) for x in sums], mine.get(k)))) for k, r, a, b in zip(present, ranks, bounds[:-1], bounds[1:])]
         kinds = [pa.int64(), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, sink.getvalue().to_pybytes(), known, part, pickle.dumps(first), pickle.dumps(asks)), kinds)], ["pack", "rows", "known", "part", "base", "asks"])
@@ -457,10 +456,10 @@ def _stored(number, row, answers):
 
 
 class Part:
-    """The pairs that a pack owns and that occur twice: words as numbers of the part's words, customers, keys of the draws."""
+    """The pairs that a pack owns and that occur twice, by hash: words as numbers of the part's words, customers, keys of the draws, and ranks in the shards of words and of pairs."""
 
     def __init__(self, data: bytes):
-        u, w, c, keys, self.ranks = pickle.loads(data)
+        u, w, c, keys, self.ranks, self.pair_ranks = pickle.loads(data)
         self.u, self.w, self.c = (expand(x).astype(np.int64) for x in (u, w, c))
         self.keys = expand_sorted(keys)
         self.hashes = mixed(self.keys[self.u], self.keys[self.w])
@@ -542,11 +541,13 @@ def _tell(shards: int):
     def tell(number, row, answers):
         part = Part(row["part"])
         beyond = np.stack([expand(pickle.loads(a)).astype(np.int64) for a in row["states"]])
-        some = np.flatnonzero(beyond.any(0))
-        some = some[np.argsort(part.hashes[some], kind="stable")]
-        hashes = part.hashes[some]
-        full, bounds = by_shard(hashes, shards)
-        out = [(shards + k, pickle.dumps((squeeze_sorted(hashes[a:b]), [squeeze(x[some[a:b]]) for x in beyond]))) for k, a, b in zip(full.tolist(), bounds[:-1], bounds[1:])]
+        out, at = [], 0
+        for k, ranks in part.pair_ranks:
+            ranks = expand_sorted(ranks)
+            own = beyond[:, at : at + len(ranks)]
+            at += len(ranks)
+            if len(some := np.flatnonzero(own.any(0))):
+                out.append((k, pickle.dumps((squeeze_sorted(ranks[some]), [squeeze(x[some]) for x in own]))))
         yield batch(ASKED, [k for k, _ in out], [FACTS] * len(out), [d for _, d in out])
 
     return _each(tell)
@@ -560,31 +561,24 @@ def _final(shards: int, kept: int):
             states = [[expand(x).astype(np.int64) for x in pickle.loads(a)] for n, a in sorted(zip(packs, asked)) if n <= STATE]
             wanted = [(n, expand_sorted(pickle.loads(a)).astype(np.int64)) for n, a in zip(packs, asked) if n > STATE]
             return [(n, pickle.dumps([[squeeze(x[r]) for x in (s[4], s[5], s[3])] for s in states[::-1]])) for n, r in wanted]
-        told_of = [pickle.loads(a) for n, a in zip(packs, asked) if n == FACTS]
-        hashes = np.concatenate([np.empty(0, np.uint64), *[expand_sorted(h) for h, _ in told_of]])
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        values = [np.concatenate([np.empty(0, np.int64), *[expand(v[s]).astype(np.int64) for _, v in told_of]])[order] for s in range(kept)]
-        out = []
-        for n, a in zip(packs, asked):
-            if n != FACTS:
-                own = expand_sorted(pickle.loads(a)[0])
-                at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
-                hit = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
-                out.append((n, pickle.dumps([squeeze(np.where(hit, v[at], 0) if len(hashes) else np.zeros(len(own), np.int64)) for v in values])))
-        return out
+        told_of = [(expand_sorted(r).astype(np.int64), v) for r, v in (pickle.loads(a) for n, a in zip(packs, asked) if n == FACTS)]
+        wanted = [(n, expand_sorted(pickle.loads(a)).astype(np.int64)) for n, a in zip(packs, asked) if n != FACTS]
+        values = np.zeros((kept, 1 + max((int(r[-1]) for r in [*(r for r, _ in told_of), *(r for _, r in wanted)] if len(r)), default=0)), np.int64)
+        for r, v in told_of:
+            for s in range(kept):
+                values[s, r] = expand(v[s])
+        return [(n, pickle.dumps([squeeze(v[r]) for v in values])) for n, r in wanted]
 
     return handle
 
 
 def _scores(shards: int, states: list[tuple[dict, dict]]):
     def score(number, row, answers):
-        body, c, c_word = pickle.loads(row["known"])
-        tokens, c, c_word = Tokens(body), expand(c).astype(np.int64), expand(c_word).astype(np.int64)
-        u, w = tokens.u, tokens.w
+        tokens, (c, c_word) = Tokens(row["body"]), (expand(x).astype(np.int64) for x in pickle.loads(row["known"]))
+        u, w = tokens.u[tokens.order], tokens.w[tokens.order]
         words = [answers[k] for k in sorted(answers) if k < shards]
         pairs = [answers[k] for k in sorted(answers) if k >= shards]
-        many = tokens.order[c[tokens.order] > 1]
+        many = np.flatnonzero(c > 1)
         p = np.zeros(len(c))
         for s, (model, totals) in enumerate(states):
             seats, n, k = (np.concatenate([expand(x[s][j]) for x in words]).astype(np.int64) for j in range(3))
@@ -594,7 +588,8 @@ def _scores(shards: int, states: list[tuple[dict, dict]]):
             d, strength = model["d_pair"], model["s_pair"]
             p += (c - d * t + (strength + d * seats[u]) * _parent(n, k, model, totals)[w]) / (strength + c_word[u])
         docs = pa.ipc.open_stream(row["rows"]).read_all()
-        own = np.add.reduceat(np.log10(p / len(states))[tokens.which], tokens.firsts) if len(tokens.firsts) else np.empty(0)
+        p[tokens.order] = np.log10(p / len(states))
+        own = np.add.reduceat(p[tokens.which], tokens.firsts) if len(tokens.firsts) else np.empty(0)
         yield from docs.append_column("score", pa.array(own.astype(np.float64))).combine_chunks().to_batches()
 
     return _each(score)
@@ -627,7 +622,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     to_packs = lambda answers: answers.where("pack >= 0")
     own_state = lambda answers, n=STATE: answers.where(F.col("pack") == STATE).select("shard", F.lit(n).cast("bigint").alias("pack"), "data")
     with dropped_after(spark, keep := []):
-        packs, tokens = pack_rows(docs, _tokenised, ["doc_id"], size or PACK)
+        packs, path = pack_rows(docs, _tokenised, ["doc_id"], size or PACK)
+        keep.append(path)
         shards = shards_for(packs)
         counts, counted = store(ask_rows(packs.select("pack", "body").mapInArrow(_ask_counts(shards), ASKED), _counts(shards)), "counts")
         stats = _totals(counts)
@@ -638,7 +634,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         keep.append(path)
         asked = learnt.select("pack", F.col("base").alias("asked")).mapInArrow(_each(_stored), ASKED).unionByName(own_state(counts))
         seated, last = store(ask_rows(asked, _seated(shards, model, {}, -1)), "first-tables")
-        drop(spark, tokens, counted)
+        drop(spark, counted)
         totals, states = _totals(seated), []
         part = learnt.select("pack", "part")
         for sweep in range(burn_in + kept):
@@ -661,7 +657,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         asked = asked.unionByName(beyond.mapInArrow(_tell(shards), ASKED))
         final, path = store(ask_rows(asked, _final(shards, kept)), "final-facts")
         keep.append(path)
-    out = told(learnt.select("pack", "known", "rows"), final).mapInArrow(_scores(shards, [s[:2] for s in states]), schema)
+    known = packs.select("pack", "body").join(learnt.select("pack", "known", "rows").hint("merge"), "pack")
+    out = told(known, final).mapInArrow(_scores(shards, [s[:2] for s in states]), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

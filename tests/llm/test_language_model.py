@@ -17,8 +17,9 @@ def words(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
 
-@pytest.mark.parametrize("size", [None, 2000])
-def test_counts_and_base_against_brute_force(make_docs, texts, size):
+@pytest.mark.parametrize("size, shards", [(None, 1), (2000, 1), (2000, 9)])
+def test_counts_and_base_against_brute_force(make_docs, monkeypatch, texts, size, shards):
+    monkeypatch.setattr(language_model, "shards_for", lambda packs: shards)
     rows = list(enumerate(texts)) + [(None, texts[1]), (4, texts[4])]
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in score_documents(make_docs(rows), size=size).collect()), key=str)
     c = Counter(t for i, x in rows if rest(i) != 1 for t in [*words(x), None])
@@ -77,14 +78,15 @@ def test_sweeps_go_on_from_each_other_until_tables_settle(make_docs, monkeypatch
     assert len(beyond) == 13 and beyond[1] < 0.95 * settled and abs(beyond[language_model.BURN_IN] - settled) < 0.1 * settled
 
 
-def plain_scores(rows, burn_in, kept):
+def plain_scores(rows, burn_in, kept, shards):
     """The same chain with plain dictionaries: the exact conditionals by recursion, the same draws."""
     import xxhash
 
     key = lambda w: END if w is None else START if w == "" else np.uint64(xxhash.xxh3_64_intdigest(w.encode()))
     chains = {i: ["", *words(x), None] for i, x in rows}
     words_of = sorted({t for c in chains.values() for t in c}, key=key)
-    rank = {t: n for n, t in enumerate(words_of)}
+    shard = {t: min(int(key(t)) // ((1 << 64) // shards), shards - 1) for t in words_of}
+    rank = {t: n - sum(shard[o] < shard[t] for o in words_of) for n, t in enumerate(words_of)}
     pairs, guests = Counter(), Counter()
     for i, c in chains.items():
         if rest(i) != 1:
@@ -113,7 +115,7 @@ def plain_scores(rows, burn_in, kept):
         parent = lambda w: (n[w] - d["word"] * k.get(w, 0) + (strength["word"] + d["word"] * tables_of) / (distinct + 1)) / (strength["word"] + customers)
         t = {(u, w): draw(c, seats[u] - t[u, w], parent(w), "pair", mixed(np.array([key(u)]), np.array([key(w)]))[0], 2 * sweep) if c > 1 else 1 for (u, w), c in pairs.items()}
         seats, n = total(0), total(1)
-        k = {w: draw(c, tables_of - k[w], 1 / (distinct + 1), "word", mixed(np.array([rank[w]], np.uint64), np.uint64(7))[0], 2 * sweep + 1) if c > 1 else 1 for w, c in n.items()}
+        k = {w: draw(c, tables_of - k[w], 1 / (distinct + 1), "word", mixed(np.array([rank[w]], np.uint64), np.uint64(shard[w] + 7))[0], 2 * sweep + 1) if c > 1 else 1 for w, c in n.items()}
         level = lambda name, c, m: tallied(np.array([x for w, x in c.items() if x > 1]), np.array([m[w] for w, x in c.items() if x > 1]))
         for name, dishes, seated, guest, number in (("pair", level("pair", pairs, t), tallied(np.array(list(seats.values()))), tallied(np.array(list(guests.values()))), 0), ("word", level("word", n, k), {(int(bucket(sum(k.values()))),): 1}, {(int(bucket(sum(n.values()))),): 1}, 1)):
             d[name], strength[name] = hyperparameters(d[name], strength[name], dishes, seated, guest, 2 * sweep + number)
@@ -132,12 +134,13 @@ def plain_scores(rows, burn_in, kept):
     return out
 
 
-@pytest.mark.parametrize("burn_in, kept, size", [(0, 1, None), (2, 3, None), (2, 2, 900)])
-def test_scores_against_a_plain_sampler(make_docs, burn_in, kept, size):
+@pytest.mark.parametrize("burn_in, kept, size, shards", [(0, 1, None, 1), (2, 3, None, 1), (2, 2, 900, 6)])
+def test_scores_against_a_plain_sampler(make_docs, monkeypatch, burn_in, kept, size, shards):
+    monkeypatch.setattr(language_model, "shards_for", lambda packs: shards)
     rng = np.random.default_rng(11)
     p = 1 / np.arange(1, 61)
     rows = [(k, " ".join(f"w{j}" for j in rng.choice(60, int(rng.integers(0, 30)), p=p / p.sum()))) for k in range(150)] + [(400, None), (401, "unheard of")]
-    want = plain_scores(rows, burn_in, kept)
+    want = plain_scores(rows, burn_in, kept, shards)
     got = {r.doc_id: r.score for r in score_documents(make_docs(rows), size=size, burn_in=burn_in, kept=kept).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-7 * max(1, abs(want[i])) for i in want)
 
