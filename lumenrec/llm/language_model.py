@@ -54,6 +54,17 @@ def expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes).view(f"<u{size}").ravel().astype(np.uint64)
 
 
+def squeeze_states(states: list[np.ndarray]) -> list[bytes]:
+    """The first of several like arrays, and how the others differ from it."""
+    apart = [x - states[0] for x in states[1:]]
+    return [squeeze(states[0]), *(squeeze(x << 1 ^ x >> 63) for x in apart)]
+
+
+def expand_states(data: list[bytes]) -> list[np.ndarray]:
+    first, *rest = (expand(x).astype(np.int64) for x in data)
+    return [first, *(first + (x >> 1 ^ -(x & 1)) for x in rest)]
+
+
 def squeeze_sorted(a: np.ndarray) -> bytes:
     return squeeze(np.diff(a.astype(np.uint64), prepend=np.uint64(0)))
 
@@ -560,7 +571,7 @@ def _final(shards: int, kept: int):
         if shard < shards:
             states = [[expand(x).astype(np.int64) for x in pickle.loads(a)] for n, a in sorted(zip(packs, asked)) if n <= STATE]
             wanted = [(n, expand_sorted(pickle.loads(a)).astype(np.int64)) for n, a in zip(packs, asked) if n > STATE]
-            return [(n, pickle.dumps([[squeeze(x[r]) for x in (s[4], s[5], s[3])] for s in states[::-1]])) for n, r in wanted]
+            return [(n, pickle.dumps([squeeze_states([s[j][r] for s in states[::-1]]) for j in (4, 5, 3)])) for n, r in wanted]
         told_of = [(expand_sorted(r).astype(np.int64), v) for r, v in (pickle.loads(a) for n, a in zip(packs, asked) if n == FACTS)]
         wanted = [(n, expand_sorted(pickle.loads(a)).astype(np.int64)) for n, a in zip(packs, asked) if n != FACTS]
         values = np.zeros((kept, 1 + max((int(r[-1]) for r in [*(r for r, _ in told_of), *(r for _, r in wanted)] if len(r)), default=0)), np.int64)
@@ -576,12 +587,12 @@ def _scores(shards: int, states: list[tuple[dict, dict]]):
     def score(number, row, answers):
         tokens, (c, c_word) = Tokens(row["body"]), (expand(x).astype(np.int64) for x in pickle.loads(row["known"]))
         u, w = tokens.u[tokens.order], tokens.w[tokens.order]
-        words = [answers[k] for k in sorted(answers) if k < shards]
+        words = [[expand_states(x) for x in answers[k]] for k in sorted(answers) if k < shards]
         pairs = [answers[k] for k in sorted(answers) if k >= shards]
         many = np.flatnonzero(c > 1)
         p = np.zeros(len(c))
         for s, (model, totals) in enumerate(states):
-            seats, n, k = (np.concatenate([expand(x[s][j]) for x in words]).astype(np.int64) for j in range(3))
+            seats, n, k = (np.concatenate([x[j][s] for x in words]) for j in range(3))
             t = np.minimum(c, 1)
             if len(many):
                 t[many] += np.concatenate([expand(x[s]) for x in pairs]).astype(np.int64)
