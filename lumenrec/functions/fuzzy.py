@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+import pyarrow as pa
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -54,13 +52,16 @@ def partial_ratio(a: str | None, b: str | None) -> int:
     return int(round(max(best, _best_place(long, short)) if len(short) == len(long) else best))
 
 
-def fuzzy_score(query: Column, title: Column) -> Column:
-    """partial_ratio of two string columns; each distinct pair of a batch is matched once."""
+def best_titles(k: int):
+    """For a cogroup of titles (title, first) and queries (query): the k titles that match each query best, ties in the order of first."""
 
-    @F.pandas_udf(IntegerType())
-    def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        pairs = list(zip(q, t))
-        known = {p: partial_ratio(*p) for p in set(pairs)}
-        return pd.Series([known[p] for p in pairs])
+    def run(titles: pa.Table, queries: pa.Table) -> pa.Table:
+        names, first, out = titles.column("title").to_pylist(), titles.column("first").to_pylist(), []
+        for q in queries.column("query").to_pylist():
+            rated = ((-partial_ratio(q, t), f is None, f, n) for n, (t, f) in enumerate(zip(names, first)))
+            out += [(q, names[n], f, -match) for match, _, f, n in heapq.nsmallest(k, rated)]
+        columns = list(zip(*out)) if out else [[], [], [], []]
+        kinds = [pa.string(), pa.string(), titles.schema.field("first").type, pa.int32()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query", "title", "first", "match"])
 
-    return run(query, title)
+    return run

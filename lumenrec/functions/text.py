@@ -18,6 +18,16 @@ TAG = r"<.*?>"
 SOURCE = r"(?i)\([\s+]?source.*?\)+"
 CREDIT = r"\[Writ.*?by.*?\]"
 
+# Java's engine goes back where RE2 does not, so the functions below use patterns of the same matches that read a text once. A
+# start that leads nowhere is taken with what it has read, as the group that is put back: no later start in it does better.
+_LINE = r"\n\r\x{85}\x{2028}\x{2029}"  # where . ends
+_LOCAL = "[A-Za-z0-9._%+-]"
+_EMAIL_ONCE = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++" + EMAIL.removeprefix(f"{_LOCAL}+")
+_TAG_ONCE = rf"<[^>{_LINE}]*+>|(<[^>{_LINE}]*+)"
+_SOURCE_ONCE = rf"(?i)\([\s+]?source[^){_LINE}]*+\)++|(\([\s+]?source[^){_LINE}]*+)"
+_CREDIT_ONCE = rf"\[Writ(?:(?!by)[^{_LINE}])*+by[^\]{_LINE}]*+\]|(\[Writ[^{_LINE}]*+)"
+_BLANK = r"\t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 #: Letters and marks that have no decomposition, and their plain spellings.
 PLAIN = str.maketrans({
     "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th",
@@ -53,7 +63,7 @@ def replace_urls(c: Column, by: str = "<URL>") -> Column:
 
 
 def replace_emails(c: Column, by: str = "<EMAIL>") -> Column:
-    return F.regexp_replace(c, EMAIL, by)
+    return F.when(c.contains("@"), F.regexp_replace(c, _EMAIL_ONCE, by)).otherwise(c)
 
 
 def replace_phones(c: Column, by: str = "<PHONE>") -> Column:
@@ -65,20 +75,20 @@ def strip_emoji(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, TAG, "")
+    return F.when(c.contains("<"), F.regexp_replace(c, _TAG_ONCE, "$1")).otherwise(c)
 
 
 def strip_source(c: Column) -> Column:
-    return F.regexp_replace(c, SOURCE, "")
+    return F.when(c.contains("("), F.regexp_replace(c, _SOURCE_ONCE, "$1")).otherwise(c)
 
 
 def strip_credit(c: Column) -> Column:
-    return F.regexp_replace(c, CREDIT, "")
+    return F.when(c.contains("[Writ"), F.regexp_replace(c, _CREDIT_ONCE, "$1")).otherwise(c)
 
 
 def collapse_space(c: Column) -> Column:
     """Runs of any Unicode white space become one space, and none stands at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    return F.btrim(F.regexp_replace(c, rf"[ {_BLANK}]{{2,}}|[{_BLANK}]", " "))  # single spaces are left as they are
 
 
 def clean_text(c: Column, fold: bool = True) -> Column:

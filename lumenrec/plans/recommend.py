@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.fusion import FIELDS, first_of_each, fuse, hybrid_search
-from ..operators.knn import neighbours
-from ..operators.users import best_per_item, in_catalogue, liked_items, listed_items, median_scores, scaled
+from ..functions.fuzzy import best_titles
+from ..operators.fusion import FIELDS, fuse, hybrid_search
+from ..operators.knn import user_neighbours
+from ..operators.users import best_per_item, liked_items, listed_items, median_scores, scaled
 
 LINK = "https://example.org/item/"
 
@@ -28,21 +29,10 @@ def recommend_by_id(catalogue: DataFrame, ids: DataFrame, k: int = 10, prefix: s
 
 
 def candidates_by_liked(catalogue: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """user_id, query_id, user_score, id, distance: a hybrid search from every liked item of every user, without what the user lists.
-
-    An item that many users like is searched once, as deep as the longest of their lists can ask for; each user then takes
-    the first k of every field that are not in the own list.
-    """
+    """user_id, query_id, user_score, id, distance: a hybrid search from every liked item of every user, without what the user lists."""
     liked = liked_items(items, catalogue).withColumnRenamed("id", "query_id").withColumnRenamed("score", "user_score")
-    listed = listed_items(items)
-    sizes = in_catalogue(listed, catalogue).groupBy("user_id").agg(F.count("*").alias("_listed"))
-    liked = liked.join(sizes, "user_id", "left").withColumn("depth", F.lit(k) + F.coalesce("_listed", F.lit(0))).drop("_listed")
-    wanted = liked.groupBy("query_id").agg(F.max("depth").alias("depth"))
-    queries = catalogue.withColumnRenamed("id", "query_id").join(wanted, "query_id")
-    lists = neighbours(queries, catalogue, list(FIELDS))
-    own = liked.join(lists, "query_id").where("rank <= depth").join(listed, ["user_id", "id"], "left_anti")
-    own = first_of_each(own, ["user_id", "query_id"], k)
-    return fuse(own, ["user_id", "query_id", "user_score"], k)
+    near = user_neighbours(liked.select("user_id", "query_id"), listed_items(items), catalogue, list(FIELDS), k)
+    return fuse(near, ["user_id", "query_id"], k).join(liked, ["user_id", "query_id"]).select("user_id", "query_id", "user_score", "id", "distance")
 
 
 def scaled_candidates(catalogue: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
@@ -77,27 +67,35 @@ def recommend_for_users(catalogue: DataFrame, items: DataFrame, users: DataFrame
     return recommend_by_user(catalogue, known, k, prefix).unionByName(cold_start(catalogue, items, users, k, prefix))
 
 
-def search_titles(titles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+TITLES = 20_000  # titles, and as many queries, that are matched in one task
+
+
+def _dealt(titles: DataFrame, queries: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut into blocks by hash, with the numbers of the pairs of blocks (_t, _q) that they are in."""
+    sides = [max(1, -(-x.count() // block)) for x in (titles, queries)]
+    out = []
+    for df, key, (own, other), (mine, theirs) in ((titles, "title", sides, ("_t", "_q")), (queries, "query", sides[::-1], ("_q", "_t"))):
+        df = df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own)).cast("int"))
+        out.append(df.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
+    return out[0], out[1]
+
+
+def search_titles(titles: DataFrame, queries: DataFrame, k: int = 5, block: int = TITLES) -> DataFrame:
     """query, seq, title, match: the k titles that match each query best, ties in the order of seq.
 
-    A query is matched against distinct titles, which are dealt out by hash; the queries are repeated for each deal.
+    Each query is matched against all distinct titles, block by block; k titles of a block leave its task for each query.
     """
-    from ..functions.fuzzy import fuzzy_score
-
-    deals = 32
-    left = titles.groupBy("title").agg(F.min("seq").alias("_first")).withColumn("_deal", F.pmod(F.xxhash64("title"), F.lit(deals)))
-    right = queries.select("query").distinct().withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    rated = left.join(right, "_deal").withColumn("match", fuzzy_score(F.col("query"), F.col("title")))
-    first = Window.partitionBy("query").orderBy(F.desc("match"), "_first")
+    distinct = titles.groupBy("title").agg(F.min("seq").alias("first"))
+    left, right = _dealt(distinct, queries.select("query").distinct(), block)
+    rated = left.groupBy("_t", "_q").cogroup(right.groupBy("_t", "_q")).applyInArrow(best_titles(k), f"query string, title string, first {dict(distinct.dtypes)['first']}, match int")
+    first = Window.partitionBy("query").orderBy(F.desc("match"), "first")
     few = rated.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)  # k distinct titles hold the k best rows
     every = few.join(titles, "title")
     order = Window.partitionBy("query").orderBy(F.desc("match"), "seq")
     return every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("query", "seq", "title", "match")
 
 
-def titles_containing(titles: DataFrame, queries: DataFrame) -> DataFrame:
+def titles_containing(titles: DataFrame, queries: DataFrame, block: int = TITLES) -> DataFrame:
     """query, seq, title of all titles that hold a query, whatever the case: those that search_titles() rates 100 first of all."""
-    deals = 32
-    left = titles.withColumn("_deal", F.pmod(F.xxhash64("title"), F.lit(deals)))
-    right = queries.select("query").distinct().withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    return left.join(right, "_deal").where(F.contains(F.lower("title"), F.lower("query"))).select("query", "seq", "title")
+    left, right = _dealt(titles, queries.select("query").distinct(), block)
+    return left.join(right, ["_t", "_q"]).where(F.contains(F.lower("title"), F.lower("query"))).select("query", "seq", "title")

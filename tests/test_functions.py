@@ -1,3 +1,6 @@
+import random
+import re
+import time
 import unicodedata
 
 import pytest
@@ -99,3 +102,28 @@ def test_partial_ratio_against_its_definition(a, b):
 @pytest.mark.parametrize("q,t,want", [("One", "Stone Ocean", 100), ("death", "DEATH NOTE", 100), ("", "x", 0), ("abcd", "xyz", 0), ("note!", "Death Note", 100)])
 def test_partial_ratio(q, t, want):
     assert partial_ratio(q, t) == want
+
+
+PIECES = ["a", "b.c", "@", "x@y.z", "+", "a@b.co+x@d.com", "@@", ".", "-", " ", "<", ">", "<b>", "\n", "(source", "( Source: web", "(+source", ")", "))", "(", "[Writ", "[Written by", "by", "]", "[", "ten ", "é", " "]
+
+
+def test_patterns_that_read_once_match_alike(spark):
+    """The functions against the plain patterns, over every kind of broken start."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    made = {"email": (tx.replace_emails, tx.EMAIL, "<EMAIL>"), "tag": (tx.strip_tags, tx.TAG, ""), "source": (tx.strip_source, tx.SOURCE, ""), "credit": (tx.strip_credit, tx.CREDIT, "")}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", *[f(F.col("t")).alias(k) for k, (f, _, _) in made.items()], tx.collapse_space(F.col("t")).alias("space")).collect()
+    for r in got:
+        for k, (_, pattern, by) in made.items():
+            assert r[k] == re.sub(pattern, by, r.t, flags=re.ASCII if k == "email" else 0), (k, r.t)
+        assert r.space == re.sub(r"\s+", " ", r.t).strip(" ")
+
+
+@pytest.mark.parametrize("piece", ["a", "a.", "<", "<a", "(source", "[Writ", "[Writ by", "[Written by ", "(", "@", "a@", "1 ", "www.", " ", "\t\n"])
+def test_one_text_of_a_megabyte(spark, piece):
+    df = spark.createDataFrame([(piece * (1_000_000 // len(piece)),)], "t string").select(tx.clean_text(F.col("t"), fold=False).alias("c"))
+    df.where("length(c) < 0").count()
+    began = time.time()
+    df.agg(F.sum(F.length("c"))).collect()
+    assert time.time() - began < 4
