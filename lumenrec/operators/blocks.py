@@ -40,6 +40,10 @@ def hash_split(df: DataFrame, key: str, test_tenths: int = 1) -> DataFrame:
 
 
 def mask_tokens(df: DataFrame, column: str = "input_ids", share: float = 0.15, seed: int = 0, mask: str = "[MASK]") -> DataFrame:
-    """df with masked: each token replaced by mask with probability share, by a hash of its place and text, so reruns agree."""
-    drawn = lambda x, k: F.pmod(F.xxhash64(F.lit(seed), "batch", "block", k, x), F.lit(1_000_000)) < int(share * 1_000_000)
+    """df with masked: each token replaced by mask with probability share, by the MD5 of its place and text, so reruns agree."""
+
+    def drawn(x, k):
+        place = F.concat_ws(" ", F.lit(str(seed)), F.col("batch").cast("string"), F.col("block").cast("string"), k.cast("string"), x)
+        return F.pmod(F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("bigint"), F.lit(1_000_000)) < int(share * 1_000_000)
+
     return df.withColumn("masked", F.transform(column, lambda x, k: F.when(drawn(x, k), F.lit(mask)).otherwise(x)))

@@ -38,35 +38,37 @@ def query(sql: str | None = None):
 # -- scans, sinks, projections ---------------------------------------------------------------------------------------
 
 
-def _pages(df: DataFrame, entry, order: str, page: int = 500) -> DataFrame:
-    """Rows as the JSON pages that a service sends."""
-    paged = df.withColumn("_page", F.floor(F.col(order) / page)).groupBy("_page").agg(F.collect_list(entry).alias("data"))
-    return paged.select(F.to_json(F.struct("data", F.create_map(F.lit("next"), F.col("_page").cast("string")).alias("paging"))).alias("body"))
+def _served(spark: SparkSession, df: DataFrame, entry, order: str, page: int) -> dict:
+    """Rows as the JSON pages of a service, saved; and the options by which the paged source reads them, in eight runs side by side."""
+    path = scratch(spark, "pages")
+    paged = df.withColumn("offset", F.floor(F.col(order) / page) * page).groupBy("offset").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e")))).alias("all"))
+    paged = paged.select("offset", F.transform("all", lambda x: x["e"]).alias("data"))
+    paged.select("offset", F.to_json(F.struct("data", F.create_map(F.lit("next"), F.col("offset").cast("string")).alias("paging"))).alias("body")).write.partitionBy("offset").text(path)
+    last = df.agg(F.max(order)).first()[0]
+    return {"url": path, "fetcher": "lumenrec.sources.paged:folder_fetcher", "page": page, "max_pages": (last or 0) // page + 1, "readers": 8}
 
 
 @query(f"WITH {RAW_SQL} SELECT id, title, replace(synopsis, chr(10), ' ') AS synopsis, list_transform(genres, lambda x: x.name) AS genres FROM raw")
 def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .schemas import CATALOGUE, page_of
-
+    """The catalogue as the paged source reads it."""
     raw = raw_catalogue(spark, sf_dir)
-    bodies = _pages(raw, F.struct(F.struct(*raw.columns).alias("node")), "id")
-    rows = bodies.select(F.from_json("body", page_of(CATALOGUE)).alias("page")).select(F.explode("page.data").alias("entry")).select("entry.node.*")
-    return rows.select("id", "title", tx.strip_newlines(F.col("synopsis")).alias("synopsis"), names(F.col("genres")).alias("genres"))
+    rows = records.service_items(spark, _served(spark, raw, F.struct(F.struct(*raw.columns).alias("node")), "id", 500))
+    return rows.select("id", "title", "synopsis", names(F.col("genres")).alias("genres"))
 
 
-@query(f"WITH {USER_ITEMS_SQL} SELECT user_id, id, title, score, status, episodes_watched, rewatching, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS seq FROM ui")
-def scan_user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.types import LongType, StructField
+@query(f"WITH {RAW_SQL} SELECT id, title, replace(synopsis, chr(10), ' ') AS synopsis FROM raw")
+def collect_short_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected from pages and written as records."""
+    raw = raw_catalogue(spark, sf_dir)
+    return records.collect_items(spark, _served(spark, raw, F.struct(F.struct("id", "title", "synopsis").alias("node")), "id", 500), scratch(spark, "collected"), short=True)
 
-    from .schemas import LIST_STATUS, SHORT_CATALOGUE, page_of
 
-    items = user_items(spark, sf_dir)
-    node = F.struct("id", "title", F.col("user_id"), F.col("seq"))
+@query(f"WITH {USER_ITEMS_SQL} SELECT 7 + 0 * user_id AS user_id, id, title, score, status, episodes_watched, rewatching, row_number() OVER (ORDER BY seq) - 1 AS seq FROM ui")
+def scan_user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries as one user's list, as the paged source reads it."""
     state = F.struct("score", "status", F.col("episodes_watched").alias("num_episodes_watched"), F.col("rewatching").alias("is_rewatching"))
-    bodies = _pages(items, F.struct(node.alias("node"), state.alias("list_status")), "seq", 1000)
-    schema = type(SHORT_CATALOGUE)([*SHORT_CATALOGUE.fields, StructField("user_id", LongType()), StructField("seq", LongType())])
-    rows = bodies.select(F.from_json("body", page_of(schema, LIST_STATUS)).alias("page")).select(F.explode("page.data").alias("entry"))
-    return records.list_rows(rows.select("entry.node.*", "entry.list_status.*"), "seq")
+    entry = F.struct(F.struct("id", "title").alias("node"), state.alias("list_status"))
+    return records.user_list(spark, _served(spark, user_items(spark, sf_dir), entry, "seq", 1000), "anyone", 7)
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -419,7 +421,9 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.hash_split(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "split")
 
 
-@query()
+_BLOCKS = SQL["finetune_blocks"]
+
+
+@query(f"""SELECT batch, block, list_transform(input_ids, lambda x, k: CASE WHEN ('0x' || md5(concat_ws(' ', '0', batch, block, k - 1, x))[1:8])::BIGINT % 1000000 < 150000 THEN '[MASK]' ELSE x END) AS masked, labels FROM ({_BLOCKS})""")
 def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested for its share and for agreement between runs."""
     return blocks.mask_tokens(finetune_blocks(spark, sf_dir)).select("batch", "block", "masked", "labels")

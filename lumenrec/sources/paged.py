@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 from ..errors import check_status
 
+DELAY = "4.15"  # seconds between pages of a service, unless the option delay says otherwise
+
 
 def http_fetcher(options: dict, offset: int) -> tuple[int, dict]:
     """Status and body of the page at offset."""
@@ -42,31 +44,43 @@ def file_fetcher(options: dict, offset: int) -> tuple[int, dict]:
     return 200, json.loads(page.read_text()) if page.exists() else {"data": []}
 
 
+def folder_fetcher(options: dict, offset: int) -> tuple[int, dict]:
+    """Pages that Spark wrote as text, in a folder offset=N each, below url."""
+    from pathlib import Path
+
+    parts = sorted(Path(options["url"].removeprefix("file:")).glob(f"offset={offset}/part-*"))
+    text = "".join(p.read_text(encoding="utf-8") for p in parts)
+    return 200, json.loads(text) if text else {"data": []}
+
+
 def pages(options: dict, offset: int, last: int | None = None):
-    """(offset, entries) of one page after another, up to last pages.
+    """(offset, entries) of one page after another, up to last pages, from the entry at offset on.
 
-    An empty page, or one that names no next, is the final one. A page that times out is asked for again, as often as
+    Pages are asked for where they begin, whatever the offset of the first entry. An empty page, or one that names no next, is the final one. A page that times out is asked for again, as often as
     retries says; other failures raise what their status stands for.
     """
     module, _, name = options.get("fetcher", f"{__name__}:http_fetcher").partition(":")
     fetch = getattr(importlib.import_module(module), name)
     step, done, tries = int(options.get("page", "500")), 0, 0
+    delay = float(options.get("delay", DELAY if fetch is http_fetcher else "0"))
+    begun = int(options.get("offset", "0")) % step  # pages begin a multiple of their size after the first
     while last is None or done < last:
+        passed = (offset - begun) % step
         try:
-            status, body = fetch(options, offset)
+            status, body = fetch(options, offset - passed)
         except TimeoutError:
             tries += 1
             if tries > int(options.get("retries", "3")):
                 raise
             continue
         check_status(status, options.get("url", ""))
-        if not body.get("data"):
+        if len(entries := body.get("data") or []) <= passed:
             return
-        yield offset, body["data"]
-        done, tries, offset = done + 1, 0, offset + step
+        yield offset, entries[passed:]
+        done, tries, offset = done + 1, 0, offset - passed + step
         if not body.get("paging"):
             return
-        time.sleep(float(options.get("delay", "0")))
+        time.sleep(delay)
 
 
 class _Run(InputPartition):
@@ -95,7 +109,10 @@ class PagedReader(DataSourceReader):
 
 
 class PagedStream(SimpleDataSourceStreamReader):
-    """Follows the service: each trigger takes the pages that have appeared since the last offset."""
+    """Follows the service: each trigger takes the entries that have appeared since the last, those of a page that still fills with them.
+
+    With max_pages a trigger takes no more than so many pages and leaves the rest for the next.
+    """
 
     def __init__(self, options: dict):
         self.options = dict(options)
@@ -104,18 +121,18 @@ class PagedStream(SimpleDataSourceStreamReader):
         return {"offset": int(self.options.get("offset", "0"))}
 
     def read(self, start):
-        rows, at, step = [], start["offset"], int(self.options.get("page", "500"))
-        for offset, entries in pages(self.options, at, int(self.options.get("max_pages", "10"))):
-            if len(entries) < step:
-                break  # a page that still fills is left for later
+        rows, at, most = [], start["offset"], self.options.get("max_pages")
+        for offset, entries in pages(self.options, at, None if most is None else int(most)):
             rows += [(offset + k, json.dumps(e)) for k, e in enumerate(entries)]
-            at = offset + step
+            at = offset + len(entries)
         return iter(rows), {"offset": at}
 
     def readBetweenOffsets(self, start, end):
-        step = int(self.options.get("page", "500"))
-        for offset, entries in pages(self.options, start["offset"], (end["offset"] - start["offset"]) // step):
-            yield from ((offset + k, json.dumps(e)) for k, e in enumerate(entries))
+        if start["offset"] < end["offset"]:
+            for offset, entries in pages(self.options, start["offset"]):
+                yield from ((offset + k, json.dumps(e)) for k, e in enumerate(entries) if offset + k < end["offset"])
+                if offset + len(entries) >= end["offset"]:
+                    return
 
 
 class PagedSource(DataSource):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..functions.text import strip_newlines
+from .paged import PagedSource
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | None = None, lines: bool = False) -> DataFrame:
@@ -80,3 +82,31 @@ def list_rows(rows: DataFrame, order) -> DataFrame:
         "user_id", "id", "title", F.coalesce("score", F.lit(0)).cast("long").alias("score"), "status",
         F.col("num_episodes_watched").cast("long").alias("episodes_watched"), F.col("is_rewatching").alias("rewatching"), seq.alias("seq"),
     )
+
+
+def service_entries(spark: SparkSession, options: dict, item: StructType, status: StructType | None = None) -> DataFrame:
+    """position, entry of all pages of a service, read by the paged source."""
+    spark.dataSource.register(PagedSource)
+    entry = schemas.page_of(item, status)["data"].dataType.elementType
+    rows = spark.read.format("paged").options(**{k: str(v) for k, v in options.items()}).load()
+    return rows.select("position", F.from_json("entry", entry).alias("entry"))
+
+
+def service_items(spark: SparkSession, options: dict, short: bool = False) -> DataFrame:
+    """Items of the catalogue as a service has them, line breaks in synopses as spaces. short: id, title and synopsis alone."""
+    rows = service_entries(spark, options, schemas.SHORT_CATALOGUE if short else schemas.CATALOGUE).select("entry.node.*")
+    return rows.withColumn("synopsis", strip_newlines(F.col("synopsis")))
+
+
+def collect_items(spark: SparkSession, options: dict, path: str, short: bool = False) -> DataFrame:
+    """Reads all items of a service, writes them as records at path and gives the records."""
+    items = service_items(spark, options, short)
+    write_records(items, path)
+    return read_records(spark, path, items.schema, lines=True)
+
+
+def user_list(spark: SparkSession, options: dict, name: str, user_id: int = 0) -> DataFrame:
+    """The list of the user of that name in the common schema, under user_id. {name} in the option url stands for the name."""
+    node = schemas._struct(id=schemas._L, title=schemas._S)
+    rows = service_entries(spark, options | {"url": options["url"].replace("{name}", name)}, node, schemas.LIST_STATUS)
+    return list_rows(rows.select("position", "entry.node.*", "entry.list_status.*", F.lit(user_id).cast("long").alias("user_id")), "position")

@@ -24,8 +24,15 @@ def replace(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that all executors share: under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
+    """A new path that all executors share: under spark.checkpoint.dir, or where that is unset under the warehouse.
+
+    A warehouse on a machine's own disk will do for a local master only.
+    """
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
+        if base.startswith(("file:", "/")) and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = f"{base.rstrip('/')}/records-{spark.sparkContext.applicationId}"
     _roots[root] = spark
     return f"{root}/{name}-{uuid.uuid4().hex}"

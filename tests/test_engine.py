@@ -11,9 +11,9 @@ from lumenrec.errors import InvalidToken, ItemNotFound, RateLimitExceeded, UserN
 from lumenrec.operators import blocks, users
 from lumenrec.operators.features import build_features, complete_items
 from lumenrec.operators.fusion import FIELDS, hybrid_search
-from lumenrec.operators.knn import _first, neighbours
+from lumenrec.operators.knn import _first, neighbours, user_neighbours
 from lumenrec.plans import recommend
-from lumenrec.plans.engine import Engine
+from lumenrec.plans.engine import Engine, prompted
 from lumenrec.sources import paged, records, tables
 from lumenrec.streaming.incremental import activity, follow_users
 
@@ -173,7 +173,7 @@ def test_pages(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("seen").trigger(processingTime="0 seconds").start()
     run.processAllAvailable()
     run.stop()
-    assert ids(spark.table("seen")) == [1, 2, 3, 4]  # the page that still fills is left
+    assert ids(spark.table("seen")) == [1, 2, 3, 4, 5]  # with the page that still fills
     (tmp_path / "status.json").write_text("404")
     with pytest.raises(Exception, match="UserNotFound"):
         read.option("max_pages", 1).load().collect()
@@ -190,6 +190,97 @@ def test_timeouts_are_asked_again():
     assert [o for o, _ in paged.pages({"fetcher": f"{__name__}:flaky", "page": "1"}, 0)] == [0, 1, 2]
 
 
+def test_stream_delivers_entries_of_a_filling_page_once(tmp_path):
+    def write(n, ids, more):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"data": ids, "paging": {"next": "x"} if more else {}}))
+
+    write(0, [10, 11], True)
+    write(2, [12], False)
+    options = {"url": str(tmp_path), "page": "2", "fetcher": "lumenrec.sources.paged:file_fetcher"}
+    stream = paged.PagedStream(options)
+    rows, first = stream.read(stream.initialOffset())
+    assert list(rows) == [(0, "10"), (1, "11"), (2, "12")] and first == {"offset": 3}
+    rows, same = stream.read(first)
+    assert list(rows) == [] and same == first
+    write(2, [12, 13], True)
+    write(4, [14], False)
+    rows, last = stream.read(first)
+    assert list(rows) == [(3, "13"), (4, "14")] and last == {"offset": 5}
+    assert list(stream.readBetweenOffsets({"offset": 1}, {"offset": 4})) == [(1, "11"), (2, "12"), (3, "13")]
+    rows, part = paged.PagedStream(options | {"max_pages": "1"}).read({"offset": 0})
+    assert len(list(rows)) == 2 and part == {"offset": 2}
+
+
+def waits(monkeypatch, options):
+    slept = []
+    monkeypatch.setattr(paged.time, "sleep", slept.append)
+    list(paged.pages(options, 0))
+    return slept
+
+
+def test_a_service_is_given_time_between_pages(monkeypatch):
+    body = lambda options, offset: (200, {"data": [offset], "paging": {"next": 1} if offset < 2 else {}})
+    monkeypatch.setattr(paged, "http_fetcher", body)
+    assert waits(monkeypatch, {"url": "x", "page": "1"}) == [4.15, 4.15]
+    assert waits(monkeypatch, {"url": "x", "page": "1", "delay": "1"}) == [1.0, 1.0]
+
+
+def test_engine_with_a_service(spark, cat, tmp_path):
+    """Rebuilt from what is collected, and asked for a user by name."""
+    named = lambda *x: [{"id": n, "name": v} for n, v in enumerate(x)]
+    items = [{"node": {"id": i, "title": f"title {i}", "synopsis": f"a\ntext {i}", "genres": named("Action"), "studios": named("s")}} for i in range(5)]
+    lists = [{"node": {"id": 1, "title": "title 1"}, "list_status": {"score": 8, "status": "completed", "num_episodes_watched": 1, "is_rewatching": False}}]
+    for folder, pages in (("items", [items[:3], items[3:]]), ("lists/ann", [lists]), ("lists/new", [[]])):
+        (tmp_path / folder).mkdir(parents=True)
+        for n, data in enumerate(pages):
+            (tmp_path / folder / f"{3 * n}.json").write_text(json.dumps({"data": data, "paging": {"next": "x"} if n + 1 < len(pages) else {}}))
+    (tmp_path / "lists/gone").mkdir()
+    (tmp_path / "lists/gone/status.json").write_text("404")
+    service = {"page": 3, "fetcher": "lumenrec.sources.paged:file_fetcher"}
+    settings = {"collection": "served_items", "items_path": str(tmp_path / "kept"), "items_service": service | {"url": f"{tmp_path}/items"}, "lists_service": service | {"url": f"{tmp_path}/lists/{{name}}"}}
+    engine = Engine(spark, settings, cat, cat.selectExpr("id", "'x' AS title"))
+    engine.rebuild(None, lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float")))
+    assert records.read_records(spark, settings["items_path"], lines=True).count() == 5 and engine.titles.count() == 5
+    assert {r.synopsis for r in records.collect_items(spark, settings["items_service"], str(tmp_path / "short"), short=True).collect()} == {f"a text {i}" for i in range(5)}
+    got = engine.run("ann", by_item=False, limit=2).collect()
+    assert len(got) == 2 and {r.user_id for r in got} == {0} and 1 not in {r.id for r in got}
+    assert engine.run("new", by_item=False, limit=3).count() == 3
+    with pytest.raises(UserNotFound):
+        engine.run("gone", by_item=False)
+    spark.sql("DROP TABLE served_items")
+
+
+def test_a_prompt_asks_until_it_gets_a_choice():
+    said, replies = [], iter(["7", "x", "0", " 2 "])
+    rows = [{"title": "a"}, {"title": "b"}]
+    assert prompted(lambda _: next(replies), said.append)(rows) == rows[1] and said == ["1. a", "2. b"]
+    assert prompted(lambda _: "q", said.append)(rows) is None and prompted(lambda _: "", said.append)(rows) is None
+
+
+def test_blocks_do_not_change_users_or_titles(spark, cat):
+    rng = np.random.default_rng(3)
+    listed = {(int(u), int(i)) for u, i in zip(rng.integers(0, 6, 70), rng.integers(0, 40, 70))} | {(9, i) for i in range(39)}
+    rows = [(u, i, int(i % 11), ["completed", "watching"][(u + i) % 2], n) for n, (u, i) in enumerate(sorted(listed))]
+    items = spark.createDataFrame(rows, LIST)
+    liked = users.liked_items(items, cat).selectExpr("user_id", "id AS query_id")
+    near = lambda block: sorted(map(tuple, user_neighbours(liked, users.listed_items(items), cat, list(FIELDS), 4, block).collect()))
+    whole = near(4096)
+    assert near(7) == near(3) == whole
+    vectors = cat.withColumnRenamed("id", "query_id")
+    every = neighbours(vectors, cat, list(FIELDS), 40).collect()
+    want = []
+    for u, q in {(r.user_id, r.query_id) for r in liked.collect()}:
+        for f in FIELDS:
+            own = [r for r in sorted((r for r in every if r.query_id == q and r.field == f.name), key=lambda r: r["rank"]) if (u, r.id) not in listed][:4]
+            want += [(u, q, f.name, r.id, r.raw, n) for n, r in enumerate(own, 1)]
+    assert whole == sorted(want)
+    titles = spark.createDataFrame([(n, f"{a} {b}") for n, (a, b) in enumerate((a, b) for a in ("red", "blue", "red") for b in ("one", "two", "three"))], "seq long, title string")
+    queries = spark.createDataFrame([("RED on",), ("thr",), ("",)], "query string")
+    for f in (recommend.search_titles, recommend.titles_containing):
+        few, all_of = ({tuple(r) for r in f(titles, queries, block=b).collect()} for b in (2, 1000))
+        assert few == all_of and few
+
+
 def test_user_list_pages(spark, tmp_path):
     for n in range(2):
         body = {"data": [{"node": {"id": 10 * n + k, "title": "t"}, "list_status": {"score": k, "status": "completed", "num_episodes_watched": 3, "is_rewatching": False}} for k in range(3)], "paging": {}}
