@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import store, table
+from .packs import trim
 
 WINDOW = 16  # bytes that decide whether a chunk ends
 LEAST, MOST = 256, 8192  # bytes of a chunk
@@ -62,12 +63,13 @@ def _hash(chunk: bytes, bits: int) -> int:
 def _recipes(bits: int):
     def run(batches):
         for b in batches:
-            ids, digests, recipes = b.column(0), [], []
+            digests, recipes = [], []
             for text in b.column(1).to_pylist():
                 data, chunks = _chunks(text)
                 digests.append(hashlib.sha256(data).hexdigest())
                 recipes.append([_hash(c, bits) for c in chunks])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(recipes, pa.list_(pa.int64())), pa.array(digests)], ["doc_id", "recipe", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(recipes, pa.list_(pa.int64())), pa.array(digests, pa.string())], ["doc_id", "text_hash", "recipe", "text_sha256"])
+            trim()
 
     return run
 
@@ -77,18 +79,21 @@ def _distinct_chunks(bits: int):
         for b in batches:
             seen = {c for text in b.column(1).to_pylist() for c in _chunks(text)[1]}
             yield pa.RecordBatch.from_arrays([pa.array([_hash(c, bits) for c in seen], pa.int64()), pa.array(list(seen), pa.binary())], ["h", "chunk"])
+            del seen
+            trim()
 
     return run
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """doc_id, recipe, text_sha256 of every row. recipe: verified chunk identifiers, in order.
+    """doc_id, text_hash, recipe, text_sha256 of every row. recipe: verified chunk identifiers, in order; text_hash: Spark's xxhash64 of the text.
 
     An identifier is the chunk's hash, and where different chunks share a hash, also the chunk's rank among them. Such
     hashes are found by grouping the distinct chunks themselves; only then are recipes taken apart to be given ranks.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    out = docs.mapInArrow(_recipes(hash_bits), f"doc_id {dict(docs.dtypes)['doc_id']}, recipe array<bigint>, text_sha256 string")
+    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = hashed.mapInArrow(_recipes(hash_bits), f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, recipe array<bigint>, text_sha256 string")
     chunks = docs.mapInArrow(_distinct_chunks(hash_bits), "h bigint, chunk binary").distinct()
     clash = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     if clash.isEmpty():
@@ -113,26 +118,26 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bi
     fixed = parts.agg(F.sort_array(F.collect_set(F.struct("k", "h", F.coalesce("r", F.lit(0)).alias("r")))).alias("p"))
     fixed = fixed.select("doc_id", "text_sha256", F.flatten(F.transform("p", lambda x: F.array(x["h"], x["r"]))).alias("fixed"))
     both = out.alias("o").join(fixed.alias("f"), F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("o.text_sha256") == F.col("f.text_sha256")), "left")
-    return both.select("o.doc_id", F.coalesce("f.fixed", "o.recipe").alias("recipe"), "o.text_sha256")
+    return both.select("o.doc_id", "o.text_hash", F.coalesce("f.fixed", "o.recipe").alias("recipe"), "o.text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_hash (Spark's xxhash64 of the text as it is) of every row of docs.
 
     Texts are equal when identical after lower-casing A-Z. The row with the largest doc_id of a group stays. A null text
     counts as empty, and empty texts are one group. A null doc_id is smaller than any other; in a group without any id
     keep_id is null and every row stays. Rows that repeat the largest doc_id stay together, as nothing tells them apart.
     An empty table gives no rows; other columns of docs are left aside.
     """
-    each = recipes(docs, id_col, text, hash_bits)
+    each, _ = store(recipes(docs, id_col, text, hash_bits), "recipes")  # both sides below read it
     groups, _ = store(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
     # Groups are read from a table, not joined as they come from their aggregation: so both sides of the join have
     # shuffles of its own, and Spark can split the partition of a recipe that very many rows have.
-    return each.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return each.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP7_SQL = """

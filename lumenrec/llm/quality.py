@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold, renamed, table, unnamed
+from .packs import trim
 from .training import labelled
 
 POSITIVES, UNLABELLED = 10_000, 20_000  # rows that are learned from: at most, and about
@@ -170,6 +171,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, "score"])
+            trim()
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)

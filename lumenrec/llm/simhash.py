@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, dropped_after, store, table
+from .packs import trim
 
 BYTES, BLOCK = 8, 2048  # bytes of a fingerprint; fingerprints of a posting that are compared at once
 TABLES, LEAST = 12, 3  # fingerprints of a document in near_documents(), and the positional bytes that a pair shares in one of them
@@ -439,6 +440,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(t, shingle, tables) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "text_hash", "fps"])
+            trim()
 
     each, each_path = store(rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash bigint, fps array<bigint>"), "sketches")
     first = lambda: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")

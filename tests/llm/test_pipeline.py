@@ -77,6 +77,12 @@ def test_stages_handle_odd_rows(spark, make_docs, texts):
     assert {r.doc_id for r in packed} == {r.doc_id for r in cut.collect()}
 
 
+def test_exact_duplicates_tell_rows_apart_by_text(spark, make_docs):
+    docs = make_docs([(1, "a b"), (3, "A b"), (3, "a B"), (3, "other"), (5, None), (4, ""), (None, "x"), (None, "X")])
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in stages.exact_duplicates(spark, docs, SF).collect())
+    assert got == [("3", "a b"), ("3", "other"), ("5", ""), ("None", "x")]
+
+
 def test_near_duplicates_tell_rows_apart_by_text(spark, make_docs):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
     docs = make_docs([(1, a), (3, a.upper()), (3, b), (4, a + " end"), (4, b + " end"), (5, "of its own"), (5, "of its own"), (None, b + " more")])
