@@ -450,7 +450,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         one, _ = store(own.groupBy("posting", "fp").agg(F.min("node").alias("node")), "table-fingerprints")
         alike = own.join(one.withColumnRenamed("node", "b"), ["posting", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
         size = 64 * tables
-        pairs = links(one, LEAST, expected_bits(similarity, 64, 2.0), expected_bits(similarity, 64, -3.0), block).unionByName(alike)
+        pairs = links(one, LEAST, expected_bits(similarity, 64 - 8 * LEAST, 2.0), expected_bits(similarity, 64, -3.0), block).unionByName(alike)
         pairs, _ = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}"))
         apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
