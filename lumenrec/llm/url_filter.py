@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped_after, lower_ascii, store, table
+from .common import _stored, components, drop, dropped_after, lower_ascii, store, table
 
 #: Fixed values of the registered query: verdict, host, path.
 RULES = (
@@ -97,10 +97,12 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     tag = lambda pattern: F.regexp_extract(h, "(?is)" + pattern, 0)
     link = tag(r"<link\b[^>]*\srel\s*=\s*(?:\"[^\">]*\bcanonical\b[^\">]*\"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>")
     meta = tag(r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
-    refresh = F.regexp_extract(_attribute(meta, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"']*)", 1)
-    base = _attribute(tag(r"<base\b[^>]*\shref\s*=[^>]*>"), "href")
-    found = pages.where(u.contains("://") & h.rlike("(?i)canonical|refresh"))
-    found = found.select(u.alias("src"), F.coalesce(_resolved(u, base), u).alias("base"), F.explode(F.array(_attribute(link, "href"), F.regexp_replace(refresh, r"\s+\z", ""))).alias("dst"))
+    # Each step is a table of the few short strings that the next one needs, so that no expression holds all steps in it.
+    found = pages.where(u.contains("://") & h.rlike("(?i)canonical|refresh")).select(u.alias("src"), link.alias("link"), meta.alias("meta"), tag(r"<base\b[^>]*\shref\s*=[^>]*>").alias("base"))
+    found, _ = store(found.where("link <> '' OR meta <> ''"), "link-tags")
+    found, _ = store(found.select("src", _attribute(F.col("link"), "href").alias("link"), _attribute(F.col("meta"), "content").alias("meta"), _attribute(F.col("base"), "href").alias("base")), "link-values")
+    refresh = F.regexp_replace(F.regexp_extract("meta", r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"']*)", 1), r"\s+\z", "")
+    found, _ = store(found.select("src", F.coalesce(_resolved(F.col("src"), F.col("base")), F.col("src")).alias("base"), F.explode(F.array("link", refresh)).alias("dst")), "links")
     return found.where("dst <> ''").select("src", _resolved(F.col("base"), F.col("dst")).alias("dst"))
 
 
@@ -115,6 +117,7 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     their own; an empty table gives none. rules is a parameter held in the plan, so it is meant for some hundreds.
     """
     u = F.col(url)
+    first = set(_stored)
     edges = [alias_edges(pages, url, html)] if html else []
     if redirects is not None:
         edges.append(redirects.select(F.col("src").cast("string"), F.col("dst").cast("string")))
@@ -130,6 +133,7 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
         ruled = nodes.groupBy("component").agg(F.bool_or(F.coalesce(F.col("_said") == "block", F.lit(False))).alias("b"), F.bool_or(F.coalesce(F.col("_said") == "allow", F.lit(False))).alias("a"))
         ruled, blocked = store(ruled.where("b AND NOT a").select("component"), "blocked-components")
         keep += [path, blocked]
+    drop(pages.sparkSession, *[p for p in _stored if p not in first and p not in keep])
     blocked = nodes.join(ruled, "component", "left_semi").select(F.col("node").alias("_key"), F.lit("block").alias("_by_alias"))
     return out.join(blocked, "_key", "left").select("page_id", "host", "path", "rule", F.coalesce("_said", "_by_alias", F.lit("allow")).alias("verdict"))
 
