@@ -6,6 +6,7 @@ from .byte_bpe import op6_byte_bpe
 from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op5_language_model
+from .lloyd import OP11_SQL, op11_centroid_clustering
 from .packing import op4_best_fit_packing
 from .quality import op10_quality
 from .simhash import op1_simhash
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL}

@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_url_filters": "page_id host path rule verdict",
     "op9_embedding_dedup": "vec_id n_links component_id kept",
     "op10_quality": "doc_id held_out score predicted",
+    "op11_centroid_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
 
@@ -27,7 +28,7 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert set(COLUMNS[name].split()) <= set(df.columns)
-    table, key = ("pages", "page_id") if name.startswith("op8") else ("embeddings", "vec_id") if name.startswith("op9") else ("documents", "doc_id")
+    table, key = ("pages", "page_id") if name.startswith("op8") else ("embeddings", "vec_id") if name.startswith(("op9", "op11")) else ("documents", "doc_id")
     ids = [r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()]
     assert sorted(r[key] for r in rows if name != "op4_best_fit_packing" or r.part == 0) == sorted(ids)
     if name in SQL:
