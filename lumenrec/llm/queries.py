@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
+from .divergence import OP13_SQL, op13_source_divergence
 from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_id import op12_language_id
 from .language_model import op5_language_model
 from .lloyd import OP11_SQL, op11_centroid_clustering
 from .packing import op4_best_fit_packing
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_language_id": op12_language_id,
+    "op13_source_divergence": op13_source_divergence,
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL, "op13_source_divergence": OP13_SQL}
