@@ -63,20 +63,20 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
 
 
 def measured(docs: DataFrame, id_col: str, text: str, source: str, cluster: str | None, keep_text: bool) -> DataFrame:
-    """doc_id, source, cluster, n_words of every row, and its text if it is kept. Without a column cluster it is the component of the row's fingerprint."""
-    columns = [F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster") if cluster else F.lit(None).cast("string").alias("cluster"), F.col(text).alias("text")]
+    """doc_id, source, cluster, n_words, salt of every row, and its text if it is kept. The salt is of a row's place in docs: rows alike in all else differ in it. Without a column cluster it is the component of the row's fingerprint."""
+    columns = [F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster") if cluster else F.lit(None).cast("string").alias("cluster"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("salt")]
     docs = docs.select(columns)
-    names = ["doc_id", "source", "cluster", "n_words", "fp", "text"]
+    names = ["doc_id", "source", "cluster", "n_words", "salt", "fp", "text"]
 
     def run(batches):
         for b in batches:
             texts = b.column(3).to_pylist()
             words = pa.array([len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts], pa.int64())
             fps = pa.array([None if cluster else fingerprint(t, SHINGLE) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], words, fps, *[b.column(3)] * keep_text], names[: 5 + keep_text])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], words, b.column(4), fps, *[b.column(3)] * keep_text], names[: 6 + keep_text])
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.mapInArrow(run, f"doc_id {kind}, source string, cluster string, n_words bigint, fp bigint" + ", text string" * keep_text)
+    out = docs.mapInArrow(run, f"doc_id {kind}, source string, cluster string, n_words bigint, salt bigint, fp bigint" + ", text string" * keep_text)
     if cluster:
         return out.drop("fp")
     out, path = store(out, "measured")
@@ -85,7 +85,7 @@ def measured(docs: DataFrame, id_col: str, text: str, source: str, cluster: str
         nodes, path = store(components(link_fingerprints(fps, BITS)), "fingerprint-components")
         keep.append(path)
     out = out.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("cluster", F.coalesce("component", "fp").cast("string"))
-    return out.select([n for n in names if n != "fp"][: 4 + keep_text])
+    return out.select([n for n in names if n != "fp"][: 5 + keep_text])
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, keep_text: bool = False, shard_rows: int = SHARD_ROWS, per_source: int = 1) -> DataFrame:
@@ -101,7 +101,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(F.col(text))), F.lit(0))).first()
     shards = max(1, -(-rows // shard_rows), -(-chars // SHARD_CHARS))
     each = measured(docs, id_col, text, source, cluster, keep_text)
-    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words", "cluster"), F.lit(shards)).cast("int"))
+    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words", "cluster", "salt"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         shard = key[0].as_py()

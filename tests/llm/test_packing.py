@@ -99,3 +99,12 @@ def test_constraints_and_whole_texts(make_docs, texts, shard_rows):
 def test_empty(make_docs):
     assert pack_documents(make_docs([])).collect() == []
     assert [tuple(r) for r in pack_documents(make_docs([(1, None)])).collect()] == [(1, 0, 0, 0, None, None, None)]
+
+
+def test_rows_alike_in_everything_go_to_several_shards(make_docs):
+    """No id, one text, one source: nothing but the place in the table tells the rows apart."""
+    docs = make_docs([(None, "a b c")] * 20_000, extra=False).withColumn("source", F.lit("s")).repartition(8)
+    got = pack_documents(docs, shard_rows=1_000).collect()
+    assert len(got) == 20_000 and len({r.bin_id for r in got}) == 20_000  # copies, and one source
+    sizes = Counter(r.bin_id >> 32 for r in got)
+    assert len(sizes) == 20 and max(sizes.values()) < 1_300
