@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance_score, similarity_score
 from .knn import Field, neighbours
+from .patterns import pattern_neighbours
 
 #: The fields of an item, their metrics and their weights.
 FIELDS = (Field("synopsis_vec", "cosine", 0.2), Field("title_vec", "cosine", 0.1), Field("genres", "l2", 0.6), Field("studios", "l2", 0.1))
@@ -34,17 +35,33 @@ def fuse(lists: DataFrame, keys: list[str], k: int, fields=FIELDS, rule: str = "
     return total.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("_place")
 
 
-def hybrid_search(queries: DataFrame, catalogue: DataFrame, k: int = 10, exclude: DataFrame | None = None, fields=FIELDS, rule: str = "half") -> DataFrame:
+def dictionary_search(catalogue: DataFrame):
+    """A search for hybrid_search() that goes through the distinct vectors of the fields compared by distance, which are multi-hot."""
+
+    def search(queries: DataFrame, fields: list[Field], k: int | None = None) -> DataFrame:
+        dense, hot = ([f for f in fields if (f.metric == "l2") == own] for own in (False, True))
+        lists = [neighbours(queries, catalogue, dense, k)] if dense else []
+        out = lists + [pattern_neighbours(queries, catalogue, f, k) for f in hot]
+        for more in out[1:]:
+            out[0] = out[0].unionByName(more)
+        return out[0]
+
+    return search
+
+
+def hybrid_search(queries: DataFrame, catalogue: DataFrame, k: int = 10, exclude: DataFrame | None = None, fields=FIELDS, rule: str = "half", search=None) -> DataFrame:
     """query_id, id, distance: the k best items of every query by fused score.
 
     Each field gives its own k nearest, taken from what is not excluded, before they are fused. exclude holds (query_id,
     id). Lists are searched deeper by as many items as a query excludes, so what is left after the anti-join is whole.
+    search(queries, fields, k) gives the lists where they are not to come from the catalogue itself, such as indexes of it.
     """
     fields = list(fields)
+    near = search or (lambda asked, fields, k=None: neighbours(asked, catalogue, fields, k))
     if exclude is None:
-        return fuse(neighbours(queries, catalogue, fields, k), ["query_id"], k, fields, rule)
+        return fuse(near(queries, fields, k), ["query_id"], k, fields, rule)
     exclude = exclude.select("query_id", "id").distinct()
     extra = exclude.groupBy("query_id").agg(F.count("*").alias("_n"))
     deep = queries.join(extra, "query_id", "left").withColumn("depth", F.lit(k) + F.coalesce("_n", F.lit(0))).drop("_n")
-    left = neighbours(deep, catalogue, fields).join(exclude, ["query_id", "id"], "left_anti")
+    left = near(deep, fields).join(exclude, ["query_id", "id"], "left_anti")
     return fuse(first_of_each(left, ["query_id"], k), ["query_id"], k, fields, rule)

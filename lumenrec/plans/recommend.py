@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import best_titles
 from ..operators.fusion import FIELDS, fuse, hybrid_search
 from ..operators.knn import user_neighbours
+from ..operators.sampling import sample_by_user
+from ..operators.titles import search_titles, titles_containing  # noqa: F401
 from ..operators.users import best_per_item, liked_items, listed_items, median_scores, scaled
 
 LINK = "https://example.org/item/"
@@ -22,10 +23,10 @@ def items_by_id(catalogue: DataFrame, ids: DataFrame) -> DataFrame:
     return catalogue.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def recommend_by_id(catalogue: DataFrame, ids: DataFrame, k: int = 10, prefix: str = LINK) -> DataFrame:
-    """query_id, id, distance, link: the k items most like each item of ids, never the item itself. Unknown ids give nothing."""
+def recommend_by_id(catalogue: DataFrame, ids: DataFrame, k: int = 10, prefix: str = LINK, search=None) -> DataFrame:
+    """query_id, id, distance, link: the k items most like each item of ids, never the item itself. Unknown ids give nothing. search: as hybrid_search() takes it."""
     queries = items_by_id(catalogue, ids).withColumnRenamed("id", "query_id")
-    return hybrid_search(queries, catalogue, k).withColumn("link", link(F.col("id"), prefix))
+    return hybrid_search(queries, catalogue, k, search=search).withColumn("link", link(F.col("id"), prefix))
 
 
 def candidates_by_liked(catalogue: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
@@ -55,47 +56,12 @@ def random_items(catalogue: DataFrame, n: int = 10, prefix: str = LINK) -> DataF
 
 
 def cold_start(catalogue: DataFrame, items: DataFrame, users: DataFrame, n: int = 10, prefix: str = LINK) -> DataFrame:
-    """user_id, id, distance, link: random items for those of users whose list is empty."""
+    """user_id, id, distance, link: random items, each user's own, for those of users whose list is empty."""
     new = users.select("user_id").distinct().join(items.select("user_id"), "user_id", "left_anti")
-    places = new.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return places.join(F.broadcast(random_items(catalogue, n, prefix)), "place").select("user_id", "id", "distance", "link")
+    return sample_by_user(new, catalogue.select("id"), n).select("user_id", "id", F.lit(0.0).alias("distance"), link(F.col("id"), prefix).alias("link"))
 
 
 def recommend_for_users(catalogue: DataFrame, items: DataFrame, users: DataFrame, k: int = 10, prefix: str = LINK) -> DataFrame:
     """recommend_by_user() for those of users who have a list, cold_start() for the rest."""
     known = items.join(users.select("user_id").distinct(), "user_id", "left_semi")
     return recommend_by_user(catalogue, known, k, prefix).unionByName(cold_start(catalogue, items, users, k, prefix))
-
-
-TITLES = 20_000  # titles, and as many queries, that are matched in one task
-
-
-def _dealt(titles: DataFrame, queries: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides cut into blocks by hash, with the numbers of the pairs of blocks (_t, _q) that they are in."""
-    sides = [max(1, -(-x.count() // block)) for x in (titles, queries)]
-    out = []
-    for df, key, (own, other), (mine, theirs) in ((titles, "title", sides, ("_t", "_q")), (queries, "query", sides[::-1], ("_q", "_t"))):
-        df = df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own)).cast("int"))
-        out.append(df.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
-    return out[0], out[1]
-
-
-def search_titles(titles: DataFrame, queries: DataFrame, k: int = 5, block: int = TITLES) -> DataFrame:
-    """query, seq, title, match: the k titles that match each query best, ties in the order of seq.
-
-    Each query is matched against all distinct titles, block by block; k titles of a block leave its task for each query.
-    """
-    distinct = titles.groupBy("title").agg(F.min("seq").alias("first"))
-    left, right = _dealt(distinct, queries.select("query").distinct(), block)
-    rated = left.groupBy("_t", "_q").cogroup(right.groupBy("_t", "_q")).applyInArrow(best_titles(k), f"query string, title string, first {dict(distinct.dtypes)['first']}, match int")
-    first = Window.partitionBy("query").orderBy(F.desc("match"), "first")
-    few = rated.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)  # k distinct titles hold the k best rows
-    every = few.join(titles, "title")
-    order = Window.partitionBy("query").orderBy(F.desc("match"), "seq")
-    return every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("query", "seq", "title", "match")
-
-
-def titles_containing(titles: DataFrame, queries: DataFrame, block: int = TITLES) -> DataFrame:
-    """query, seq, title of all titles that hold a query, whatever the case: those that search_titles() rates 100 first of all."""
-    left, right = _dealt(titles, queries.select("query").distinct(), block)
-    return left.join(right, ["_t", "_q"]).where(F.contains(F.lower("title"), F.lower("query"))).select("query", "seq", "title")

@@ -11,10 +11,13 @@ from .functions.hashing import signed_hash
 from .functions.vectors import distance_score, similarity_score
 from .operators import blocks, features, fusion, users
 from .operators.fusion import FIELDS
+from .operators.ivf import build_index, build_indexes, recall
 from .operators.knn import neighbours
+from .operators.patterns import pattern_neighbours
+from .operators.titles import build_title_index, search_title_index, search_titles, titles_containing
 from .plans import recommend
 from .sources import records
-from .sources.tables import scratch
+from .sources.tables import scratch, stored
 from .views import CATALOGUE_SQL, RAW_SQL, TITLES_SQL, USER_ITEMS_SQL, VOCABULARY, catalogue, raw_catalogue, table, titles, user_items
 
 QUERIES: dict = {}
@@ -217,6 +220,49 @@ def knn_l2_studios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, 3)
 
 
+def _indexed(spark: SparkSession, sf_dir: str, n: int, nprobe: int | None) -> DataFrame:
+    cat = catalogue(spark, sf_dir)
+    index = build_index(cat, FIELDS[n], scratch(spark, "index"))
+    return index.neighbours(_asked(cat), K, nprobe).select("query_id", "id", "raw", "rank")
+
+
+@query(_near_sql("m1", "DESC"))
+def ivf_cosine_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through an inverted-file index, of which every cell is probed."""
+    return _indexed(spark, sf_dir, 0, 512)
+
+
+@query(_near_sql("m3", ""))
+def ivf_l2_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, 2, 64)
+
+
+@query(_near_sql("m1", "DESC"))
+def ivf_cosine_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through an index, of which the nearest cells are searched and then those that can hold better."""
+    return _indexed(spark, sf_dir, 0, None)
+
+
+@query(_near_sql("m4", ""))
+def ivf_l2_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, 3, None)
+
+
+@query()
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact neighbours a search finds, by the number of cells it probes."""
+    cat = catalogue(spark, sf_dir)
+    index = build_index(cat, FIELDS[0], scratch(spark, "index"))
+    return recall(index, _asked(cat), K, [1, 2, 4, 8, 16, 512], stored(neighbours(_asked(cat), cat, [FIELDS[0]], K), "exact"))
+
+
+@query(_near_sql("m3", ""))
+def knn_patterns_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the distinct vectors of the field."""
+    cat = catalogue(spark, sf_dir)
+    return pattern_neighbours(_asked(cat), cat, FIELDS[2], K).select("query_id", "id", "raw", "rank")
+
+
 @query("SELECT event_id, round((1 + (value / 100 - floor(value / 100))) / 2, 9) AS by_cosine, round(1 - 2 / pi() * atan(value), 9) AS by_distance FROM events")
 def score_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
@@ -229,6 +275,14 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.hybrid_search(_asked(cat), cat, K)
 
 
+@query(SQL["hybrid_search"])
+def hybrid_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields through inverted-file indexes, as many cells probed as there are."""
+    cat = catalogue(spark, sf_dir)
+    search = build_indexes(cat, FIELDS, scratch(spark, "indexes"), nprobe={f.name: 512 if f.metric == "cosine" else 64 for f in FIELDS})
+    return fusion.hybrid_search(_asked(cat), cat, K, search=search)
+
+
 _SEEN = "seen AS (SELECT DISTINCT q.id AS query_id, ui.id FROM cat q JOIN ui ON ui.user_id = q.id % 100)"
 
 
@@ -241,6 +295,15 @@ def hybrid_search_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.hybrid_search(asked, cat, K, seen)
 
 
+@query(f"WITH {CATALOGUE_SQL}, {USER_ITEMS_SQL}, {_SEEN}, {_METRICS}, left_over AS (SELECT p.* FROM p ANTI JOIN seen USING (query_id, id)), {_LISTS.format(k='query_id', t='left_over')} SELECT query_id, id, distance FROM f")
+def hybrid_search_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hybrid_search_excluding, with the multi-hot fields searched through their distinct vectors."""
+    cat = catalogue(spark, sf_dir)
+    asked = _asked(cat)
+    seen = asked.select("query_id", (F.col("query_id") % 100).alias("user_id")).join(user_items(spark, sf_dir).select("user_id", "id"), "user_id")
+    return fusion.hybrid_search(asked, cat, K, seen, search=fusion.dictionary_search(cat))
+
+
 @query(f"WITH {CATALOGUE_SQL}, {_METRICS}, {_LISTS.format(k='query_id', t='p')} SELECT query_id, id, distance, 'https://example.org/item/' || id AS link FROM f")
 def recommend_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = catalogue(spark, sf_dir)
@@ -281,7 +344,10 @@ def random_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.random_items(catalogue(spark, sf_dir), K)
 
 
-@query(f"WITH {_DRAWN} SELECT c_custkey AS user_id, id, 0.0::DOUBLE AS distance, 'https://example.org/item/' || id AS link FROM customer, drawn WHERE place <= 10 AND c_custkey NOT IN (SELECT user_id FROM events)")
+@query(f"""WITH {_DRAWN}, new AS (SELECT DISTINCT c_custkey AS user_id, n FROM customer, (SELECT count(*) AS n FROM embeddings) WHERE c_custkey NOT IN (SELECT user_id FROM events)),
+tried AS (SELECT user_id, j, ('0x' || md5(concat_ws(' ', user_id, j))[1:15])::BIGINT % (j + 1) AS place FROM (SELECT user_id, unnest(range(n - least(n, 10), n)) AS j FROM new)),
+places AS (SELECT user_id, list_reduce(list_prepend([]::BIGINT[][], list([[j, place]] ORDER BY j)), lambda taken, x: taken || [CASE WHEN list_contains(list_transform(taken, lambda y: y[2]), x[1][2]) THEN [x[1][1], x[1][1]] ELSE x[1] END]) AS taken FROM tried GROUP BY user_id)
+SELECT user_id, id, 0.0::DOUBLE AS distance, 'https://example.org/item/' || id AS link FROM (SELECT user_id, unnest(list_transform(taken, lambda y: y[2])) + 1 AS place FROM places) JOIN drawn USING (place)""")
 def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     return recommend.cold_start(catalogue(spark, sf_dir), user_items(spark, sf_dir), asked, K)
@@ -290,13 +356,21 @@ def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five titles that match the name of each region best; the matching itself is tested against its definition."""
-    return recommend.search_titles(titles(spark, sf_dir), table(spark, sf_dir, "region").select(F.col("r_name").alias("query")))
+    return search_titles(titles(spark, sf_dir), table(spark, sf_dir, "region").select(F.col("r_name").alias("query")))
+
+
+@query()
+def fuzzy_title_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles that match best every twentieth title, mistyped, through an index of their letters; tested against rating all pairs."""
+    named = titles(spark, sf_dir)
+    typed = named.where("seq % 20 = 0").select(F.concat(F.substring("title", 1, 4), F.expr("substring(title, 6)")).alias("query"))
+    return search_title_index(build_title_index(named, scratch(spark, "title-index")), typed)
 
 
 @query(f"WITH {TITLES_SQL}, q AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS query FROM part) SELECT query, seq, title FROM titles JOIN q ON contains(lower(title), lower(query))")
 def fuzzy_title_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select(F.upper(F.substring_index("p_name", " ", 1)).alias("query"))
-    return recommend.titles_containing(titles(spark, sf_dir), words)
+    return titles_containing(titles(spark, sf_dir), words)
 
 
 # -- texts -----------------------------------------------------------------------------------------------------------
