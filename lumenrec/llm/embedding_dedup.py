@@ -2,7 +2,8 @@
 
 Equal vectors are one node, so copies cost one row. Each node has a home cell, that of its nearest centre, and visits its
 next nearest cells; a pair is compared wherever one of the two is at home. Vectors of another length have cells of their
-own. Where more cells are wanted than are fitted at once, each cell of a first level is fitted and split again. A cell of
+own. Where more cells are wanted than are fitted at once, each cell of a first level is fitted and split again; neither level has
+more centres than that, and beyond CELLS * CELLS * PER_CELL nodes cells grow instead. A cell of
 many rows is cut into blocks whose pairs are compared apart, so no cell is one task. Only links counted and spanning edges
 leave a block, never all pairs.
 """
@@ -186,7 +187,7 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         for dim, total in nodes.groupBy(F.size("v").alias("dim")).count().collect():  # a row a length
             cells = total // per_cell
             if cells > 1:
-                first = cells if cells <= most else math.ceil(math.sqrt(cells))
+                first = cells if cells <= most else min(most, math.ceil(math.sqrt(cells)))
                 if cells > most:
                     two_levels.append(dim)
                 drawn = nodes.where(F.size("v") == dim).orderBy(F.xxhash64("v"), "rep").limit(max(sample, PER_CENTRE * first)).select("v").toPandas()["v"]

@@ -1,24 +1,27 @@
 """Scores of a hierarchical Pitman-Yor language model over words.
 
 Every word is a context restaurant whose customers are the words that follow it; all of them share one parent, the
-restaurant of single words, over a uniform base. Seatings are drawn by Gibbs: a sweep draws the tables of a dish anew
-given the seating of everything else as it stood before the sweep, from the exact conditional of the number of tables, and
-then the discount and the strength of each level given the seating. The chain starts from one table a dish; after the
+restaurant of single words, over a uniform base. Seatings are drawn by Gibbs, all dishes of a sweep side by side: a sweep
+draws the tables of a dish anew given the seating of everything else as it stood before the sweep, from the exact
+conditional of the number of tables, and then takes a step of slice sampling for the discount and one for the strength of
+each level given the seating. A test compares the chain with one that draws dish after dish. The chain starts from one table a dish; after the
 first sweeps, which are let go, predictive probabilities are averaged over the states of the later ones.
 
 The model is as large as the corpus and never in one place. Packs of tokenised documents ask shards for the counts of
 their words and word pairs. Of the packs that hold a pair one owns it and seats it; only pairs that occur twice can have
 more than one table, so sweeps pass over these alone. Owners report tables to the shards of the two words of a pair, which
 seat the parent and answer with what the next sweep has to know. After the last sweep owners tell the shards of pairs,
-and these all packs, what the scores need. Draws depend on nothing but the pair or word and the state before the sweep.
+and these all packs, what the scores need. Draws of pairs depend on nothing but the pair and the state before the sweep,
+those of the parent also on how many shards there are.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from itertools import chain
-from math import lgamma
+from collections.abc import Iterator
+from itertools import chain, count
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -298,26 +301,38 @@ def log_seating(dishes: dict[tuple, int], seats: dict[tuple, int], customers: di
     return ways, opened
 
 
-def drawn_from(log_p, low: float, high: float, coin: float, steps: int = 9, rounds: int = 4) -> float:
-    """A number drawn from a density with one peak, over a grid that closes in on the peak."""
-    for k in range(rounds):
-        x = np.linspace(low, high, steps)
-        p = np.array([log_p(v) for v in x])
-        if k < rounds - 1:
-            best = int(p.argmax())
-            low, high = x[max(0, best - 1)], x[min(steps - 1, best + 1)]
-    p = np.cumsum(np.exp(p - p.max()))
-    return float(x[int(np.searchsorted(p, coin * p[-1]))])
+def slice_step(log_p, x: float, low: float, high: float, width: float, coins: Iterator[float]) -> float:
+    """The number after x in a chain whose numbers, in the long run, are drawn from a density between low and high.
+
+    A height under the density at x is drawn; then a number from where the density is above it: from an interval that has
+    been widened until its ends are below, and that closes in on x with each number that is below.
+    """
+    level = log_p(x) + log(next(coins))
+    left = x - width * next(coins)
+    right = left + width
+    while left > low and log_p(left) > level:
+        left -= width
+    while right < high and log_p(right) > level:
+        right += width
+    left, right = max(left, low), min(right, high)
+    while True:
+        new = left + (right - left) * next(coins)
+        if new == x or log_p(new) > level:
+            return new
+        left, right = (new, right) if new < x else (left, new)
 
 
 def hyperparameters(d: float, strength: float, dishes: dict, seats: dict, customers: dict, draw: int) -> tuple[float, float]:
-    """Discount and strength of a level, each drawn given the other and the seating; as they were where there is no customer."""
+    """Discount and strength of a level after d and strength in their chain, a step each given the other and the seating; as they were where there is no customer.
+
+    The discount is between 0.02 and 0.98, each as likely; the strength between 0.01 and 100,000, its logarithm each as likely.
+    """
     if not any(k[0] for k in customers):
         return d, strength
     ways, opened = log_seating(dishes, seats, customers)
-    coins = uniform(np.arange(2, dtype=np.uint64), 1000 + draw)
-    d = drawn_from(lambda x: ways(x) + opened(x, strength), 0.02, 0.98, coins[0])
-    return d, float(np.exp(drawn_from(lambda x: opened(d, np.exp(x)), np.log(0.01), np.log(1e5), coins[1])))
+    coins = (float(uniform(np.array([k], np.uint64), 1000 + draw)[0]) for k in count())
+    d = slice_step(lambda x: ways(x) + opened(x, strength), min(max(d, 0.02), 0.98), 0.02, 0.98, 0.1, coins)
+    return d, exp(slice_step(lambda x: opened(d, exp(x)), log(strength), log(0.01), log(1e5), 1.0, coins))
 
 
 class Tokens:

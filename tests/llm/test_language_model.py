@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumenrec.llm import language_model
-from lumenrec.llm.language_model import END, EXACT, FINE, START, bucket, drawn_from, expand, hyperparameters, log_seating, log_ways, mixed, recursion, score_documents, squeeze, stirling, tables, tallied, unbucket, uniform
+from lumenrec.llm.language_model import END, EXACT, FINE, START, bucket, expand, hyperparameters, log_seating, log_ways, mixed, recursion, score_documents, slice_step, squeeze, stirling, tables, tallied, unbucket, uniform
 
 
 def rest(i, parts=5):
@@ -145,6 +145,76 @@ def test_scores_against_a_plain_sampler(make_docs, monkeypatch, burn_in, kept, s
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-7 * max(1, abs(want[i])) for i in want)
 
 
+def one_by_one(rows, burn_in, kept, seed):
+    """Scores of a chain in which every dish is drawn after the one before it has been seated, and discounts and strengths from grids."""
+    rng = np.random.default_rng(seed)
+    chains = {i: ["", *words(x), None] for i, x in rows}
+    pairs, guests = Counter(), Counter()
+    for i, c in chains.items():
+        if rest(i) != 1:
+            pairs.update(zip(c, c[1:]))
+            guests.update(c[:-1])
+    distinct = len({w for _, w in pairs})
+    d, strength = {"pair": 0.5, "word": 0.5}, {"pair": 1.0, "word": 1.0}
+    t = dict.fromkeys(pairs, 1)
+    seats, n = Counter(u for u, _ in t), Counter(w for _, w in t)
+    k = dict.fromkeys(n, 1)
+    states = []
+
+    def draw(c, others, parent, level):
+        m = np.arange(c)
+        w = recursion(d[level], c + 1, c + 1)[c, 1 : c + 1] + np.cumsum(np.log((strength[level] + d[level] * (others + m)) * parent))
+        w = np.exp(w - w.max())
+        return 1 + int(rng.choice(c, p=w / w.sum()))
+
+    for sweep in range(burn_in + kept):
+        for (u, w), c in pairs.items():
+            if c > 1:
+                seats[u] -= t[u, w]
+                n[w] -= t[u, w]
+                customers, tables_of, own = sum(n.values()), sum(k.values()) - k[w], min(k[w], n[w])
+                parent = (n[w] - d["word"] * own + (strength["word"] + d["word"] * (tables_of + own)) / (distinct + 1)) / (strength["word"] + customers)
+                t[u, w] = draw(c, seats[u], parent, "pair")
+                seats[u] += t[u, w]
+                n[w] += t[u, w]
+                k[w] = draw(n[w], tables_of, 1 / (distinct + 1), "word")
+        for w in n:
+            if n[w] > 1:
+                k[w] = draw(n[w], sum(k.values()) - k[w], 1 / (distinct + 1), "word")
+        tally = lambda c, m: Counter((c[x], m[x]) for x in c if c[x] > 1)
+        for name, dishes, seated, guest in (("pair", tally(pairs, t), Counter((x,) for x in seats.values()), Counter((x,) for x in guests.values())), ("word", tally(n, k), {(sum(k.values()),): 1}, {(sum(n.values()),): 1})):
+            ways, opened = log_seating({(int(bucket(a)), int(bucket(b))): x for (a, b), x in dishes.items()}, {(int(bucket(a)),): x for (a,), x in seated.items()}, {(int(bucket(a)),): x for (a,), x in guest.items()})
+            for grid, log_p in ((np.linspace(0.02, 0.98, 60), lambda x: ways(x) + opened(x, strength[name])), (np.linspace(np.log(0.01), np.log(1e5), 80), lambda x: opened(d[name], np.exp(x)))):  # noqa: B023
+                p = np.array([log_p(x) for x in grid])
+                x = float(rng.choice(grid, p=np.exp(p - p.max()) / np.exp(p - p.max()).sum()))
+                (d if len(grid) == 60 else strength)[name] = x if len(grid) == 60 else float(np.exp(x))
+        if sweep >= burn_in:
+            states.append((dict(d), dict(strength), dict(t), Counter(seats), Counter(n), dict(k)))
+    out = {}
+    for i, c in chains.items():
+        out[i] = 0.0
+        for u, w in zip(c, c[1:]):
+            p = 0.0
+            for dd, ss, tt, seated, nn, kk in states:
+                parent = (nn[w] - dd["word"] * kk.get(w, 0) + (ss["word"] + dd["word"] * sum(kk.values())) / (distinct + 1)) / (ss["word"] + sum(nn.values()))
+                p += (pairs[u, w] - dd["pair"] * tt.get((u, w), 0) + (ss["pair"] + dd["pair"] * seated[u]) * parent) / (ss["pair"] + guests[u])
+            out[i] += math.log10(p / len(states))
+    return out
+
+
+def test_drawing_side_by_side_gives_the_scores_of_drawing_one_by_one(make_docs):
+    """The bias of seating all dishes of a sweep at once, which is small against the spread of scores."""
+    rng = np.random.default_rng(12)
+    p = 1 / np.arange(1, 61)
+    rows = [(k, " ".join(f"w{j}" for j in rng.choice(60, int(rng.integers(5, 30)), p=p / p.sum()))) for k in range(150)]
+    plain = [one_by_one(rows, 8, 8, seed) for seed in (1, 2)]
+    got = {r.doc_id: r.score for r in score_documents(make_docs(rows), burn_in=language_model.BURN_IN, kept=language_model.KEPT).collect()}
+    total = [sum(x.values()) for x in (*plain, got)]
+    assert abs(total[2] / total[0] - 1) < 0.01 and abs(total[2] / total[1] - 1) < 0.01
+    away = [abs(got[i] - plain[0][i]) / abs(plain[0][i]) for i in got]
+    assert np.mean(away) < 0.02 and max(away) < 0.1
+
+
 def test_hyperparameters_against_the_definition():
     """The probability of a seating by its factors, customer by customer, up to what does not depend on the two numbers."""
     dishes, d, strength = [(5, 2), (3, 3), (40, 6), (2, 1), (33, 32), (7, 7)], 0.4, 2.5
@@ -153,10 +223,41 @@ def test_hyperparameters_against_the_definition():
     want = sum(math.log(strength + d * i) for _, t in restaurants for i in range(1, t)) - sum(math.log(strength + i) for c, _ in restaurants for i in range(1, c))
     assert abs(opened(d, strength) - want) < 1e-8
     assert abs(ways(d) - sum(recursion(d, 41, 41)[int(unbucket(bucket(c))), int(unbucket(bucket(t)))] for c, t in dishes)) < 1e-6
+
+
+@pytest.mark.parametrize("width", [0.1, 1.0])
+@pytest.mark.parametrize("sd", [2.0, 0.3, 0.05, 0.001])
+def test_steps_have_the_mean_and_spread_of_their_density(width, sd):
+    """As the chain takes them, from a start far from the peak."""
     rng = np.random.default_rng(1)
-    x = rng.random(20_000)
-    normal = [drawn_from(lambda v: -((v - 0.3) ** 2) / 2 / 0.05**2, -1, 1, c, 65, 1) for c in x[:4000]]
-    assert abs(np.mean(normal) - 0.3) < 0.01 and abs(np.std(normal) - 0.05) < 0.01
+    coins, x, got = iter(rng.random(400_000)), -4.0, []
+    for _ in range(6_000):
+        x = slice_step(lambda v: -((v - 0.3) ** 2) / 2 / sd**2, x, -5.0, 5.0, width, coins)
+        got.append(x)
+    grid = np.linspace(-5, 5, 200_001)
+    p = np.exp(-((grid - 0.3) ** 2) / 2 / sd**2)
+    mean = (grid * p).sum() / p.sum()
+    spread = np.sqrt(((grid - mean) ** 2 * p).sum() / p.sum())
+    assert abs(np.mean(got[50:]) - mean) < 0.12 * spread and abs(np.std(got[50:]) / spread - 1) < 0.1
+
+
+def test_discounts_and_strengths_have_the_spread_of_their_posterior():
+    """Of a seating of 40 customers at 12 tables, against a grid over both."""
+    dishes, seats, guests = {(9, 3): 2, (7, 2): 2, (8, 2): 1}, {(12,): 1}, {(40,): 1}
+    ways, opened = log_seating(dishes, seats, guests)
+    d, s = np.linspace(0.02, 0.98, 97), np.linspace(np.log(0.01), np.log(1e5), 120)
+    log_p = np.array([[ways(x) + opened(x, np.exp(y)) for y in s] for x in d])
+    p = np.exp(log_p - log_p.max())
+    p /= p.sum()
+    mean, log_mean = (d * p.sum(1)).sum(), (s * p.sum(0)).sum()
+    spread, log_spread = np.sqrt((((d - mean) ** 2) * p.sum(1)).sum()), np.sqrt((((s - log_mean) ** 2) * p.sum(0)).sum())
+    at, got = (0.9, 1e4), []
+    for k in range(2_500):
+        at = hyperparameters(*at, dishes, seats, guests, k)
+        got.append((at[0], np.log(at[1])))
+    own, logs = np.array(got[100:]).T
+    assert abs(own.mean() - mean) < 0.25 * spread and abs(own.std() / spread - 1) < 0.2 and spread > 0.1
+    assert abs(logs.mean() - log_mean) < 0.25 * log_spread and abs(logs.std() / log_spread - 1) < 0.2
 
 
 def test_hyperparameters_find_those_of_a_seating():
