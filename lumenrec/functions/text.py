@@ -36,16 +36,66 @@ PLAIN = str.maketrans({
 })
 
 
+@F.pandas_udf(StringType())
+def repair(texts: pd.Series) -> pd.Series:
+    return texts.map(repaired)
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: The byte that a character was if text of bytes was read in the western code page; the five bytes it leaves open count as themselves.
+BYTES = {(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b)): b for b in range(0x80, 0x100)}
+#: What may follow in well-formed UTF-8: for each state the ranges of the next byte with the state after it. State 0 is between characters.
+UTF8 = {
+    0: ((0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)),
+    1: ((0x80, 0xBF, 0),), 2: ((0x80, 0xBF, 1),), 3: ((0x80, 0xBF, 2),), 4: ((0xA0, 0xBF, 1),), 5: ((0x80, 0x9F, 1),), 6: ((0x90, 0xBF, 2),), 7: ((0x80, 0x8F, 2),),
+}
+STEP = {(state, b): to for state, ranges in UTF8.items() for lo, hi, to in ranges for b in range(lo, hi + 1)}
+
+
+def _undone(line: str) -> str | None:
+    """line with all its characters beyond ASCII read as the bytes they were; None if they are not all part of such characters."""
+    state, out = 0, bytearray()
+    for c in line:
+        if c < "\x80":
+            if state:
+                return None
+            out.append(ord(c))
+        else:
+            b = BYTES.get(c)
+            state = None if b is None else STEP.get((state, b))
+            if state is None:
+                return None
+            out.append(b)
+    return None if state else out.decode()
+
+
+def repaired(text: str | None) -> str | None:
+    """text with bytes undone that were read in a wrong code page, up to three times over, line by line.
+
+    A line is changed only if every one of its characters beyond ASCII is part of what such a reading makes; one of which
+    that is not sure stays as it is.
+    """
+    if text is None or text.isascii():
+        return text
+    out = []
+    for line in text.split("\n"):
+        for _ in range(3):
+            if line.isascii() or (better := _undone(line)) is None:
+                break
+            line = better
+        out.append(line)
+    return "\n".join(out)
+
+
 def folded(text: str | None) -> str | None:
-    """NFKC, then ASCII spellings: marks are dropped from letters, known signs are spelt out, other scripts stay."""
+    """Repair, NFKC (which would break up what is to be repaired), then ASCII spellings: marks are dropped from letters, known signs are spelt out, other scripts stay."""
     if text is None or text.isascii():
         return text
-    text = unicodedata.normalize("NFKC", text).translate(PLAIN)
+    text = unicodedata.normalize("NFKC", repaired(text)).translate(PLAIN)
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
@@ -92,7 +142,7 @@ def collapse_space(c: Column) -> Column:
 
 
 def clean_text(c: Column, fold: bool = True) -> Column:
-    """The whole of it, in order: Unicode forms, line breaks, addresses and numbers, emoji, tags, citations, credits, blanks.
+    """The whole of it, in order: Unicode forms and repair, line breaks, addresses and numbers, emoji, tags, citations, credits, blanks.
 
     Addresses become placeholders in angle brackets, which go with the tags. fold=False leaves out the one step that is
     not native, for texts that are normalised already.

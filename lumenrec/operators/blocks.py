@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..sources.tables import stored
 
 
 def tokens(text: Column) -> Column:
@@ -12,8 +15,11 @@ def tokens(text: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: str, rows: int) -> DataFrame:
-    """df with batch: rows rows in a row, by order. Counts per range of order give each range its offset, so no task sees all rows."""
-    parts = df.withColumn("_part", F.floor(F.col(order) / (rows * 64)).cast("bigint"))
+    """df with batch: rows rows in a row, by order, a column of any type that can be ordered. Counts per range of order give each range its offset, so no task sees all rows."""
+    if isinstance(df.schema[order].dataType, NumericType):  # a null comes first
+        parts = df.withColumn("_part", F.coalesce(F.floor(F.col(order) / (rows * 64)).cast("bigint"), F.lit(-(1 << 62))))
+    else:
+        parts = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id().cast("bigint")), "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_shard", F.floor(F.col("_part") / 4096))
     shards = before.groupBy("_shard").agg(F.sum("_size").alias("_sum"))
@@ -47,3 +53,46 @@ def mask_tokens(df: DataFrame, column: str = "input_ids", share: float = 0.15, s
         return F.pmod(F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("bigint"), F.lit(1_000_000)) < int(share * 1_000_000)
 
     return df.withColumn("masked", F.transform(column, lambda x, k: F.when(drawn(x, k), F.lit(mask)).otherwise(x)))
+
+
+def _share(*parts: Column) -> Column:
+    """A number of 60 bits by the MD5 of parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")
+
+
+def token_spans(df: DataFrame, column: str = "input_ids") -> DataFrame:
+    """token, lo, hi: the tokens of all lists in the order of their MD5, each with the numbers from lo to below hi, as many as it occurs.
+
+    Counts of 65,536 ranges of hashes come first, so no task sees all tokens.
+    """
+    counts = df.select(F.explode(column).alias("token")).groupBy("token").agg(F.count("*").alias("_n"))
+    counts = stored(counts.withColumn("_h", F.md5("token")).withColumn("_range", F.substring("_h", 1, 4)), "token-counts")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("_range").agg(F.sum("_n").alias("_of")).select("_range", F.coalesce(F.sum("_of").over(before), F.lit(0)).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy("_range").orderBy("_h", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = counts.withColumn("_upto", within).join(ranges, "_range")
+    return spans.select("token", (F.col("_before") + F.col("_upto") - F.col("_n")).alias("lo"), (F.col("_before") + F.col("_upto")).alias("hi"))
+
+
+def collate(df: DataFrame, column: str = "input_ids", share: float = 0.15, seed: int = 0, mask: str = "[MASK]", spans: DataFrame | None = None) -> DataFrame:
+    """batch, block, input_ids, labels of blocks (batch, block, the tokens) as a model is trained on them.
+
+    A share of the tokens is asked for: labels hold those, and null where nothing is asked. Of these, eight of ten are
+    replaced by mask, one by a token drawn from all of the corpus as often as it occurs (spans, of df itself unless it is
+    given), and one stays. All draws are by MD5 of seed and place, so reruns agree. A drawn token is found by the piece of
+    the counts' range that its number falls in: an equi-join, however often a token occurs.
+    """
+    place = lambda k, what: _share(F.lit(f"{seed} {what}"), F.col("batch"), F.col("block"), k)
+    asked = lambda k: F.pmod(place(k, "ask"), F.lit(1_000_000)) < int(share * 1_000_000)
+    kind = lambda k: F.pmod(place(k, "kind"), F.lit(10))
+    spans = stored(token_spans(df, column) if spans is None else spans, "token-spans")
+    tokens, total = spans.agg(F.count("*"), F.coalesce(F.max("hi"), F.lit(1))).first()
+    width = max(1, total // max(1, tokens))
+    rows = df.select("batch", "block", F.col(column).alias("_t"))
+    drawn = rows.select("batch", "block", F.explode(F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda k: asked(k) & (kind(k) == 8))).alias("k"))
+    drawn = drawn.withColumn("_r", F.pmod(place(F.col("k"), "draw"), F.lit(total))).withColumn("_piece", F.floor(F.col("_r") / width))
+    pieces = spans.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    found = drawn.join(pieces, "_piece").where("_r >= lo AND _r < hi").groupBy("batch", "block").agg(F.map_from_entries(F.collect_list(F.struct("k", "token"))).alias("_new"))
+    both = rows.join(found, ["batch", "block"], "left")
+    changed = F.transform("_t", lambda x, k: F.when(asked(k) & (kind(k) < 8), F.lit(mask)).when(asked(k) & (kind(k) == 8), F.element_at("_new", k)).otherwise(x))
+    return both.select("batch", "block", changed.alias("input_ids"), F.transform("_t", lambda x, k: F.when(asked(k), x)).alias("labels"))

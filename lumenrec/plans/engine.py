@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import load_config
-from ..errors import STATUS_ERRORS, ItemNotFound
+from ..errors import ItemNotFound, failure_in
 from ..operators.features import Encoder, build_features
 from ..operators.fusion import FIELDS
 from ..schemas import USER_ITEMS
@@ -62,10 +62,10 @@ class Engine:
         try:
             rows = user_list(self.spark, self.settings["lists_service"], name).collect()  # one user's
         except PythonException as e:
-            for kind in STATUS_ERRORS.values():
-                if kind.__name__ in str(e):
-                    raise kind(name) from e
-            raise
+            kind = failure_in(str(e))
+            if kind is None:
+                raise
+            raise kind(name) from e
         return self.spark.createDataFrame(rows, USER_ITEMS)
 
     def run(self, search: str, by_item: bool = True, limit: int = 10, choose=None, items: DataFrame | None = None) -> DataFrame | None:

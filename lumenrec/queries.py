@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .functions import text as tx
 from .functions.arrays import distinct_names, multi_hot, names
 from .functions.hashing import signed_hash
 from .functions.vectors import distance_score, similarity_score
+from .functions.wordpiece import CLS, GOES_ON, MASK, PAD, SEP, UNKNOWN, WordPiece, encode
 from .operators import blocks, features, fusion, users
 from .operators.fusion import FIELDS
 from .operators.ivf import build_index, build_indexes, recall
@@ -17,6 +20,7 @@ from .operators.patterns import pattern_neighbours
 from .operators.titles import build_title_index, search_title_index, search_titles, titles_containing
 from .plans import recommend
 from .sources import records
+from .sources.collection import create_collection
 from .sources.tables import scratch, stored
 from .views import CATALOGUE_SQL, RAW_SQL, TITLES_SQL, USER_ITEMS_SQL, VOCABULARY, catalogue, raw_catalogue, table, titles, user_items
 
@@ -41,21 +45,21 @@ def query(sql: str | None = None):
 # -- scans, sinks, projections ---------------------------------------------------------------------------------------
 
 
-def _served(spark: SparkSession, df: DataFrame, entry, order: str, page: int) -> dict:
-    """Rows as the JSON pages of a service, saved; and the options by which the paged source reads them, in eight runs side by side."""
+def _saved(spark: SparkSession, df: DataFrame, entry, order: str, page: int) -> str:
+    """Where rows were saved as the JSON pages that a service answers with."""
     path = scratch(spark, "pages")
     paged = df.withColumn("offset", F.floor(F.col(order) / page) * page).groupBy("offset").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e")))).alias("all"))
-    paged = paged.select("offset", F.transform("all", lambda x: x["e"]).alias("data"))
-    paged.select("offset", F.to_json(F.struct("data", F.create_map(F.lit("next"), F.col("offset").cast("string")).alias("paging"))).alias("body")).write.partitionBy("offset").text(path)
-    last = df.agg(F.max(order)).first()[0]
-    return {"url": path, "fetcher": "lumenrec.sources.paged:folder_fetcher", "page": page, "max_pages": (last or 0) // page + 1, "readers": 8}
+    last = df.agg(F.floor(F.max(order) / page) * page).first()[0]
+    after = F.when(F.col("offset") < F.lit(last), F.create_map(F.lit("next"), (F.col("offset") + page).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    records.write_records(paged.select("offset", F.transform("all", lambda x: x["e"]).alias("data"), after.alias("paging")), path)
+    return path
 
 
 @query(f"WITH {RAW_SQL} SELECT id, title, replace(synopsis, chr(10), ' ') AS synopsis, list_transform(genres, lambda x: x.name) AS genres FROM raw")
 def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue as the paged source reads it."""
+    """The catalogue from its saved pages."""
     raw = raw_catalogue(spark, sf_dir)
-    rows = records.service_items(spark, _served(spark, raw, F.struct(F.struct(*raw.columns).alias("node")), "id", 500))
+    rows = records.saved_items(spark, _saved(spark, raw, F.struct(F.struct(*raw.columns).alias("node")), "id", 500))
     return rows.select("id", "title", "synopsis", names(F.col("genres")).alias("genres"))
 
 
@@ -63,15 +67,16 @@ def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collect_short_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collected from pages and written as records."""
     raw = raw_catalogue(spark, sf_dir)
-    return records.collect_items(spark, _served(spark, raw, F.struct(F.struct("id", "title", "synopsis").alias("node")), "id", 500), scratch(spark, "collected"), short=True)
+    items = records.saved_items(spark, _saved(spark, raw, F.struct(F.struct("id", "title", "synopsis").alias("node")), "id", 500), short=True)
+    return records.kept_items(items, scratch(spark, "collected"))
 
 
 @query(f"WITH {USER_ITEMS_SQL} SELECT 7 + 0 * user_id AS user_id, id, title, score, status, episodes_watched, rewatching, row_number() OVER (ORDER BY seq) - 1 AS seq FROM ui")
 def scan_user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All entries as one user's list, as the paged source reads it."""
+    """All entries as one user's list, from its saved pages."""
     state = F.struct("score", "status", F.col("episodes_watched").alias("num_episodes_watched"), F.col("rewatching").alias("is_rewatching"))
     entry = F.struct(F.struct("id", "title").alias("node"), state.alias("list_status"))
-    return records.user_list(spark, _served(spark, user_items(spark, sf_dir), entry, "seq", 1000), "anyone", 7)
+    return records.saved_user_list(spark, _saved(spark, user_items(spark, sf_dir), entry, "seq", 1000), 7)
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -451,9 +456,14 @@ def clean_text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, lambda c: tx.clean_text(_with_notes(c), fold=False))
 
 
-@query()
+def _folded(of: str) -> str:
+    """Folding, for the letters that these texts have beyond ASCII."""
+    return f"strip_accents(replace(replace(replace({of}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))"
+
+
+@query(f"SELECT doc_id, {_cleaned(_folded('text'))} AS cleaned FROM documents")
 def clean_text_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps; tested against the steps in plain Python."""
+    """All steps; folding is also tested by itself, as SQL has but a part of it."""
     return _docs(spark, sf_dir, tx.clean_text)
 
 
@@ -472,15 +482,37 @@ def multi_hot_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_catalogue(spark, sf_dir).select("id", multi_hot(distinct_names(F.col("genres")), VOCABULARY).alias("genres"))
 
 
-@query()
+_WORD = "4294967296::UBIGINT"
+#: The hash of names of up to three bytes, which is what these have: one block that is not full, and the final mixing.
+_HASHED = f"""part AS (SELECT id, list_sum(list_transform(range(len(s)), lambda i: ascii(s[i + 1])::BIGINT * (1 << (8 * i))))::UBIGINT AS k, len(s)::UBIGINT AS n FROM (SELECT id, unnest(list_transform(studios, lambda x: x.name)) AS s FROM raw)),
+turned AS (SELECT id, n, ((k * 3432918353) % {_WORD} << 15) % {_WORD} + ((k * 3432918353) % {_WORD} >> 17) AS k FROM part),
+mixed0 AS (SELECT id, xor((k * 461845907) % {_WORD}, n) AS h FROM turned), mixed1 AS (SELECT id, (xor(h, h >> 16) * 2246822507) % {_WORD} AS h FROM mixed0),
+mixed2 AS (SELECT id, (xor(h, h >> 13) * 3266489909) % {_WORD} AS h FROM mixed1), mixed3 AS (SELECT id, xor(h, h >> 16)::BIGINT AS h FROM mixed2),
+signed AS (SELECT id, abs(h) % 75 AS at, CASE WHEN h < 0 THEN -1 ELSE 1 END AS x FROM (SELECT id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM mixed3)),
+places AS (SELECT id, map_from_entries(list((at, x))) AS m FROM (SELECT id, at, sum(x)::FLOAT AS x FROM signed GROUP BY id, at) GROUP BY id),
+hashed AS (SELECT id, list_transform(range(75), lambda i: coalesce(m[i], 0))::FLOAT[] AS studios FROM places)"""
+
+
+@query(f"WITH {RAW_SQL}, {_HASHED} SELECT id, studios FROM hashed")
 def hash_studios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested against published vectors of the hash."""
+    """Also tested against published vectors of the hash."""
     return raw_catalogue(spark, sf_dir).select("id", signed_hash(names(F.col("studios")), 75).alias("studios"))
 
 
-@query(f"WITH {RAW_SQL} SELECT id, {_cleaned('synopsis')} AS synopsis, {_cleaned('title')} AS related, {_HOT} AS genres FROM raw WHERE synopsis IS NOT NULL AND title IS NOT NULL")
+def _measured(c):
+    """Stands for a model: a text's length, its words and its vowels."""
+    return F.array(*[x.cast("float") for x in (F.length(c), F.size(F.split(c, " ")), F.length(c) - F.length(F.regexp_replace(c, "[aeiou]", "")))])
+
+
+def _measured_sql(of: str) -> str:
+    return f"[length({of}), len(string_split({of}, ' ')), length({of}) - length(regexp_replace({of}, '[aeiou]', '', 'g'))]::FLOAT[]"
+
+
+@query(f"""WITH {RAW_SQL}, {_HASHED}, texts AS (SELECT id, {_HOT} AS genres, {_cleaned(_folded('synopsis'))} AS synopsis, {_cleaned(_folded('title'))} AS related FROM raw WHERE synopsis IS NOT NULL AND title IS NOT NULL)
+SELECT id, genres, studios, {_measured_sql('synopsis')} AS synopsis_embedding, {_measured_sql('related')} AS related_embedding FROM texts JOIN hashed USING (id)""")
 def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.build_features(raw_catalogue(spark, sf_dir), vocabulary=VOCABULARY, fold=False).drop("studios")
+    """The whole of it, with a plain function in the encoder's place."""
+    return features.build_features(raw_catalogue(spark, sf_dir), _measured, VOCABULARY)
 
 
 @query(r"""WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n\f\x0B]+'), lambda w: w <> '') AS t FROM documents),
@@ -501,3 +533,35 @@ _BLOCKS = SQL["finetune_blocks"]
 @query(f"""SELECT batch, block, list_transform(input_ids, lambda x, k: CASE WHEN ('0x' || md5(concat_ws(' ', '0', batch, block, k - 1, x))[1:8])::BIGINT % 1000000 < 150000 THEN '[MASK]' ELSE x END) AS masked, labels FROM ({_BLOCKS})""")
 def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.mask_tokens(finetune_blocks(spark, sf_dir)).select("batch", "block", "masked", "labels")
+
+
+@query(f"""WITH b AS MATERIALIZED ({_BLOCKS}), t AS (SELECT batch, block, k, input_ids[k + 1] AS x FROM (SELECT batch, block, input_ids, unnest(range(len(input_ids))) AS k FROM b)),
+s AS MATERIALIZED (SELECT token, (hi - n)::BIGINT AS lo, hi::BIGINT AS hi FROM (SELECT x AS token, count(*) AS n, sum(count(*)) OVER (ORDER BY md5(x), x) AS hi FROM t GROUP BY x)),
+d AS (SELECT *, ('0x' || md5(concat_ws(' ', '0 ask', batch, block, k))[1:15])::BIGINT % 1000000 < 150000 AS asked, ('0x' || md5(concat_ws(' ', '0 kind', batch, block, k))[1:15])::BIGINT % 10 AS kind,
+  ('0x' || md5(concat_ws(' ', '0 draw', batch, block, k))[1:15])::BIGINT % (SELECT max(hi) FROM s) AS r FROM t)
+SELECT batch, block, list(CASE WHEN asked AND kind < 8 THEN '[MASK]' WHEN asked AND kind = 8 THEN token ELSE x END ORDER BY k) AS input_ids, list(CASE WHEN asked THEN x END ORDER BY k) AS labels
+FROM d LEFT JOIN s ON asked AND kind = 8 AND r >= lo AND r < hi GROUP BY batch, block""")
+def mlm_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with asked tokens masked, replaced by tokens of the corpus, or left; labels for these alone."""
+    return blocks.collate(stored(finetune_blocks(spark, sf_dir), "blocks"))
+
+
+#: Special tokens, signs and digits, letters, and pairs of letters that begin or go on a word.
+PIECES = [PAD, UNKNOWN, CLS, SEP, MASK, *string.punctuation, *(g + a for g in ("", GOES_ON) for a in string.digits + string.ascii_lowercase), *(g + a + b for g in ("", GOES_ON) for a in string.ascii_lowercase for b in string.ascii_lowercase)]
+
+
+@query()
+def wordpiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of texts in a vocabulary of letters and their pairs, 512 a text; tested against a plain tokenizer of the same rules."""
+    both = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism).select("doc_id", encode(F.col("text"), WordPiece(PIECES)).alias("t"))
+    return both.select("doc_id", "t.input_ids", "t.attention_mask")
+
+
+@query(f"WITH {CATALOGUE_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN list_transform(e, lambda x: 2 * x) ELSE e END::FLOAT[] AS synopsis_vec, g::FLOAT[] AS genres FROM cat WHERE id % 10 <> 1")
+def collection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of the catalogue, with a tenth of its rows replaced and another taken out by a merge."""
+    cat = catalogue(spark, sf_dir).select("id", "synopsis_vec", "genres")
+    dims = {c: len(v) for c, v in zip(("synopsis_vec", "genres"), cat.select("synopsis_vec", "genres").first())}
+    made = create_collection(spark, scratch(spark, "collection"), dims, cat, buckets=8)
+    made.merge(cat.where("id % 10 = 0").withColumn("synopsis_vec", F.transform("synopsis_vec", lambda x: 2 * x)), cat.where("id % 10 = 1").select("id"))
+    return made.read()

@@ -34,23 +34,23 @@ def http_fetcher(options: dict, offset: int) -> tuple[int, dict]:
 
 
 def file_fetcher(options: dict, offset: int) -> tuple[int, dict]:
-    """Pages saved as offset.json in the folder at url; no such file is an empty page, and status.json a failure."""
+    """Pages saved as offset.json in the folder at url, on this machine's disk alone: any other address is refused, and saved_entries() reads such.
+
+    status.json is a failure. A file that is not there is an empty page after the last one, and FileNotFoundError before it.
+    """
     from pathlib import Path
 
-    folder = Path(options["url"])
+    if "://" in (url := options["url"]).removeprefix("file://"):
+        raise ValueError(f"{url} is not a folder of this machine")
+    folder = Path(url.removeprefix("file://"))
     if (folder / "status.json").exists():
         return json.loads((folder / "status.json").read_text()), {}
     page = folder / f"{offset}.json"
-    return 200, json.loads(page.read_text()) if page.exists() else {"data": []}
-
-
-def folder_fetcher(options: dict, offset: int) -> tuple[int, dict]:
-    """Pages that Spark wrote as text, in a folder offset=N each, below url."""
-    from pathlib import Path
-
-    parts = sorted(Path(options["url"].removeprefix("file:")).glob(f"offset={offset}/part-*"))
-    text = "".join(p.read_text(encoding="utf-8") for p in parts)
-    return 200, json.loads(text) if text else {"data": []}
+    if page.exists():
+        return 200, json.loads(page.read_text())
+    if any(p.stem.isdecimal() and int(p.stem) > offset for p in folder.glob("*.json")):
+        raise FileNotFoundError(f"no page at {page}, but later ones")
+    return 200, {"data": []}
 
 
 def pages(options: dict, offset: int, last: int | None = None):

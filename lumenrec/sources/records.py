@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas
 from ..functions.text import strip_newlines
@@ -73,11 +73,11 @@ def list_pages(spark: SparkSession, path: str, user_id: int) -> DataFrame:
     return list_rows(rows.withColumn("user_id", F.lit(user_id).cast("long")), F.struct("file", "at"))
 
 
-def list_rows(rows: DataFrame, order) -> DataFrame:
-    """Rows of a list in the common schema; seq numbers a user's rows by order."""
+def list_rows(rows: DataFrame, order=None) -> DataFrame:
+    """Rows of a list in the common schema; seq is the row's position, or numbers a user's rows by order if that is given."""
     from pyspark.sql import Window
 
-    seq = (F.row_number().over(Window.partitionBy("user_id").orderBy(order)) - 1).cast("long")
+    seq = F.col("position") if order is None else (F.row_number().over(Window.partitionBy("user_id").orderBy(order)) - 1).cast("long")
     return rows.select(
         "user_id", "id", "title", F.coalesce("score", F.lit(0)).cast("long").alias("score"), "status",
         F.col("num_episodes_watched").cast("long").alias("episodes_watched"), F.col("is_rewatching").alias("rewatching"), seq.alias("seq"),
@@ -92,21 +92,69 @@ def service_entries(spark: SparkSession, options: dict, item: StructType, status
     return rows.select("position", F.from_json("entry", entry).alias("entry"))
 
 
+def saved_entries(spark: SparkSession, path: str, item: StructType, status: StructType | None = None, page: int = 500) -> DataFrame:
+    """position, entry of pages of page entries that were saved as JSON lines (offset, data, paging) at any path that Spark reads.
+
+    The pages have to be whole: FileNotFoundError if one is missing between the first and the last, or after it because it names a next one.
+    """
+    pages = read_records(spark, path, StructType([StructField("offset", LongType()), *schemas.page_of(item, status)]), lines=True)
+    last = F.max(F.struct("offset", F.coalesce(F.size(F.map_filter("paging", lambda k, v: (k == "next") & v.isNotNull())), F.lit(0)).alias("next")))
+    there, last = pages.agg(F.count_distinct("offset"), last).first()
+    if last is not None and there <= last["offset"] // page or last is not None and last["next"]:
+        raise FileNotFoundError(f"{path} has {there} pages of {last['offset'] // page + 1 + bool(last['next'])} or more")
+    return pages.select("offset", F.posexplode("data").alias("at", "entry")).select((F.col("offset") + F.col("at")).alias("position"), "entry")
+
+
+def _items(entries: DataFrame) -> DataFrame:
+    """Items of entries, line breaks in synopses as spaces."""
+    return entries.select("entry.node.*").withColumn("synopsis", strip_newlines(F.col("synopsis")))
+
+
 def service_items(spark: SparkSession, options: dict, short: bool = False) -> DataFrame:
     """Items of the catalogue as a service has them, line breaks in synopses as spaces. short: id, title and synopsis alone."""
-    rows = service_entries(spark, options, schemas.SHORT_CATALOGUE if short else schemas.CATALOGUE).select("entry.node.*")
-    return rows.withColumn("synopsis", strip_newlines(F.col("synopsis")))
+    return _items(service_entries(spark, options, schemas.SHORT_CATALOGUE if short else schemas.CATALOGUE))
+
+
+def saved_items(spark: SparkSession, path: str, short: bool = False, page: int = 500) -> DataFrame:
+    """Items as service_items() gives them, from saved pages."""
+    return _items(saved_entries(spark, path, schemas.SHORT_CATALOGUE if short else schemas.CATALOGUE, page=page))
+
+
+def kept_items(items: DataFrame, path: str) -> DataFrame:
+    """Writes items as records at path and gives the records."""
+    write_records(items, path)
+    return read_records(items.sparkSession, path, items.schema, lines=True)
 
 
 def collect_items(spark: SparkSession, options: dict, path: str, short: bool = False) -> DataFrame:
     """Reads all items of a service, writes them as records at path and gives the records."""
-    items = service_items(spark, options, short)
-    write_records(items, path)
-    return read_records(spark, path, items.schema, lines=True)
+    return kept_items(service_items(spark, options, short), path)
+
+
+_LISTED = schemas._struct(id=schemas._L, title=schemas._S)
+
+
+def _list(entries: DataFrame, user_id: int) -> DataFrame:
+    return list_rows(entries.select("position", "entry.node.*", "entry.list_status.*", F.lit(user_id).cast("long").alias("user_id")))
 
 
 def user_list(spark: SparkSession, options: dict, name: str, user_id: int = 0) -> DataFrame:
     """The list of the user of that name in the common schema, under user_id. {name} in the option url stands for the name."""
-    node = schemas._struct(id=schemas._L, title=schemas._S)
-    rows = service_entries(spark, options | {"url": options["url"].replace("{name}", name)}, node, schemas.LIST_STATUS)
-    return list_rows(rows.select("position", "entry.node.*", "entry.list_status.*", F.lit(user_id).cast("long").alias("user_id")), "position")
+    return _list(service_entries(spark, options | {"url": options["url"].replace("{name}", name)}, _LISTED, schemas.LIST_STATUS), user_id)
+
+
+def saved_user_list(spark: SparkSession, path: str, user_id: int = 0, page: int = 1000) -> DataFrame:
+    """A list as user_list() gives it, from saved pages."""
+    return _list(saved_entries(spark, path, _LISTED, schemas.LIST_STATUS, page), user_id)
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: StructType | None = None) -> dict[str, DataFrame]:
+    """The records of each split by its name, such as train and test, with the columns of all; FileNotFoundError names the split that is not there."""
+    frames = {}
+    for name, path in paths.items():
+        try:
+            frames[name] = read_records(spark, path, schema)
+        except FileNotFoundError as e:
+            raise FileNotFoundError(f"split {name}: {e}") from e
+    kinds = {c: t for f in frames.values() for c, t in f.dtypes}
+    return {k: f.select([F.col(f"`{c}`") if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]) for k, f in frames.items()}
