@@ -26,6 +26,7 @@ from .common import components, dropped_after, store, table
 from .packs import trim
 
 BYTES, BLOCK = 8, 2048  # bytes of a fingerprint; fingerprints of a posting that are compared at once
+SMALL = 32  # fingerprints of a posting whose candidates near_documents() takes all
 TABLES, LEAST = 12, 3  # fingerprints of a document in near_documents(), and the positional bytes that a pair shares in one of them
 _MIX = np.random.Generator(np.random.PCG64(23)).integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -155,11 +156,18 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root[label]
 
 
+def first_of_each(labels: np.ndarray) -> np.ndarray:
+    """For each row the first one of its label."""
+    _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+    return first[which]
+
+
 class Forest:
-    """Links that join all that the added ones join, near ones before far ones; no more than a few for each of n rows are held."""
+    """Links that join all that the added ones join, near ones before far ones; no more than a few for each of n rows are held. Rows of one label are joined from the start."""
 
-    def __init__(self, n: int, sure: int):
-        self.n, self.sure, self.held, self.label = n, sure, 0, np.arange(n)
+    def __init__(self, n: int, sure: int, labels: np.ndarray | None = None):
+        self.n, self.sure, self.held, self.base = n, sure, 0, np.arange(n) if labels is None else first_of_each(labels)
+        self.label = self.base
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
@@ -173,7 +181,7 @@ class Forest:
         i, j, apart = (np.concatenate(x).astype(np.int64) for x in zip(*self.parts, (np.empty(0, np.int64),) * 3))
         order = np.argsort(apart, kind="stable")
         i, j, apart = i[order], j[order], apart[order]
-        label, kept, left = np.arange(self.n), [], np.arange(len(i))
+        label, kept, left = self.base, [], np.arange(len(i))
         while len(left := left[label[i[left]] != label[j[left]]]):
             first = np.full(self.n, len(i))  # of each component the link that comes first
             np.minimum.at(first, label[i[left]], left)
@@ -184,31 +192,37 @@ class Forest:
         kept = np.concatenate([*kept, np.empty(0, np.int64)]).astype(np.int64)
         i, j, apart = i[kept], j[kept], apart[kept]
         near = apart <= self.sure
-        self.label = _joined(np.arange(self.n), i[near], j[near])
+        self.label = _joined(self.base, self.base[i[near]], self.base[j[near]])
         self.parts, self.held = [(i, j, apart)], len(i)
         return i, j
 
 
-def within(fp: np.ndarray, keys: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal keys (sorted), as many as join what all of its links join."""
-    n, found = len(fp), Forest(len(fp), rule.sure)
+def within(fp: np.ndarray, keys: np.ndarray, rule: Rule, labels: np.ndarray | None = None, whole: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each run of equal keys (sorted), as many as join what all of its links join; of a run of at most whole rows all that are not sure."""
+    n, found, every = len(fp), Forest(len(fp), rule.sure, labels), []
+    small = np.repeat(runs <= whole, runs) if len(runs := np.diff(np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), n])) and n else np.zeros(n, bool)
     at, step = np.arange(n), 1
     while len(at := at[at + step < n]) and len(at := at[keys[at] == keys[at + step]]):
         i = at[found.label[at] != found.label[at + step]]  # what sure links join needs no other
         ok, apart = rule.linked(fp, i, i + step, keys[i])
         found.add(i[ok], i[ok] + step, apart)
+        far = i[ok][small[i[ok]] & (apart > rule.sure)]
+        every.append((far, far + step))
         step += 1
         if step >= 8 and not step & (step - 1):
             found.settle()
-    return found.settle()
+    i, j = found.settle()
+    far, to = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (zip(*every) if every else ([], [])))
+    apart = found.label[far] != found.label[to]
+    return np.concatenate([i, far[apart]]), np.concatenate([j, to[apart]])
 
 
-def across(fp: np.ndarray, n: int, keys: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """The same for the pairs of one of the first n rows and one of the rest, all of one posting.
+def across(fp: np.ndarray, n: int, keys: np.ndarray, rule: Rule, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of pairs of one of the first n rows and one of the rest, all of one posting, as many as join what all join.
 
     First one row of each side meets the other side. What is then joined by sure links needs comparing with the rest only.
     """
-    found = Forest(len(fp), rule.sure)
+    found = Forest(len(fp), rule.sure, labels)
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
         each = max(1, (1 << 18) // max(1, len(j)))
@@ -230,26 +244,34 @@ def across(fp: np.ndarray, n: int, keys: np.ndarray, rule: Rule) -> tuple[np.nda
     return found.settle()
 
 
-OUT = "key bigint, block bigint, a bigint, b bigint"
+OUT, LABEL = "key bigint, block bigint, a bigint, b bigint", ", label bigint"
 
 
-def _row(key, block, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, block, a, b)], ["key", "block", "a", "b"])
+def _row(*columns) -> pa.RecordBatch:
+    """key, block, a, b and, if rows have one, label."""
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "block", "a", "b", "label"][: len(columns)])
 
 
-def _search(rule: Rule, limit: int):
-    """Over rows (key, fp, node) sorted by key: links of nodes (block -1), and in blocks the rows of postings of over limit, which are left for later."""
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of rows that end with fp, node and, if they have one, label; without, each node is its own."""
+    out = [c.to_numpy() for c in batch.columns]
+    return out if batch.schema.names[-1] == "label" else [*out, out[-1]]
+
+
+def _search(rule: Rule, limit: int, small: int = 0):
+    """Over rows (key, fp, node, label if there is one) sorted by key: links of nodes (block -1), and in blocks the rows of postings of over limit, which are left for later."""
 
     def run(batches):
-        keys, fps, nodes = (np.empty(0, np.int64) for _ in range(3))
-        given, last = 0, None  # the rows of the last key so far; its blocks given away
+        keys, fps, nodes, labels = (np.empty(0, np.int64) for _ in range(4))
+        own, given, last = True, 0, None  # whether rows have a label; the rows of the last key so far; its blocks given away
 
-        def finish(keys, fps, nodes):
-            i, j = within(fps.view(np.uint64), keys, rule)
-            return _row(np.full(len(i), -1), np.full(len(i), -1), nodes[i], nodes[j])
+        def finish(keys, fps, nodes, labels):
+            i, j = within(fps.view(np.uint64), keys, rule, labels, small)
+            return _row(np.full(len(i), -1), np.full(len(i), -1), nodes[i], nodes[j], *[np.zeros(len(i), np.int64)] * own)
 
         for batch in batches:
-            keys, fps, nodes = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((keys, fps, nodes)))
+            own = batch.schema.names[-1] == "label"
+            keys, fps, nodes, labels = (np.concatenate(x) for x in zip((keys, fps, nodes, labels), _columns(batch)))
             if not len(keys):
                 continue
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -271,33 +293,33 @@ def _search(rule: Rule, limit: int):
                 full = m // limit * limit if tail else m
                 if full:
                     blocks = on + np.arange(full) // limit
-                    yield _row(np.full(full, key), blocks, fps[s : s + full], nodes[s : s + full])
+                    yield _row(np.full(full, key), blocks, fps[s : s + full], nodes[s : s + full], *[labels[s : s + full]] * own)
                     on = int(blocks[-1]) + 1
                 if tail:
                     given, last = on, key
                     rest = s + full
-            out = finish(keys[whole], fps[whole], nodes[whole])
+            out = finish(keys[whole], fps[whole], nodes[whole], labels[whole])
             if out.num_rows:
                 yield out
-            keys, fps, nodes = keys[rest:], fps[rest:], nodes[rest:]
+            keys, fps, nodes, labels = keys[rest:], fps[rest:], nodes[rest:], labels[rest:]
         if len(keys):
-            yield _row(keys, np.full(len(keys), given), fps, nodes) if given else finish(keys, fps, nodes)
+            yield _row(keys, np.full(len(keys), given), fps, nodes, *[labels] * own) if given else finish(keys, fps, nodes, labels)
 
     return run
 
 
 def _search_blocks(rule: Rule):
-    """Over rows (unit, side, key, fp, node) sorted by unit and side: links within the one block of a unit, or across its two."""
+    """Over rows (unit, side, key, fp, node, label if there is one) sorted by unit and side: links within the one block of a unit, or across its two."""
 
-    def compare(side, keys, fps, nodes):
+    def compare(side, keys, fps, nodes, labels):
         n, fp = int((side == 0).sum()), fps.view(np.uint64)
-        i, j = within(fp, keys, rule) if n == len(fp) else across(fp, n, keys, rule)
+        i, j = within(fp, keys, rule, labels) if n == len(fp) else across(fp, n, keys, rule, labels)
         return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
 
     def run(batches):
-        held = [np.empty(0, np.int64) for _ in range(5)]
+        held = [np.empty(0, np.int64) for _ in range(6)]
         for batch in batches:
-            held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            held = [np.concatenate(x) for x in zip(held, _columns(batch))]
             cuts = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
             for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
                 yield compare(*(x[lo:hi] for x in held[1:]))
@@ -310,7 +332,7 @@ def _search_blocks(rule: Rule):
 
 
 def _index(rows: DataFrame, chosen: list[tuple[int, ...]], refined: int = 0) -> DataFrame:
-    """(key, fp, node) of the postings of each choice, sorted by key.
+    """(key, fp, node and label if rows have one) of the postings of each choice, sorted by key.
 
     rows: fp, node and posting, the number of the fingerprint's table; or where postings are refined, the posting that a row
     was in, one of refined in each table, of which only the choices that refine it are made.
@@ -328,29 +350,31 @@ def _index(rows: DataFrame, chosen: list[tuple[int, ...]], refined: int = 0) ->
         keys = F.slice(keys, (at % refined * own + 1).cast("int"), own)
         at = F.floor(at / refined)
     shift = F.shiftleft((at * len(chosen)).cast("bigint"), 8 * size)
-    out = rows.select(F.explode(keys).alias("k"), shift.alias("s"), "fp", "node")
-    return out.select((F.col("k") + F.col("s")).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key")
+    own = [c for c in ("fp", "node", "label") if c in rows.columns]
+    out = rows.select(F.explode(keys).alias("k"), shift.alias("s"), *own)
+    return out.select((F.col("k") + F.col("s")).alias("key"), *own).repartition("key").sortWithinPartitions("key")
 
 
-def links(rows: DataFrame, least: int, bits: int, sure: int, block: int = BLOCK) -> DataFrame:
-    """a, b: links between nodes of rows (posting: the table's number; fp, distinct in its table; node).
+def links(rows: DataFrame, least: int, bits: int, sure: int, block: int = BLOCK, small: int = 0) -> DataFrame:
+    """a, b: links between nodes of rows (posting: the table's number; fp, distinct in its table; node; label, if some nodes are joined already).
 
     Nodes link whose fingerprints of a table share least bytes by position and differ in no more than bits. Of the links of
-    a posting those are given that join what all join, near ones first; none is given where sure bits join the ends already.
+    a posting those are given that join what all join, near ones first, and of a posting of at most small rows all; none is
+    given where sure bits or a label join the ends already.
     """
-    chosen = choices(least)
+    chosen, own = choices(least), ["label"] * ("label" in rows.columns)
     rule = Rule(least, bits, sure, handled(chosen), 8 * len(chosen[0]))
-    found, _ = store(_index(rows, chosen).mapInArrow(_search(rule, block), OUT), "postings")
+    found, _ = store(_index(rows, chosen).mapInArrow(_search(rule, block, small), OUT + LABEL * len(own)), "postings")
     edges, later = found.where("block < 0").select("a", "b"), found.where("block >= 0")
     if len(chosen[0]) < least:  # pairs share one byte more
-        hot = later.select(F.shiftright("key", rule.shift).alias("posting"), F.col("a").alias("fp"), F.col("b").alias("node"))
+        hot = later.select(F.shiftright("key", rule.shift).alias("posting"), F.col("a").alias("fp"), F.col("b").alias("node"), *own)
         rule = Rule(least, bits, sure, handled(chosen, True), rule.shift + 8)
-        found, _ = store(_index(hot, finer(chosen), len(chosen)).mapInArrow(_search(rule, block), OUT), "finer-postings")
+        found, _ = store(_index(hot, finer(chosen), len(chosen)).mapInArrow(_search(rule, block, small), OUT + LABEL * len(own)), "finer-postings")
         edges, later = edges.unionByName(found.where("block < 0").select("a", "b")), found.where("block >= 0")
-    later = later.select("key", "block", F.col("a").alias("fp"), F.col("b").alias("node"))
+    later = later.select("key", "block", F.col("a").alias("fp"), F.col("b").alias("node"), *own)
     blocks, _ = store(later.groupBy("key").agg((F.max("block") + 1).alias("n")), "hot-postings")
     units = later.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    units = units.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "key", "fp", "node")
+    units = units.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "key", "fp", "node", *own)
     more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_search_blocks(rule), "a bigint, b bigint")
     return edges.unionByName(more).distinct()
 
@@ -442,8 +466,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Documents link at a Jaccard similarity of their word shingles (A-Z lower-cased) of similarity or more. Each has tables
     fingerprints; pairs that share LEAST bytes by position in one of them and are near in its bits are candidates, those
     whose bits of all tables are too far apart for similarity go, and the rest is verified on the shingles, but for pairs so
-    near that bits decide (four standard deviations from similarity, or all bits of a fingerprint). Of a posting's candidates those come out that join all
-    of them, nearest first. So no pair below similarity links but by chance. Of pairs above it, some 0.99 share the bytes at
+    near that bits decide (four standard deviations from similarity, or all bits of a fingerprint). What the first table's
+    links join for sure is one group from then on. Of a posting of up to SMALL fingerprints all candidates of different
+    groups come out, of a larger one those that join all of them, nearest first. So no pair below similarity links but by chance. Of pairs above it, some 0.99 share the bytes at
     0.80 and more the nearer they are: of check_s 9 of 6,046 pairs from 0.80 to 0.85 were missed, and none of 7,738 above.
 
     component_id is the smallest doc_id that links reach, and the row that has it is kept; of several rows with that id,
@@ -464,18 +489,26 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         nodes, _ = store(each.groupBy("fps").agg(first()).select(F.monotonically_increasing_id().alias("node"), "fps", "rep.doc_id", "rep.text_hash"), "nodes")
         own = nodes.select("node", F.posexplode("fps").alias("posting", "fp"))
         one, _ = store(own.groupBy("posting", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "table-fingerprints")
-        alike = _alike(own, one)
-        size = 64 * tables
-        pairs = links(one, LEAST, expected_bits(similarity, 64 - 8 * LEAST, 2.0), expected_bits(similarity, 64, -3.0), block)
-        pairs, _ = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        alike, size = _alike(own, one), 64 * tables
+        nearly, surely = expected_bits(similarity, size, 3.0), expected_bits(similarity, size, -4.0)
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}"))
         apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart"))
-        pairs, _ = store(pairs.where(F.col("apart") <= expected_bits(similarity, size, 3.0)), "near-candidates")
-        sure = pairs.where(F.col("apart") <= expected_bits(similarity, size, -4.0)).select("a", "b").unionByName(alike)
+
+        def candidates(rows: DataFrame, most: int, small: int) -> DataFrame:
+            pairs = links(rows, LEAST, expected_bits(similarity, 64 - 8 * LEAST, 2.0), expected_bits(similarity, 64, -3.0), block, small)
+            pairs, _ = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart"))
+            return store(pairs.where(F.col("apart") <= most), "near-candidates")[0]
+
+        # What the first table's links join for sure is joined before the other tables look for more.
+        begun = candidates(one.where("posting = 0").select("posting", "fp", "node"), surely, 0).select("a", "b").unionByName(alike)
+        labels, _ = store(components(begun), "begun-components")
+        labelled, _ = store(one.join(labels, "node", "left").select("posting", "fp", "node", F.coalesce("component", "node").alias("label")), "labelled-postings")
+        pairs = candidates(labelled, nearly, SMALL)
+        sure = pairs.where(F.col("apart") <= surely).select("a", "b").unionByName(begun)
         joined, _ = store(components(sure), "surely-joined")
         name = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-        unsure = pairs.where(F.col("apart") > expected_bits(similarity, size, -4.0)).join(name("a"), "a", "left").join(name("b"), "b", "left")
+        unsure = pairs.where(F.col("apart") > surely).join(name("a"), "a", "left").join(name("b"), "b", "left")
         unsure, _ = store(unsure.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "open-candidates")
         asked = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
         asked = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))

@@ -115,6 +115,53 @@ def test_the_tally_rejects_pairs_that_meet_in_a_posting():
     assert (ok == np.flatnonzero((tally >= 4) & (np.bitwise_count(x) <= 9))).all() and (apart == np.bitwise_count(x[ok])).all()
 
 
+def test_small_postings_give_all_candidates_that_are_not_sure():
+    """Of three fingerprints that are all near each other each pair is a candidate, as any of them may be the one that is verified."""
+    fp = np.array([0x0, 0x3, 0xC], np.uint64)
+    rule, keys = Rule(4, 9, 1, np.ones((1, 256), bool), 0), np.zeros(3, np.int64)
+    assert len(within(fp, keys, rule)[0]) == 2
+    i, j = within(fp, keys, rule, None, 3)
+    assert {*zip(i.tolist(), j.tolist())} == {(0, 1), (1, 2), (0, 2)}
+    assert len(within(fp, keys, rule, None, 2)[0]) == 2  # a larger posting: as many as join all
+    keys = np.array([0, 1, 1])
+    assert {*zip(*(x.tolist() for x in within(fp, keys, rule, None, 3)))} == {(1, 2)}
+
+
+@pytest.mark.parametrize("small", [0, 500])
+def test_what_labels_join_is_not_linked_again(small):
+    rng = np.random.default_rng(3)
+    fp = np.unique(rng.integers(0, 2**10, 300)).astype(np.uint64)
+    labels, rule, keys = rng.integers(0, 6, len(fp)) * 7, Rule(4, 3, 1, np.ones((1, 256), bool), 0), np.zeros(len(fp), np.int64)
+    near = [(a, b) for a in range(len(fp)) for b in range(a) if (int(fp[a]) ^ int(fp[b])).bit_count() <= 3]
+    same = [(a, int(np.flatnonzero(labels == labels[a])[0])) for a in range(len(fp))]
+    want = components_of(range(len(fp)), near + same)
+    i, j = within(fp, keys, rule, labels, small)
+    assert all(labels[i] != labels[j]) and components_of(range(len(fp)), [*zip(i.tolist(), j.tolist()), *same]) == want
+    if not small:
+        assert len(i) <= 5
+        n = len(fp) // 2
+        i, j = across(fp, n, keys, rule, labels)
+        assert all(labels[i] != labels[j]) and len(i) <= 5
+
+
+def test_documents_alike_only_at_the_ends_of_a_chain_of_candidates(make_docs):
+    """Near copies in long runs of their kind: every pair that is similar is joined, and nothing else."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for m in range(9):
+            own = list(base)
+            for at in rng.choice(60, m, replace=False):
+                own[at] = f"x{g}.{m}.{at}"
+            rows.append((100 * g + m, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8]
+    want = components_of(sets, linked)
+    got = {r.doc_id: r.component_id for r in near_documents(make_docs(rows)).collect()}
+    assert sum(got[i] != want[i] for i in got) <= 1 and linked
+
+
 @pytest.mark.parametrize("sure", [0, 4])
 def test_links_join_what_all_links_join(sure):
     rng = np.random.default_rng(8)
