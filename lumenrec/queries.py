@@ -488,8 +488,8 @@ _HASHED = f"""part AS (SELECT id, list_sum(list_transform(range(len(s)), lambda
 turned AS (SELECT id, n, ((k * 3432918353) % {_WORD} << 15) % {_WORD} + ((k * 3432918353) % {_WORD} >> 17) AS k FROM part),
 mixed0 AS (SELECT id, xor((k * 461845907) % {_WORD}, n) AS h FROM turned), mixed1 AS (SELECT id, (xor(h, h >> 16) * 2246822507) % {_WORD} AS h FROM mixed0),
 mixed2 AS (SELECT id, (xor(h, h >> 13) * 3266489909) % {_WORD} AS h FROM mixed1), mixed3 AS (SELECT id, xor(h, h >> 16)::BIGINT AS h FROM mixed2),
-signed AS (SELECT id, abs(h) % 75 AS at, CASE WHEN h < 0 THEN -1 ELSE 1 END AS x FROM (SELECT id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM mixed3)),
-places AS (SELECT id, map_from_entries(list((at, x))) AS m FROM (SELECT id, at, sum(x)::FLOAT AS x FROM signed GROUP BY id, at) GROUP BY id),
+signed AS (SELECT id, abs(h) % 75 AS slot, CASE WHEN h < 0 THEN -1 ELSE 1 END AS x FROM (SELECT id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM mixed3)),
+places AS (SELECT id, map_from_entries(list((slot, x))) AS m FROM (SELECT id, slot, sum(x)::FLOAT AS x FROM signed GROUP BY id, slot) GROUP BY id),
 hashed AS (SELECT id, list_transform(range(75), lambda i: coalesce(m[i], 0))::FLOAT[] AS studios FROM places)"""
 
 
@@ -535,12 +535,16 @@ def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.mask_tokens(finetune_blocks(spark, sf_dir)).select("batch", "block", "masked", "labels")
 
 
-@query(f"""WITH b AS MATERIALIZED ({_BLOCKS}), t AS (SELECT batch, block, k, input_ids[k + 1] AS x FROM (SELECT batch, block, input_ids, unnest(range(len(input_ids))) AS k FROM b)),
+@query(r"""WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n\f\x0B]+'), lambda w: w <> '') AS t FROM documents),
+o AS (SELECT batch, t, (sum(len(t)) OVER (PARTITION BY batch ORDER BY doc_id))::BIGINT - len(t) AS start, (sum(len(t)) OVER (PARTITION BY batch))::BIGINT AS total FROM n),
+u AS (SELECT batch, total, start + unnest(range(len(t))) AS pos, unnest(t) AS x FROM o),
+t AS MATERIALIZED (SELECT batch, (pos // 128)::INTEGER AS block, pos % 128 AS k, x FROM u WHERE pos // 128 < total // 128),
 s AS MATERIALIZED (SELECT token, (hi - n)::BIGINT AS lo, hi::BIGINT AS hi FROM (SELECT x AS token, count(*) AS n, sum(count(*)) OVER (ORDER BY md5(x), x) AS hi FROM t GROUP BY x)),
-d AS (SELECT *, ('0x' || md5(concat_ws(' ', '0 ask', batch, block, k))[1:15])::BIGINT % 1000000 < 150000 AS asked, ('0x' || md5(concat_ws(' ', '0 kind', batch, block, k))[1:15])::BIGINT % 10 AS kind,
-  ('0x' || md5(concat_ws(' ', '0 draw', batch, block, k))[1:15])::BIGINT % (SELECT max(hi) FROM s) AS r FROM t)
+d AS MATERIALIZED (SELECT *, ('0x' || md5(concat_ws(' ', '0 ask', batch, block, k))[1:15])::BIGINT % 1000000 < 150000 AS asked, ('0x' || md5(concat_ws(' ', '0 kind', batch, block, k))[1:15])::BIGINT % 10 AS kind,
+  ('0x' || md5(concat_ws(' ', '0 draw', batch, block, k))[1:15])::BIGINT % (SELECT max(hi) FROM s) AS r FROM t),
+fresh AS (SELECT batch, block, k, token FROM (SELECT * FROM d WHERE asked AND kind = 8) ASOF JOIN s ON r >= lo)
 SELECT batch, block, list(CASE WHEN asked AND kind < 8 THEN '[MASK]' WHEN asked AND kind = 8 THEN token ELSE x END ORDER BY k) AS input_ids, list(CASE WHEN asked THEN x END ORDER BY k) AS labels
-FROM d LEFT JOIN s ON asked AND kind = 8 AND r >= lo AND r < hi GROUP BY batch, block""")
+FROM d LEFT JOIN fresh USING (batch, block, k) GROUP BY batch, block""")
 def mlm_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with asked tokens masked, replaced by tokens of the corpus, or left; labels for these alone."""
     return blocks.collate(stored(finetune_blocks(spark, sf_dir), "blocks"))
