@@ -84,15 +84,16 @@ def collate(df: DataFrame, column: str = "input_ids", share: float = 0.15, seed:
     """
     place = lambda k, what: _share(F.lit(f"{seed} {what}"), F.col("batch"), F.col("block"), k)
     asked = lambda k: F.pmod(place(k, "ask"), F.lit(1_000_000)) < int(share * 1_000_000)
-    kind = lambda k: F.pmod(place(k, "kind"), F.lit(10))
-    spans = stored(token_spans(df, column) if spans is None else spans, "token-spans")
+    kinds = F.transform("_t", lambda x, k: F.when(asked(k), F.pmod(place(k, "kind"), F.lit(10)).cast("tinyint")))
+    rows = stored(df.select("batch", "block", F.col(column).alias("_t")).withColumn("_kinds", kinds), "asked-tokens")
+    spans = stored(token_spans(rows, "_t") if spans is None else spans, "token-spans")
     tokens, total = spans.agg(F.count("*"), F.coalesce(F.max("hi"), F.lit(1))).first()
     width = max(1, total // max(1, tokens))
-    rows = df.select("batch", "block", F.col(column).alias("_t"))
-    drawn = rows.select("batch", "block", F.explode(F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda k: asked(k) & (kind(k) == 8))).alias("k"))
+    drawn = rows.select("batch", "block", F.posexplode("_kinds").alias("k", "_kind")).where("_kind = 8").drop("_kind")
     drawn = drawn.withColumn("_r", F.pmod(place(F.col("k"), "draw"), F.lit(total))).withColumn("_piece", F.floor(F.col("_r") / width))
     pieces = spans.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     found = drawn.join(pieces, "_piece").where("_r >= lo AND _r < hi").groupBy("batch", "block").agg(F.map_from_entries(F.collect_list(F.struct("k", "token"))).alias("_new"))
     both = rows.join(found, ["batch", "block"], "left")
-    changed = F.transform("_t", lambda x, k: F.when(asked(k) & (kind(k) < 8), F.lit(mask)).when(asked(k) & (kind(k) == 8), F.element_at("_new", k)).otherwise(x))
-    return both.select("batch", "block", changed.alias("input_ids"), F.transform("_t", lambda x, k: F.when(asked(k), x)).alias("labels"))
+    kind = lambda k: F.get("_kinds", k)
+    changed = F.transform("_t", lambda x, k: F.when(kind(k) < 8, F.lit(mask)).when(kind(k) == 8, F.element_at("_new", k)).otherwise(x))
+    return both.select("batch", "block", changed.alias("input_ids"), F.transform("_t", lambda x, k: F.when(kind(k).isNotNull(), x)).alias("labels"))
