@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .knn import BLOCK, Field, compare, nearest_first
+from .knn import BLOCK, PRODUCTS, Field, compare, nearest_first
 
 #: Cells of an index by metric.
 NLIST = {"cosine": 512, "l2": 64}
@@ -39,6 +39,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
+def _width(column: pa.Array) -> int:
+    """Components of the vectors of a column."""
+    return len(column.flatten()) // max(1, len(column))
+
+
+def stretches(b: pa.RecordBatch, numbers: int) -> Iterator[pa.RecordBatch]:
+    """b in parts of so many rows that, with numbers numbers made of each row, a part makes no more than PRODUCTS of them."""
+    step = max(1, PRODUCTS // max(1, numbers))
+    return (b.slice(at, step) for at in range(0, b.num_rows, step))
+
+
 def away(metric: str, v: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """How far each row of v is from each centre: the angle, or the distance."""
     if metric == "cosine":
@@ -70,17 +81,18 @@ def _placed(metric: str, sent):
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _matrix(b.column(1))
-            if len(centres):
-                off = away(metric, v, centres)
-                cell = off.argmin(axis=1)
-                far = off[np.arange(len(v)), cell]
-            else:
-                cell, far = np.full(len(v), EMPTY), np.zeros(len(v))
-            if metric == "cosine":
-                zero = ~(v != 0).any(axis=1)
-                cell, far = np.where(zero, EMPTY, cell), np.where(zero, 0.0, far)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far), pa.array(cell, pa.int32())], ["id", "v", "far", "cell"])
+            for b in stretches(b, len(centres)):
+                v = _matrix(b.column(1))
+                if len(centres):
+                    off = away(metric, v, centres)
+                    cell = off.argmin(axis=1)
+                    far = off[np.arange(len(v)), cell]
+                else:
+                    cell, far = np.full(len(v), EMPTY), np.zeros(len(v))
+                if metric == "cosine":
+                    zero = ~(v != 0).any(axis=1)
+                    cell, far = np.where(zero, EMPTY, cell), np.where(zero, 0.0, far)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far), pa.array(cell, pa.int32())], ["id", "v", "far", "cell"])
 
     return run
 
@@ -122,15 +134,16 @@ def _visited(metric: str, sent, nprobe: int, rest: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _matrix(b.column(2))
-            off = away(metric, v, centres)
-            order = np.argsort(off, axis=1, kind="stable")[:, :nprobe]
-            go = np.zeros(off.shape, bool)
-            np.put_along_axis(go, order, True, axis=1)
-            if rest:
-                go = ~go & reachable(metric, off, radius, cells == EMPTY, ~(v != 0).any(axis=1), np.asarray(b.column(3), np.float64))
-            query, cell = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(query)) for k in range(3)), pa.array(cells[cell], pa.int32())], [*b.schema.names[:3], "cell"])
+            for b in stretches(b, len(cells) * max(1, _width(b.column(2)))):  # a row leaves once for each cell, with its vector
+                v = _matrix(b.column(2))
+                off = away(metric, v, centres)
+                order = np.argsort(off, axis=1, kind="stable")[:, :nprobe]
+                go = np.zeros(off.shape, bool)
+                np.put_along_axis(go, order, True, axis=1)
+                if rest:
+                    go = ~go & reachable(metric, off, radius, cells == EMPTY, ~(v != 0).any(axis=1), np.asarray(b.column(3), np.float64))
+                query, cell = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(query)) for k in range(3)), pa.array(cells[cell], pa.int32())], [*b.schema.names[:3], "cell"])
 
     return run
 
