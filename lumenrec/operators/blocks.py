@@ -31,9 +31,13 @@ def numbered(df: DataFrame, order: str, rows: int) -> DataFrame:
 
 
 def group_texts(df: DataFrame, order: str, token_list: Column, block: int = 128, rows: int = 1000) -> DataFrame:
-    """batch, block, input_ids, labels: the tokens of each batch of rows, end to end in order, in blocks of block; the rest of a batch is dropped."""
-    each = numbered(df.select(F.col(order).alias("_o"), token_list.alias("_t")), "_o", rows)
-    joined = each.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("_o", "_t"))).alias("_all"))
+    """batch, block, input_ids, labels: the tokens of each batch of rows, end to end in order, in blocks of block; the rest of a batch is dropped.
+
+    Rows are shuffled as they are and cut into tokens where their batch meets, as lists of tokens take several times the room.
+    """
+    each = numbered(df.select(F.col(order).alias("_o"), F.struct("*").alias("_row")), "_o", rows)
+    each = each.select("_o", F.col("batch").alias("_batch"), "_row").repartition("_batch").select("_o", "_batch", "_row.*")
+    joined = each.select("_o", F.col("_batch").alias("batch"), token_list.alias("_t")).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("_o", "_t"))).alias("_all"))
     joined = joined.select("batch", F.flatten(F.transform("_all", lambda x: x["_t"])).alias("_ids")).withColumn("_n", F.floor(F.size("_ids") / block).cast("int")).where("_n > 0")
     cut = joined.select("batch", "_ids", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("block"))
     return cut.select("batch", "block", F.slice("_ids", F.col("block") * block + 1, block).alias("input_ids")).withColumn("labels", F.col("input_ids"))

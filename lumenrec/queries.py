@@ -547,7 +547,7 @@ SELECT batch, block, list(CASE WHEN asked AND kind < 8 THEN '[MASK]' WHEN asked
 FROM d LEFT JOIN fresh USING (batch, block, k) GROUP BY batch, block""")
 def mlm_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with asked tokens masked, replaced by tokens of the corpus, or left; labels for these alone."""
-    return blocks.collate(stored(finetune_blocks(spark, sf_dir), "blocks"))
+    return blocks.collate(finetune_blocks(spark, sf_dir))
 
 
 #: Special tokens, signs and digits, letters, and pairs of letters that begin or go on a word.

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrec.operators import fusion, ivf, knn
+from lumenrec.operators import blocks, fusion, ivf, knn
 from lumenrec.operators.knn import Field, nearest, neighbours, raw_values, user_neighbours
 
 COSINE, HOT = Field("v", "cosine", 0.6), Field("h", "l2", 0.4)
@@ -81,3 +81,14 @@ def test_visits_of_all_cells_leave_in_parts(monkeypatch):
     parts = list(ivf._visited("l2", _Sent((np.arange(50, dtype=np.int32), centres, np.ones(50))), 50, False)(iter([batch])))
     assert sum(p.num_rows for p in parts) == 1000 * 50 and max(p.num_rows for p in parts) * 8 <= 10_000
     assert {(q, c) for p in parts for q, c in zip(p.column(0).to_pylist(), p.column(3).to_pylist())} == {(q, c) for q in range(1000) for c in range(50)}
+
+
+def test_texts_are_shuffled_before_they_are_cut_into_tokens(spark):
+    """Lists of tokens take several times the room of their texts; columns of the names used in between do no harm."""
+    df = spark.createDataFrame([(i, f"a{i} b c d", "x") for i in range(40)], "doc_id long, text string, batch string")
+    made = blocks.group_texts(df, "doc_id", blocks.tokens(F.col("text")), 8, 10)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    dealt = [at for at in range(len(plan)) if plan.startswith("Exchange ", at)]
+    assert dealt and 0 <= plan.rfind("split(") < dealt[0]
+    got = sorted((r.batch, r.block, r.input_ids) for r in made.collect())
+    assert got == [(b, k, [x for i in range(10 * b + 2 * k, 10 * b + 2 * k + 2) for x in f"a{i} b c d".split()]) for b in range(4) for k in range(5)]
