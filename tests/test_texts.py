@@ -248,3 +248,9 @@ def test_progress(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert listener.rows["told"] == 500 == sum(x[2] for x in said) and {x[0] for x in said} == {"told"}
+
+
+def test_separators_of_lines_and_paragraphs_are_blanks():
+    own, them = WordPiece(invented(0)), other(invented(0))
+    for text in ("\u2028", "a\u2028b", "a \u2029 b\u2029"):
+        assert own.ids(text) == them.encode(text, add_special_tokens=False).ids
