@@ -7,8 +7,9 @@ positional bytes of each pair are tallied: pairs below the guaranteed minimum ar
 the first posting that it shares, and is verified bit by bit. A posting of very many fingerprints is dealt out once more by
 a position more, as its pairs have to share one, and what is still too many is compared in pairs of blocks.
 
-near_documents() reaches a similarity of 0.8, where a pair differs in ten bits of 64 and need not share any byte: it tallies
-over several fingerprints of each document, made of differently mixed hashes, and verifies on the shingles themselves.
+near_documents() reaches a similarity of 0.8, where a pair differs in ten bits of 64 and need not share any byte. There
+fingerprints only join what is very near; all other pairs are found by the rarest shingles of each document, of which two
+similar ones share one for sure, and every link is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from .common import components, dropped_after, store, table
 from .packs import trim
 
 BYTES, BLOCK = 8, 2048  # bytes of a fingerprint; fingerprints of a posting that are compared at once
-SMALL = 32  # fingerprints of a posting whose candidates near_documents() takes all
-TABLES, LEAST = 12, 3  # fingerprints of a document in near_documents(), and the positional bytes that a pair shares in one of them
+TABLES, LEAST = 12, 3  # fingerprints of a document in near_documents(), and the positional bytes that a pair shares in the first of them
+COUNTERS, SLICES = 1 << 18, 16  # counts of shingles by the first bits of their hash, and the rows that they travel in
+PARITIES = 512  # bits that tell how far apart two sets of shingles are at least
 _MIX = np.random.Generator(np.random.PCG64(23)).integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]  # each bit of a byte in a byte of its own
@@ -63,7 +65,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def sketch(text: str | None, shingle: int, tables: int, seed: int = 42) -> list[int]:
     """As many fingerprints of the distinct shingles of text, each from its own mix of their hashes."""
-    h = np.unique(shingle_hashes(text, shingle, seed))
+    return sketch_of(np.unique(shingle_hashes(text, shingle, seed)), tables)
+
+
+def sketch_of(h: np.ndarray, tables: int) -> list[int]:
+    """As many fingerprints of distinct hashes."""
     x = h[None] * _MIX[:tables, None]
     x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return majority(x ^ x >> np.uint64(32)).tolist()
@@ -421,10 +427,161 @@ def _sets(rows: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
+            trim()
 
     return rows.mapInArrow(run, "node bigint, shingles binary")
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each of PARITIES groups of hashes whether h (distinct) holds an odd number of it: sets differ in as many hashes at least as these bits do."""
+    group = h * _MIX[-1] >> np.uint64(64 - PARITIES.bit_length() + 1)
+    return np.packbits(np.bincount(group.astype(np.int64), minlength=PARITIES) & 1 == 1).tobytes()
+
+
+def rarest(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the distinct hashes of a set so many, by counts and then by themselves, that sets of that similarity share one of theirs."""
+    least = math.ceil(similarity * len(h) - 1e-9)  # hashes that are shared at least
+    return h[np.lexsort((h, counts[_counter(h)]))[: len(h) - least + 1]]
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+_SKETCH = "text_hash bigint, own binary, fps array<bigint>, size bigint, bits binary, slice int, counts binary"
+
+
+def _sketches(rows: DataFrame, shingle: int, tables: int) -> DataFrame:
+    """Of rows (doc_id, text_hash, text): 128 bits that tell sets of shingles apart, fingerprints, the set's size and parities; and of each task its counts of shingles, in rows with a slice."""
+
+    def row(of: list, like: pa.RecordBatch | None, schema: pa.Schema) -> pa.RecordBatch:
+        n = len(of[2])
+        first = [like.column(0), like.column(1)] if like is not None else [pa.nulls(n, schema.field(0).type), pa.nulls(n, pa.int64())]
+        return pa.RecordBatch.from_arrays([*first, *(pa.array(x, f.type) if x else pa.nulls(n, f.type) for x, f in zip(of, list(schema)[2:]))], schema=schema)
+
+    def run(batches):
+        counts, schema = np.zeros(COUNTERS, np.uint32), None
+        for b in batches:
+            schema = pa.schema([("doc_id", b.schema.field(0).type), ("text_hash", pa.int64()), ("own", pa.binary()), ("fps", pa.list_(pa.int64())), ("size", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+            own, fps, size, bits = [], [], [], []
+            for t in b.column(2).to_pylist():
+                h = np.unique(shingle_hashes(t, shingle, 42))
+                np.add.at(counts, _counter(h), 1)
+                own.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(sketch_of(h, tables))
+                size.append(len(h))
+                bits.append(parities(h))
+            yield row([own, fps, size, bits, [None] * len(own), None], b, schema)
+            trim()
+        if schema is not None:
+            yield row([None, None, [0] * SLICES, None, list(range(SLICES)), [x.tobytes() for x in np.split(counts, SLICES)]], None, schema)
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {_SKETCH}")
+
+
+def _counts(sketches: DataFrame) -> np.ndarray:
+    """Counts of all tasks together, COUNTERS numbers whatever the corpus."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("counts").to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    got = sketches.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(run, "slice int, counts binary").collect()
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["slice"]))])
+
+
+def _shared(rows: DataFrame, shingle: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """h, o: those of the rarest shingles of rows (text) that sets of different o have, the first 64 bits of what tells sets apart."""
+    sent = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def posted(batches):
+        for b in batches:
+            hs, os = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for t in b.column(0).to_pylist():
+                h = np.unique(shingle_hashes(t, shingle, 42))
+                if len(h):
+                    hs.append(rarest(h, sent.value, similarity))
+                    os.append(np.full(len(hs[-1]), np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), ">i8", 1)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(os).astype(np.int64))], ["h", "o"])
+            trim()
+
+    def several(batches):
+        h, o, out = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row so far, and whether it has left
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = len(h)
+            h, o = np.concatenate([h, b.column(0).to_numpy()]), np.concatenate([o, b.column(1).to_numpy()])
+            new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
+            h, o = h[new], o[new]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            sizes = np.diff(np.r_[starts, len(h)])
+            go = np.repeat(sizes > 1, sizes)
+            if n and out:
+                go[: sizes[0]] = True
+            last = bool(go[-1])
+            if n and out:
+                go[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(o[go])], ["h", "o"])
+            h, o, out = h[-1:], o[-1:], last
+
+    return rows.mapInArrow(posted, "h bigint, o bigint").repartition("h").sortWithinPartitions("h", "o").mapInArrow(several, "h bigint, o bigint")
+
+
+def _met(similarity: float, every: bool):
+    """Over rows (unit, side, node, label, size, bits) sorted by unit: pairs of different labels that can be so similar by their sizes and
+    parities. With every all of them, else those that join all that they join, near ones first. Rows of sides 0 and 1 meet the other side only."""
+
+    def pairs(unit, side, node, label, size, bits):
+        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(unit), -1)
+        found, all_pairs = Forest(len(unit), -1, label), []
+        at, step = np.arange(len(unit)), 1
+        while len(at := at[at + step < len(unit)]) and len(at := at[unit[at] == unit[at + step]]):
+            i = at[(label[at] != label[at + step]) & ((side[at] == 2) | (side[at] != side[at + step]))]
+            x, y = size[i], size[i + step]
+            i = i[np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9]
+            apart = np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int64)
+            near = apart <= (size[i] + size[i + step]) * (1 - similarity) / (1 + similarity) + 1e-9
+            i, apart = i[near], apart[near]
+            all_pairs.append((node[i], node[i + step])) if every else found.add(i, i + step, apart)
+            step += 1
+        if every:
+            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*all_pairs) if all_pairs else ([], [])))
+        else:
+            i, j = found.settle()
+            a, b = node[i], node[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def columns(b):
+        return [*(c.to_numpy() for c in b.columns[:5]), np.array(b.column(5).to_pylist(), object)]
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = columns(b) if held is None else [np.concatenate(x) for x in zip(held, columns(b))]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last unit may go on
+            if cut:
+                yield pairs(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield pairs(*held)
+
+    return run
+
+
+def _meetings(posted: DataFrame, labels: DataFrame, similarity: float, every: bool, block: int) -> DataFrame:
+    """a, b: pairs of nodes of different labels that meet in a posting of posted (h, node, size, bits), as _met() has them. Postings of over block rows are compared in pairs of blocks."""
+    rows = posted.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("h").agg(F.ceil(F.count("*") / block).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h", "n")
+    mixed, _ = store(mixed, "mixed-postings")
+    rows = rows.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1)).cast("bigint")
+    units = rows.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "node", "label", "size", "bits")
+    return store(units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_met(similarity, every), "a bigint, b bigint").distinct(), "candidates")[0]
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Of two sets as _sets() has them; two empty ones are alike."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -463,13 +620,12 @@ def _alike(own: DataFrame, one: DataFrame) -> DataFrame:
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash (Spark's xxhash64 of the text), component_id, kept of every row of docs.
 
-    Documents link at a Jaccard similarity of their word shingles (A-Z lower-cased) of similarity or more. Each has tables
-    fingerprints; pairs that share LEAST bytes by position in one of them and are near in its bits are candidates, those
-    whose bits of all tables are too far apart for similarity go, and the rest is verified on the shingles, but for pairs so
-    near that bits decide (four standard deviations from similarity, or all bits of a fingerprint). What the first table's
-    links join for sure is one group from then on. Of a posting of up to SMALL fingerprints all candidates of different
-    groups come out, of a larger one those that join all of them, nearest first. So no pair below similarity links but by chance. Of pairs above it, some 0.99 share the bytes at
-    0.80 and more the nearer they are; README has the recall that was measured.
+    Documents link at a Jaccard similarity of their word shingles (A-Z lower-cased) of similarity or more: all that do, and no
+    others. Equal sets of shingles are one node. Nodes that share a fingerprint of tables, or whose first ones are near, are
+    verified first, so that large groups of near copies are joined by few pairs. All other pairs are found by postings of
+    each node's rarest shingles (by counts of hashes' first bits, any order that all share would do): sets of that
+    similarity share one of them. Of a posting those pairs are left that are not joined yet and whose sizes and parities
+    allow the similarity; first as many as join all of these, nearest first, and when they are verified all that remain.
 
     component_id is the smallest doc_id that links reach, and the row that has it is kept; of several rows with that id,
     those of the text of least hash. Blank texts are alike; a text of fewer words than a shingle is one shingle. A null
@@ -477,52 +633,44 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(t, shingle, tables) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "text_hash", "fps"])
-            trim()
-
-    each, each_path = store(rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash bigint, fps array<bigint>"), "sketches")
+    sketches, each_path = store(_sketches(rows, shingle, tables), "sketches")
+    each = sketches.where("slice IS NULL")
     first = lambda: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
     with dropped_after(spark, keep := [each_path]):
-        nodes, _ = store(each.groupBy("fps").agg(first()).select(F.monotonically_increasing_id().alias("node"), "fps", "rep.doc_id", "rep.text_hash"), "nodes")
+        nodes = each.groupBy("own").agg(first(), *[F.any_value(c).alias(c) for c in ("fps", "size", "bits")])
+        nodes, _ = store(nodes.select(F.monotonically_increasing_id().alias("node"), "own", "fps", "size", "bits", "rep.doc_id", "rep.text_hash"), "nodes")
         own = nodes.select("node", F.posexplode("fps").alias("posting", "fp"))
         one, _ = store(own.groupBy("posting", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "table-fingerprints")
-        alike, size = _alike(own, one), 64 * tables
-        nearly, surely = expected_bits(similarity, size, 3.0), expected_bits(similarity, size, -4.0)
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}"))
         apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-
-        def candidates(rows: DataFrame, most: int, small: int) -> DataFrame:
-            pairs = links(rows, LEAST, expected_bits(similarity, 64 - 8 * LEAST, 2.0), expected_bits(similarity, 64, -3.0), block, small)
-            pairs, _ = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart"))
-            return store(pairs.where(F.col("apart") <= most), "near-candidates")[0]
-
-        # What the first table's links join for sure is joined before the other tables look for more.
-        begun = candidates(one.where("posting = 0").select("posting", "fp", "node"), surely, 0).select("a", "b").unionByName(alike)
-        labels, _ = store(components(begun), "begun-components")
-        labelled, _ = store(one.join(labels, "node", "left").select("posting", "fp", "node", F.coalesce("component", "node").alias("label")), "labelled-postings")
-        pairs = candidates(labelled, nearly, SMALL)
-        sure = pairs.where(F.col("apart") <= surely).select("a", "b").unionByName(begun)
-        joined, _ = store(components(sure), "surely-joined")
-        name = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-        unsure = pairs.where(F.col("apart") > surely).join(name("a"), "a", "left").join(name("b"), "b", "left")
-        unsure, _ = store(unsure.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "open-candidates")
-        asked = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
+        pairs = links(one.where("posting = 0").select("posting", "fp", "node"), LEAST, expected_bits(similarity, 64 - 8 * LEAST, 2.0), expected_bits(similarity, 64, -3.0), block)
+        pairs, _ = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-links")
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= expected_bits(similarity, 64 * tables, -4.0)).select("a", "b")
+        begun, _ = store(pairs.unionByName(_alike(own, one)).distinct(), "first-candidates")
+
+        shared, _ = store(_shared(rows.select("text"), shingle, similarity, _counts(sketches)), "shared-shingles")
+        facts = nodes.select(F.conv(F.hex(F.substring("own", 1, 8)), 16, -10).cast("bigint").alias("o"), "node", "size", "bits")
+        posted, _ = store(shared.join(facts, "o").select("h", "node", "size", "bits"), "postings")
+        asked = begun.select(F.col("a").alias("node")).unionByName(begun.select(F.col("b").alias("node"))).unionByName(posted.select("node")).distinct()
         asked = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
-        sets, _ = store(_sets(texts, shingle), "shingle-sets")
-        found, _ = store(components(sure.unionByName(_verified(unsure, sets, similarity))), "document-components")
+        texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))).select("node", "text")
+        sets, _ = store(_sets(texts, shingle).dropDuplicates(["node"]), "shingle-sets")
+
+        verified, _ = store(_verified(begun, sets, similarity), "links")
+        found, _ = store(components(verified), "document-components")
+        for every in (False, True):
+            more, _ = store(_verified(_meetings(posted, found, similarity, every, block), sets, similarity), "links")
+            if not more.isEmpty():
+                verified = verified.unionByName(more)
+                found, _ = store(components(verified), "document-components")
         named, _ = store(nodes.join(found, "node"), "grouped-documents")
         least, _ = store(named.groupBy("component").agg(first()), "least-documents")
         moved = named.join(least, "component").select("node", "rep")
         alone = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-        out, path = store(nodes.join(moved, "node", "left").select("fps", F.coalesce("rep", alone).alias("rep")), "document-ids")
+        out, path = store(nodes.join(moved, "node", "left").select("own", F.coalesce("rep", alone).alias("rep")), "document-ids")
         keep.append(path)
     stays = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
-    return each.join(out, "fps").select("doc_id", "text_hash", F.col("rep.doc_id").alias("component_id"), stays.alias("kept"))
+    return each.join(out, "own").select("doc_id", "text_hash", F.col("rep.doc_id").alias("component_id"), stays.alias("kept"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,56 @@ def test_near_documents_against_brute_force(make_docs, texts, block):
     assert near_documents(make_docs([])).collect() == []
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_documents_lose_no_pair_and_add_none(make_docs, block):
+    """Pairs about the limit, of which fingerprints lose some, in groups of all sizes that share common passages."""
+    rng = np.random.default_rng(29)
+    common, rows = [f"c{k}" for k in range(40)], [(9000, "a b"), (9001, "A  B"), (9002, ""), (9003, None), (9004, "a b c d e f g h i"), (9005, "a b c d e f g h i j")]
+    for g in range(60):
+        n = int(rng.integers(12, 150))
+        base = [f"g{g}w{k}" for k in range(n)] + common * (g % 3 == 0)
+        for m in range(90 if g == 0 else 4):
+            own = list(base)
+            for at in rng.choice(n, max(1, n // 45), replace=False):  # each word is in five shingles, so these are about 0.8 alike
+                own[at] = f"x{g}.{m}.{at}"
+            rows.append((100 * g + m, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if alike(sets[a], sets[b]) >= 0.8]
+    close = [(a, b) for a, b in combinations(sorted(sets), 2) if 0.7 <= alike(sets[a], sets[b]) < 0.8]
+    assert len(near) > 100 and len(close) > 100
+    assert {r.doc_id: r.component_id for r in near_documents(make_docs(rows), block=block).collect()} == components_of(sets, near)
+
+
+def test_pairs_whose_fingerprints_share_no_posting_are_joined(make_docs):
+    """Texts just 0.8 alike, of which those are taken that have three bytes in common in none of their fingerprints, or too many other bits."""
+    rng, lost = np.random.default_rng(37), []
+    most = simhash.expected_bits(0.8, 64 - 8 * simhash.LEAST, 2.0)
+    for k in range(1500):
+        base = [f"{k}w{m}" for m in range(94)]
+        other = base[:84] + [f"{k}x{m}" for m in range(10)]
+        x, y = (np.array(simhash.sketch(" ".join(t), 5, simhash.TABLES)).view(np.uint64) for t in (base, other))
+        assert alike(shingles(" ".join(base)), shingles(" ".join(other))) >= 0.8
+        same = ((x ^ y).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= simhash.LEAST
+        if not (same & (np.bitwise_count(x ^ y) <= most)).any():
+            lost += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    assert lost
+    assert {r.doc_id: r.component_id for r in near_documents(make_docs(lost)).collect()} == {i: i // 2 * 2 for i, _ in lost}
+
+
+def test_alike_sets_share_a_rarest_shingle_and_parities_are_a_bound():
+    rng = np.random.default_rng(31)
+    counts = rng.integers(0, 9, simhash.COUNTERS)
+    for n in (1, 4, 5, 9, 40, 700):
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.r_[x[rng.permutation(n)[: rng.integers(0, n + 1)]], rng.integers(0, 2**63, rng.integers(0, max(1, n // 4) + 1)).astype(np.uint64)])
+            both = len(np.intersect1d(x, y))
+            apart = int.from_bytes(simhash.parities(x)) ^ int.from_bytes(simhash.parities(y))
+            assert apart.bit_count() <= len(x) + len(y) - 2 * both
+            if both >= 0.8 * (len(x) + len(y) - both) and both:
+                assert len(np.intersect1d(simhash.rarest(x, counts, 0.8), simhash.rarest(y, counts, 0.8)))
+
+
 @pytest.mark.parametrize("bits", [2, 5, 6, 7])
 def test_other_limits_against_brute_force(spark, bits):
     rng = np.random.default_rng(bits)
