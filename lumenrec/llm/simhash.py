@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped_after, store, table
+from .common import components, drop, dropped_after, store, table
 from .packs import trim
 
 BYTES, BLOCK = 8, 2048  # bytes of a fingerprint; fingerprints of a posting that are compared at once
@@ -432,10 +432,22 @@ def _sets(rows: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, shingles binary")
 
 
-def parities(h: np.ndarray) -> bytes:
-    """For each of PARITIES groups of hashes whether h (distinct) holds an odd number of it: sets differ in as many hashes at least as these bits do."""
-    group = h * _MIX[-1] >> np.uint64(64 - PARITIES.bit_length() + 1)
-    return np.packbits(np.bincount(group.astype(np.int64), minlength=PARITIES) & 1 == 1).tobytes()
+def parities(h: np.ndarray, groups: int = PARITIES) -> bytes:
+    """For each of so many groups of hashes, a power of 2, whether h (distinct) holds an odd number of it: sets differ in as many hashes at least as these bits do."""
+    group = h * _MIX[-1] >> np.uint64(64 - groups.bit_length() + 1)
+    return np.packbits(np.bincount(group.astype(np.int64), minlength=groups) & 1 == 1).tobytes()
+
+
+def fine_parities(h: np.ndarray) -> bytes:
+    """parities() of as many groups as h has hashes at least: PARITIES of a large set are odd about as often as not, whatever it holds."""
+    return parities(h, max(PARITIES, 1 << max(0, len(h) - 1).bit_length()))
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """How many parities of two sets differ; of groups in different numbers, those of the larger number are put together."""
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in (x, y)]
+    n = min(map(len, bits))
+    return int(np.logical_xor(*(np.bitwise_xor.reduce(b.reshape(n, -1), axis=1) for b in bits)).sum())
 
 
 def rarest(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -448,11 +460,11 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-_SKETCH = "text_hash bigint, own binary, fps array<bigint>, size bigint, bits binary, slice int, counts binary"
+_SKETCH = "text_hash bigint, own binary, fps array<bigint>, size bigint, bits binary, fine binary, slice int, counts binary"
 
 
 def _sketches(rows: DataFrame, shingle: int, tables: int) -> DataFrame:
-    """Of rows (doc_id, text_hash, text): 128 bits that tell sets of shingles apart, fingerprints, the set's size and parities; and of each task its counts of shingles, in rows with a slice."""
+    """Of rows (doc_id, text_hash, text): 128 bits that tell sets of shingles apart, fingerprints, the set's size, parities and fine parities; and of each task its counts of shingles, in rows with a slice."""
 
     def row(of: list, like: pa.RecordBatch | None, schema: pa.Schema) -> pa.RecordBatch:
         n = len(of[2])
@@ -462,8 +474,8 @@ def _sketches(rows: DataFrame, shingle: int, tables: int) -> DataFrame:
     def run(batches):
         counts, schema = np.zeros(COUNTERS, np.uint32), None
         for b in batches:
-            schema = pa.schema([("doc_id", b.schema.field(0).type), ("text_hash", pa.int64()), ("own", pa.binary()), ("fps", pa.list_(pa.int64())), ("size", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
-            own, fps, size, bits = [], [], [], []
+            schema = pa.schema([("doc_id", b.schema.field(0).type), ("text_hash", pa.int64()), ("own", pa.binary()), ("fps", pa.list_(pa.int64())), ("size", pa.int64()), ("bits", pa.binary()), ("fine", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+            own, fps, size, bits, fine = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = np.unique(shingle_hashes(t, shingle, 42))
                 np.add.at(counts, _counter(h), 1)
@@ -471,10 +483,11 @@ def _sketches(rows: DataFrame, shingle: int, tables: int) -> DataFrame:
                 fps.append(sketch_of(h, tables))
                 size.append(len(h))
                 bits.append(parities(h))
-            yield row([own, fps, size, bits, [None] * len(own), None], b, schema)
+                fine.append(fine_parities(h))
+            yield row([own, fps, size, bits, fine, [None] * len(own), None], b, schema)
             trim()
         if schema is not None:
-            yield row([None, None, [0] * SLICES, None, list(range(SLICES)), [x.tobytes() for x in np.split(counts, SLICES)]], None, schema)
+            yield row([None, None, [0] * SLICES, None, None, list(range(SLICES)), [x.tobytes() for x in np.split(counts, SLICES)]], None, schema)
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {_SKETCH}")
 
@@ -589,16 +602,39 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets reach similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sizes and fine parities allow similarity; of large sets few others are left."""
+    both = pairs
+    for x in ("a", "b"):
+        both = both.join(nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("fine").alias(f"fine_{x}")), x)
+
+    def run(batches):
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-9
+            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(apart <= most))
+
+    return both.select("a", "b", "size_a", "size_b", "fine_a", "fine_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets reach similarity. Sets are larger than their texts, so only those of pairs that can reach it are made, and they go with the step."""
 
     def run(batches):
         for batch in batches:
             near = [jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    with dropped_after(pairs.sparkSession, keep := []):
+        pairs, _ = store(_possible(pairs, nodes, similarity), "possible-pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked, _ = store(nodes.join(ends, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "asked-documents")
+        texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))).select("node", "text")
+        sets, _ = store(_sets(texts, shingle).dropDuplicates(["node"]), "shingle-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        links, path = store(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+        keep.append(path)
+    return links
 
 
 def _alike(own: DataFrame, one: DataFrame) -> DataFrame:
@@ -637,8 +673,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     each = sketches.where("slice IS NULL")
     first = lambda: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
     with dropped_after(spark, keep := [each_path]):
-        nodes = each.groupBy("own").agg(first(), *[F.any_value(c).alias(c) for c in ("fps", "size", "bits")])
-        nodes, _ = store(nodes.select(F.monotonically_increasing_id().alias("node"), "own", "fps", "size", "bits", "rep.doc_id", "rep.text_hash"), "nodes")
+        nodes = each.groupBy("own").agg(first(), *[F.any_value(c).alias(c) for c in ("fps", "size", "bits", "fine")])
+        nodes, _ = store(nodes.select(F.monotonically_increasing_id().alias("node"), "own", "fps", "size", "bits", "fine", "rep.doc_id", "rep.text_hash"), "nodes")
         own = nodes.select("node", F.posexplode("fps").alias("posting", "fp"))
         one, _ = store(own.groupBy("posting", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "table-fingerprints")
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}"))
@@ -647,19 +683,15 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         pairs, _ = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-links")
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= expected_bits(similarity, 64 * tables, -4.0)).select("a", "b")
         begun, _ = store(pairs.unionByName(_alike(own, one)).distinct(), "first-candidates")
+        verified = _verified(begun, nodes, rows, shingle, similarity)
+        found, _ = store(components(verified), "document-components")
 
-        shared, _ = store(_shared(rows.select("text"), shingle, similarity, _counts(sketches)), "shared-shingles")
+        shared, shared_path = store(_shared(rows.select("text"), shingle, similarity, _counts(sketches)), "shared-shingles")
         facts = nodes.select(F.conv(F.hex(F.substring("own", 1, 8)), 16, -10).cast("bigint").alias("o"), "node", "size", "bits")
         posted, _ = store(shared.join(facts, "o").select("h", "node", "size", "bits"), "postings")
-        asked = begun.select(F.col("a").alias("node")).unionByName(begun.select(F.col("b").alias("node"))).unionByName(posted.select("node")).distinct()
-        asked = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))).select("node", "text")
-        sets, _ = store(_sets(texts, shingle).dropDuplicates(["node"]), "shingle-sets")
-
-        verified, _ = store(_verified(begun, sets, similarity), "links")
-        found, _ = store(components(verified), "document-components")
+        drop(spark, shared_path)
         for every in (False, True):
-            more, _ = store(_verified(_meetings(posted, found, similarity, every, block), sets, similarity), "links")
+            more = _verified(_meetings(posted, found, similarity, every, block), nodes, rows, shingle, similarity)
             if not more.isEmpty():
                 verified = verified.unionByName(more)
                 found, _ = store(components(verified), "document-components")

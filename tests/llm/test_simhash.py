@@ -258,6 +258,35 @@ def test_alike_sets_share_a_rarest_shingle_and_parities_are_a_bound():
                 assert len(np.intersect1d(simhash.rarest(x, counts, 0.8), simhash.rarest(y, counts, 0.8)))
 
 
+def test_fine_parities_are_a_bound_and_tell_large_sets_apart():
+    rng = np.random.default_rng(41)
+    for n, m in ((0, 0), (0, 3), (1, 1), (512, 513), (700, 900), (3000, 2500), (5000, 4000)):
+        x, y = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m))
+        for y in (y, np.unique(np.r_[x[: int(0.9 * n)], y[: m // 10]])):
+            apart = simhash.bits_apart(simhash.fine_parities(x), simhash.fine_parities(y))
+            assert apart <= len(np.setxor1d(x, y))
+            if n > 700:  # can be 0.8 alike by these bits only if it nearly is
+                assert (apart <= (len(x) + len(y)) / 9) == (len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8)
+
+
+def test_shingles_are_sent_of_pairs_only_that_can_be_alike(make_docs, monkeypatch):
+    """Long texts with a passage in common meet in postings; no more than bits of them travel."""
+    passage = [f"p{k}" for k in range(300)]
+    rows = [(g, " ".join([f"g{g}w{k}" for k in range(1200)] + passage)) for g in range(12)]
+    rows.append((100, rows[3][1] + " more"))
+    sent, store = [], simhash.store
+
+    def seen(df, name):
+        out = store(df, name)
+        sent.extend([out[0].count()] * (name == "shingle-sets"))
+        return out
+
+    monkeypatch.setattr(simhash, "store", seen)
+    got = {r.doc_id: r.component_id for r in near_documents(make_docs(rows)).collect()}
+    assert got == {**{g: g for g in range(12)}, 100: 3}
+    assert sum(sent) <= 2
+
+
 @pytest.mark.parametrize("bits", [2, 5, 6, 7])
 def test_other_limits_against_brute_force(spark, bits):
     rng = np.random.default_rng(bits)
