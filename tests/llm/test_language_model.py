@@ -1,12 +1,15 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from lumenrec.llm import language_model
-from lumenrec.llm.language_model import END, EXACT, FINE, START, bucket, expand, hyperparameters, log_seating, log_ways, mixed, recursion, score_documents, slice_step, squeeze, stirling, tables, tallied, unbucket, uniform
+from lumenrec.llm.language_model import END, EXACT, FINE, START, Tokens, _tokenised, bucket, expand, hyperparameters, log_seating, log_ways, mixed, recursion, score_documents, slice_step, squeeze, stirling, tables, tallied, unbucket, uniform
 
 
 def rest(i, parts=5):
@@ -344,3 +347,20 @@ def test_ways_beyond_the_recursion(d):
 def test_squeeze():
     for a in ([], [0], [255, 1], [256], [1 << 33, 5]):
         assert expand(squeeze(np.array(a, np.uint64))).tolist() == a
+
+
+def test_words_are_cut_as_bytes_are_without_an_object_for_each():
+    """Words are those that bytes.split() gives, but they stay in Arrow: Python gets the distinct ones."""
+    rng = np.random.default_rng(43)
+    signs = ["a", "B", "é", "É", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u3000", "\x00"]
+    texts = [None, "", "  ", *("".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(300))]
+    tokens = Tokens(_tokenised(pa.table({"text": texts, "train": [True] * len(texts)})))
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert tokens.sizes.tolist() == [len(x) + 1 for x in words]
+    assert tokens.keys[tokens.ids].tolist() == [k for x in words for k in (*map(xxhash.xxh3_64_intdigest, x), int(END))]
+    long = pa.table({"text": [f"{'a' * 199} " * 50_000], "train": [True]})
+    tracemalloc.start()
+    _tokenised(long)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5e6
