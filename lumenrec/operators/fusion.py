@@ -60,21 +60,25 @@ def deeper(queries: DataFrame, exclude: DataFrame, k: int) -> DataFrame:
     return queries.join(extra, "query_id", "left").withColumn("depth", F.lit(k) + F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def hybrid_search(queries: DataFrame, catalogue: DataFrame, k: int = 10, exclude: DataFrame | None = None, fields=FIELDS, rule: str = "half", search=None) -> DataFrame:
+def hybrid_search(queries: DataFrame, catalogue: DataFrame, k: int = 10, exclude: DataFrame | None = None, fields=FIELDS, rule: str = "half", search=None, by: str = "query_id") -> DataFrame:
     """query_id, id, distance: the k best items of every query by fused score.
 
-    Each field gives its own k nearest, taken from what is not excluded, before they are fused. exclude holds (query_id,
-    id). The tasks of a search of the catalogue know what is excluded, so k rows leave them whatever a query excludes.
+    Each field gives its own k nearest, taken from what is not excluded, before they are fused. exclude holds (by, id),
+    where by is a column of queries: what one of them excludes, or all that are alike in it. The tasks of a search of the
+    catalogue know what is excluded, so k rows leave them whatever a query excludes.
     search(queries, fields, k) gives the lists where they are not to come from the catalogue itself, such as indexes of
     it. Unless it excludes too, its lists are searched deeper by as many items as a query excludes, so what is left after
     the anti-join is whole.
     """
     fields = list(fields)
-    near = search or (lambda asked, fields, k=None, exclude=None: neighbours(asked, catalogue, fields, k, exclude=exclude))
+    if search is None:
+        return fuse(neighbours(queries, catalogue, fields, k, exclude=exclude, by=by), ["query_id"], k, fields, rule)
     if exclude is None:
-        return fuse(near(queries, fields, k), ["query_id"], k, fields, rule)
+        return fuse(search(queries, fields, k), ["query_id"], k, fields, rule)
+    if by != "query_id":
+        exclude = queries.select("query_id", by).join(exclude, by)
     exclude = exclude.select("query_id", "id").distinct()
-    if search is None or getattr(search, "excludes", False):
-        return fuse(near(queries, fields, k, exclude), ["query_id"], k, fields, rule)
-    left = near(deeper(queries, exclude, k), fields).join(exclude, ["query_id", "id"], "left_anti")
+    if getattr(search, "excludes", False):
+        return fuse(search(queries, fields, k, exclude), ["query_id"], k, fields, rule)
+    left = search(deeper(queries, exclude, k), fields).join(exclude, ["query_id", "id"], "left_anti")
     return fuse(first_of_each(left, ["query_id"], k), ["query_id"], k, fields, rule)

@@ -295,9 +295,8 @@ _SEEN = "seen AS (SELECT DISTINCT q.id AS query_id, ui.id FROM cat q JOIN ui ON
 def hybrid_search_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query leaves out what one user lists."""
     cat = catalogue(spark, sf_dir)
-    asked = _asked(cat)
-    seen = asked.select("query_id", (F.col("query_id") % 100).alias("user_id")).join(user_items(spark, sf_dir).select("user_id", "id"), "user_id")
-    return fusion.hybrid_search(asked, cat, K, seen)
+    asked = _asked(cat).withColumn("user_id", F.col("query_id") % 100)
+    return fusion.hybrid_search(asked, cat, K, user_items(spark, sf_dir).select("user_id", "id"), by="user_id")
 
 
 @query(f"WITH {CATALOGUE_SQL}, {USER_ITEMS_SQL}, {_SEEN}, {_METRICS}, left_over AS (SELECT p.* FROM p ANTI JOIN seen USING (query_id, id)), {_LISTS.format(k='query_id', t='left_over')} SELECT query_id, id, distance FROM f")

@@ -69,6 +69,35 @@ def test_tasks_give_k_rows_whatever_a_query_excludes(spark, items):
     assert sorted(map(tuple, rule.collect())) == sorted(map(tuple, fusion.hybrid_search(queries, items, 4, seen, [COSINE, HOT]).collect()))
 
 
+def test_queries_of_a_user_share_what_it_lists(spark, items, monkeypatch):
+    """A task is told of a user's list once, not once for each query; blocks are cut where tasks would be told of too much."""
+    queries = items.where("id % 3 < 2").withColumnRenamed("id", "query_id").withColumn("user", F.when(F.col("query_id") > 9, F.concat(F.lit("u"), F.col("query_id") % 4)))
+    listed = spark.createDataFrame([(f"u{u}", i) for u in range(3) for i in range(u, 90, u + 2)] + [("u1", 1), ("u9", 5), (None, 3)], "user string, id long")
+    pairs = queries.select("query_id", "user").join(listed, "user").select("query_id", "id")
+    gave = lambda *args, **more: sorted(map(tuple, fusion.hybrid_search(queries, items, 4, *args, [COSINE, HOT], **more).collect()))
+    want = gave(pairs)
+    assert want == gave(pairs, search=lambda asked, fields, k=None: neighbours(asked, items, fields, k))
+    assert gave(listed, by="user") == gave(listed, by="user", search=fusion.dictionary_search(items)) == want
+
+    def told(fields):
+        def run(key, queries, items):
+            n = sum(len(x) for x in queries.column("left_out").to_pylist() if x is not None)
+            return pa.table({"query_id": pa.array([hash(key)]), "field": ["v"], "id": pa.array([hash(key)]), "raw": [float(n)]})
+
+        return run
+
+    def of_tasks(limit):
+        monkeypatch.setattr(knn, "LEFT_OUT", limit)
+        return [r.raw for r in neighbours(queries, items, [COSINE], 4, exclude=listed, by="user").collect()]
+
+    with monkeypatch.context() as m:
+        m.setattr(knn, "compare", told)
+        assert of_tasks(1000) == [45 + 30 + 22]
+        assert len(cut := of_tasks(10)) == 10 and sum(cut) == 97 and max(cut) < 25
+    monkeypatch.setattr(knn, "LEFT_OUT", 10)
+    assert gave(listed, by="user") == want
+
+
 class _Sent:
     def __init__(self, value):
         self.value = value
