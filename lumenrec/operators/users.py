@@ -35,9 +35,9 @@ def median_scores(items: DataFrame) -> DataFrame:
     return items.where(F.col("score") != 0).groupBy("user_id").agg(F.median("score").alias("median"))
 
 
-def scaled(recommended: DataFrame, medians: DataFrame) -> DataFrame:
-    """recommended (user_id, user_score, distance, ...) with factor and scaled_distance: the score of the liked item, or the user's median."""
-    joined = recommended.join(medians, "user_id", "left")
+def scaled(recommended: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """recommended (user_id, user_score, distance, ...) with factor and scaled_distance: the score of the liked item, or the user's median, which recommended has unless medians are given."""
+    joined = recommended if medians is None else recommended.join(medians, "user_id", "left")
     factor = F.when(F.col("user_score") != 0, F.col("user_score").cast("double")).otherwise(F.coalesce("median", F.lit(DEFAULT_FACTOR)))
     return joined.withColumn("factor", factor).withColumn("scaled_distance", F.round(F.col("distance") * F.col("factor"), 10)).drop("median")
 

@@ -29,15 +29,27 @@ def recommend_by_id(catalogue: DataFrame, ids: DataFrame, k: int = 10, prefix: s
     return hybrid_search(queries, catalogue, k, search=search).withColumn("link", link(F.col("id"), prefix))
 
 
-def candidates_by_liked(catalogue: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """user_id, query_id, user_score, id, distance: a hybrid search from every liked item of every user, without what the user lists."""
+def candidates_by_liked(catalogue: DataFrame, items: DataFrame, k: int = 10, medians: DataFrame | None = None, each=None) -> DataFrame:
+    """user_id, query_id, user_score, id, distance: a hybrid search from every liked item of every user, without what the user lists.
+
+    With median, if medians (user_id, median) are given. each, if given, says what is kept of these rows, of some pairs of a
+    user and a liked item at a time.
+    """
     liked = liked_items(items, catalogue).withColumnRenamed("id", "query_id").withColumnRenamed("score", "user_score")
-    near = user_neighbours(liked.select("user_id", "query_id"), listed_items(items), catalogue, list(FIELDS), k)
-    return fuse(near, ["user_id", "query_id"], k).join(liked, ["user_id", "query_id"]).select("user_id", "query_id", "user_score", "id", "distance")
+    if medians is not None:
+        liked = liked.join(medians, "user_id", "left")
+    facts = liked.columns[2:]
+
+    def fused(near: DataFrame, pairs: DataFrame) -> DataFrame:
+        rows = fuse(near, ["user_id", "query_id"], k).join(pairs, ["user_id", "query_id"]).select("user_id", "query_id", facts[0], "id", "distance", *facts[1:])
+        return rows if each is None else each(rows)
+
+    return user_neighbours(liked, listed_items(items), catalogue, list(FIELDS), k, each=fused)
 
 
-def scaled_candidates(catalogue: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    return scaled(candidates_by_liked(catalogue, items, k), median_scores(items))
+def scaled_candidates(catalogue: DataFrame, items: DataFrame, k: int = 10, each=None) -> DataFrame:
+    """candidates_by_liked() with factor and scaled_distance; each as there."""
+    return candidates_by_liked(catalogue, items, k, median_scores(items), lambda rows: scaled(rows) if each is None else each(scaled(rows)))
 
 
 def recommend_by_user(catalogue: DataFrame, items: DataFrame, k: int = 10, prefix: str = LINK) -> DataFrame:

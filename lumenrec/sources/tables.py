@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def open_or_create(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:
     """The table of that name as it stands; where there is none, made of df."""
@@ -38,11 +40,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str, path: str | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder (to path, if given, with what is there) and read again, and its path.
+
+    The shuffle files of the write go when it is done, as nothing will read them again.
+    """
+    spark, path = df.sparkSession, path or scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: numbers drawn in it stay, and nothing before it is computed twice."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return store(df, name)[0]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that store() wrote and that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _roots: dict[str, SparkSession] = {}

@@ -1,6 +1,7 @@
 """Searches do their work once and in stretches: the same rows as a plain search, and what is held at once is bounded."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,29 @@ def test_an_item_is_searched_once_however_many_like_it(spark, items, monkeypatch
     assert user_neighbours(liked.where("user_id < 3"), few, items, [COSINE, HOT], 5, spare=60).count() == 3 * 3 * 2 * 5
 
 
+def test_users_lists_are_made_in_rounds_that_bound_disk(spark, items, monkeypatch):
+    """No copy of the catalogue for each block of what is liked, lists of some pairs at a time, and what is made on the way is removed."""
+    liked = spark.createDataFrame([(u, q) for u in range(9) for q in range(u, 90, 4)], "user_id long, query_id long")
+    listed = spark.createDataFrame([(u, i) for u in range(8) for i in range(u, 90, 12 - u)] + [(8, i) for i in range(84)], "user_id long, id long").distinct()
+    gave = lambda block: sorted(map(tuple, user_neighbours(liked, listed, items, [COSINE, HOT], 3, block).collect()))
+    want, steps, store = gave(4096), [], knn.store
+
+    def counted(df, name, *args, **kwargs):
+        out = store(df, name, *args, **kwargs)
+        steps.append((name, out[1], out[0].count() if name == "round-pairs" else 0))
+        return out
+
+    monkeypatch.setattr(knn, "store", counted)
+    monkeypatch.setattr(knn, "neighbours", None)
+    for name, value in (("FEWEST", 20), ("NUMBERS", 300), ("PAIRS", 60), ("COPIES", 100), ("RUN", 25), ("BLOCK", 8)):
+        monkeypatch.setattr(knn, name, value)
+    assert gave(20) == want
+    rounds = [n for name, _, n in steps if name == "round-pairs"]
+    assert len(rounds) == 4 and sum(rounds) == liked.count() and max(rounds) < sum(rounds)
+    assert sum(name == "lists" for name, *_ in steps) > 1 and sum(name == "users-nearest" for name, *_ in steps) > 1
+    assert {name for name, path, _ in steps if Path(path.removeprefix("file:")).exists()} == {"users-found"}
+
+
 def test_tasks_give_k_rows_whatever_a_query_excludes(spark, items):
     queries = items.where("id % 7 = 0").withColumnRenamed("id", "query_id")
     seen = spark.createDataFrame([(q, i) for q in range(0, 90, 7) for i in range(q % 3, 80 if q % 2 else 10)], "query_id long, id long")
