@@ -53,10 +53,13 @@ def scaled_candidates(catalogue: DataFrame, items: DataFrame, k: int = 10, each=
 
 
 def recommend_by_user(catalogue: DataFrame, items: DataFrame, k: int = 10, prefix: str = LINK) -> DataFrame:
-    """user_id, id, distance, link: the k best items of every user with a list. Users who like nothing of the catalogue get none."""
-    best = best_per_item(scaled_candidates(catalogue, items, k))
+    """user_id, id, distance, link: the k best items of every user with a list. Users who like nothing of the catalogue get none.
+
+    An item that is among a user's k best is so too among what is found at a time, where its best distance is; so no more is kept.
+    """
     order = Window.partitionBy("user_id").orderBy(F.desc("distance"), "id")
-    top = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    first = lambda rows: best_per_item(rows).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    top = first(scaled_candidates(catalogue, items, k, first).withColumnRenamed("distance", "scaled_distance"))
     return top.withColumn("link", link(F.col("id"), prefix))
 
 

@@ -1,5 +1,6 @@
 import json
 import shutil
+from functools import partial
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenrec import schemas
 from lumenrec.config import expand, load_config
 from lumenrec.errors import InvalidToken, ItemNotFound, RateLimitExceeded, UserNotFound, check_status
-from lumenrec.operators import blocks, users
+from lumenrec.operators import blocks, knn, users
 from lumenrec.operators.features import build_features, complete_items
 from lumenrec.operators.fusion import FIELDS, hybrid_search
 from lumenrec.operators.knn import _first, neighbours, user_neighbours
@@ -344,3 +345,32 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def kept_of_users(spark, cat, monkeypatch, f):
+    """Rows of f with users' lists made at once, and in rounds with users dealt out in parts; what the rounds kept, and all scaled candidates."""
+    rng = np.random.default_rng(5)
+    listed = {(int(u), int(i)) for u, i in zip(rng.integers(0, 5, 80), rng.integers(0, 40, 80))}
+    items = spark.createDataFrame([(u, i, int(i % 11), ["completed", "watching"][(u + i) % 3 % 2], n) for n, (u, i) in enumerate(sorted(listed))], LIST)
+    whole, every, paths, store = sorted(map(tuple, f(cat, items, 3).collect())), recommend.scaled_candidates(cat, items, 3).collect(), set(), knn.store
+
+    def seen(df, name, *args, **kwargs):
+        out = store(df, name, *args, **kwargs)
+        paths.update([out[1]] if name == "users-found" else [])
+        return out
+
+    monkeypatch.setattr(knn, "store", seen)
+    monkeypatch.setattr(knn, "PAIRS", 12)
+    monkeypatch.setattr(recommend, "user_neighbours", partial(user_neighbours, block=6))
+    assert sorted(map(tuple, f(cat, items, 3).collect())) == whole
+    return whole, spark.read.parquet(*paths), every
+
+
+def test_no_more_than_a_users_best_are_kept_of_a_round(spark, cat, monkeypatch):
+    whole, kept, every = kept_of_users(spark, cat, monkeypatch, recommend.recommend_by_user)
+    assert kept.columns == ["user_id", "id", "distance"] and len(whole) <= kept.count() < len(every)
+    best = {}
+    for r in every:
+        best[r.user_id, r.id] = max(r.scaled_distance, best.get((r.user_id, r.id), 0))
+    want = [(u, i, d) for user in {u for u, _ in best} for u, i, d in sorted(((u, i, d) for (u, i), d in best.items() if u == user), key=lambda x: (-x[2], x[1]))[:3]]
+    assert [x[:3] for x in whole] == sorted(want)
