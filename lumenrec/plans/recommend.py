@@ -52,6 +52,11 @@ def scaled_candidates(catalogue: DataFrame, items: DataFrame, k: int = 10, each=
     return candidates_by_liked(catalogue, items, k, median_scores(items), lambda rows: scaled(rows) if each is None else each(scaled(rows)))
 
 
+def best_by_user(catalogue: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """user_id, id, distance: every item's best scaled distance of a user. What is found at a time is brought down to it first."""
+    return best_per_item(scaled_candidates(catalogue, items, k, best_per_item).withColumnRenamed("distance", "scaled_distance"))
+
+
 def recommend_by_user(catalogue: DataFrame, items: DataFrame, k: int = 10, prefix: str = LINK) -> DataFrame:
     """user_id, id, distance, link: the k best items of every user with a list. Users who like nothing of the catalogue get none.
 

@@ -331,7 +331,7 @@ def scaled_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_USERS} SELECT user_id, id, max(scaled_distance) AS distance FROM rated GROUP BY user_id, id")
 def best_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return users.best_per_item(recommend.scaled_candidates(catalogue(spark, sf_dir), user_items(spark, sf_dir), K))
+    return recommend.best_by_user(catalogue(spark, sf_dir), user_items(spark, sf_dir), K)
 
 
 @query(f"""WITH {_USERS}, best AS (SELECT user_id, id, max(scaled_distance) AS distance FROM rated GROUP BY user_id, id)

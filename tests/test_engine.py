@@ -374,3 +374,12 @@ def test_no_more_than_a_users_best_are_kept_of_a_round(spark, cat, monkeypatch):
         best[r.user_id, r.id] = max(r.scaled_distance, best.get((r.user_id, r.id), 0))
     want = [(u, i, d) for user in {u for u, _ in best} for u, i, d in sorted(((u, i, d) for (u, i), d in best.items() if u == user), key=lambda x: (-x[2], x[1]))[:3]]
     assert [x[:3] for x in whole] == sorted(want)
+
+
+def test_an_item_is_kept_once_for_a_user_of_a_round(spark, cat, monkeypatch):
+    whole, kept, every = kept_of_users(spark, cat, monkeypatch, recommend.best_by_user)
+    assert kept.columns == ["user_id", "id", "distance"] and len(whole) <= kept.count() < len(every)
+    best = {}
+    for r in every:
+        best[r.user_id, r.id] = max(r.scaled_distance, best.get((r.user_id, r.id), 0))
+    assert whole == sorted((*x, d) for x, d in best.items())
